@@ -15,6 +15,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -90,6 +91,7 @@ class _Remembered(dict):
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.pieces = read_ranks(path)
+        self.decimals = [str(i) for i in range(len(self.pieces))]
         self.split = regex.compile(pattern).findall
         self.known = _Remembered(self.pieces)
 
@@ -108,19 +110,48 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that little more than the input's own batch is held at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+
+
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """(key, ids array<int>) for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [code.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=[key, ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(found))], names=[key, ids])
+
+    return _texts(df, key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{ids}` array<int>")
+
+
+def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again, in one pass
+    that hands digests of ids (decimal, with commas) and bytes to Spark in place of the arrays."""
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(path, pattern)
+        for batch in _slices(batches):
+            rows = []
+            for t in batch.column(1).to_pylist():
+                ids = code.encode(t).tolist()
+                listed = ",".join(map(code.decimals.__getitem__, ids)).encode()
+                rows.append((len(ids), sha256(listed).hexdigest(), sha256(code.decode(ids)).hexdigest()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{ids}` array<int>")
+    kind = df.schema[key].dataType.simpleString()
+    return _texts(df, key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded") -> DataFrame:
@@ -132,7 +163,7 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             decoded = [code.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=names)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, licenses, tokenfiles
+from quire.llm import bpe, decontam, licenses, suffixdedup, tokenfiles
 from quire.llm.shared import make_dir, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,15 +20,8 @@ def joined(column: str) -> F.Column:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path, pattern)
-    back = bpe.decode(ids, "ids", path, pattern)
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +32,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.with_starts(back, "doc_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     n_hit = decontam.hit_words()
@@ -62,7 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op6_token_files, op9_decontaminate, op10_licenses)}
+    return {f.__name__: f for f in (op2_bpe, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

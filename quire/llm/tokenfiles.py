@@ -1,9 +1,9 @@
 """Token ids as Arrow files of equal-length sequences (operator 6).
 
 Each file (Arrow's file format, several record batches of fixed-size lists, not compressed) holds sequences of
-`length` ids and as many mask bytes: 0 past the end, 1 a token, 2 the last token of a document. A reader maps
-a file and takes any sequence without decoding or copying anything. Beside it stands an index file with
-doc_id and n_tokens in file order. Documents stand in ascending order of their keys, in and across files.
+`length` ids (16 bits each where the vocabulary allows) and as many mask bits: a token, or past the end. A
+reader maps a file and takes any sequence without decoding or copying anything. Beside it stands an index file
+with doc_id and n_tokens in file order. Documents stand in ascending order of their keys, in and across files.
 
 Null texts count as empty (the end id alone). A null key sorts first. Rows that repeat a key are all written,
 ordered by key and text. An empty table gives no files and no rows. Texts of any length are encoded whole.
@@ -11,6 +11,9 @@ ordered by key and text. An empty table gives no files and no rows. Texts of any
 
 from __future__ import annotations
 
+import os
+import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,70 +27,121 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAD, TOKEN, LAST = 0, 1, 2
-#: Chunks between blanks whose ids a worker remembers; sequences in a record batch.
-REMEMBERED, BATCH = 200_000, 64
+#: After how many chunks between blanks, or words, a worker forgets those that it has not met for a while; texts
+#: that are encoded together; sequences in a record batch.
+REMEMBERED, TOGETHER, BATCH = 250_000, 1024, 64
+#: Words of these letters stay letters in lower case and in composed form, so that each is one pre-token.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+_STOPS = ".,;:!?"
 
 
-class _Remembered(dict):
-    """The ids of a chunk without blanks. The tokenizer drops white space and merges nothing across it, so
-    that a text's ids are those of its chunks."""
+class Recent:
+    """What was met lately: at least the last REMEMBERED keys, at most twice as many and a batch."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Keys to look up; all others stand in `now` afterwards."""
+        if len(self.now) > REMEMBERED:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for k in keys:
+            if k not in now:
+                if k in before:
+                    now[k] = before[k]
+                else:
+                    out.append(k)
+        return out
+
+
+class Coder:
+    """Remembers the ids of chunks without blanks, and of the words in them. The tokenizer drops white space,
+    merges nothing across it or between letters and full stops, and ignores case."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.chunks, self.words = Recent(), Recent()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        self[chunk] = ids
-        return ids
+        ids, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(ids.values()) + 1, bool)
+        self.last[[i for piece, i in ids.items() if piece.endswith(suffix)]] = True
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words and stops are pre-tokens, so that joined by blanks each gives ids up to a piece that ends a word."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+        data, start = ids.tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.words.now[w] = data[start:end]
+            start = end
+
+    def _learn(self, chunks: list[str]) -> None:
+        """A word and the stops behind it are encoded apart; any other chunk as it is."""
+        odd, plain, words = [], [], set()
+        for c in chunks:
+            word = c.rstrip(_STOPS)
+            if _WORD(word):
+                stops, word = c[len(word) :], word.lower()
+                plain.append((c, word, stops))
+                words.add(word)
+                if stops:
+                    words.add(stops)
+            else:
+                odd.append(c)
+        self._learn_words(self.words.unknown(words))
+        now, known = self.chunks.now, self.words.now
+        for c, word, stops in plain:
+            now[c] = known[word] + known[stops] if stops else known[word]
+        for c, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            now[c] = np.array(found.ids, self.kind).tobytes()
+
+    def encode(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(self.chunks.unknown(set(chain.from_iterable(split))))
+        end = np.array([end_id], self.kind).tobytes()
+        for chunks in split:
+            yield np.frombuffer(b"".join(map(self.chunks.now.__getitem__, chunks)) + end, self.kind)
 
 
 @lru_cache(maxsize=4)
-def _known(path: str) -> _Remembered:
-    return _Remembered(path)
-
-
-def encode(text: str, path: str, end_id: int) -> np.ndarray:
-    known = _known(path)
-    ids = chain.from_iterable(map(known.__getitem__, text.replace("\n", " ").split(" ")))
-    return np.fromiter(chain(ids, (end_id,)), np.uint32)
+def coder(path: str) -> Coder:
+    """One per Python worker."""
+    return Coder(path)
 
 
 class _Writer:
     """Sequences of one file; it holds one unfinished record batch at most."""
 
-    def __init__(self, out: pa.NativeFile, length: int):
-        self.length, self.ids, self.masks, self.size = length, [], [], 0
-        kinds = [pa.list_(pa.uint32(), length), pa.list_(pa.uint8(), length)]
+    def __init__(self, out: pa.NativeFile, length: int, kind: np.dtype):
+        self.length, self.kind, self.ids, self.size = length, kind, [], 0
+        kinds = [pa.list_(pa.from_numpy_dtype(kind), length), pa.list_(pa.bool_(), length)]
         self.writer = pa.ipc.new_file(out, pa.schema(list(zip(("ids", "mask"), kinds, strict=True))))
 
     def add(self, ids: np.ndarray) -> None:
-        mask = np.full(len(ids), TOKEN, np.uint8)
-        mask[-1:] = LAST
         self.ids.append(ids)
-        self.masks.append(mask)
         self.size += len(ids)
         if self.size >= self.length * BATCH:
-            self._flush(self.size // self.length * self.length)
+            whole = np.concatenate(self.ids)
+            n = self.size // self.length * self.length
+            self._batch(whole[:n], np.ones(n, bool))
+            self.ids, self.size = [whole[n:]], self.size - n
 
-    def _flush(self, n: int) -> None:
-        ids, mask = np.concatenate(self.ids), np.concatenate(self.masks)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), self.length) for x in (ids, mask)]
+    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, names=["ids", "mask"]))
-        self.ids, self.masks, self.size = [ids[n:]], [mask[n:]], len(ids) - n
 
     def close(self) -> None:
         if self.size:
             rest = -self.size % self.length
-            self.ids.append(np.zeros(rest, np.uint32))
-            self.masks.append(np.full(rest, PAD, np.uint8))
-            self._flush(self.size + rest)
+            self._batch(np.concatenate([*self.ids, np.zeros(rest, self.kind)]), np.arange(self.size + rest) < self.size)
         self.writer.close()
 
 
@@ -101,15 +155,17 @@ def write(df: DataFrame, key: str, text: str, path: str, out: str, end_id: int =
         store, root = FileSystem.from_uri(out)
         name = f"{root}/part-{context.partitionId():06d}"
         aside = f"{name}.{context.taskAttemptId()}.part"
-        keys, counts, sink = [], [], None
+        code, keys, counts, sink = coder(path), [], [], None
         for batch in batches:
             if sink is None and batch.num_rows:
                 store.create_dir(root, recursive=True)
                 sink = store.open_output_stream(aside)
-                writer = _Writer(sink, length)
-            for t in batch.column(1).to_pylist():
-                writer.add(ids := encode(t, path, end_id))
-                counts.append(len(ids))
+                writer = _Writer(sink, length, code.kind)
+            texts = batch.column(1).to_pylist()
+            for i in range(0, len(texts), TOGETHER):
+                for ids in code.encode(texts[i : i + TOGETHER], end_id):
+                    writer.add(ids)
+                    counts.append(len(ids))
             keys.append(batch.column(0))
         if sink is not None:
             writer.close()
@@ -126,18 +182,16 @@ def write(df: DataFrame, key: str, text: str, path: str, out: str, end_id: int =
     ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def sequences(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Ids and masks of a file, by record batch, as arrays of shape (sequences, length) over the file's own bytes."""
+def sequences(data: bytes | pa.Buffer) -> list[tuple[np.ndarray, pa.BooleanArray]]:
+    """By record batch: ids as an array of shape (sequences, length) over the file's own bytes, and the mask."""
     reader = pa.ipc.open_file(pa.BufferReader(data))
     batches = [reader.get_batch(i) for i in range(reader.num_record_batches)]
-    return tuple([b.column(i).values.to_numpy(zero_copy_only=True).reshape(len(b), -1) for b in batches] for i in (0, 1))
+    return [(b.column(0).values.to_numpy(zero_copy_only=True).reshape(len(b), -1), b.column(1).values) for b in batches]
 
 
 def read(spark: SparkSession, path: str, key: str, kind: T.DataType) -> DataFrame:
     """(file, key, place, n_tokens, ids_crc32) of each document in the files below path: its place among the
     tokens of its file, and the CRC of its ids as little-endian unsigned 32-bit integers."""
-    import zlib
-
     fields = [T.StructField("file", T.StringType()), T.StructField(key, kind)]
     fields += [T.StructField(x, T.LongType()) for x in ("place", "n_tokens", "ids_crc32")]
 
@@ -145,15 +199,14 @@ def read(spark: SparkSession, path: str, key: str, kind: T.DataType) -> DataFram
         for batch in batches:
             for file, data, listed in zip(*map(batch.column, range(3)), strict=True):
                 index = pa.ipc.open_file(listed.as_buffer()).read_all()
-                ids, masks = sequences(data.as_buffer())
-                flat = np.concatenate([x.reshape(-1) for x in ids]).astype("<u4", copy=False)
-                mask = np.concatenate([x.reshape(-1) for x in masks])
-                ends = np.flatnonzero(mask == LAST) + 1
-                starts = np.concatenate([[0], ends[:-1]])
-                if (ends - starts).tolist() != index["n_tokens"].to_pylist():
+                found = sequences(data.as_buffer())
+                sizes = index["n_tokens"].to_numpy()
+                ends = np.cumsum(sizes)
+                if sum(m.true_count for _, m in found) != sizes.sum():
                     raise ValueError(f"{file}: index and masks differ")
-                crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts, ends, strict=True)]
-                columns = [pa.array([file.as_py()] * len(ends)), index[key].combine_chunks(), *(pa.array(x, pa.int64()) for x in (starts, ends - starts, crc))]
+                flat = np.concatenate([x.reshape(-1) for x, _ in found])
+                crc = [zlib.crc32(flat[e - n : e].astype("<u4")) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array([file.as_py()] * len(ends)), index[key].combine_chunks(), *(pa.array(x, pa.int64()) for x in (ends - sizes, sizes, crc))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     def files(suffix: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import base64
 import random
+from hashlib import sha256
 
 import public_tokenizers
 import pytest
@@ -31,6 +32,11 @@ def test_frames(docs, empty_docs, odd_texts, peer):
     rows = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, "doc_id", "text", PATH, PATTERN), "ids", PATH, PATTERN).collect()}
     for i, t in enumerate(odd_texts):
         assert rows[i].ids == peer.encode_ordinary(t or "") and bytes(rows[i].decoded) == (t or "").encode()
+    for r in bpe.round_trip(docs, "doc_id", "text", PATH, PATTERN).collect():
+        ids, raw = rows[r.doc_id].ids, rows[r.doc_id].decoded
+        want = len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(raw).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+    assert bpe.round_trip(empty_docs, "doc_id", "text", PATH, PATTERN).count() == 0
     assert bpe.encode(docs, "doc_id", "text", PATH, PATTERN).count() == docs.count()
     assert bpe.decode(bpe.encode(empty_docs, "doc_id", "text", PATH, PATTERN), "ids", PATH, PATTERN).count() == 0
 

@@ -23,8 +23,8 @@ def test_round_trip(spark, docs, odd_texts):
         start += len(ids)
     assert [tuple(r) for r in back] == expected
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[0-9].arrow").load(out).collect()
-    ids, masks = tokenfiles.sequences(bytes(files[0].content))
-    assert all(x.shape[1] == 64 for x in [*ids, *masks]) and not ids[0].flags.owndata
+    for ids, mask in tokenfiles.sequences(bytes(files[0].content)):
+        assert ids.shape[1] == 64 and ids.dtype == np.uint16 and not ids.flags.owndata and len(mask) == ids.size
 
 
 def test_empty(spark, empty_docs):
@@ -33,8 +33,16 @@ def test_empty(spark, empty_docs):
     assert tokenfiles.with_starts(tokenfiles.read(spark, out, "doc_id", empty_docs.schema["doc_id"].dataType), "doc_id").count() == 0
 
 
+def test_forgetting(monkeypatch):
+    texts = ["one two three", "two three four", "", "one one"]
+    want = [x.tolist() for x in tokenfiles.Coder(PATH).encode(texts, 1)]
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 2)
+    code = tokenfiles.Coder(PATH)
+    assert [next(code.encode([t], 1)).tolist() for t in texts] == want
+
+
 def test_chunks_encode_as_the_whole_text():
     peer = Tokenizer.from_file(PATH)
     peer.encode_special_tokens = True
     for text in ("It's  Á test\x1cof blanks", "<|endoftext|> x<|endoftext|>", "İ Σ ς ΑΣ ΑΣ. ", " a\tb\r\nc"):
-        assert tokenfiles.encode(text, PATH, 1).tolist() == [*peer.encode(text, add_special_tokens=False).ids, 1]
+        assert next(tokenfiles.Coder(PATH).encode([text], 1)).tolist() == [*peer.encode(text, add_special_tokens=False).ids, 1]
