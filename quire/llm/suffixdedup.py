@@ -1,19 +1,19 @@
 """Repeated byte strings by prefix-free parsing (operator 7).
 
 Every byte covered by a string of `length` bytes that also starts anywhere else is removed. Rolling-hash
-triggers cut texts into phrases, and a string is known by the suffix of the phrase it starts in (which ends at
-the first trigger) and by what the parse has behind that trigger. Equal strings have the same trigger at the
-same place, so that only strings with a common trigger context need comparing. As suffix arrays of dictionary
-and parse would, the work goes from whole phrases to their suffixes:
-
-1. Of each trigger, its context (`KEY` bytes) and its phrase: all strings that begin before it and after the
-   trigger before it, as one extended phrase. This dictionary is sorted by context in shuffle partitions. A
-   phrase found twice proves all its strings repeated. A context with one phrase is done.
-2. Contexts with several phrases branch. There the suffixes of each distinct phrase are compared one by one;
-   so are the few strings without a trigger.
+triggers cut texts into phrases, from one trigger to the end of the next. A string is known by the suffix of
+the phrase it starts in, which ends at its first trigger, and by what the parse has behind. Equal strings have
+the same triggers at the same places and so the same whole phrases in between. As suffix arrays of dictionary
+and parse would, the work goes from whole phrases to suffixes:
+
+1. The dictionary: each phrase with what it stands in, namely all strings whose first whole phrase it is, as one
+   extended phrase. Sorted in shuffle partitions, an extended phrase found twice proves all its strings
+   repeated; a phrase found once rules out all strings that hold it.
+2. A phrase with several extensions branches. There the suffixes of each distinct extension are compared one by
+   one; so are the few strings without a whole phrase.
 3. Each text learns which of its phrases and suffixes are repeated.
 
-Order is needed only as far as it brings equal strings together, so that sorted fingerprints (128 bits) stand
+Order is needed only as far as it brings equal strings together, so that sorted fingerprints (96 bits) stand
 in for the lexicographic order; no suffix array of the whole corpus is ever held.
 
 Texts are spread over blocks of about `block_bytes`; a block sends each context, phrase or suffix once however
@@ -38,9 +38,12 @@ from pyspark.sql import types as T
 from quire.llm import textbytes as tb
 from quire.llm.shared import parts_for, shared_dir
 
-TRIGGER, SPACING_BITS, KEY = 16, 6, 64
+TRIGGER, SPACING = 16, 48
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
-_BRANCHING, _REPEATED, _REPEATED_HERE_FIRST, _SUFFIX = range(4)
+#: What comes back to a block.
+_BRANCHING, _MET, _REPEATED, _REPEATED_HERE_FIRST, _SUFFIX = range(5)
+#: Flags in what a block sends: an extended phrase (else a phrase), found twice, found in several extensions.
+_EXTENDED, _TWICE, _SEVERAL = 1, 2, 4
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -49,9 +52,24 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(lo) else lo
 
 
+class _Learnt:
+    """What came back to a block."""
+
+    def __init__(self, table: pa.Table):
+        h, kind = table["h"].to_numpy().view(np.uint64), table["kind"].to_numpy()
+        self.branching, self.met, self.first, self.suffixes = (np.sort(h[kind == k]) for k in (_BRANCHING, _MET, _REPEATED_HERE_FIRST, _SUFFIX))
+        self.repeated = np.sort(h[(kind == _REPEATED) | (kind == _REPEATED_HERE_FIRST)])
+
+    @staticmethod
+    def has(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(h), bool)
+        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 class _Parse:
-    """Phrases of several texts that lie behind one another. Strings that start in [lo, hi] of a phrase have
-    its trigger as their first one; loose are the starts of strings that hold no whole context."""
+    """Phrases [at, end) of several texts that lie behind one another. Strings that start in [lo, hi] of a phrase
+    hold it as their first whole one; loose are the starts of strings that hold none."""
 
     def __init__(self, texts: list[bytes], length: int):
         self.length, self.n = length, sum(map(len, texts))
@@ -61,29 +79,44 @@ class _Parse:
         at = np.zeros(0, np.int64)
         if self.n > TRIGGER:
             rolled = (self.first[TRIGGER:] - self.first[:-TRIGGER]) * tb.FIRST.inverses[: self.n - TRIGGER + 1]
-            at = np.flatnonzero(rolled >> np.uint64(64 - SPACING_BITS) == 0)
+            at = np.flatnonzero(rolled < np.uint64((1 << 64) // SPACING))
         text = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + KEY <= offsets[text + 1]
+        inside = at + TRIGGER <= offsets[text + 1]
         at, text = at[inside], text[inside]
-        lo = np.where(np.diff(text, prepend=-1) == 0, np.concatenate([[0], at[:-1] + 1])[: len(at)], offsets[text])
-        lo = np.maximum(lo, at - (length - KEY))
-        hi = np.minimum(at, offsets[text + 1] - length)
-        some = lo <= hi
-        self.lo, self.hi, at = lo[some], hi[some], at[some]
-        self.context = tb.FIRST.windows(self.first, at, at + KEY)
-        self.phrase = tb.FIRST.windows(self.first, self.lo, self.hi + length)
-        self.check = tb.SECOND.windows(self.second, self.lo, self.hi + length)
+        before = np.where(np.diff(text, prepend=-1) == 0, np.concatenate([[0], at[:-1] + 1])[: len(at)], offsets[text])
+        followed = np.diff(text, append=-1) == 0
+        end = (np.append(at[1:], 0)[: len(at)] + TRIGGER)[followed]
+        at, before, last = at[followed], before[followed], offsets[text[followed] + 1] - length
+        self.end = end
+        self.lo, self.hi = np.maximum(before, end - length), np.minimum(at, last)
+        self.some = self.lo <= self.hi
+        self.phrase = tb.FIRST.windows(self.first, at, end)
+        lo, hi = self.lo[self.some], self.hi[self.some]
+        self.extended = np.zeros(len(at), np.uint64)
+        self.extended[self.some] = tb.FIRST.windows(self.first, lo, hi + length) | np.uint64(1 << 32)
+        self.check = tb.SECOND.windows(self.second, lo, hi + length) >> np.uint64(32)
         starts = np.zeros(self.n + 1, np.int32)
         long = np.diff(offsets) >= length
         starts[offsets[:-1][long]] += 1
         starts[offsets[1:][long] - length + 1] -= 1
-        starts[self.lo] -= 1
-        starts[self.hi + 1] += 1
+        starts[lo] -= 1
+        starts[hi + 1] += 1
         self.loose = np.flatnonzero(np.cumsum(starts[:-1]) == 1)
 
     def strings(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = starts + self.length
-        return tb.FIRST.windows(self.first, starts, ends), tb.SECOND.windows(self.second, starts, ends)
+        return tb.FIRST.windows(self.first, starts, ends), tb.SECOND.windows(self.second, starts, ends) >> np.uint64(32)
+
+    def open(self, known: _Learnt) -> tuple[np.ndarray, np.ndarray]:
+        """Which phrases are proven, and the starts of strings that hold repeated phrases alone, in extensions
+        that aren't proven."""
+        proven = self.some & known.has(known.repeated, self.extended)
+        branching = known.has(known.branching, self.phrase)
+        ends = self.end[~(branching | known.has(known.met, self.phrase))]  # of phrases found once
+        following = np.append(ends, np.iinfo(np.int64).max // 2)[np.searchsorted(ends, self.end, side="right")]
+        hi = np.minimum(self.hi, following - self.length - 1)
+        take = branching & ~proven & self.some & (self.lo <= hi)
+        return proven, _ranges(self.lo[take], hi[take])
 
 
 def _parses(texts: list[bytes], length: int) -> Iterator[tuple[int, int, _Parse]]:
@@ -110,13 +143,26 @@ def _distinct(h: np.ndarray, check: np.ndarray, repeated: np.ndarray) -> tuple[n
     return h[at], check[at], np.logical_or.reduceat(repeated, at) | twice
 
 
-def _batch(kinds: dict[str, pa.DataType], *columns: np.ndarray) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c if t is not pa.int64() else c.view(np.int64), t) for c, t in zip(columns, kinds.values(), strict=True)], names=[*kinds])
+def _table(kinds: dict[str, pa.DataType], *columns: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c if t != pa.int64() else c.view(np.int64), t) for c, t in zip(columns, kinds.values(), strict=True)], names=[*kinds])
 
 
-_SENT = {"h": pa.int64(), "y": pa.int64(), "v": pa.int64()}
+#: Sent: a fingerprint, and 32 more bits of it (or of a phrase's extension; 0 for none), the block, and flags.
+_SENT = {"h": pa.int64(), "v": pa.int64()}
 _BACK = {"block": pa.int32(), "h": pa.int64(), "kind": pa.int8()}
-_SENT_SQL, _BACK_SQL = "h long, y long, v long", "block int, h long, kind byte"
+_SENT_SQL, _BACK_SQL = "h long, v long", "block int, h long, kind byte"
+
+
+def _packed(check: np.ndarray, block: int, flags: np.ndarray) -> np.ndarray:
+    return check << np.uint64(32) | np.uint64(block << 3) | flags.astype(np.uint64)
+
+
+def _block(v: np.ndarray) -> np.ndarray:
+    return (v >> np.uint64(3) & np.uint64(0x1FFFFFFF)).astype(np.int32)
+
+
+def _flagged(v: np.ndarray, flag: int) -> np.ndarray:
+    return v & np.uint64(flag) != 0
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -128,103 +174,88 @@ def _joined(parts: list[np.ndarray], kind: type = np.uint64) -> np.ndarray:
 
 
 def _dictionary(length: int):
-    """Of a block: each context once with a phrase of it (marked if it has more here), each phrase once."""
+    """Of a block: each phrase once with an extension of it, and each extended phrase once."""
 
     def run(table: pa.Table) -> pa.Table:
         found = [p for _, _, p in _parses(_texts(table), length)]
-        context, phrase, check = (_joined([getattr(p, x) for p in found]) for x in ("context", "phrase", "check"))
-        h, y, branching = _distinct(context, phrase, np.zeros(len(context), bool))
+        phrase, extension = _joined([p.phrase for p in found]), _joined([p.extended for p in found])
+        h, y, twice = _distinct(phrase, extension >> np.uint64(32), np.zeros(len(phrase), bool))
         at = _runs(h)
-        several = np.diff(np.append(at, len(h))) > 1
-        block = table["block"][0].as_py() << 2
-        ph, pc, twice = _distinct(phrase, check, np.zeros(len(phrase), bool))
-        v = np.concatenate([block | several.astype(np.int64) << 1, block | 1 | twice.astype(np.int64) << 1])
-        return _batch(_SENT, np.concatenate([h[at], ph]), np.concatenate([y[at], pc]), v)
+        sizes = np.diff(np.append(at, len(h)))
+        last = at + sizes - 1  # phrases without strings have extension 0, which stands first
+        several = (sizes > 2) | (sizes == 2) & (y[at] != 0)
+        flags = (np.logical_or.reduceat(twice, at) if len(at) else twice) | (sizes > 1)
+        block = table["block"][0].as_py()
+        v = _packed(y[last], block, flags * _TWICE + several * _SEVERAL)
+        eh, ec, etwice = _distinct(_joined([p.extended[p.some] for p in found]), _joined([p.check for p in found]), np.zeros(sum(len(p.check) for p in found), bool))
+        return _table(_SENT, np.concatenate([h[at], eh]), np.concatenate([v, _packed(ec, block, etwice * _TWICE + _EXTENDED)]))
 
     return run
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """All rows of a shuffle partition, whose number is chosen so that they fit."""
+def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows of a shuffle partition, whose number is chosen so that they fit, in order."""
     kept = [b for b in batches if b.num_rows]
-    return [_joined([b.column(i).to_numpy() for b in kept], np.int64) for i in range(3)]
+    h, v = (_joined([b.column(i).to_numpy().view(np.uint64) for b in kept]) for i in range(2))
+    order = np.lexsort((v, h))
+    return h[order], v[order]
 
 
 def _compare_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, y, v = _partition(batches)
-    order = np.lexsort((v, y, h))
-    h, y, v = h[order], y[order], v[order]
-    context = v & 1 == 0
-    for part in (context, ~context):
-        a, b, c = h[part], y[part], v[part]
-        at = _runs(a) if part is context else _runs(a, b)
+    h, v = _partition(batches)
+    extended = _flagged(v, _EXTENDED)
+    for part in (extended, ~extended):
+        a, b = h[part], v[part]
+        check = b >> np.uint64(32)
+        at = _runs(a, check) if part is extended else _runs(a)
         if not len(at):
             continue
         sizes = np.diff(np.append(at, len(a)))
-        marked = np.maximum.reduceat(c & 2, at) > 0
-        if part is context:
-            marked |= b[at] != b[np.append(at[1:], len(b)) - 1]  # sorted: a second phrase stands last
-            kind = np.full(len(a), _BRANCHING, np.int8)
-        else:
-            marked |= sizes > 1
+        met = np.logical_or.reduceat(_flagged(b, _TWICE), at) | (sizes > 1)
+        if part is extended:
             kind = np.full(len(a), _REPEATED, np.int8)
             kind[at] = _REPEATED_HERE_FIRST
-        take = np.repeat(marked, sizes)
-        yield from _batch(_BACK, (c[take] >> 2).astype(np.int32), a[take], kind[take]).to_batches()
+        else:
+            least = np.minimum.reduceat(np.where(check == 0, np.uint64(1 << 33), check), at)
+            branching = np.logical_or.reduceat(_flagged(b, _SEVERAL), at) | (least < np.maximum.reduceat(check, at))
+            kind = np.repeat(np.where(branching, _BRANCHING, _MET).astype(np.int8), sizes)
+        take = np.repeat(met, sizes)
+        yield from _table(_BACK, _block(b[take]), a[take], kind[take]).to_batches()
 
 
 def _compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, y, v = _partition(batches)
-    order = np.lexsort((y, h))
-    h, y, v = h[order], y[order], v[order]
-    at = _runs(h, y)
+    h, v = _partition(batches)
+    at = _runs(h, v >> np.uint64(32))
     if len(at):
         sizes = np.diff(np.append(at, len(h)))
-        take = np.repeat((np.maximum.reduceat(v & 1, at) > 0) | (sizes > 1), sizes)
-        yield from _batch(_BACK, (v[take] >> 1).astype(np.int32), h[take], np.full(take.sum(), _SUFFIX, np.int8)).to_batches()
-
-
-class _Learnt:
-    """What came back to a block."""
-
-    def __init__(self, table: pa.Table):
-        h, kind = table["h"].to_numpy().view(np.uint64), table["kind"].to_numpy()
-        self.branching, self.first, self.suffixes = (np.sort(h[kind == k]) for k in (_BRANCHING, _REPEATED_HERE_FIRST, _SUFFIX))
-        self.repeated = np.sort(h[(kind == _REPEATED) | (kind == _REPEATED_HERE_FIRST)])
-
-    @staticmethod
-    def has(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(h), bool)
-        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        take = np.repeat(np.logical_or.reduceat(_flagged(v, _TWICE), at) | (sizes > 1), sizes)
+        yield from _table(_BACK, _block(v[take]), h[take], np.full(take.sum(), _SUFFIX, np.int8)).to_batches()
 
 
 def _suffixes(length: int):
-    """Of a block: the strings of branching contexts whose phrases aren't known to be repeated, or are and this
-    block speaks for them; and the loose strings."""
+    """Of a block: strings of branching phrases in extensions that aren't proven, or are and this block speaks for
+    them; and the loose strings."""
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         known, h, check, repeated = _Learnt(back), [], [], []
         for _, _, p in _parses(_texts(table), length):
-            proven = known.has(known.repeated, p.phrase)
-            branching = known.has(known.branching, p.context)
-            for take, mark in ((branching & ~proven, False), (branching & known.has(known.first, p.phrase), True), (None, False)):
-                starts = p.loose if take is None else _ranges(p.lo[take], p.hi[take])
-                for out, x in zip((h, check), p.strings(starts), strict=True):
+            _, starts = p.open(known)
+            spoken = p.some & known.has(known.branching, p.phrase) & known.has(known.first, p.extended)
+            for at, mark in ((starts, False), (_ranges(p.lo[spoken], p.hi[spoken]), True), (p.loose, False)):
+                for out, x in zip((h, check), p.strings(at), strict=True):
                     out.append(x)
-                repeated.append(np.full(len(starts), mark))
+                repeated.append(np.full(len(at), mark))
         h, check, repeated = _distinct(_joined(h), _joined(check), _joined(repeated, bool))
-        block = table["block"][0].as_py() << 1 if table.num_rows else 0
-        return _batch(_SENT, h, check, block | repeated.astype(np.int64))
+        block = table["block"][0].as_py() if table.num_rows else 0
+        return _table(_SENT, h, _packed(check, block, repeated * _TWICE))
 
     return run
 
 
 def _removed(p: _Parse, known: _Learnt) -> np.ndarray:
     """A mark for each byte to go."""
-    proven = known.has(known.repeated, p.phrase)
-    open_ = known.has(known.branching, p.context) & ~proven
-    starts = np.concatenate([p.loose, _ranges(p.lo[open_], p.hi[open_])])
+    proven, starts = p.open(known)
+    starts = np.concatenate([p.loose, starts])
     starts = starts[known.has(known.suffixes, p.strings(starts)[0])]
     depth = np.zeros(p.n + 1, np.int32)
     np.add.at(depth, np.concatenate([starts, p.lo[proven]]), 1)
@@ -277,7 +308,7 @@ def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_by
     keep = [c for c in keep if c not in RESULTS and c != text]
     table, size = _blocked(df, text, keep, block_bytes)
     texts = table.select("block", "_text")
-    parts = parts_for(2 * size // (1 << SPACING_BITS), 1_000_000, 12)
+    parts = parts_for(2 * size // SPACING, 1_000_000, 12)
     sent = texts.groupBy("block").applyInArrow(_dictionary(length), _SENT_SQL)
     back = sent.repartition(parts, "h").mapInArrow(_compare_phrases, _BACK_SQL)
     more = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_suffixes(length), _SENT_SQL)
