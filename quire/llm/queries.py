@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, licenses, suffixdedup, tokenfiles
+from quire.llm import bpe, decontam, licenses, neardup, suffixdedup, tokenfiles
 from quire.llm.shared import make_dir, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = make_dir(spark, scratch(spark, "token-files"))
@@ -60,7 +64,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
+    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
