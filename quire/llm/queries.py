@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, licenses, neardup, suffixdedup, tokenfiles
+from quire.llm import bpe, decontam, licenses, neardup, suffixdedup, tokenfiles, warc
 from quire.llm.shared import make_dir, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = make_dir(spark, scratch(spark, "warc"))
+    warc.write(pages, "page_id", "url", "html", out)
+    back = warc.read(spark, out, pages.schema["page_id"].dataType)
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = make_dir(spark, scratch(spark, "token-files"))
@@ -64,8 +72,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
+    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_warc, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
+
+
+ORACLE_SQL: dict[str, str] = {}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
