@@ -134,10 +134,14 @@ def records(archive: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes
     at = 8 + size
     while at < len(data):
         end = _frame_end(data, at)
+        one = decoder.decompressobj()  # the frame's header may lack the size of its content
         try:
-            yield parse(decoder.decompress(data[at:end]))
+            content = one.decompress(data[at:end])
         except zstandard.ZstdError as e:
             raise ValueError("broken frame") from e
+        if not one.eof:
+            raise ValueError("broken frame")
+        yield parse(content)
         at = end
 
 
