@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: After how many chunks between blanks, or words, a worker forgets those that it has not met for a while; texts
-#: that are encoded together; sequences in a record batch.
-REMEMBERED, TOGETHER, BATCH = 250_000, 1024, 64
-#: Words of these letters stay letters in lower case and in composed form, so that each is one pre-token.
-_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+#: After how many words a worker forgets those that it has not met for a while; texts that are encoded together;
+#: sequences in a record batch.
+REMEMBERED, TOGETHER, BATCH = 250_000, 512, 64
+#: Words of these letters stay letters in lower case and in composed form, so that each is one pre-token, as is
+#: a run of stops.
+_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+").fullmatch
 _STOPS = ".,;:!?"
+#: Where lower case or a full stop needs a closer look.
+_CLOSER = re.compile(r"[.,]\S|[^\w\s][.,]|[^\x00-\u012f\u0131-\u024f]").search
 
 
 class Recent:
@@ -56,15 +59,32 @@ class Recent:
         return out
 
 
+def units(text: str) -> list[str]:
+    """Parts of a text that are encoded apart: the tokenizer drops white space, merges nothing across it or
+    between a letter and a full stop, and ignores case."""
+    if not _CLOSER(text):
+        return text.lower().replace("\n", " ").replace(".", " .").replace(",", " ,").split(" ")
+    out = []
+    for chunk in text.replace("\n", " ").split(" "):
+        word = chunk.rstrip(_STOPS)
+        low = word.lower()
+        if _WORD(low):
+            out.append(low)
+            if word is not chunk:
+                out.append(chunk[len(word) :])
+        else:
+            out.append(chunk)
+    return out
+
+
 class Coder:
-    """Remembers the ids of chunks without blanks, and of the words in them. The tokenizer drops white space,
-    merges nothing across it or between letters and full stops, and ignores case."""
+    """Encodes texts unit by unit and remembers the ids of recent units."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.chunks, self.words = Recent(), Recent()
+        self.known = Recent()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         ids, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
@@ -72,43 +92,27 @@ class Coder:
         self.last[[i for piece, i in ids.items() if piece.endswith(suffix)]] = True
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Words and stops are pre-tokens, so that joined by blanks each gives ids up to a piece that ends a word."""
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
-        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
-        data, start = ids.tobytes(), 0
-        for w, end in zip(words, ends, strict=True):
-            self.words.now[w] = data[start:end]
-            start = end
-
-    def _learn(self, chunks: list[str]) -> None:
-        """A word and the stops behind it are encoded apart; any other chunk as it is."""
-        odd, plain, words = [], [], set()
-        for c in chunks:
-            word = c.rstrip(_STOPS)
-            if _WORD(word):
-                stops, word = c[len(word) :], word.lower()
-                plain.append((c, word, stops))
-                words.add(word)
-                if stops:
-                    words.add(stops)
-            else:
-                odd.append(c)
-        self._learn_words(self.words.unknown(words))
-        now, known = self.chunks.now, self.words.now
-        for c, word, stops in plain:
-            now[c] = known[word] + known[stops] if stops else known[word]
-        for c, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            now[c] = np.array(found.ids, self.kind).tobytes()
+    def _learn(self, new: list[str]) -> None:
+        """Words are pre-tokens, so that joined by blanks each gives ids up to a piece that ends a word."""
+        plain, other, known = [], [], self.known.now
+        for u in new:
+            (plain if _WORD(u) else other).append(u)
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+            data, start = ids.tobytes(), 0
+            for u, end in zip(plain, ends, strict=True):
+                known[u] = data[start:end]
+                start = end
+        for u, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[u] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(self.chunks.unknown(set(chain.from_iterable(split))))
+        split = list(map(units, texts))
+        self._learn(self.known.unknown(set(chain.from_iterable(split))))
         end = np.array([end_id], self.kind).tobytes()
-        for chunks in split:
-            yield np.frombuffer(b"".join(map(self.chunks.now.__getitem__, chunks)) + end, self.kind)
+        for parts in split:
+            yield np.frombuffer(b"".join(map(self.known.now.__getitem__, parts)) + end, self.kind)
 
 
 @lru_cache(maxsize=4)
@@ -197,26 +201,23 @@ def read(spark: SparkSession, path: str, key: str, kind: T.DataType) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data, listed in zip(*map(batch.column, range(3)), strict=True):
-                index = pa.ipc.open_file(listed.as_buffer()).read_all()
-                found = sequences(data.as_buffer())
+            for path in batch.column(0).to_pylist():
+                store, name = FileSystem.from_uri(path)
+                with store.open_input_file(name.removesuffix(".arrow") + ".index.arrow") as f:
+                    index = pa.ipc.open_file(f).read_all()
                 sizes = index["n_tokens"].to_numpy()
                 ends = np.cumsum(sizes)
+                with store.open_input_file(name) as f:
+                    found = sequences(f.read_buffer())
                 if sum(m.true_count for _, m in found) != sizes.sum():
-                    raise ValueError(f"{file}: index and masks differ")
+                    raise ValueError(f"{path}: index and masks differ")
                 flat = np.concatenate([x.reshape(-1) for x, _ in found])
                 crc = [zlib.crc32(flat[e - n : e].astype("<u4")) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array([file.as_py()] * len(ends)), index[key].combine_chunks(), *(pa.array(x, pa.int64()) for x in (ends - sizes, sizes, crc))]
+                columns = [pa.array([os.path.basename(name)] * len(ends)), index[key].combine_chunks(), *(pa.array(x, pa.int64()) for x in (ends - sizes, sizes, crc))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    def files(suffix: str, name: str) -> DataFrame:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", f"part-*{suffix}").load(path)
-        part = F.regexp_extract("path", r"part-(\d+)", 0)
-        return found.select(part.alias("file"), F.col("content").alias(name))
-
-    data = files("[0-9].arrow", "data")
-    pairs = data.join(files("[0-9].index.arrow", "listed"), "file").select("file", "data", "listed")
-    return pairs.mapInArrow(run, T.StructType(fields))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[0-9].arrow").load(path)
+    return files.select("path").repartition(F.col("path")).mapInArrow(run, T.StructType(fields))
 
 
 def with_starts(read_back: DataFrame, key: str) -> DataFrame:
