@@ -8,8 +8,8 @@ threshold. Documents of equal sets form a class, and classes are what is searche
    buckets borrow from a neighbour.
 2. `BANDS` bands of `ROWS` registers give keys; classes with a common key are candidates. At the threshold 0.75
    a pair has no key in common with probability (1 - 0.75**5)**50 = 1.3e-6. Sets of up to `EXACT` shingles are
-   searched by prefix filtering instead, which misses none: of n shingles in hash order, the first
-   n - ceil(t n) + 1 are keys.
+   searched by prefix filtering instead, which misses none: of n shingles, the n - ceil(t n) + 1 that the fewest
+   small sets hold are keys, so that passages which many texts share are none.
 3. Candidates first are stars (each class and the smallest of its key), so that a group of copies costs as many
    pairs as it has members. Whatever then stands in different components though it has a key in common is
    compared pair by pair, without exception.
@@ -93,19 +93,15 @@ def _small(n: int, percent: int) -> bool:
     return n * percent <= EXACT * 100
 
 
-def _prefix(s: np.ndarray, percent: int) -> np.ndarray:
-    return s[: len(s) - -(-len(s) * percent // 100) + 1]
-
-
 def _sketch(texts: list[bytes], percent: int) -> Iterator[tuple[int, int, bytes | None, bytes | None]]:
-    """(size, set id, registers of sets over EXACT, prefix of those that _small) of each text."""
+    """(size, set id, registers of sets over EXACT, shingles of sets that are _small) of each text."""
     for a, b in tb.chunks(texts):
         sets = tb.shingle_sets(texts[a:b], SHINGLE)
         large = [i for i, s in enumerate(sets) if len(s) > EXACT]
         regs = dict(zip(large, registers([sets[i] for i in large]), strict=True)) if large else {}
         for i, s in enumerate(sets):
-            prefix = _prefix(s, percent).tobytes() if len(s) and _small(len(s), percent) else None
-            yield len(s), set_id(s), regs[i].tobytes() if i in regs else None, prefix
+            small = s.tobytes() if len(s) and _small(len(s), percent) else None
+            yield len(s), set_id(s), regs[i].tobytes() if i in regs else None, small
 
 
 def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -113,7 +109,7 @@ def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def _classes(df: DataFrame, text: str, percent: int, rows: int, size: int) -> DataFrame:
-    """One row a class (set id, size, registers, prefix, a text), bucketed by set id."""
+    """One row a class (set id, size, registers, small set, a text), bucketed by set id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -121,9 +117,9 @@ def _classes(df: DataFrame, text: str, percent: int, rows: int, size: int) -> Da
             for i in range(0, whole.num_rows, 1000):
                 batch, out = whole.slice(i, 1000), []
                 texts = _raw(batch, 0)
-                for t, (n, s, regs, prefix) in zip(texts, _sketch(texts, percent), strict=True):
+                for t, (n, s, regs, small) in zip(texts, _sketch(texts, percent), strict=True):
                     if n and s not in met:  # copies go no further than the task that reads them
-                        out.append((s, n, regs, prefix, t))
+                        out.append((s, n, regs, small, t))
                         met.add(s)
                 if len(met) > 1_000_000:
                     met.clear()
@@ -141,7 +137,7 @@ def _classes(df: DataFrame, text: str, percent: int, rows: int, size: int) -> Da
             last = ids[-1] if len(ids) else last
             yield batch.filter(pa.array(new))
 
-    names, schema = ["id", "n", "registers", "prefix", "text"], "id long, n long, registers binary, prefix binary, text binary"
+    names, schema = ["id", "n", "registers", "small", "text"], "id long, n long, registers binary, small binary, text binary"
     buckets = max(parts_for(size, 32 << 20, 12), parts_for(rows, 50_000, 12))
     found = df.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
     name = f"quire_scratch_{uuid.uuid4().hex}"
@@ -170,32 +166,37 @@ def _members(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*columns, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, percent: int) -> DataFrame:
     """(key, id, n) for each band of a class, or each shingle of its prefix."""
+    band = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                batch = whole.slice(i, 2000)
-                ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                regs, prefixes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                if large := [k for k, r in enumerate(regs) if r is not None]:
-                    rows = np.frombuffer(b"".join(regs[k] for k in large), np.uint16).reshape(len(large), -1)
-                    key = np.repeat(band, len(large), axis=0)
-                    for r in range(ROWS):  # rows of a band come from different hash functions
-                        key = tb.mix(key + rows[:, (np.arange(BANDS) * ROWS + r) * 67 % REGISTERS].astype(np.uint64) + np.uint64(1))
-                    keys.append(key.ravel())
-                    of.append(np.repeat(large, BANDS))
-                for k, p in enumerate(prefixes):
-                    if p is not None:
-                        keys.append(np.frombuffer(p, np.uint64))
-                        of.append(np.full(len(p) // 8, k))
-                key, of = np.concatenate(keys), np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[of]), pa.array(n[of])], names=["key", "id", "n"])
-
-    return classes.select("id", "n", "registers", "prefix").mapInArrow(run, "key long, id long, n long")
+    def of_bands(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sketches), -1)
+        key = np.repeat(band, len(rows), axis=0)
+        for r in range(ROWS):  # rows of a band come from different hash functions
+            key = tb.mix(key + rows[:, (np.arange(BANDS) * ROWS + r) * 67 % REGISTERS].astype(np.uint64) + np.uint64(1))
+        return key.ravel(), np.repeat(np.arange(len(rows)), BANDS)
+
+    def of_sets(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), [len(s) // 8 for s in sets])
+
+    def exploded(column: str, found) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(i, 2000)
+                    key, of = found(batch.column(2).to_pylist())
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["key", "id", "n"])
+
+        return classes.where(F.col(column).isNotNull()).select("id", "n", column).mapInArrow(run, "key long, id long, n long")
+
+    rows = exploded("small", of_sets)
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # of each small set, the shingles that others have too, rare ones first; its own ones come before all of them
+    shared = rows.join(common, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("c"))
+    shared = shared.withColumn("free", F.expr(f"int(n - (n * {percent} + 99) div 100 + 1 - (n - size(c)))")).where("free > 0")
+    prefixes = shared.select(F.explode(F.slice("c", F.lit(1), F.col("free"))).alias("e"), "id", "n").select("e.key", "id", "n")
+    return exploded("registers", of_bands).union(prefixes)
 
 
 def _with_both(pairs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
@@ -239,7 +240,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _links(classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect whatever is connected."""
     spark = classes.sparkSession
-    keys = _keys(classes)
+    keys = _keys(classes, percent)
     common = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
     path = scratch(spark, "keys")
     keys.join(common, "key").write.parquet(path)
