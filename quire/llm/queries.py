@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, licenses, neardup, suffixdedup, tokenfiles, warc
+from quire.llm import ann, bpe, decontam, licenses, neardup, suffixdedup, tokenfiles, warc
 from quire.llm.shared import make_dir, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = make_dir(spark, scratch(spark, "token-files"))
@@ -72,10 +77,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_warc, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
-
-
-ORACLE_SQL: dict[str, str] = {}
+    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_warc, op5_neighbours, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_neighbours": """
+        WITH v AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (
+          SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
