@@ -10,9 +10,10 @@ threshold. Documents of equal sets form a class, and classes are what is searche
    a pair has no key in common with probability (1 - 0.75**5)**50 = 1.3e-6. Sets of up to `EXACT` shingles are
    searched by prefix filtering instead, which misses none: of n shingles, the n - ceil(t n) + 1 that the fewest
    small sets hold are keys, so that passages which many texts share are none.
-3. Candidates first are stars (each class and the smallest of its key), so that a group of copies costs as many
-   pairs as it has members. Whatever then stands in different components though it has a key in common is
-   compared pair by pair, without exception.
+3. Candidates first are stars, so that a group of copies costs as many pairs as it has members: each class and
+   the smallest of its keys, then each class and the three of random hubs that it shares most keys with. Classes
+   that then have a key in common but stand in different components are searched by prefix filtering among
+   themselves: rare shingles come first, and whatever has too few shingles in common with any other drops out.
 4. A pair is estimated from its registers, corrected for equal registers that come from different shingles, and
    dropped if that lies 6 standard deviations under the threshold; the others are confirmed on their full sets.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,13 +191,31 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
 
         return classes.where(F.col(column).isNotNull()).select("id", "n", column).mapInArrow(run, "key long, id long, n long")
 
-    rows = exploded("small", of_sets)
+    return exploded("registers", of_bands).union(_prefixes(exploded("small", of_sets), percent))
+
+
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (key, id, n), a row a shingle: the n - ceil(percent n) + 1 keys of each id that the fewest ids have,
+    but for keys that only one has; these come first of all and lead to no other."""
     common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # of each small set, the shingles that others have too, rare ones first; its own ones come before all of them
     shared = rows.join(common, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("c"))
     shared = shared.withColumn("free", F.expr(f"int(n - (n * {percent} + 99) div 100 + 1 - (n - size(c)))")).where("free > 0")
-    prefixes = shared.select(F.explode(F.slice("c", F.lit(1), F.col("free"))).alias("e"), "id", "n").select("e.key", "id", "n")
-    return exploded("registers", of_bands).union(prefixes)
+    return shared.select(F.explode(F.slice("c", F.lit(1), F.col("free"))).alias("e"), "id", "n").select("e.key", "id", "n")
+
+
+def _shingles(classes: DataFrame) -> DataFrame:
+    """(key, id, n): a row a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                texts = _raw(batch, 2)
+                sets = [s for a, b in tb.chunks(texts) for s in tb.shingle_sets(texts[a:b], SHINGLE)]
+                of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of)], names=["key", "id", "n"])
+
+    return classes.select("id", "n", "text").mapInArrow(run, "key long, id long, n long")
 
 
 def _with_both(pairs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
@@ -256,14 +275,19 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     stars = buckets.where("id != hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
     links = _confirmed(stars, classes, percent)
     rows = labelled(links)
-    hubs = rows.where("id = hub").select("key", F.col("root").alias("hub_root"))
-    stars = rows.join(hubs, "key").where("root != hub_root").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), F.col("id").alias("a"), F.col("root").alias("hub_root"))).alias("h")).select("key", "h.a", "h.hub_root")
+    stars = rows.join(hubs, "key").where("root != hub_root").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    most = Window.partitionBy("b").orderBy(F.desc("keys"), "a")  # at most one row a key of b
+    stars = stars.withColumn("place", F.row_number().over(most)).where("place <= 3").select("a", "b")
     links = links.union(_confirmed(stars, classes, percent))
-    rows = labelled(links)
-    x, y = rows.alias("x"), rows.alias("y")
+    rest = labelled(links).select("id", "root").distinct()
+    keys = _prefixes(_shingles(classes.join(rest.select("id"), "id", "left_semi")), percent).join(rest, "id")
+    several = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    keys = checkpointed(keys.join(several.select("key"), "key"))
+    x, y = keys.alias("x"), keys.alias("y")
     similar = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & F.expr("x.id < y.id and x.root != y.root")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & similar).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return links.union(_confirmed(rest, classes, percent))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & similar).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return links.union(_confirmed(pairs, classes, percent))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, keep: list[str] | None = None, percent: int = 75) -> DataFrame:
