@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, decontam, licenses, neardup, suffixdedup, tokenfiles, warc
+from quire.llm import ann, bpe, decontam, licenses, neardup, suffixdedup, tokenfiles, toxicity, warc
 from quire.llm.shared import make_dir, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out(key: str = "doc_id") -> F.Column:
+    return F.crc32(F.col(key).cast("string")) % 4 == 2
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, "doc_id", "text", labels.where(~held_out()), "doc_id", "toxic")
+    found = toxicity.score(docs, "doc_id", "text", model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     n_hit = decontam.hit_words()
@@ -77,7 +88,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_warc, op5_neighbours, op6_token_files, op7_suffix_dedup, op9_decontaminate, op10_licenses)}
+    return {f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_warc, op5_neighbours, op6_token_files, op7_suffix_dedup, op8_toxicity, op9_decontaminate, op10_licenses)}
 
 
 ORACLE_SQL: dict[str, str] = {
