@@ -134,24 +134,26 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str, ids: str
     return _texts(df, key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{ids}` array<int>")
 
 
-def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
+def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again, in one pass
-    that hands digests of ids (decimal, with commas) and bytes to Spark in place of the arrays."""
-    names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+    that hands digests of ids (decimal, with commas) and bytes to Spark; the ids themselves too if asked for."""
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
         for batch in _slices(batches):
             rows = []
             for t in batch.column(1).to_pylist():
-                ids = code.encode(t).tolist()
+                ids = (array := code.encode(t)).tolist()
                 listed = ",".join(map(code.decimals.__getitem__, ids)).encode()
-                rows.append((len(ids), sha256(listed).hexdigest(), sha256(code.decode(ids)).hexdigest()))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+                rows.append((len(ids), sha256(listed).hexdigest(), sha256(code.decode(ids)).hexdigest(), array))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns][: len(names)], names=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return _texts(df, key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _texts(df, key, text).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded") -> DataFrame:

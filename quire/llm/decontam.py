@@ -2,15 +2,15 @@
 
 The test items, as sequences of lower-cased words, become one suffix automaton. Documents stream through it
 word by word; at each word the automaton tells the length of the longest match that ends there. Where that
-reaches `window` words (or a whole item that is shorter), those words are hit. `remove_spans` cuts hit words
-out of texts and drops documents that consist of them for the most part.
+reaches `window` words (or a whole item that is shorter), those words are hit. `clean` cuts hit words out of
+texts and drops documents that consist of them for the most part.
 
 Only stretches of two or more known neighbours are walked; the others leave the automaton at length 1 or 0.
 
 The automaton is built from at most `block_bytes` of items and sent to all tasks; more items take more passes.
 Null texts have no words; items without words match nothing; an item with a null id marks words but is not
-listed; repeated items count once. Repeated documents each get a row. Empty tables give empty results. Extra
-columns are kept by `remove_spans` and ignored by `scan`, which returns its own columns only.
+listed; repeated items count once. Repeated documents each get a row. Empty tables give empty results. Of the
+input, only the columns in `keep` go on, without any that is named like a result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm import textbytes as tb
 
@@ -193,57 +194,69 @@ def item_blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iter
     yield block
 
 
-def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """(key, n_words, spans, items, longest) of each document; spans are maximal runs of hit words."""
-    item_type = items.schema[item_key].dataType.simpleString()
-    kind = documents.schema[key].dataType.simpleString()
-    df = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+RESULTS = ("n_words", "spans", "items", "longest", "cleaned")
+_FIELDS = ("first_word", "last_word", "first_byte", "end_byte")
+
+
+def _merged(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Overlapping or touching spans as one."""
+    out: list[tuple[int, ...]] = []
+    for s in sorted(spans):
+        if out and s[0] <= out[-1][1] + 1:
+            old = out.pop()
+            s = (old[0], max(old[1], s[1]), old[2], max(old[3], s[3]))
+        out.append(s)
+    return out
+
+
+def _without(text: bytes, spans: list[tuple[int, ...]]) -> bytes:
+    ends = [0, *(s[3] for s in spans)]
+    return b"".join(text[a:b] for a, b in zip(ends, [*(s[2] for s in spans), len(text)], strict=True))
+
+
+def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 10, block_bytes: int = 8 << 20, keep: list[str] | None = None) -> DataFrame:
+    """(key, keep..., n_words, spans, items, longest, cleaned) of each document; spans are maximal runs of hit
+    words, cleaned is the text without them."""
+    keep = [key, *(c for c in keep or [] if c != key and c not in RESULTS)]
+    item_type = items.schema[item_key].dataType
+    kinds = ", ".join(f"_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    schema = f"{kinds}, _text string, n_words long, spans array<{SPAN}>, items array<{item_type.simpleString()}>, longest long"
+    k = len(keep)
+    names = [*(f"_{i}" for i in range(k)), "_text", *RESULTS[:4]]
+    df = documents.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
     blocks = list(item_blocks(items, item_key, item_text, block_bytes))
-    names = ["_key", "_text", "n_words", "spans", "items", "longest"]
-    for k, block in enumerate(blocks):
-        sent = documents.sparkSession.sparkContext.broadcast(block)
-        last = k == len(blocks) - 1
+    arrow_item = to_arrow_type(item_type)
+    at = pa.list_(pa.struct([(f, pa.int64()) for f in _FIELDS]))
+    for n, block in enumerate(blocks):
+        sent = documents.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of items
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=n == 0, last=n == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             scanner = _Scanner(SuffixAutomaton([(i, word_list(t)) for i, t in sent.value], window))
-            for batch in batches:
-                texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-                got = list(scanner.scan(texts))
-                n = pa.array([x[0] for x in got], pa.int64())
-                spans = [[dict(zip(("first_word", "last_word", "first_byte", "end_byte"), s, strict=True)) for s in x[1]] for x in got]
-                found = [sorted(i for i in x[2] if i is not None) for x in got]
-                longest = [x[3] for x in got]
-                if k:  # what earlier blocks of items have found
-                    spans = [a + b for a, b in zip(batch.column(3).to_pylist(), spans, strict=True)]
-                    found = [sorted({*a, *b}) for a, b in zip(batch.column(4).to_pylist(), found, strict=True)]
-                    longest = list(map(max, batch.column(5).to_pylist(), longest))
-                kept = pa.nulls(len(got), pa.string()) if last else batch.column(1)
-                at = pa.struct([(f, pa.int64()) for f in ("first_word", "last_word", "first_byte", "end_byte")])
-                ids = pa.array(found, pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), kept, n, pa.array(spans, pa.list_(at)), ids, pa.array(longest, pa.int64())], names=names)
-
-        df = df.mapInArrow(run, f"_key {kind}, _text string, n_words long, spans array<{SPAN}>, items array<{item_type}>, longest long")
-    spans = F.col("spans") if len(blocks) == 1 else merged("spans")
-    return df.select(F.col("_key").alias(key), "n_words", spans.alias("spans"), "items", "longest")
-
-
-def merged(spans: str) -> Column:
-    """Overlapping or touching spans of several passes as one."""
-    step = f"""aggregate(array_sort({spans}), cast(array() as array<{SPAN}>), (a, x) ->
-        if(size(a) > 0 and element_at(a, -1).last_word + 1 >= x.first_word,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('first_word', element_at(a, -1).first_word,
-             'last_word', greatest(element_at(a, -1).last_word, x.last_word), 'first_byte', element_at(a, -1).first_byte,
-             'end_byte', greatest(element_at(a, -1).end_byte, x.end_byte)))), concat(a, array(x))))"""
-    return F.expr(step)
+            for whole in batches:
+                for i in range(0, whole.num_rows, 1000):
+                    batch, rows = whole.slice(i, 1000), []
+                    texts = [(t or "").encode() for t in batch.column(k).to_pylist()]
+                    before = [batch.column(c).to_pylist() for c in (k + 2, k + 3, k + 4)] if not first else [[[]] * len(texts), [[]] * len(texts), [0] * len(texts)]
+                    for t, (words, spans, found, longest), *old in zip(texts, scanner.scan(texts), *before, strict=True):
+                        spans = _merged(spans + [tuple(s[f] for f in _FIELDS) for s in old[0]])
+                        found = sorted({*(x for x in found if x is not None), *old[1]})
+                        rows.append((_without(t, spans).decode() if last else t.decode(), words, [dict(zip(_FIELDS, s, strict=True)) for s in spans], found, max(longest, old[2])))
+                    columns = [pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), at, pa.list_(arrow_item), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:k], *columns], names=names)
+
+        df = df.mapInArrow(run, schema)
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *RESULTS[:4], F.col("_text").alias("cleaned"))
 
 
 def hit_words(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
 
 
-def cut(data: Column, spans: Column) -> Column:
-    """data without the bytes of spans."""
-    start = F.struct(F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("at"))
-    piece = lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int"))
-    kept = F.aggregate(spans, start, lambda s, x: F.struct(F.concat(s["kept"], piece(s["at"], x["first_byte"])).alias("kept"), x["end_byte"].alias("at")))
-    return F.concat(kept["kept"], piece(kept["at"], F.octet_length(data)))
+def clean(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, keep: list[str], covered: float = 0.8, longest: int | None = None) -> DataFrame:
+    """Columns `keep` and `cleaned` of the documents that stay: all but those of whose words a share of `covered`
+    or more is hit, or that match `longest` words or more in a row (if given)."""
+    found = scan(documents, key, text, items, item_key, item_text, keep=keep)
+    gone = (F.col("n_words") > 0) & (hit_words() >= covered * F.col("n_words"))
+    if longest is not None:
+        gone |= F.col("longest") >= longest
+    return found.where(~gone).drop("n_words", "spans", "items", "longest")

@@ -263,7 +263,7 @@ def _removed(p: _Parse, known: _Learnt) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def _cut(length: int, names: list[str]):
+def _cut(length: int, names: list[str], as_text: bool):
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         known, texts, rows = _Learnt(back), _texts(table), []
         for a, b, p in _parses(texts, length):
@@ -275,7 +275,8 @@ def _cut(length: int, names: list[str]):
                 rows.append((len(mask), int(np.count_nonzero(mask)), spans, kept))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         out = [table[f"_{i}"] for i in range(len(names) - 4)]
-        out += [pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(columns)]
+        out += [pa.array(c, pa.int64()) for c in columns[:3]]
+        out.append(pa.array([x.decode(errors="ignore") for x in columns[3]], pa.string()) if as_text else pa.array(columns[3], pa.binary()))
         return pa.Table.from_arrays(out, names=names)
 
     return run
@@ -302,8 +303,9 @@ def drop_scratch(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
 
 
-def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20) -> DataFrame:
-    """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row. The
+def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
+    """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row; as text,
+    these are without characters that were cut in two. The
     result reads a scratch table; call drop_scratch when it has been written."""
     keep = [c for c in keep if c not in RESULTS and c != text]
     table, size = _blocked(df, text, keep, block_bytes)
@@ -313,6 +315,6 @@ def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_by
     back = sent.repartition(parts, "h").mapInArrow(_compare_phrases, _BACK_SQL)
     more = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_suffixes(length), _SENT_SQL)
     suffixes = more.repartition(2 * parts, "h").mapInArrow(_compare_suffixes, _BACK_SQL)
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(c, T.LongType()) for c in RESULTS[:3]] + [T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(c, T.LongType()) for c in RESULTS[:3]] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     learnt = back.unionByName(suffixes)
-    return table.groupBy("block").cogroup(learnt.groupBy("block")).applyInArrow(_cut(length, [*keep, *RESULTS]), schema)
+    return table.groupBy("block").cogroup(learnt.groupBy("block")).applyInArrow(_cut(length, [*keep, *RESULTS], as_text), schema)

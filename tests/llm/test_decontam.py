@@ -39,6 +39,10 @@ def test_against_brute_force(spark, block_bytes, least):
     assert any(x.n_hit for x in got.values()) and not all(x.n_hit for x in got.values())
     for i, t in enumerate(texts):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == brute(t, items), t
+        assert (got[i].cleaned == (t or "")) == (not got[i].n_hit)
+        assert len(WORD.findall(lowered(got[i].cleaned))) == got[i].n_words - got[i].n_hit
+    left = decontam.clean(docs, "doc_id", "text", bench, "item_id", "text", ["doc_id"], covered=0.5).collect()
+    assert {r.doc_id for r in left} == {i for i, r in got.items() if not r.n_hit or r.n_hit < 0.5 * r.n_words}
 
 
 def test_empty_tables(spark, docs, empty_docs):
