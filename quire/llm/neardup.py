@@ -11,9 +11,10 @@ threshold. Documents of equal sets form a class, and classes are what is searche
    searched by prefix filtering instead, which misses none: of n shingles, the n - ceil(t n) + 1 that the fewest
    small sets hold are keys, so that passages which many texts share are none.
 3. Candidates first are stars, so that a group of copies costs as many pairs as it has members: each class and
-   the smallest of its keys, then each class and the three of random hubs that it shares most keys with. Classes
-   that then have a key in common but stand in different components are searched by prefix filtering among
-   themselves: rare shingles come first, and whatever has too few shingles in common with any other drops out.
+   the smallest of its keys; then, where a key still holds several components, each class and the three hubs that
+   it shares most keys with, hubs being the classes with the fewest shingles of their own, and random ones. What
+   then has a key in common but stands in different components is compared pair by pair, but for pairs whose
+   shingles that others have too are too few for the threshold: such a pair cannot be linked.
 4. A pair is estimated from its registers, corrected for equal registers that come from different shingles, and
    dropped if that lies 6 standard deviations under the threshold; the others are confirmed on their full sets.
 
@@ -275,18 +276,23 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     stars = buckets.where("id != hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
     links = _confirmed(stars, classes, percent)
     rows = labelled(links)
-    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), F.col("id").alias("a"), F.col("root").alias("hub_root"))).alias("h")).select("key", "h.a", "h.hub_root")
+    shingles = _shingles(classes.join(rows.select("id").distinct(), "id", "left_semi"))
+    met = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("key")
+    shared = checkpointed(shingles.join(met, "key").groupBy("id").agg(F.count(F.lit(1)).alias("c")))  # that others have too
+    rows = checkpointed(rows.drop("hub").join(shared, "id", "left").withColumn("c", F.coalesce("c", F.lit(0))))
+    hub = lambda order: F.min(F.struct(*order, F.col("id").alias("a"), F.col("root").alias("hub_root")))
+    hubs = rows.groupBy("key").agg(hub([-F.col("c") / F.col("n")]).alias("x"), hub([F.xxhash64("key", "id")]).alias("y"))
+    hubs = hubs.select("key", F.explode(F.array(*[F.struct(f"{h}.a", f"{h}.hub_root") for h in "xy"])).alias("h")).select("key", "h.*")
     stars = rows.join(hubs, "key").where("root != hub_root").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-    most = Window.partitionBy("b").orderBy(F.desc("keys"), "a")  # at most one row a key of b
+    most = Window.partitionBy("b").orderBy(F.desc("keys"), "a")  # at most two rows a key of b
     stars = stars.withColumn("place", F.row_number().over(most)).where("place <= 3").select("a", "b")
     links = links.union(_confirmed(stars, classes, percent))
-    rest = labelled(links).select("id", "root").distinct()
-    keys = _prefixes(_shingles(classes.join(rest.select("id"), "id", "left_semi")), percent).join(rest, "id")
-    several = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    keys = checkpointed(keys.join(several.select("key"), "key"))
-    x, y = keys.alias("x"), keys.alias("y")
-    similar = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & F.expr("x.id < y.id and x.root != y.root")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & similar).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = labelled(links).join(shared, "id", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rest = checkpointed(rest.where(F.col("c") * 100 >= F.col("n") * percent))
+    x, y = rest.alias("x"), rest.alias("y")
+    common = F.least("x.c", "y.c")  # no more shingles can the two have in common
+    possible = (common * 100 >= (F.col("x.n") + F.col("y.n") - common) * percent) & F.expr("x.id < y.id and x.root != y.root")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return links.union(_confirmed(pairs, classes, percent))
 
 
