@@ -42,19 +42,19 @@ def plain(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
-def _decomposed(s):
-    import unicodedata
+def decomposed(c: Column) -> Column:
+    """Lower case in compatibility decomposition without combining marks: all of Unicode, at the price of Python."""
 
-    def one(text):
-        return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    @F.pandas_udf("string")
+    def run(s):
+        import unicodedata
 
-    return s.map(one)
+        def one(text):
+            return None if text is None else "".join(x for x in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(x))
 
+        return s.map(one)
 
-def decomposed(c: Column) -> Column:
-    """Lower case in compatibility decomposition without combining marks: all of Unicode, at the price of Python."""
-    return _decomposed(c)
+    return run(c)
 
 
 def terms(c: Column, bigrams: bool = True, stopwords: tuple[str, ...] = STOPWORDS) -> Column:

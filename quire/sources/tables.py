@@ -12,7 +12,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def page_files(spark: SparkSession, folder: str, suffix: str = "md") -> DataFrame:
     """(n, text) of files named p<number>; whatever is missing simply has no row."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"p*.{suffix}").text(folder)
+    files = spark.read.option("pathGlobFilter", f"p*.{suffix}").text(folder, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), r"^p(\d+)\.", 1).cast("int")
     return files.select(number.alias("n"), F.col("value").alias("text"))
 
