@@ -228,7 +228,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "p002.md").write_text("two\nlines")
     (tmp_path / "p010.md").write_text("ten")
     assert rows(tables.page_files(spark, str(tmp_path))) == [(10, "ten"), (2, "two\nlines")]
-    (tmp_path / "q_external.yaml").write_text("cases:\n- {id: a, domanda: x?, must_include: [19%]}\n")
+    (tmp_path / "q_external.yaml").write_text("cases:\n- {id: a, domanda: x, must_include: [19%]}\n")
     got = tables.question_files(spark, [str(tmp_path / "q_external.yaml")]).first()
     assert (got.difficolta, got.hops, got.answerable, got.origin) == ("media", 1, True, "external")
     made = spark.createDataFrame([("m", None, "body")], "a string, b string, t string").select(tables.front_matter(["a", "b"], "t").alias("x")).first().x
