@@ -341,18 +341,20 @@ def content_hash(spark, sf):
 
 # --- trees ----------------------------------------------------------------------------------------------------
 
-@query("""WITH g AS (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS i FROM (SELECT DISTINCT doc_id FROM labels))
-SELECT doc_id, min(doc_id) OVER (PARTITION BY i) AS block_start, max(doc_id) OVER (PARTITION BY i) AS block_end FROM g""")
+@query("""WITH d AS (SELECT DISTINCT user_id, date_diff('day', DATE '2020-01-01', ts::DATE) AS day FROM events),
+g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d)
+SELECT user_id, day, min(day) OVER (PARTITION BY user_id, i) AS block_start, max(day) OVER (PARTITION BY user_id, i) AS block_end FROM g""")
 def contiguous_blocks(spark, sf):
-    return tree.blocks(table(spark, sf, "labels").withColumn("g", F.lit(0)), ["g"], "doc_id").drop("g")
+    days = table(spark, sf, "events").select("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2020-01-01").cast("date")).alias("day"))
+    return tree.blocks(days, ["user_id"], "day")
 
 
-@query("""WITH f AS (SELECT lang, text, min(doc_id) AS doc_id FROM documents GROUP BY ALL)
-SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ord FROM f""")
+@query("""WITH f AS (SELECT source, text, min(doc_id) AS doc_id FROM documents GROUP BY ALL)
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM f""")
 def first_occurrence(spark, sf):
     docs = _documents(spark, sf)
-    kept = docs.groupBy("lang", F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"))
-    return tree.numbered(kept, ["lang"], ["doc_id"]).select("doc_id", "lang", F.col("ord").alias("ord"))
+    kept = docs.groupBy("source", F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"))
+    return tree.numbered(kept, ["source"], ["doc_id"]).select("doc_id", "source", "ord")
 
 
 _TALK = "c AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations)"
@@ -403,10 +405,10 @@ def children_payload(spark, sf):
 
 # --- outcomes -------------------------------------------------------------------------------------------------
 
-@query("""WITH a AS (SELECT doc_id, quality, sum(quality) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS nth FROM labels)
-SELECT doc_id, quality = 1 AND nth % 10 = 0 AS audited FROM a""")
+@query("""WITH a AS (SELECT event_id, user_id, value > 40 AS ok, sum((value > 40)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS nth FROM events)
+SELECT event_id, user_id, ok AND nth % 10 = 0 AS audited FROM a""")
 def sampled_audit(spark, sf):
-    return outcome.sampled(table(spark, sf, "labels").withColumn("g", F.lit(0)), ["g"], ["doc_id"], F.col("quality") == 1, 0.10).select("doc_id", "audited")
+    return outcome.sampled(table(spark, sf, "events"), ["user_id"], ["event_id"], F.col("value") > 40, 0.10).select("event_id", "user_id", "audited")
 
 
 _ATTEMPTS = "a AS (SELECT l_orderkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_shipdate) AS step FROM lineitem)"
