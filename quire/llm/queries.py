@@ -95,7 +95,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(joined("items"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("longest").alias("longest_match"),
     )
 
 
@@ -111,6 +110,8 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_chat, op2_bpe, op3_near_duplicates, op4_warc, op5_neighbours, op6_token_files, op7_suffix_dedup, op8_toxicity, op9_decontaminate, op10_licenses)}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
     "op5_neighbours": """
         WITH v AS (
@@ -123,6 +124,31 @@ ORACLE_SQL: dict[str, str] = {
           FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_near_duplicates": rf"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+        r AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON r.r = e.a),
+        c AS (SELECT d, min(r) AS component_id FROM r GROUP BY 1)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.d = w.doc_id""",
+    "op9_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        m AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        k AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM m),
+        z AS (SELECT DISTINCT n FROM m),
+        q AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, z WHERE len(w) >= n),
+        h AS (SELECT doc_id, item_id, i, q.n FROM q JOIN k ON q.n = k.n AND q.g = k.g),
+        t AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY 1),
+        u AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN t USING (doc_id) LEFT JOIN u USING (doc_id)""",
 }
 
 
