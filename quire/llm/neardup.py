@@ -253,7 +253,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     take.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([batch.column(x) for x in "ab"], names=["a", "b"]).filter(pa.array(take))
 
-    kept = _with_both(pairs, classes, ["n", "registers"]).mapInArrow(likely, "a long, b long")
+    # cut here, so that no task runs two Python workers at a time
+    kept = checkpointed(_with_both(pairs, classes, ["n", "registers"]).mapInArrow(likely, "a long, b long"))
     return checkpointed(_with_both(kept, classes, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long"))
 
 
