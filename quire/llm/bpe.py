@@ -110,6 +110,12 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _forgetting(code: ByteBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of a task's batches; a worker that goes on to other tasks keeps no pre-tokens."""
+    yield from _slices(batches)
+    code.known.clear()
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that little more than the input's own batch is held at a time."""
     for batch in batches:
@@ -126,7 +132,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str, ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in _slices(batches):
+        for batch in _forgetting(code, batches):
             found = [code.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(found))], names=[key, ids])
@@ -142,7 +148,7 @@ def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in _slices(batches):
+        for batch in _forgetting(code, batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 ids = (array := code.encode(t)).tolist()
@@ -165,7 +171,7 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in _slices(batches):
+        for batch in _forgetting(code, batches):
             decoded = [code.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=names)
 

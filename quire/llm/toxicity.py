@@ -111,7 +111,7 @@ def _counted(train: DataFrame) -> DataFrame:
             once = np.unique((row[:, None] << HASH_BITS | feats).ravel())
             toxic = batch.column(0).to_numpy()[once >> HASH_BITS]
             for y in (0, 1):
-                counts[y] += np.bincount(once[toxic == y] & (1 << HASH_BITS) - 1, minlength=1 << HASH_BITS).astype(np.int32)
+                np.add.at(counts[y], once[toxic == y] & (1 << HASH_BITS) - 1, 1)
         found = np.flatnonzero(counts.any(axis=0))
         for i in range(0, len(found), 100_000):
             part = found[i : i + 100_000]
