@@ -13,8 +13,9 @@ threshold. Documents of equal sets form a class, and classes are what is searche
 3. Candidates first are stars, so that a group of copies costs as many pairs as it has members: each class and
    the smallest of its keys; then, where a key still holds several components, each class and the three hubs that
    it shares most keys with, hubs being the classes with the fewest shingles of their own, and random ones. What
-   then has a key in common but stands in different components is compared pair by pair, but for pairs whose
-   shingles that others have too are too few for the threshold: such a pair cannot be linked.
+   then has a key in common but stands in different components is compared without exception. Keys of up to `FEW`
+   members give their pairs. Of members of larger keys, a linked pair shares a shingle that at most `FEW` have,
+   and then such a one in the prefixes of both; or it shares frequent shingles alone, of which both have enough.
 4. A pair is estimated from its registers, corrected for equal registers that come from different shingles, and
    dropped if that lies 6 standard deviations under the threshold; the others are confirmed on their full sets.
 
@@ -32,15 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 from quire.llm.graph import components
-from quire.llm.shared import checkpointed, parts_for, scratch, shared_dir
+from quire.llm.shared import checkpointed, parts_for, shared_dir
 
-SHINGLE, PERMUTATIONS, BUCKETS, ROWS, BANDS, EXACT = 5, 4, 64, 5, 50, 128
+SHINGLE, PERMUTATIONS, BUCKETS, ROWS, BANDS, EXACT, FEW = 5, 4, 64, 5, 50, 128, 64
 REGISTERS = PERMUTATIONS * BUCKETS
 MANTISSA = 10
 RESULTS = ("n_shingles", "component_id", "kept")
@@ -110,7 +111,7 @@ def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).to_pylist()]
 
 
-def _classes(df: DataFrame, text: str, percent: int, rows: int, size: int) -> DataFrame:
+def _classes(df: DataFrame, text: str, percent: int, buckets: int) -> DataFrame:
     """One row a class (set id, size, registers, small set, a text), bucketed by set id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,6 @@ def _classes(df: DataFrame, text: str, percent: int, rows: int, size: int) -> Da
             yield batch.filter(pa.array(new))
 
     names, schema = ["id", "n", "registers", "small", "text"], "id long, n long, registers binary, small binary, text binary"
-    buckets = max(parts_for(size, 32 << 20, 12), parts_for(rows, 50_000, 12))
     found = df.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
     name = f"quire_scratch_{uuid.uuid4().hex}"
     ordered = found.repartition(buckets, "id").sortWithinPartitions("id").mapInArrow(first, schema)
@@ -192,16 +192,16 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
 
         return classes.where(F.col(column).isNotNull()).select("id", "n", column).mapInArrow(run, "key long, id long, n long")
 
-    return exploded("registers", of_bands).union(_prefixes(exploded("small", of_sets), percent))
+    return exploded("registers", of_bands).union(_prefixes(exploded("small", of_sets), percent).drop("f"))
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """Of (key, id, n), a row a shingle: the n - ceil(percent n) + 1 keys of each id that the fewest ids have,
-    but for keys that only one has; these come first of all and lead to no other."""
+    """(key, id, n, f) of (key, id, n), a row a shingle: the n - ceil(percent n) + 1 keys of each id that the
+    fewest ids have, f, but for keys that only one has; these come first of all and lead to no other."""
     common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = rows.join(common, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("c"))
     shared = shared.withColumn("free", F.expr(f"int(n - (n * {percent} + 99) div 100 + 1 - (n - size(c)))")).where("free > 0")
-    return shared.select(F.explode(F.slice("c", F.lit(1), F.col("free"))).alias("e"), "id", "n").select("e.key", "id", "n")
+    return shared.select(F.explode(F.slice("c", F.lit(1), F.col("free"))).alias("e"), "id", "n").select("e.key", "id", "n", "e.f")
 
 
 def _shingles(classes: DataFrame) -> DataFrame:
@@ -258,14 +258,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return checkpointed(_with_both(kept, classes, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long"))
 
 
-def _links(classes: DataFrame, percent: int) -> DataFrame:
+def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links that connect whatever is connected."""
-    spark = classes.sparkSession
     keys = _keys(classes, percent)
-    common = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    path = scratch(spark, "keys")
-    keys.join(common, "key").write.parquet(path)
-    buckets = spark.read.parquet(path)
+    common = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    name = f"quire_scratch_{uuid.uuid4().hex}"
+    keys.join(common, "key").repartition(parts, "id").write.bucketBy(parts, "id").saveAsTable(name)
+    buckets = classes.sparkSession.table(name)
 
     def labelled(links: DataFrame) -> DataFrame:
         """Members of keys that still lie in several components."""
@@ -278,23 +277,41 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     links = _confirmed(stars, classes, percent)
     rows = labelled(links)
     shingles = _shingles(classes.join(rows.select("id").distinct(), "id", "left_semi"))
-    met = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("key")
-    shared = checkpointed(shingles.join(met, "key").groupBy("id").agg(F.count(F.lit(1)).alias("c")))  # that others have too
-    rows = checkpointed(rows.drop("hub").join(shared, "id", "left").withColumn("c", F.coalesce("c", F.lit(0))))
-    hub = lambda order: F.min(F.struct(*order, F.col("id").alias("a"), F.col("root").alias("hub_root")))
+    met = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # of each class: shingles that others have too, and those that more than FEW have
+    shared = checkpointed(shingles.join(met, "key").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("f") > FEW).alias("often")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return checkpointed(rows.join(shared, "id", "left").fillna(0, ["c", "often"]))
+
+    def possible(x: str, y: str, count: str) -> Column:
+        """Whether two that share no more than the lesser of their counts can be similar."""
+        common = F.least(f"{x}{count}", f"{y}{count}")
+        return common * 100 >= (F.col(f"{x}n") + F.col(f"{y}n") - common) * percent
+
+    rows = counted(rows.drop("hub"))
+    hub = lambda order: F.min(F.struct(*order, *[F.col(v).alias(f"h_{v}") for v in ("id", "root", "c", "n")]))
     hubs = rows.groupBy("key").agg(hub([-F.col("c") / F.col("n")]).alias("x"), hub([F.xxhash64("key", "id")]).alias("y"))
-    hubs = hubs.select("key", F.explode(F.array(*[F.struct(f"{h}.a", f"{h}.hub_root") for h in "xy"])).alias("h")).select("key", "h.*")
-    stars = rows.join(hubs, "key").where("root != hub_root").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    hubs = hubs.select("key", F.explode(F.array(*[F.struct(f"{h}.h_id", f"{h}.h_root", f"{h}.h_c", f"{h}.h_n") for h in "xy"])).alias("h")).select("key", "h.*")
+    stars = rows.join(hubs, (rows["key"] == hubs["key"]) & (F.col("root") != F.col("h_root")) & possible("", "h_", "c"))
+    stars = stars.groupBy(F.col("h_id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     most = Window.partitionBy("b").orderBy(F.desc("keys"), "a")  # at most two rows a key of b
     stars = stars.withColumn("place", F.row_number().over(most)).where("place <= 3").select("a", "b")
     links = links.union(_confirmed(stars, classes, percent))
-    rest = labelled(links).join(shared, "id", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = checkpointed(rest.where(F.col("c") * 100 >= F.col("n") * percent))
-    x, y = rest.alias("x"), rest.alias("y")
-    common = F.least("x.c", "y.c")  # no more shingles can the two have in common
-    possible = (common * 100 >= (F.col("x.n") + F.col("y.n") - common) * percent) & F.expr("x.id < y.id and x.root != y.root")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return links.union(_confirmed(pairs, classes, percent))
+    rest = counted(labelled(links).drop("hub")).where(F.col("c") * 100 >= F.col("n") * percent)
+    other = F.expr("x.id < y.id and x.root != y.root")
+
+    def pairs(rows: DataFrame, condition: Column) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & condition).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    few = pairs(rest.where(F.col("members") <= FEW), other & possible("x.", "y.", "c"))
+    many = rest.where(F.col("members") > FEW)
+    often = pairs(many.where(F.col("often") * 100 >= F.col("n") * percent), other & possible("x.", "y.", "often"))
+    hot = many.select("id", "root", "c").distinct()
+    prefixes = _prefixes(_shingles(classes.join(hot.select("id"), "id", "left_semi")), percent).where(F.col("f") <= FEW)
+    rare = pairs(prefixes.join(hot, "id"), other & possible("x.", "y.", "c"))
+    return links.union(_confirmed(few.union(often).union(rare).distinct(), classes, percent))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, keep: list[str] | None = None, percent: int = 75) -> DataFrame:
@@ -303,8 +320,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, keep: list[str] | None =
     shared_dir(df.sparkSession)
     keep = [key, *(c for c in keep or [] if c != key and c not in RESULTS)]
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    classes = _classes(df, text, percent, rows, size)
-    roots = components(_links(classes, percent))
+    buckets = max(parts_for(size, 32 << 20, 12), parts_for(rows, 50_000, 12))
+    classes = _classes(df, text, percent, buckets)
+    roots = components(_links(classes, percent, buckets))
     members = checkpointed(_members(df, text, keep))
     least = members.where("id is not null").groupBy("id").agg(F.min("_0").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -35,13 +35,15 @@ def edited(r, text, n):
     return " ".join(ws)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, few", [(1, 64), (2, 3)])
+def test_against_brute_force(spark, seed, few, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", few)
     r = random.Random(seed)
     texts = [prose(50 * seed + i, r.choice([1, 3, 5, 9, 40, 120, 150, 200, 500])) for i in range(60)]
     passage = prose(9999, 60)
     for t in r.choices(texts, k=120):
         texts.append(edited(r, t, r.randint(0, 6)).upper() if r.random() < 0.2 else edited(r, t, r.randint(0, 8)))
+    texts += [edited(r, texts[9], n % 16) for n in range(60)] + [edited(r, prose(777, 180), n % 16) for n in range(60)]
     texts += [prose(i, 40) + " " + passage for i in range(300, 320)] + [None, "", " \n", "a b", "A\tb", prose(1, 500).replace(" ", " \n ")]
     r.shuffle(texts)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
