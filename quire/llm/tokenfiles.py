@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 #: After how many words a worker forgets those that it has not met for a while; texts that are encoded together;
 #: sequences in a record batch.
-REMEMBERED, TOGETHER, BATCH = 250_000, 512, 64
+REMEMBERED, TOGETHER, BATCH = 400_000, 1024, 64
 #: Words of these letters stay letters in lower case and in composed form, so that each is one pre-token, as is
 #: a run of stops.
 _WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+").fullmatch
