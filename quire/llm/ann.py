@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import checkpointed, parts_for
 
-BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 8, 256, 4, 8192, 8
+BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 16, 256, 4, 8192, 8
 #: Vectors in a block of codes, queries in a block of queries.
 CODE_BLOCK, QUERY_BLOCK = 65_536, 256
 
@@ -179,7 +179,7 @@ def _tiles(queries: DataFrame, codes: DataFrame, books: np.ndarray, keep: int) -
     return blocks.crossJoin(codes).mapInArrow(run, "query long, id long, near double")
 
 
-def search(df: DataFrame, key: str, vector: str, is_query: Callable[[Column], Column], k: int = 5, keep: int = 128) -> DataFrame:
+def search(df: DataFrame, key: str, vector: str, is_query: Callable[[Column], Column], k: int = 5, keep: int = 512) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest of each row of df where the condition is_query(id) holds."""
     rows = checkpointed(valid(df, key, vector))
     sample = _sample(rows)
