@@ -3,8 +3,8 @@
 A vector is written as a sum of full-dimensional codewords, one from each of `BOOKS` codebooks that were fitted
 to residuals one after the other; a beam search picks the codewords together. Scores against a query are sums
 of entries of a lookup table (query times every codeword), divided by the stored norm of the sum. Each block of
-queries meets each block of codes, keeps its best `keep` per query, and the best of all blocks are scored again
-with the original vectors.
+queries meets each block of codes and keeps its best `keep` per query; what every block kept is scored again with
+the original vectors, so that the shortlist grows with the table.
 
 Codebooks are fitted to at most `SAMPLE` vectors, taken by hash; every vector is encoded. Measured recall is in
 the README.
@@ -180,7 +180,8 @@ def _tiles(queries: DataFrame, codes: DataFrame, books: np.ndarray, keep: int) -
 
 
 def search(df: DataFrame, key: str, vector: str, is_query: Callable[[Column], Column], k: int = 5, keep: int = 512) -> DataFrame:
-    """(query_id, rank, id, score) of the k nearest of each row of df where the condition is_query(id) holds."""
+    """(query_id, rank, id, score) of the k nearest of each row of df where the condition is_query(id) holds, of
+    the best `keep` of every block of codes."""
     rows = checkpointed(valid(df, key, vector))
     sample = _sample(rows)
     if not len(sample):
@@ -188,9 +189,7 @@ def search(df: DataFrame, key: str, vector: str, is_query: Callable[[Column], Co
     books = fit(sample)
     queries = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
     codes = checkpointed(_codes(rows, books, parts_for(rows.count(), CODE_BLOCK, 1), k))
-    near = _tiles(queries, codes, books, keep)
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "id")
-    short = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("query", "id").distinct()
+    short = _tiles(queries, codes, books, keep).select("query", "id").distinct()
     asked = queries.select(F.col("id").alias("query"), F.col("v").alias("q"))
     pairs = short.join(asked, "query").join(rows, "id")
 

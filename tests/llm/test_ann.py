@@ -41,6 +41,18 @@ def test_recall_and_odd_rows(spark, vectors):
     assert got[40] == want[40] and [j for j, _ in got[1100]] == [40, 1000, 1001, 1002, 1003]
 
 
+def test_every_block_is_reranked(spark, vectors, monkeypatch):
+    """Three blocks of 512 codes, too coarse to tell anything: what is kept of each block is all of it."""
+    fit = ann.fit
+    monkeypatch.setattr(ann, "CODE_BLOCK", 512)
+    monkeypatch.setattr(ann, "fit", lambda x: fit(x, 1, 2))
+    found = ann.search(table(spark, vectors).coalesce(1), "vec_id", "embedding", lambda i: i % 20 == 0).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [j for j, _ in near] for q, near in brute(vectors, lambda i: i % 20 == 0, 5).items()}
+
+
 def test_few_and_repeated(spark):
     few = [(0, [1.0, 0.0]), (20, [1.0, 1.0]), (3, [2.0, 2.0]), (3, [0.0, 1.0])]
     got = ann.search(table(spark, few), "vec_id", "embedding", lambda i: i % 20 == 0).orderBy("query_id", "rank").collect()
