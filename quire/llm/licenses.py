@@ -2,7 +2,8 @@
 
 One automaton over lower-cased words finds identifier tags and notice phrases. Where a document holds an SPDX
 tag, the expression behind it is parsed (`with` binds tighter than `and`, that tighter than `or`) and
-evaluated against the licences that are allowed.
+evaluated against the licences that are allowed. It ends where prose begins, and with the line or before the next
+tag at the latest.
 
 Null texts count as empty and give no labels and score 0. Broken expressions are marked as such and never
 raise. Rows are independent of each other.
@@ -46,7 +47,8 @@ BASE_WEIGHT = 0.9
 # SPDX identifiers of licences that allow reuse with attribution at most.
 PERMISSIVE = ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "0bsd")
 
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]{0,400})", re.I | re.A)
+_TAG = re.compile(r"spdx-license-identifier:", re.I | re.A)
+_LINE_END = re.compile(r"[\r\n]")
 _PART = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -56,7 +58,8 @@ def parse(expression: str) -> list[str]:
     out: list[str] = []
     stack: list[str] = []
     operand = False  # did an operand end just before?
-    for part in _PART.findall(expression.lower()):
+    for m in _PART.finditer(expression.lower()):  # no further than the expression goes
+        part = m[0]
         if part in _BINDS:
             if not operand:
                 raise ValueError("operator without a left side")
@@ -131,10 +134,12 @@ def scan_text(text: str, permissive: frozenset[str]) -> tuple:
         first, last = int(at.min()), int(at.max())
     expressions = []
     if tagged:
-        for m in _TAG.finditer(text):
+        tags = [m.span() for m in _TAG.finditer(text)]
+        for (_, start), (following, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
             doubt = 0.0
+            line_end = _LINE_END.search(text, start, following)
             try:
-                postfix = parse(m[1])
+                postfix = parse(text[start : line_end.start() if line_end else following])
                 labels |= {f"spdx:{x}" for x in postfix if x not in _BINDS}
                 labels.add("permissive" if allowed(postfix, permissive) else "restricted")
                 expressions.append(" ".join(postfix))

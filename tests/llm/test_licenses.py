@@ -51,3 +51,22 @@ def test_tags():
     allow = frozenset(licenses.PERMISSIVE)
     assert licenses.scan_text("// SPDX-License-Identifier: MIT OR GPL-2.0-only\nx", allow)[5] == ["permissive", "spdx:gpl-2.0-only", "spdx:mit"]
     assert licenses.scan_text("SPDX-License-Identifier: (", allow)[5] == ["spdx-broken"]
+
+
+@pytest.mark.parametrize("form", ["{}", "({})"])
+@pytest.mark.parametrize("last", ["MIT", "GPL-2.0-only"])
+def test_long_expressions(form, last):
+    """Of more than 400 characters: the last term counts as the first does."""
+    names = ["MIT", "ISC", "Zlib", "Apache-2.0"] * 30 + [last]
+    expression = form.format(" AND ".join(names))
+    assert len(expression) > 800
+    got = licenses.scan_text(f"# SPDX-License-Identifier: {expression}\nx", frozenset(licenses.PERMISSIVE))
+    kinds = {"permissive" if last == "MIT" else "restricted", *(f"spdx:{n.lower()}" for n in names)}
+    assert got[5] == sorted(kinds) and got[7] == [" ".join(licenses.parse(expression))]
+    assert got[7][0].split().count("and") == 120
+
+
+def test_tags_on_one_line():
+    text = "SPDX-License-Identifier: MIT " + "some prose " * 60 + "SPDX-License-Identifier: ISC SPDX-License-Identifier: Zlib"
+    got = licenses.scan_text(text, frozenset(licenses.PERMISSIVE))
+    assert got[7] == ["mit", "isc", "zlib"]
