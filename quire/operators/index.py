@@ -58,17 +58,20 @@ def gate(queries: DataFrame, query: str, matches: DataFrame, least: float = 8.0,
     return queries.select(query).distinct().join(best, query, "left").select(query, kind.alias("gate"), "top1", "top2")
 
 
-def descend(nodes: DataFrame, scores: DataFrame, query: str, depth: int = 6) -> DataFrame:
+def descend(nodes: DataFrame, scores: DataFrame, query: str, depth: int = 6, asked: DataFrame | None = None) -> DataFrame:
     """(query, node_id): from the root, level by level to the child of the best score (nodes.node_id,
-    parent_id; scores of query and node_id), at most `depth` levels; stops where no child has a score."""
+    parent_id; scores of query and node_id), at most `depth` levels; stops where no child has a score. With the
+    queries that are asked all of them go down, and into a child without brothers whatever its score."""
     edges = nodes.select(F.col("parent_id").alias("_parent"), F.col("node_id").alias("_child"))
-    at = scores.select(query).distinct().withColumn("node_id", F.lit(None).cast(nodes.schema["node_id"].dataType))
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "_child"))
+    known = scores.where("score is not null").select(F.col(query).alias("_q"), F.col("node_id").alias("_child"), "score").join(edges, "_child")
+    best = known.groupBy("_q", "_parent").agg(F.min_by("_child", F.struct(-F.col("score"), "_child")).alias("_next"))
+    lone = edges.groupBy(F.col("_parent").alias("_above")).agg(F.min("_child").alias("_lone"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    at = (scores if asked is None else asked).select(query).distinct().withColumn("node_id", F.lit(None).cast(nodes.schema["node_id"].dataType))
     for _ in range(depth):
-        here = at.join(edges, F.col("node_id").eqNullSafe(F.col("_parent")))
-        best = here.join(scores.select(F.col(query).alias("_q"), F.col("node_id").alias("_n"), "score"), (F.col(query) == F.col("_q")) & (F.col("_child") == F.col("_n")))
-        best = best.withColumn("place", place).where("place = 1").select(query, F.col("_child").alias("_next"))
-        at = at.join(best, query, "left").select(query, F.coalesce("_next", "node_id").alias("node_id"))
+        at = at.join(best, (F.col(query) == F.col("_q")) & F.col("node_id").eqNullSafe(F.col("_parent")), "left")
+        if asked is not None:
+            at = at.join(lone, F.col("node_id").eqNullSafe(F.col("_above")), "left").withColumn("_next", F.coalesce("_next", "_lone"))
+        at = at.select(query, F.coalesce("_next", "node_id").alias("node_id"))
     return at
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import quality
 from quire.functions import text as tx
-from quire.operators import evalkit, index, layout, ledger, outcome, store, tree
+from quire.operators import evalkit, index, layout, ledger, outcome, retrieval, store, tree
 from quire.sources.tables import table
 from quire.streaming.ledger import hourly
 
@@ -403,6 +403,101 @@ def children_payload(spark, sf):
     return tree.children(nodes, "n_nationkey", "parent", "ord", "n_name")
 
 
+# --- questions to conversations: a conversation is a document, a turn a page and a node --------------------------
+
+def _turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, pages and pins: what system and user turns say governs what is below them."""
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    talk = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), level.alias("level"), "role", "text")
+    ids = {"node_id": F.concat_ws(":", "doc", "ord"), "parent_id": F.when(F.col("parent_ord").isNotNull(), F.concat_ws(":", "doc", "parent_ord")), "page": F.col("ord")}
+    nodes = tree.linked(talk, "doc", "ord", "level", "ord", levels=3).withColumns(ids).withColumn("kind", tree.kind_of(F.col("level")))
+    nodes = nodes.withColumn("title", F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 60))
+    pins = nodes.where("level < 3").select("node_id", "text")
+    return nodes.drop("text", "role"), talk.select("doc", F.col("ord").alias("page"), "text"), pins
+
+
+def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("node_id"), "text")
+    return index.keyword_index(items, "node_id", {"text": 1.0})
+
+
+def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    asked, words = table(spark, sf, "benchmark"), _turn_words(spark, sf)
+    choices = index.match(asked, "item_id", "text", words, 64).select("item_id", "node_id", "score")
+    return retrieval.run(asked, "item_id", "text", *_turns(spark, sf), words, choices)
+
+
+@query()
+def retrieval_run(spark, sf):
+    return _retrieved(spark, sf)
+
+
+@query()
+def answer_traces(spark, sf):
+    return retrieval.traces(_retrieved(spark, sf), "item_id")
+
+
+@query()
+def question_log(spark, sf):
+    found = _retrieved(spark, sf).join(table(spark, sf, "benchmark"), "item_id")
+    titles, bodies = ("Retrieval", "Contesto servito"), (F.concat_ws(" — ", "gate", "reason", "method"), retrieval.fenced(F.col("served_text")))
+    sections = F.array(*[F.struct(F.lit(t).alias("title"), b.alias("body")) for t, b in zip(titles, bodies, strict=True)])
+    log = retrieval.question_log(F.col("item_id").cast("string"), F.lit("1970-01-01T00:00:00Z"), F.lit("conversations"), F.col("text"), sections)
+    return found.select("item_id", log.alias("log"))
+
+
+@query("""SELECT conv_id AS doc, string_agg('== p.' || turn || ' ==' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+def baseline_context(spark, sf):
+    return retrieval.baseline(_turns(spark, sf)[1])
+
+
+@query()
+def case_arms(spark, sf):
+    """Each item asks for its own text of the conversation of its number."""
+    cases = table(spark, sf, "benchmark").select("item_id", F.col("item_id").alias("doc"), F.col("text").alias("question"), F.col("text").alias("expected"), F.array("text").alias("facts"))
+    return retrieval.run_cases(cases, "item_id", _retrieved(spark, sf), retrieval.baseline(_turns(spark, sf)[1]))
+
+
+def _scopes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, pages, _ = _turns(spark, sf)
+    return retrieval.scope_inputs(nodes, pages)
+
+
+@query()
+def scope_inputs(spark, sf):
+    return _scopes(spark, sf).select("node_id", "is_leaf", "child_titles", "own_text", "message")
+
+
+@query()
+def representative_run(spark, sf):
+    return retrieval.representative(_scopes(spark, sf), 3).select("doc", "node_id", "kind", "is_leaf")
+
+
+@query()
+def node_payload(spark, sf):
+    return retrieval.payload(_scopes(spark, sf), _turns(spark, sf)[2], _turn_words(spark, sf))
+
+
+@query("""WITH r AS (SELECT doc_id, n_chars, TRY_CAST(nullif(regexp_extract(text, '[0-9]+'), '') AS BIGINT) AS x FROM documents)
+SELECT doc_id, CASE WHEN x BETWEEN 1 AND 9 THEN x END AS choice FROM r""")
+def reply_choice(spark, sf):
+    return _documents(spark, sf).select("doc_id", retrieval.chosen(F.col("text"), F.sequence(F.lit(1), F.lit(9)).cast("array<long>")).alias("choice"))
+
+
+@query("SELECT doc_id, source AS modello, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN lang END AS edizione FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def reply_fields(spark, sf):
+    """A structured reply of each document, its own fields as JSON, read back."""
+    reply = F.to_json(F.struct(F.col("source").alias("modello"), F.col("lang").alias("edizione")))
+    found = retrieval.parsed(reply, "modello string, edizione string", ("modello", "edizione"))
+    return _documents(spark, sf).select("doc_id", found.alias("x")).where("x is not null").select("doc_id", "x.*")
+
+
+@query("SELECT n_nationkey AS id, unnest(range(n_regionkey, n_nationkey + 1)) AS page FROM nation")
+def page_lists(spark, sf):
+    listed = retrieval.page_list(F.lit(None).cast("string"), F.col("n_regionkey").cast("int"), F.col("n_nationkey").cast("int"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.explode(listed.cast("array<long>")).alias("page"))
+
+
 # --- outcomes -------------------------------------------------------------------------------------------------
 
 @query("""WITH a AS (SELECT event_id, user_id, value > 40 AS ok, sum((value > 40)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS nth FROM events)
