@@ -53,20 +53,23 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) from left to right, in one pass: a stack of candidates
-    with the running sums before and after each."""
+    with the running sums before and after each, and of each the nearest earlier one that starts at a smaller sum.
+    Those links are followed instead of the stack, so that each candidate is passed once."""
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     out: list[tuple[int, int]] = []
+    smaller: list[int] = []
     for i in np.flatnonzero(scores > 0).tolist():
-        start = i
+        start, j = i, len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and sums[out[j][0]] >= sums[start]:
-                j -= 1
+                j = smaller[j]
             if j < 0 or sums[out[j][1]] >= sums[i + 1]:
                 out.append((start, i + 1))
+                smaller.append(j)
                 break
-            start = out[j][0]
-            del out[j:]
+            start, linked = out[j][0], smaller[j]
+            del out[j:], smaller[j:]
+            j = linked
     return [(a, b, float(sums[b] - sums[a])) for a, b in out]
 
 
