@@ -276,7 +276,8 @@ def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     stars = buckets.where("id != hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
     links = _confirmed(stars, classes, percent)
     rows = labelled(links)
-    shingles = _shingles(classes.join(rows.select("id").distinct(), "id", "left_semi"))
+    # dealt as the buckets are, so that the classes with their texts stay where they are
+    shingles = _shingles(classes.join(rows.select("id").distinct().repartition(parts, "id"), "id", "left_semi"))
     met = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # of each class: shingles that others have too, and those that more than FEW have
     shared = checkpointed(shingles.join(met, "key").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("f") > FEW).alias("often")))
@@ -309,7 +310,7 @@ def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     many = rest.where(F.col("members") > FEW)
     often = pairs(many.where(F.col("often") * 100 >= F.col("n") * percent), other & possible("x.", "y.", "often"))
     hot = many.select("id", "root", "c").distinct()
-    prefixes = _prefixes(_shingles(classes.join(hot.select("id"), "id", "left_semi")), percent).where(F.col("f") <= FEW)
+    prefixes = _prefixes(_shingles(classes.join(hot.select("id").repartition(parts, "id"), "id", "left_semi")), percent).where(F.col("f") <= FEW)
     rare = pairs(prefixes.join(hot, "id"), other & possible("x.", "y.", "c"))
     return links.union(_confirmed(few.union(often).union(rare).distinct(), classes, percent))
 
