@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 
-# Openings of a refusal; words whose loss changes the meaning.
+# Openings of a refusal; words whose loss changes the meaning; patterns of what lint finds, and of a
+# code with its label. Digits are ASCII digits here.
 REFUSALS = ("non posso aiutart", "non sono in grado di", "mi dispiace, ma", "i'm sorry", "i am sorry", "i cannot assist", "as an ai", "non posso fornire")
 CRITICAL_WORDS = ("non", "esclusi", "salvo", "tranne", "fino a", "almeno", "entro")
 
 UNMAPPED_BULLET = r"(?m)^\s*n\s+[a-zàèéìòù]"
 DOUBLE_SYMBOL = r"\d\s*%\s*%|%%|€€"
+CODE_PAIR = r"(\d{1,3})\*{0,2}\s*=\s*([^\n;·|]+)"
 
 
 @dataclass(frozen=True)
@@ -76,9 +78,10 @@ def most_repeats(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), start, step, lambda s: s["most"])
 
 
-def repeats_itself(c: Column, n: int = 10, most: int = 8, diversity: float = 0.5) -> Column:
-    """From 12 lines on, whether distinct lines are few; of shorter texts, whether an n-gram is too frequent."""
-    rows = F.filter(F.transform(tx.lines(c), tx.stripped), lambda x: x != "")
+def repeats_itself(c: Column, n: int = 10, most: int = 8, diversity: float = 0.5, rows: Column | None = None) -> Column:
+    """From 12 lines on, whether distinct lines are few; of shorter texts, whether an n-gram is too frequent. Its
+    lines may be given."""
+    rows = F.filter(F.transform(tx.lines(c) if rows is None else rows, tx.stripped), lambda x: x != "")
     words = F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
     by_lines = _once(rows, lambda r: F.when(F.size(r) >= 12, F.size(F.array_distinct(r)) / F.size(r) < diversity))
     return F.coalesce(by_lines, most_repeats(ngrams(words, n)) > most)
@@ -93,15 +96,26 @@ def is_refusal(c: Column, markers: tuple[str, ...] = REFUSALS) -> Column:
     return (tx.stripped(c) == "") | found
 
 
-def early_subheadings(c: Column) -> Column:
-    """Third-level headings before the first of the second level."""
+def early_subheadings(rows: Column) -> Column:
+    """Of lines, third-level headings before the first of the second level."""
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("seen"))
 
     def step(s: Column, line: Column) -> Column:
         early = F.startswith(line, F.lit("### ")) & ~s["seen"]
         return F.struct((s["n"] + early.cast("int")).alias("n"), (s["seen"] | F.startswith(line, F.lit("## "))).alias("seen"))
 
-    return F.aggregate(tx.lines(c), start, step, lambda s: s["n"])
+    return F.aggregate(rows, start, step, lambda s: s["n"])
+
+
+def heading_count(c: Column) -> Column:
+    """Headings of the second and third level."""
+    return F.size(F.filter(tx.lines(c), lambda r: F.startswith(r, F.lit("## ")) | F.startswith(r, F.lit("### "))))
+
+
+def without_artifacts(c: Column, known: tuple[str, ...]) -> Column:
+    for a in known:
+        c = F.replace(c, F.lit(a), F.lit(""))
+    return c
 
 
 def artifacts(c: Column, known: tuple[str, ...]) -> Column:
@@ -111,7 +125,7 @@ def artifacts(c: Column, known: tuple[str, ...]) -> Column:
 
 def code_pairs(c: Column) -> Column:
     """(code, label) of `N = label`, the first label of each code."""
-    pattern = F.lit(r"(\d{1,3})\*{0,2}\s*=\s*([^\n;·|]+)")
+    pattern = F.lit(CODE_PAIR)
     found = F.arrays_zip(F.regexp_extract_all(c, pattern, 1).alias("code"), F.transform(F.regexp_extract_all(c, pattern, 2), tx.stripped).alias("label"))
     start = F.array().cast("array<struct<code:string,label:string>>")
     return F.aggregate(found, start, lambda a, x: F.when(F.exists(a, lambda y: y["code"] == x["code"]), a).otherwise(F.concat(a, F.array(x))))
@@ -119,16 +133,16 @@ def code_pairs(c: Column) -> Column:
 
 def code_mismatches(candidate: Column, reference: Column, least: float = 0.5) -> Column:
     """Codes in both whose labels share too few words: (code, overlap), in order of codes."""
+    return _once(code_pairs(candidate), lambda a: _once(code_pairs(reference), lambda b: _mismatches(a, b, least)))
 
+
+def _mismatches(a: Column, b: Column, least: float) -> Column:
     def compare(pairs: Column, code: Column) -> Column:
         return F.filter(pairs, lambda p: p["code"] == code)[0]["label"]
 
-    def between(a: Column, b: Column) -> Column:
-        codes = F.array_sort(F.array_intersect(F.transform(a, lambda p: p["code"]), F.transform(b, lambda p: p["code"])))
-        each = F.transform(codes, lambda c: F.struct(c.alias("code"), jaccard(tx.content_words(compare(a, c)), tx.content_words(compare(b, c))).alias("overlap")))
-        return F.filter(each, lambda x: x["overlap"] < least)
-
-    return _once(code_pairs(candidate), lambda a: _once(code_pairs(reference), lambda b: between(a, b)))
+    codes = F.array_sort(F.array_intersect(F.transform(a, lambda p: p["code"]), F.transform(b, lambda p: p["code"])))
+    each = F.transform(codes, lambda c: F.struct(c.alias("code"), jaccard(tx.content_words(compare(a, c)), tx.content_words(compare(b, c))).alias("overlap")))
+    return F.filter(each, lambda x: x["overlap"] < least)
 
 
 def word_count(c: Column, word: str) -> Column:
@@ -164,29 +178,31 @@ def lint(c: Column, boilerplate: Column | None = None, page: Column | None = Non
     return F.struct(F.array_compact(F.array(*fails)).alias("fails"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
-def check_columns(candidate: Column, reference: Column, known: tuple[str, ...] = (), page: Column | None = None, words: tuple[str, ...] = CRITICAL_WORDS, limits: Limits = Limits()) -> dict[str, Column]:
-    """All measures of a candidate and the reasons why it needs a review. Known artifacts and hyphenation are
-    taken out of the reference alone; a page number in the reference is no content."""
-    clean = tx.dehyphenated(reference)
-    for a in known:
-        clean = F.replace(clean, F.lit(a), F.lit(""))
-    wanted, have = tx.numbers(clean), tx.numbers(candidate)
-    if page is not None:
-        wanted = F.array_remove(wanted, page.cast("string"))
-    out = {
-        "overlap": token_overlap(candidate, clean),
-        "number_recall": recall(wanted, have),
-        "missing_numbers": F.array_sort(F.array_except(wanted, have)),
-        "extra_numbers": F.array_sort(F.array_except(have, wanted)),
-        "coverage": coverage(candidate, clean),
-        "repetition": repeats_itself(candidate),
-        "empty_or_refusal": is_refusal(candidate),
-        "heading_issues": early_subheadings(candidate),
-        "artifacts": artifacts(candidate, known),
-        "code_issues": code_mismatches(candidate, clean, limits.label_overlap),
-        "losses": critical_losses(candidate, clean, words),
-    }
-    return out
+def checked(pairs: DataFrame, candidate: str, reference: str, known: tuple[str, ...] = (), page: str | None = None, words: tuple[str, ...] = CRITICAL_WORDS, limits: Limits = Limits()) -> DataFrame:
+    """pairs with all measures of a candidate, the reasons why it needs a review, and warnings. Known artifacts and
+    hyphenation are taken out of the reference alone; a page number in the reference is no content. Words, numbers
+    and lines are columns for a while, so that each text is taken apart once."""
+    c = F.col
+    clean = without_artifacts(tx.dehyphenated(c(reference)), known)
+    df = pairs.withColumn("_clean", clean).withColumns({
+        "_rw": tx.content_words(c("_clean")), "_cw": tx.content_words(c(candidate)), "_rn": tx.numbers(c("_clean")), "_cn": tx.numbers(c(candidate)),
+        "_rp": code_pairs(c("_clean")), "_cp": code_pairs(c(candidate)), "_cl": tx.lines(c(candidate)),
+    })
+    wanted = F.array_remove("_rn", c(page).cast("string")) if page else c("_rn")
+    df = df.withColumns({
+        "overlap": recall(c("_rw"), c("_cw")),
+        "number_recall": recall(wanted, c("_cn")),
+        "missing_numbers": F.array_sort(F.array_except(wanted, "_cn")),
+        "extra_numbers": F.array_sort(F.array_except("_cn", wanted)),
+        "coverage": coverage(c(candidate), c("_clean")),
+        "repetition": repeats_itself(c(candidate), rows=c("_cl")),
+        "empty_or_refusal": is_refusal(c(candidate)),
+        "heading_issues": early_subheadings(c("_cl")),
+        "artifacts": artifacts(c(candidate), known),
+        "code_issues": _mismatches(c("_cp"), c("_rp"), limits.label_overlap),
+        "losses": critical_losses(c(candidate), c("_clean"), words),
+    })
+    return df.drop("_clean", "_rw", "_cw", "_rn", "_cn", "_rp", "_cp", "_cl").withColumns(verdict_columns(limits))
 
 
 def verdict_columns(limits: Limits = Limits()) -> dict[str, Column]:

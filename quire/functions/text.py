@@ -18,7 +18,9 @@ STOPWORDS = (
     "rigo", "righi", "codice", "codici", "quadro", "sezione", "sezioni", "colonna", "colonne",
 )
 
+# A word that counts for the overlap of two texts; a number with its marks. Digits are ASCII digits.
 CONTENT_WORD = "[a-zàèéìòù0-9]{3,}"
+NUMBER = r"(\d[\d.,]*)"
 
 
 def stripped(c: Column) -> Column:
@@ -81,7 +83,7 @@ def number(c: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """Distinct numbers of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(\d[\d.,]*)"), 1), number))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(NUMBER), 1), number))
 
 
 def content_words(c: Column) -> Column:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How a refusal reads; verdicts, the more specific and negative ones first.
+# How a refusal reads; verdicts on an answer, and on the refusal that a question without one asks
+# for, the more specific and negative ones first; those that are right; patterns of identifiers of nodes.
 REFUSALS = ("non contengono la risposta", "non contiene la risposta", "non è presente", "non e' presente", "non sono presenti")
-VERDICTS = ("NON_RIFIUTATO", "RIFIUTO_OK", "ERRATO", "PARZIALE", "CORRETTO")
+VERDICTS = ("ERRATO", "PARZIALE", "CORRETTO")
+REFUSAL_VERDICTS = ("NON_RIFIUTATO", "RIFIUTO_OK")
+RIGHT = ("CORRETTO", "RIFIUTO_OK")
+ROW, CODE, SECTION = r"rp\s*(\d+)", r"cod(?:ice|ici)\s*(\d+)", r"(sezione\s+[ivx]+(?:\s*-?\s*[a-z]\b)?)"
 
 
 def normal(c: Column) -> Column:
@@ -30,27 +34,40 @@ def facts_covered(answer: Column, facts: Column) -> Column:
     return F.struct(hits.alias("hits"), F.coalesce(F.size(facts), F.lit(0)).alias("total"))
 
 
-def verdict(reply: Column) -> Column:
-    up = F.upper(reply)
-    out = F.when(F.lit(False), F.lit(""))
-    for v in VERDICTS:
-        out = out.when(F.contains(up, F.lit(v)), F.lit(v))
-    return out.otherwise("INDETERMINATO")
+def verdict(reply: Column, answerable: Column) -> Column:
+    """The first label in a judge's reply, of those that fit the kind of question."""
+    up = F.upper(F.coalesce(reply, F.lit("")))
+
+    def first(labels: tuple[str, ...]) -> Column:
+        out = F.lit("INDETERMINATO")
+        for v in reversed(labels):
+            out = F.when(F.contains(up, F.lit(v)), F.lit(v)).otherwise(out)
+        return out
+
+    return F.when(answerable, first(VERDICTS)).otherwise(first(REFUSAL_VERDICTS))
+
+
+def judge_prompt(question: Column, answer: Column, answerable: Column, facts: Column) -> Column:
+    """What a judge is asked: whether the facts are met, or whether the answer rightly refuses."""
+    expected = F.when(F.size(facts) > 0, F.array_join(facts, "; ")).otherwise("(nessuno)")
+    labels = F.when(answerable, ", ".join(reversed(VERDICTS))).otherwise(", ".join(reversed(REFUSAL_VERDICTS)))
+    wanted = F.when(answerable, F.concat(F.lit("FATTI ATTESI: "), expected)).otherwise("La risposta non è nel corpus: va rifiutata.")
+    return F.concat_ws("\n\n", F.concat(F.lit("DOMANDA: "), question), wanted, F.concat(F.lit("RISPOSTA: "), answer), F.concat(F.lit("Rispondi solo con una di: "), labels))
 
 
 def anchors(expected: Column) -> Column:
     """Identifiers of nodes in an expectation: rows, codes, and its first section."""
     e = normal(expected)
-    rows = F.transform(F.regexp_extract_all(e, F.lit(r"rp\s*(\d+)"), 1), lambda n: F.concat(F.lit("rp"), n))
-    codes = F.transform(F.regexp_extract_all(e, F.lit(r"cod(?:ice|ici)\s*(\d+)"), 1), lambda n: F.concat(F.lit("codice "), n))
-    section = F.regexp_extract(e, r"(sezione\s+[ivx]+(?:\s*-?\s*[a-z]\b)?)", 1)
+    rows = F.transform(F.regexp_extract_all(e, F.lit(ROW), 1), lambda n: F.concat(F.lit("rp"), n))
+    codes = F.transform(F.regexp_extract_all(e, F.lit(CODE), 1), lambda n: F.concat(F.lit("codice "), n))
+    section = F.regexp_extract(e, SECTION, 1)
     named = F.when(section != "", F.array(F.trim(F.regexp_replace(section, r"[\s-]+", " ")))).otherwise(F.array().cast("array<string>"))
     return F.concat(rows, codes, named)
 
 
 def retrieval_hit(expected: Column, title: Column) -> Column:
     """Whether the node found is the one expected; null where none is."""
-    t = F.regexp_replace(normal(title), r"rp\s*(\d+)", "rp$1")
+    t = F.regexp_replace(normal(title), ROW, "rp$1")
     found = F.exists(anchors(expected), lambda a: F.regexp_like(t, F.concat(F.lit(r"(?U)\b\Q"), a, F.lit(r"\E\b"))))
     by_text = F.contains(t, normal(expected))
     hit = F.when(F.size(anchors(expected)) == 0, by_text).otherwise(found)
@@ -67,8 +84,16 @@ def _measures(correct: str, hit: str, cost: str, latency: str) -> list[Column]:
 
 
 def summary(results: DataFrame, keys: list[str], correct: str = "correct", hit: str = "hit", cost: str = "cost", latency: str = "latency") -> DataFrame:
-    """Measures by any keys; the share of hits is over those that apply."""
-    return results.groupBy(*keys).agg(*_measures(correct, hit, cost, latency))
+    """Measures by any keys, in the order of the keys as strings; the share of hits is over those that apply."""
+    return results.groupBy(*keys).agg(*_measures(correct, hit, cost, latency)).orderBy(*[F.col(k).cast("string") for k in keys])
+
+
+def table_lines(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., line): each row of a summary at a fixed width."""
+    name = F.concat_ws(" · ", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+    hit = F.when(F.col("hit_pct").isNull(), "—").otherwise(F.format_string("%.0f%%", F.bround("hit_pct", 0)))
+    line = F.format_string("  %-28s %3d  %7.0f%%  %8s  %7.3f  %6d", name, "n", F.bround("correct_pct", 0), hit, F.col("cost").cast("double"), "latency_ms")
+    return summary.select(*keys, line.alias("line"))
 
 
 def rollup(results: DataFrame, first: str, others: list[str], correct: str = "correct", hit: str = "hit", cost: str = "cost", latency: str = "latency") -> DataFrame:
@@ -92,9 +117,10 @@ def cross_tab(cases: DataFrame, row: str, column: str, values: list[str]) -> Dat
 
 
 def interleaved(cases: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """The first n cases, taken from the groups in turn."""
+    """The first n cases, taken from the groups in turn. No more than n of a group can be among them, which keeps
+    each task's share of a large group at n rows before the shuffle."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return cases.withColumn("turn", place).orderBy("turn", group).limit(n)
+    return cases.withColumn("turn", place).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def identity_issues(edition: Column, period: Column, model: Column, want_edition: str, want_period: str, hint: str) -> Column:

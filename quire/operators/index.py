@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators.outcome import called
+from quire.operators.sizes import small
+
+#: What a question on its way down is asked.
+DESCENT = "Rispondi col numero della sotto-voce in cui scendere, FERMA se basta la voce corrente, NESSUNA se niente è pertinente."
 
 
-def keyword_index(items: DataFrame, node: str, fields: dict[str, float], normal=tx.plain) -> DataFrame:
+def keyword_index(items: DataFrame, node: str, fields: dict[str, float], normal=tx.plain, asked: DataFrame | None = None) -> DataFrame:
     """(term, node_id, tf, df, weight) of items whose columns `fields` count with their weights. Nodes without a
-    term don't count for the idf, ln((1 + nodes) / (1 + df)) + 1."""
+    term don't count for the idf, ln((1 + nodes) / (1 + df)) + 1. With `asked` (term) only these terms are kept, as
+    soon as they are read; their weights are the same."""
     def weighed(column: str, weight: float) -> Column:
         found = tx.terms(normal(F.coalesce(F.col(column), F.lit(""))))
         return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
     parts = [weighed(c, w) for c, w in fields.items()]
     found = items.select(F.col(node).alias("node_id"), F.explode(F.concat(*parts)).alias("x"))
+    if asked is not None:
+        found = found.join(small(asked.select("term").distinct()), F.col("x.term") == F.col("term"), "left_semi")
     tf = found.groupBy("x.term", "node_id").agg(F.sum("x.w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    nodes = tf.agg(F.countDistinct("node_id").alias("nodes"))  # one row
+    worded = [F.size(tx.terms(normal(F.coalesce(F.col(c), F.lit(""))), bigrams=False)) > 0 for c in fields]
+    nodes = items.where(reduce(Column.__or__, worded)).agg(F.countDistinct(node).alias("nodes"))  # one row
     idf = F.log((1 + F.col("nodes")) / (1 + F.col("df"))) + 1
     return tf.join(df, "term").crossJoin(F.broadcast(nodes)).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))
 
@@ -29,20 +41,24 @@ def top_keywords(index: DataFrame, k: int = 14) -> DataFrame:
     return index.withColumn("place", place).where(F.col("place") <= k)
 
 
-def expand(queries: DataFrame, query: str, text: str, aliases: DataFrame, normal=tx.plain) -> DataFrame:
-    """queries with their text followed by the expansions of each alias (term, expand array) that it contains."""
-    known = aliases.select(normal(F.col("term")).alias("_term"), F.array_join("expand", " ").alias("_more"))
-    joined = queries.join(F.broadcast(known), F.contains(normal(F.col(text)), F.col("_term")), "left")  # the alias table is a configuration of a few rows
-    others = [c for c in queries.columns if c != text]
-    parts = F.array_sort(F.collect_list(F.when(F.col("_term").isNotNull(), F.struct("_term", "_more"))))
-    grouped = joined.groupBy(*others, text).agg(parts.alias("_parts"))
-    return grouped.select(*others, F.concat_ws(" ", F.col(text), F.array_join(F.transform("_parts", lambda p: p["_more"]), " ")).alias(text)) if others else grouped
+def expanded(text: Column, aliases: dict[str, list[str]], normal=tx.plain) -> Column:
+    """The terms of a question, then, for each alias that it contains, those of its expansions, each taken by
+    itself, so that no pair of words spans two of them. Aliases are a configuration and part of the expression."""
+    low, none = normal(text), F.array().cast("array<string>")
+    more = [F.when(F.contains(low, normal(F.lit(a))), F.concat(*[tx.terms(normal(F.lit(e))) for e in es] or [none])).otherwise(none) for a, es in aliases.items()]
+    return F.concat(tx.terms(low), *more)
+
+
+def asked_terms(queries: DataFrame, query: str, text: str, aliases: dict[str, list[str]] | None = None, normal=tx.plain) -> DataFrame:
+    """(query, term): the distinct terms of each question."""
+    found = F.array_distinct(expanded(F.coalesce(F.col(text), F.lit("")), aliases or {}, normal))
+    return queries.select(query, F.explode(found).alias("term"))
 
 
-def match(queries: DataFrame, query: str, text: str, index: DataFrame, k: int = 8, normal=tx.plain) -> DataFrame:
+def match(queries: DataFrame, query: str, text: str, index: DataFrame, k: int = 8, normal=tx.plain, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """(query, node_id, score, place): nodes by the sum of the weights of the query's distinct terms; ties go to
     the smaller node."""
-    asked = queries.select(query, F.explode(F.array_distinct(tx.terms(normal(F.col(text))))).alias("term"))
+    asked = asked_terms(queries, query, text, aliases, normal).distinct()
     hits = asked.join(index.select("term", "node_id", "weight"), "term")
     scored = hits.groupBy(query, "node_id").agg(F.round(F.sum("weight"), 4).alias("score"))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "node_id"))
@@ -75,6 +91,40 @@ def descend(nodes: DataFrame, scores: DataFrame, query: str, depth: int = 6, ask
     return at
 
 
+def descend_by(nodes: DataFrame, queries: DataFrame, query: str, text: str, choose: Callable[[str], str], depth: int = 6) -> DataFrame:
+    """(query, node_id, path) of the questions, each led from the root down by replies: a level has one call for
+    every question that is still on its way and stands before several children (nodes: node_id as an integer,
+    parent_id, ord, kind, title, summary). An only child is taken without a call; NESSUNA refuses, FERMA or
+    a number that is none of the children's stays. Each level is a join; no question waits for another."""
+    kids = F.array_sort(F.collect_list(F.struct("ord", "node_id", "kind", "title", F.coalesce("summary", F.lit("")).alias("summary"))))
+    below = nodes.groupBy(F.col("parent_id").alias("_parent")).agg(kids.alias("_kids"))
+    listed = F.array_join(F.transform("_kids", lambda k: F.concat(F.lit("["), k["node_id"], F.lit("] ("), k["kind"], F.lit(") "), k["title"], F.lit("\n    "), k["summary"])), "\n")
+    below = small(below.select("_parent", F.transform("_kids", lambda k: k["node_id"].cast("long")).alias("_ids"), listed.alias("_listing")))
+    titles = small(nodes.select(F.col("node_id").cast("long").alias("_at"), F.col("title").alias("_here")))
+    none = F.lit(None).cast("long")
+    at = queries.select(query, F.col(text).alias("_text"), none.alias("_node"), F.array().cast("array<long>").alias("path"), F.lit(True).alias("_on"))
+    for _ in range(depth):
+        on = F.when(F.col("_on"), F.col("_node"))
+        step = at.join(below, F.col("_on") & on.eqNullSafe(F.col("_parent").cast("long")), "left").join(titles, F.col("_node") == F.col("_at"), "left")
+        several = F.size("_ids") > 1
+        prompt = F.concat(F.lit("Voce corrente: "), F.coalesce("_here", F.lit("(radice)")), F.lit("\n\nSotto-voci:\n"), "_listing", F.lit(f"\n\n{DESCENT}\n\nDomanda: "), F.coalesce("_text", F.lit("")))
+        said = called(step.withColumn("_prompt", F.when(several, prompt)), "_prompt", lambda p: None if p is None else choose(p))
+        up, number = F.upper(F.coalesce("answer", F.lit(""))), F.regexp_extract("answer", r"\d+", 0).try_cast("long")
+        refused, stays = several & F.contains(up, F.lit("NESSUNA")), several & F.contains(up, F.lit("FERMA"))
+        took = F.when(F.size("_ids") == 1, F.col("_ids")[0]).when(several & ~refused & ~stays & F.array_contains("_ids", number), number)
+        moved = said.withColumn("_took", F.when(F.col("_on") & F.col("_ids").isNotNull(), took))
+        at = moved.select(
+            query, "_text", F.when(F.coalesce(refused, F.lit(False)), none).otherwise(F.coalesce("_took", "_node")).alias("_node"),
+            F.when(F.col("_took").isNotNull(), F.concat("path", F.array("_took"))).otherwise(F.col("path")).alias("path"), F.col("_took").isNotNull().alias("_on"),
+        )
+    return at.select(query, F.col("_node").alias("node_id"), "path")
+
+
+def sizes(index: DataFrame) -> DataFrame:
+    """One row: entries, distinct terms and nodes of an index."""
+    return index.agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("term").alias("terms"), F.countDistinct("node_id").alias("nodes"))
+
+
 def boilerplate(pages: DataFrame, group: str, text: str, fraction: float = 0.6, least: int = 2) -> DataFrame:
     """(group, line, pages): lines that stand on many pages of a group, counted once a page."""
     sizes = pages.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
@@ -90,7 +140,3 @@ def without_lines(pages: DataFrame, page: str, group: str, text: str, known: Dat
     kept = marked.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]), "\n").alias(text))
     return pages.select(page, group).join(kept, page, "left").withColumn(text, F.coalesce(text, F.lit("")))
 
-
-def served_context(pins: Column, entry: Column) -> Column:
-    """Governing passages, root first, then the entry itself."""
-    return F.concat_ws("\n\n", pins, entry)

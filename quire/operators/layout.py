@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES = ("single_column", "multi_column", "table_heavy", "anomalous")
@@ -28,12 +28,27 @@ def page_geometry(words: DataFrame, page: list[str]) -> DataFrame:
     the share of wide ones, and how many words cross the middle."""
     crossing = (F.col("x0") <= 0.53 * F.col("width")) & (F.col("x1") >= 0.47 * F.col("width"))
     each = words.groupBy(*page, "block", "line").agg(((F.max("x1") - F.min("x0")) / F.max("width")).alias("span"), F.count(F.lit(1)).alias("n"), F.count_if(crossing).alias("cross"))
-    return each.groupBy(*page).agg(
-        F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_lines"), F.median("span").alias("median_width"),
-        F.avg((F.col("span") > 0.75).cast("int")).alias("wide"), F.sum("cross").alias("gutter_cross"), (F.sum("cross") / F.sum("n")).alias("gutter_ratio"),
+    # lines of equal width are counted before anything of a page comes together; its median lies where half of the
+    # count is reached
+    widths = each.groupBy(*page, "span").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("n"), F.sum("cross").alias("cross"))
+    until = F.sum("of").over(Window.partitionBy(*page).orderBy("span"))
+    ranked = widths.withColumns({"until": until, "all": F.sum("of").over(Window.partitionBy(*page))})
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("until") >= place, F.col("span")))
+
+    half = (at(F.floor((F.col("all") + 1) / 2)) + at(F.floor(F.col("all") / 2) + 1)) / 2
+    return ranked.groupBy(*page).agg(
+        F.sum("n").alias("n_words"), F.sum("of").alias("n_lines"), half.alias("median_width"),
+        (F.sum(F.when(F.col("span") > 0.75, F.col("of")).otherwise(0)) / F.sum("of")).alias("wide"), F.sum("cross").alias("gutter_cross"), (F.sum("cross") / F.sum("n")).alias("gutter_ratio"),
     )
 
 
+def class_means(rows: DataFrame, kind: str, measures: list[str], digits: int = 3) -> DataFrame:
+    """(kind, pages, a mean of each measure) of each class."""
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("pages"), *[F.round(F.avg(m), digits).alias(m) for m in measures])
+
+
 def histogram(rows: DataFrame, column: str, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """(class, n), with the classes that nothing falls into."""
     known = rows.sparkSession.createDataFrame([(c,) for c in classes], "class string")

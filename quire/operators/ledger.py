@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,17 @@ def priced(calls: DataFrame, prices: DataFrame, usd_to_eur: float = 0.87, ttl: s
     return joined.withColumn("usd", cost).withColumn("eur", F.col("usd") * usd_to_eur).drop("_model", "input_per_mtok", "output_per_mtok")
 
 
+def recorded(calls: DataFrame, path: str, now: datetime | None = None) -> DataFrame:
+    """Appends calls to the ledger at path and returns what was written: each with a call_id of its own, and with
+    the present time (UTC) where ts is null."""
+    batch, time = uuid.uuid4().hex, (now or datetime.now(UTC)).isoformat(timespec="seconds")
+    ids = F.concat(F.lit(f"{batch}-"), F.monotonically_increasing_id())
+    stamped = calls.withColumns({"ts": F.coalesce(F.col("ts"), F.lit(time)), "call_id": ids})
+    stamped.write.mode("append").parquet(path)
+    written = calls.sparkSession.read.schema(stamped.schema).parquet(path)
+    return written.where(F.startswith("call_id", F.lit(f"{batch}-")))
+
+
 def rendered(report: DataFrame) -> DataFrame:
     """Lines of a fixed width."""
     line = F.format_string("%-24s %8d %12d %12d %12.6f %12.6f", F.coalesce(F.col("key").cast("string"), F.lit("-")), "calls", F.col("tok_in").cast("long"), F.col("tok_out").cast("long"), F.col("usd").cast("double"), F.col("eur").cast("double"))

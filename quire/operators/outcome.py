@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.sizes import small
+from quire.operators.store import governance
+
 
 def escalation(attempts: DataFrame, page: list[str], step: str, passed: str, cost: str, reasons: str | None = None) -> DataFrame:
     """(page, escalations, needs_human, cost, reasons): the first attempt that passes ends the chain, and only
@@ -42,9 +47,36 @@ def within_budget(rows: DataFrame, group: list[str], order: list[str], cost: str
 
 
 def breaker(rows: DataFrame, group: list[str], order: list[str], tripped: Column) -> DataFrame:
-    """rows with open: whether an earlier row of the group tripped the breaker."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("open", F.coalesce(F.max(tripped.cast("int")).over(w), F.lit(0)) == 1)
+    """rows with open: whether an earlier row of the group tripped the breaker. The earliest such row of each group
+    is one aggregate, so that no group is sorted or comes together."""
+    place = F.struct(*order)
+    first = rows.where(tripped).groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(place).alias("_first"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    joined = rows.join(small(first), same, "left").withColumn("open", F.coalesce(place > F.col("_first"), F.lit(False)))
+    return joined.drop("_first", *[f"_{g}" for g in group])
+
+
+def start_tier(rows: DataFrame, tiers: tuple[str, str] = ("economical", "strong")) -> DataFrame:
+    """rows of breaker() with the tier that a page is first tried at: the stronger one once the breaker is open."""
+    return rows.withColumn("tier", F.when(F.col("open"), tiers[1]).otherwise(tiers[0]))
+
+
+def run_summary(conversions: DataFrame, audits: DataFrame) -> DataFrame:
+    """One row: what governance() counts, whether an audit tripped the breaker, and the cost."""
+    paid = conversions.agg(F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 4).alias("usd"))
+    return governance(conversions, audits).withColumn("breaker_tripped", F.col("gate_misses") > 0).crossJoin(paid)  # a row each
+
+
+def batch_summary(rows: DataFrame) -> DataFrame:
+    """One row of counts by status (transcribed, skipped, failed), pages for review, and costs."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    spent = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("usd", "eur")]
+    return rows.agg(F.count(F.lit(1)).alias("pages"), of("transcribed"), of("skipped"), of("failed"), F.count_if("needs_review").alias("needs_review"), *spent)
+
+
+def run_id() -> str:
+    """The name of a run, given once by the driver; never a column's."""
+    return f"run_{uuid.uuid4().hex}"
 
 
 def rate_verdict(rate: Column) -> Column:
@@ -58,22 +90,35 @@ def to_do(pages: DataFrame, done: DataFrame, reviewed: DataFrame, key: list[str]
     return open_ if force else open_.join(reviewed.select(*key), key, "left_anti")
 
 
-def called(rows: DataFrame, column: str, call: Callable[[str], str] | None) -> DataFrame:
-    """rows with answer and error of a model call for each; an error stays with its row. Without a callable both
-    are null: nothing is made up."""
+CALLED = "answer string, error string, usd double, ms long"
+
+
+def called(rows: DataFrame, column: str, call: Callable[[str], str | tuple[str, float]] | None, name: str = "") -> DataFrame:
+    """rows with answer, error, usd and ms of a model call for each, which returns an answer or (answer, usd); an
+    error stays with its row. Without a callable all are null: nothing is made up. usd and ms only stand there
+    under a `name`, which then precedes all four."""
+    parts = {f.split()[0]: f.split()[1] for f in CALLED.split(", ")}
+    wanted = [*parts] if name else ["answer", "error"]
     if call is None:
-        return rows.withColumns({"answer": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+        return rows.withColumns({f"{name}{c}": F.lit(None).cast(parts[c]) for c in wanted})
 
-    @F.pandas_udf("answer string, error string")
+    @F.pandas_udf(CALLED)
     def ask(prompts):
+        import time
+
         import pandas as pd
 
         def one(p):
+            began = time.perf_counter()
             try:
-                return call(p), None
+                said = call(p)
+                answer, usd = said if isinstance(said, tuple) else (said, None)
+                return answer, None, usd, int((time.perf_counter() - began) * 1000)
             except Exception as e:  # noqa: BLE001  one page's failure is that page's
-                return None, f"{type(e).__name__}: {e}"
+                return None, f"{type(e).__name__}: {e}", None, None
 
-        return pd.DataFrame([one(p) for p in prompts], columns=["answer", "error"])
+        found = pd.DataFrame([one(p) for p in prompts], columns=[*parts])
+        return found.astype({"usd": "float64", "ms": "Int64"})
 
-    return rows.withColumn("_a", ask(column)).select(*rows.columns, "_a.answer", "_a.error")
+    said = rows.withColumn("_a", ask(column))
+    return said.select(*rows.columns, *[F.col(f"_a.{c}").alias(f"{name}{c}") for c in wanted])

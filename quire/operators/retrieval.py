@@ -65,14 +65,19 @@ def run(queries: DataFrame, query: str, text: str, nodes: DataFrame, pages: Data
     aimed = gated.join(ranked, query, "left").join(down, query, "left").withColumn("node_id", F.when(clear, F.col("candidates")[0]["node_id"]).otherwise(F.col("_down")))
     method = F.when(clear, "fast_path").when(F.col("node_id").isNotNull(), "navigation_descent").otherwise("refused")
     aimed = aimed.select(query, "gate", _reason(least, margin).alias("reason"), method.alias("method"), "node_id", "candidates")
-    targets = nodes.join(aimed.select("node_id").distinct(), "node_id", "left_semi")
-    shown = F.concat_ws("-", "page", "page_end")
-    titles = targets.select("node_id", F.col("title").alias("target_title"), shown.alias("target_pages"))
-    served = titles.join(page_text(targets, pages, "serve_end"), "node_id", "left").join(governing(nodes, pins), "node_id", "left")
+    found = served(nodes, pages, pins, aimed.select("node_id").distinct())
+    return aimed.join(found, "node_id", "left").select(*aimed.columns, "target_title", "target_pages", "pins", "served_text")
+
+
+def served(nodes: DataFrame, pages: DataFrame, pins: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(node_id, target_title, target_pages, pins, served_text) of nodes (those wanted, or all): the passages that
+    govern a node under their heads, root first, then its title and its pages up to the next node's."""
+    targets = nodes if wanted is None else nodes.join(wanted, "node_id", "left_semi")
+    titles = targets.select("node_id", F.col("title").alias("target_title"), F.concat_ws("-", "page", "page_end").alias("target_pages"))
+    found = titles.join(page_text(targets, pages, "serve_end"), "node_id", "left").join(governing(nodes, pins), "node_id", "left")
     rules = F.transform("pins", lambda p: F.concat(F.lit("["), p["kind"], F.lit("] "), p["title"], F.lit("\n"), p["text"]))
     entry = F.concat(F.lit(ENTRY + "\n"), F.coalesce("target_title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    served = served.withColumn("served_text", F.concat_ws("\n\n", F.when(F.size("pins") > 0, F.concat(F.array(F.lit(GOVERNING)), rules)), entry)).drop("text")
-    return aimed.join(served, "node_id", "left").select(*aimed.columns, "target_title", "target_pages", "pins", "served_text")
+    return found.withColumn("served_text", F.concat_ws("\n\n", F.when(F.size("pins") > 0, F.concat(F.array(F.lit(GOVERNING)), rules)), entry)).drop("text")
 
 
 def baseline(pages: DataFrame) -> DataFrame:
@@ -88,18 +93,28 @@ def traces(results: DataFrame, query: str, extra: tuple[str, ...] = ()) -> DataF
     return results.select(query, F.when(F.col("node_id").isNull(), "refused").otherwise(F.col("method")).alias("outcome"), trace.alias("trace"))
 
 
-def run_cases(cases: DataFrame, case: str, results: DataFrame, contexts: DataFrame, call: Callable[[str], str] | None = None) -> DataFrame:
-    """Each case (case, doc, question, expected, facts) on both arms: the context of run() or of baseline(), its
-    answer, and how it compares. Without a context the answer is a refusal and no call is made; only navigation
-    can hit. Verdict, latency and cost come with live calls."""
-    nav = cases.join(results.select(case, F.col("served_text").alias("served"), "target_title"), case, "left").withColumn("arm", F.lit(ARMS[0]))
-    whole = cases.join(contexts.select("doc", F.col("text").alias("served")), "doc", "left").withColumns({"target_title": F.lit(None).cast("string"), "arm": F.lit(ARMS[1])})
+def run_cases(cases: DataFrame, case: str, results: DataFrame, contexts: DataFrame, call: Callable | None = None, judge: Callable | None = None) -> DataFrame:
+    """Each case (case, doc, question, expected, facts, answerable) on both arms: the context of run() or of
+    baseline(), its answer, a judge's verdict on it, and how it compares. Without a context the answer is a refusal
+    and no call is made for it; only navigation can hit. call and judge take a prompt and return a reply, or (reply,
+    usd); cost_usd sums what both calls (and a column usd of results) cost, latency_ms is the answer's."""
+    spent = (F.col("usd") if "usd" in results.columns else F.lit(0.0)).cast("double").alias("_usd")
+    nav = cases.join(results.select(case, F.col("served_text").alias("served"), "target_title", spent), case, "left").withColumn("arm", F.lit(ARMS[0]))
+    whole = cases.join(contexts.select("doc", F.col("text").alias("served")), "doc", "left").withColumns({"target_title": F.lit(None).cast("string"), "arm": F.lit(ARMS[1]), "_usd": F.lit(0.0)})
     prompt = F.when(F.col("served") != "", F.concat(F.lit("CONTESTO:\n"), "served", F.lit("\n\nDOMANDA: "), "question"))
     both = nav.unionByName(whole).withColumn("prompt", prompt)
-    said = outcome.called(both, "prompt", call and (lambda p: None if p is None else call(p)))
-    said = said.withColumn("answer", F.when(F.col("prompt").isNull(), REFUSAL).otherwise(F.col("answer")))
+    said = outcome.called(both, "prompt", call and (lambda p: None if p is None else call(p)), "_said_")
+    said = said.withColumn("answer", F.when(F.col("prompt").isNull(), REFUSAL).otherwise(F.col("_said_answer")))
+    said = said.withColumn("_asked", evalkit.judge_prompt(F.col("question"), F.col("answer"), F.col("answerable"), F.col("facts")))
+    said = outcome.called(said, "_asked", judge and (lambda p: None if p is None else judge(p)), "_judged_")
+    said = said.withColumn("verdict", F.when(F.col("_judged_answer").isNotNull(), evalkit.verdict(F.col("_judged_answer"), F.col("answerable"))))
     hit = F.when(F.col("arm") == ARMS[0], evalkit.retrieval_hit(F.col("expected"), F.col("target_title")))
-    return said.select(case, "arm", "prompt", "answer", "error", evalkit.refuses(F.col("answer")).alias("refused"), evalkit.facts_covered(F.col("answer"), F.col("facts")).alias("facts"), hit.alias("hit"), "target_title")
+    cost = F.round(sum((F.coalesce(c, F.lit(0.0)) for c in ("_said_usd", "_judged_usd")), F.coalesce("_usd", F.lit(0.0))), 6)
+    return said.select(
+        case, "arm", "prompt", "answer", F.coalesce("_said_error", "_judged_error").alias("error"), "verdict", F.col("verdict").isin(*evalkit.RIGHT).alias("correct"),
+        evalkit.refuses(F.col("answer")).alias("refused"), evalkit.facts_covered(F.col("answer"), F.col("facts")).alias("facts"), hit.alias("hit"), "target_title",
+        cost.alias("cost_usd"), F.when(F.col("prompt").isNull(), F.lit(0).cast("long")).otherwise(F.col("_said_ms")).alias("latency_ms"),
+    )
 
 
 def scope_inputs(nodes: DataFrame, pages: DataFrame, limit: int = 6000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators.sizes import small
 
 # The repeated title of the document; kinds of headings and their levels, in order of precedence.
 TITLE = r"(?iu)REDDITI\s+PERSONE\s+FISICHE.*ISTRUZIONI"
@@ -18,8 +19,10 @@ KINDS = (
     (r"(?iu)^\s*codic[ei]\b", "codice", 4),
 )
 LEVELS = 4
+# How a heading and front matter are written, and what names a running header.
 _HEADING = r"^#{1,6}\s+(.*\S)\s*$"
 _FRONT = r"(?s)\A---\n.*?\n---\n"
+_LETTER, _NUMERAL = r"(?iu)QUADRO\s+([A-Z]{1,2})", r"(?iu)SEZIONE\s+([IVX]+(?:\s+[A-Z])?)"
 
 
 def heading_level(title: Column) -> Column:
@@ -49,7 +52,7 @@ def headings(pages: DataFrame, doc: str, page: str, markdown: str) -> DataFrame:
 
 def dedup_key(kind: Column, title: Column) -> Column:
     """What makes a running header the same one; null for kinds that never repeat."""
-    letter, numeral = F.regexp_extract(title, r"(?iu)QUADRO\s+([A-Z]{1,2})", 1), F.regexp_extract(title, r"(?iu)SEZIONE\s+([IVX]+(?:\s+[A-Z])?)", 1)
+    letter, numeral = F.regexp_extract(title, _LETTER, 1), F.regexp_extract(title, _NUMERAL, 1)
     of = lambda found: F.when(found != "", F.regexp_replace(F.upper(found), r"\s", "")).otherwise(F.lower(title))
     return F.when(kind == "quadro", F.concat(F.lit("quadro "), of(letter))).when(kind == "sezione", F.concat(F.lit("sezione "), of(numeral)))
 
@@ -64,6 +67,31 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "o
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def numbered_in_ranges(rows: DataFrame, group: list[str], order: str, parts: int, name: str = "ord") -> DataFrame:
+    """numbered() by one integer column, for groups too large for a task: each group is numbered range by range of
+    `order`, and the counts of the ranges before, a row each, are added."""
+    ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    width = max(1, -(-((ends.b or 0) - (ends.a or 0) + 1) // parts))
+    ranged = rows.withColumn("_r", F.coalesce(F.floor((F.col(order) - F.lit(ends.a or 0)) / width), F.lit(-1)))  # nulls come first
+    counts = ranged.groupBy(*group, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_r").alias("_range"), earlier.alias("_base"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], F.col("_r") == F.col("_range"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_r").orderBy(order)))
+    return placed.join(small(bases), same).withColumn(name, (F.col("_place") + F.col("_base")).cast("int")).drop("_r", "_range", "_place", "_base", *[f"_{g}" for g in group])
+
+
+def kind_histogram(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., kind, n)."""
+    return nodes.groupBy(*(by or []), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lines(nodes: DataFrame) -> DataFrame:
+    """nodes with `line`: kind, title and pages, indented by level."""
+    indent = F.repeat(F.lit("  "), F.col("level") - 1)
+    return nodes.withColumn("line", F.concat(indent, F.lit("- ["), "kind", F.lit("] "), "title", F.lit("  (p."), "page", F.lit("-"), "page_end", F.lit(")")))
+
+
 def blocks(pages: DataFrame, group: list[str], page: str) -> DataFrame:
     """(group, page, block_start, block_end): runs of consecutive pages."""
     distinct = pages.select(*group, page).distinct()

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from quire.functions import quality
 from quire.functions import text as tx
 from quire.operators import evalkit, index, layout, ledger, outcome, retrieval, store, tree
-from quire.sources.tables import table
+from quire.sources.tables import by_key, of, table
 from quire.streaming.ledger import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-ALIASES = [("the", ["thing", "then"]), ("und", ["oder", "auch"]), ("que", ["como"]), ("les", ["des", "aux"]), ("ing", ["tion"]), ("ation", ["ness"]), ("keit", ["heit"]), ("zzz", ["never"])]
+ALIASES = {"the": ["thing house", "then"], "und": ["oder", "auch hier"], "que": ["como"], "les": ["des", "aux"], "ing": ["tion"], "ation": ["ness of them"], "keit": ["heit"], "zzz": ["never"]}
 FACTS, MARKERS = ("the", "tion"), ("thand", "entz")
 
 
@@ -60,13 +60,14 @@ sc AS (SELECT item_id, node_id, round(sum(weight), 4) AS score FROM qt JOIN idx
 m AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS place FROM sc)"""
 
 
-def _index(spark: SparkSession, sf: str) -> DataFrame:
+def _index(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
     items = _documents(spark, sf).select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.regexp_replace("text", r"^[^\n]*\n?", "").alias("summary"))
-    return index.keyword_index(items, "doc_id", {"title": 3.0, "summary": 1.0})
+    return index.keyword_index(items, "doc_id", {"title": 3.0, "summary": 1.0}, asked=asked)
 
 
 def _match(spark: SparkSession, sf: str) -> DataFrame:
-    return index.match(table(spark, sf, "benchmark"), "item_id", "text", _index(spark, sf))
+    asked = table(spark, sf, "benchmark")
+    return index.match(asked, "item_id", "text", _index(spark, sf, index.asked_terms(asked, "item_id", "text")))
 
 
 @query(f"WITH {_INDEX} SELECT term, node_id, tf, df, weight FROM idx")
@@ -91,12 +92,42 @@ def retrieval_gate(spark, sf):
     return index.gate(table(spark, sf, "benchmark"), "item_id", _match(spark, sf))
 
 
-@query("""WITH a(term, more) AS (VALUES {}),
-x AS (SELECT b.item_id, b.text, string_agg(more, ' ' ORDER BY a.term) AS more FROM benchmark b LEFT JOIN a ON contains(translate(lower(b.text), '{}', '{}'), a.term) GROUP BY ALL)
-SELECT item_id, text || ' ' || coalesce(more, '') AS text FROM x""".format(", ".join(f"('{t}', '{' '.join(e)}')" for t, e in ALIASES), tx.ACCENTED, tx.PLAIN))
+_PLAIN = f"translate(lower({{}}), '{tx.ACCENTED}', '{tx.PLAIN}')"
+
+
+def _expansions_sql(expansions: list[str]) -> str:
+    each = [f"(SELECT {_BOTH} FROM (SELECT {_terms_sql(repr(e))} AS u))" for e in expansions]
+    return each[0] if len(each) == 1 else f"list_concat({', '.join(each)})"
+
+
+_MORE = ", ".join(f"CASE WHEN contains({_PLAIN.format('text')}, '{a}') THEN {_expansions_sql(e)} ELSE [] END AS m{i}" for i, (a, e) in enumerate(ALIASES.items()))
+
+
+@query(f"""WITH q AS (SELECT item_id, {_terms_sql("text")} AS u, {_MORE} FROM benchmark)
+SELECT item_id, array_to_string({_BOTH}, '|') || '+' || {" || '+' || ".join(f"array_to_string(m{i}, '|')" for i in range(len(ALIASES)))} AS terms FROM q""")
 def alias_expand(spark, sf):
-    aliases = spark.createDataFrame(ALIASES, "term string, expand array<string>")
-    return index.expand(table(spark, sf, "benchmark"), "item_id", "text", aliases)
+    """The terms of each question and, apart, those of each alias."""
+    asked = table(spark, sf, "benchmark")
+    own = index.expanded(F.col("text"), {})
+    rest = [F.slice(index.expanded(F.col("text"), {a: e}), F.size(own) + 1, F.lit(1000)) for a, e in ALIASES.items()]
+    return asked.select("item_id", F.array_join(F.array(*[F.array_join(x, "|") for x in (own, *rest)]), "+").alias("terms"))
+
+
+_ALIASED = f"""{_INDEX},
+q AS (SELECT item_id, {_terms_sql("text")} AS u, {_MORE} FROM benchmark),
+qt AS (SELECT item_id, unnest({_BOTH}) AS term FROM q {" ".join(f"UNION SELECT item_id, unnest(m{i}) FROM q" for i in range(len(ALIASES)))}),
+sc AS (SELECT item_id, node_id, round(sum(weight), 4) AS score FROM (SELECT DISTINCT * FROM qt) JOIN idx USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_ALIASED} SELECT item_id, node_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS place FROM sc) WHERE place <= 8")
+def alias_match(spark, sf):
+    asked = table(spark, sf, "benchmark")
+    return index.match(asked, "item_id", "text", _index(spark, sf, index.asked_terms(asked, "item_id", "text", ALIASES)), aliases=ALIASES)
+
+
+@query(f"WITH {_INDEX} SELECT count(*) AS entries, count(DISTINCT term) AS terms, count(DISTINCT node_id) AS nodes FROM idx")
+def index_sizes(spark, sf):
+    return index.sizes(_index(spark, sf))
 
 
 _BOILER = r"""l AS (SELECT DISTINCT doc_id, lang, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM documents),
@@ -193,12 +224,25 @@ def lint_report(spark, sf):
   regexp_matches(cand, '^\\s*$') OR len(list_filter(['{"', '".join(m.replace("'", "''") for m in quality.REFUSALS)}'], lambda x: contains(lower(cand), x))) > 0 AS refused FROM p)
 SELECT doc_id, overlap < 0.6 AS low_overlap, number_recall < 0.95 AS missing_numbers, lost AS lost_words, refused, (overlap < 0.6 OR number_recall < 0.95 OR lost OR refused) AS review FROM m""")
 def check_report(spark, sf):
-    found = _pairs(spark, sf).withColumns(quality.check_columns(F.col("cand"), F.col("text"), words=("the",))).withColumns(quality.verdict_columns())
+    found = quality.checked(_pairs(spark, sf), "cand", "text", words=("the",))
     has = lambda r: F.array_contains("reasons", r)
     parts = [has("low overlap").alias("low_overlap"), has("missing numbers").alias("missing_numbers"), has("critical words").alias("lost_words"), has("empty or refusal").alias("refused")]
     return found.select("doc_id", *parts).withColumn("review", F.expr("low_overlap or missing_numbers or lost_words or refused"))
 
 
+@query(r"""WITH h AS (SELECT doc_id, replace(replace(text, chr(10) || 'T', chr(10) || '## T'), chr(10) || 'A', chr(10) || '### A') AS t FROM documents)
+SELECT doc_id, len(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, '## ') OR starts_with(x, '### ')))::INT AS headings FROM h""")
+def heading_counts(spark, sf):
+    """Lines that begin with T or A, behind the first one, made headings."""
+    marked = F.replace(F.replace("text", F.lit("\nT"), F.lit("\n## T")), F.lit("\nA"), F.lit("\n### A"))
+    return _documents(spark, sf).select("doc_id", quality.heading_count(marked).alias("headings"))
+
+
+@query("SELECT doc_id, length(replace(replace(text, 'the', ''), '. ', '')) AS length FROM documents")
+def without_artifacts(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.length(quality.without_artifacts(F.col("text"), ("the", ". "))).alias("length"))
+
+
 @query(f"WITH {_PAIRS_SQL} SELECT doc_id, (list_sort({_NUMS('text')}) <> list_sort({_NUMS('cand')})) OR {_count_sql('the', 'cand')} <> {_count_sql('the', 'text')} AS differs FROM p")
 def audit_diff(spark, sf):
     return _pairs(spark, sf).select("doc_id", quality.audit_differs(F.col("text"), F.col("cand"), ("the",)).alias("differs"))
@@ -247,6 +291,12 @@ def line_geometry(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("median_width", "wide", "gutter_ratio")})
 
 
+@query("""SELECT o_orderstatus AS kind, count(*) AS pages, round(avg((o_orderkey % 1000) * 0.25), 3) AS overlap, round(avg((o_custkey % 100) * 0.5), 3) AS cost FROM orders GROUP BY 1""")
+def class_means(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr("o_orderstatus AS kind", "(o_orderkey % 1000) * 0.25D AS overlap", "(o_custkey % 100) * 0.5D AS cost")
+    return layout.class_means(rows, "kind", ["overlap", "cost"])
+
+
 @query("""WITH s AS (SELECT l_suppkey, l_quantity AS v, sum(l_linenumber) AS w FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, v AS mode, w::BIGINT AS weight FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, v) AS r FROM s) WHERE r = 1""")
 def weighted_mode(spark, sf):
@@ -304,6 +354,32 @@ def governance(spark, sf):
     return store.governance(done, table(spark, sf, "labels").selectExpr("toxic = 1 AS gate_miss"))
 
 
+_RUN = """c AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS route, o_orderkey % 3 AS escalations, CASE WHEN o_orderpriority = '1-URGENT' THEN 'needs_human' ELSE 'ok' END AS status, (o_custkey % 16) * 0.25 AS usd FROM orders)"""
+
+
+@query(f"""WITH {_RUN}, a AS (SELECT count(*) FILTER (toxic = 1) AS gate_misses FROM labels)
+SELECT count(*) AS pages, count(*) FILTER (route = 'A') AS route_a, count(*) FILTER (route = 'B') AS route_b, count(*) FILTER (escalations > 0) AS escalated, count(*) FILTER (status = 'needs_human') AS needs_human, count(*) FILTER (escalations > 0)::DOUBLE / count(*) AS rate, min(gate_misses) AS gate_misses, min(gate_misses) > 0 AS breaker_tripped, sum(usd)::DOUBLE AS usd FROM c, a""")
+def run_summary(spark, sf):
+    done = table(spark, sf, "orders").selectExpr("if(o_orderstatus = 'F', 'A', 'B') AS route", "o_orderkey % 3 AS escalations", "if(o_orderpriority = '1-URGENT', 'needs_human', 'ok') AS status", "(o_custkey % 16) * 0.25D AS usd")
+    return outcome.run_summary(done, table(spark, sf, "labels").selectExpr("toxic = 1 AS gate_miss"))
+
+
+@query("""SELECT count(*) AS pages, count(*) FILTER (o_orderstatus = 'F') AS transcribed, count(*) FILTER (o_orderstatus = 'O') AS skipped, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderpriority = '1-URGENT') AS needs_review, sum((o_custkey % 16) * 0.25)::DOUBLE AS usd, sum((o_custkey % 16) * 0.125)::DOUBLE AS eur FROM orders""")
+def batch_summary(spark, sf):
+    status = "CASE o_orderstatus WHEN 'F' THEN 'transcribed' WHEN 'O' THEN 'skipped' ELSE 'failed' END AS status"
+    return outcome.batch_summary(table(spark, sf, "orders").selectExpr(status, "o_orderpriority = '1-URGENT' AS needs_review", "(o_custkey % 16) * 0.25D AS usd", "(o_custkey % 16) * 0.125D AS eur"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
+def row_by_key(spark, sf):
+    return by_key(table(spark, sf, "customer").select("c_custkey", "c_name"), c_custkey=42)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey = 7")
+def rows_of(spark, sf):
+    return of(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey", c_nationkey=7)
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_reviews(spark, sf):
     return store.pending(_documents(spark, sf).select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"])
@@ -354,7 +430,8 @@ SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) A
 def first_occurrence(spark, sf):
     docs = _documents(spark, sf)
     kept = docs.groupBy("source", F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"))
-    return tree.numbered(kept, ["source"], ["doc_id"]).select("doc_id", "source", "ord")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tree.numbered_in_ranges(kept, ["source"], "doc_id", parts).select("doc_id", "source", "ord")
 
 
 _TALK = "c AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations)"
@@ -416,13 +493,14 @@ def _turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return nodes.drop("text", "role"), talk.select("doc", F.col("ord").alias("page"), "text"), pins
 
 
-def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
+def _turn_words(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
     items = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("node_id"), "text")
-    return index.keyword_index(items, "node_id", {"text": 1.0})
+    return index.keyword_index(items, "node_id", {"text": 1.0}, asked=asked)
 
 
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    asked, words = table(spark, sf, "benchmark"), _turn_words(spark, sf)
+    asked = table(spark, sf, "benchmark")
+    words = _turn_words(spark, sf, index.asked_terms(asked, "item_id", "text"))
     choices = index.match(asked, "item_id", "text", words, 64).select("item_id", "node_id", "score")
     return retrieval.run(asked, "item_id", "text", *_turns(spark, sf), words, choices)
 
@@ -454,7 +532,7 @@ def baseline_context(spark, sf):
 @query()
 def case_arms(spark, sf):
     """Each item asks for its own text of the conversation of its number."""
-    cases = table(spark, sf, "benchmark").select("item_id", F.col("item_id").alias("doc"), F.col("text").alias("question"), F.col("text").alias("expected"), F.array("text").alias("facts"))
+    cases = table(spark, sf, "benchmark").select("item_id", F.col("item_id").alias("doc"), F.col("text").alias("question"), F.col("text").alias("expected"), F.array("text").alias("facts"), F.lit(True).alias("answerable"))
     return retrieval.run_cases(cases, "item_id", _retrieved(spark, sf), retrieval.baseline(_turns(spark, sf)[1]))
 
 
@@ -468,6 +546,30 @@ def scope_inputs(spark, sf):
     return _scopes(spark, sf).select("node_id", "is_leaf", "child_titles", "own_text", "message")
 
 
+@query("SELECT CASE role WHEN 'system' THEN 'quadro' WHEN 'user' THEN 'sezione' ELSE 'rigo' END AS kind, count(*) AS n FROM conversations GROUP BY 1")
+def kind_histogram(spark, sf):
+    return tree.kind_histogram(_turns(spark, sf)[0])
+
+
+@query("""WITH p AS (SELECT b.item_id, b.text, r.r_regionkey, row_number() OVER (PARTITION BY b.item_id ORDER BY r_regionkey) - 1 AS i, count(*) OVER (PARTITION BY b.item_id) AS n FROM benchmark b, region r),
+r AS (SELECT item_id, text, r_regionkey FROM p WHERE i = length(text) % n),
+c AS (SELECT r.*, n_nationkey, row_number() OVER (PARTITION BY item_id ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n FROM r JOIN nation ON n_regionkey = r_regionkey)
+SELECT item_id, (100 + n_nationkey)::BIGINT AS node_id, (1 + r_regionkey) || ',' || (100 + n_nationkey) AS path FROM c WHERE i = length(text) % n""")
+def descent_by_replies(spark, sf):
+    """From regions to nations by a stand-in for a model, which takes the child in the place of the question's length."""
+
+    def choose(prompt: str) -> str:
+        listed, _, question = prompt.partition("\n\nDomanda: ")
+        ids = [x[1 : x.index("]")] for x in listed.split("\n") if x.startswith("[")]
+        return ids[len(question) % len(ids)]
+
+    none = F.lit(None).cast("string")
+    regions = table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("node_id"), none.cast("int").alias("parent_id"), F.col("r_regionkey").alias("ord"), F.lit("region").alias("kind"), F.col("r_name").alias("title"), none.alias("summary"))
+    nations = table(spark, sf, "nation").select((F.col("n_nationkey") + 100).alias("node_id"), (F.col("n_regionkey") + 1).alias("parent_id"), F.col("n_nationkey").alias("ord"), F.lit("nation").alias("kind"), F.col("n_name").alias("title"), none.alias("summary"))
+    found = index.descend_by(regions.unionByName(nations), table(spark, sf, "benchmark"), "item_id", "text", choose)
+    return found.select("item_id", "node_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 @query()
 def representative_run(spark, sf):
     return retrieval.representative(_scopes(spark, sf), 3).select("doc", "node_id", "kind", "is_leaf")
@@ -532,6 +634,14 @@ def breaker_state(spark, sf):
     return outcome.breaker(rows, ["source"], ["doc_id"], F.col("toxic") == 1).select("doc_id", "source", "open")
 
 
+@query("""WITH b AS (SELECT doc_id, source, coalesce(max(toxic) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS open FROM documents JOIN labels USING (doc_id))
+SELECT source, CASE WHEN open THEN 'strong' ELSE 'economical' END AS tier, count(*) AS n FROM b GROUP BY ALL""")
+def start_tiers(spark, sf):
+    rows = _documents(spark, sf).select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
+    opened = outcome.breaker(rows, ["source"], ["doc_id"], F.col("toxic") == 1)
+    return outcome.start_tier(opened).groupBy("source", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------
 
 @query("""SELECT 'status' AS dimension, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
@@ -558,6 +668,20 @@ def eval_summary(spark, sf):
     return evalkit.summary(_results(spark, sf), ["lang", "source"])
 
 
+@query(f"""WITH {_RESULTS}, s AS (SELECT lang, source, {_MEASURES} FROM e GROUP BY ALL)
+SELECT lang, source, printf('  %-28s %3d  %7.0f%%  %8s  %7.3f  %6d', lang || ' · ' || source, n, round_even(correct_pct, 0), CASE WHEN hit_pct IS NULL THEN '—' ELSE printf('%.0f%%', round_even(hit_pct, 0)) END, cost, latency_ms) AS line FROM s""")
+def eval_table(spark, sf):
+    return evalkit.table_lines(evalkit.summary(_results(spark, sf), ["lang", "source"]), ["lang", "source"])
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, upper(CASE turn % 5 WHEN 0 THEN 'Errato, non corretto' WHEN 1 THEN 'corretto' WHEN 2 THEN 'Non_Rifiutato' WHEN 3 THEN 'rifiuto_ok.' ELSE text END) AS up, conv_id % 2 = 0 AS answerable FROM conversations)
+SELECT conv_id, turn, CASE WHEN answerable THEN CASE WHEN contains(up, 'ERRATO') THEN 'ERRATO' WHEN contains(up, 'PARZIALE') THEN 'PARZIALE' WHEN contains(up, 'CORRETTO') THEN 'CORRETTO' ELSE 'INDETERMINATO' END
+  WHEN contains(up, 'NON_RIFIUTATO') THEN 'NON_RIFIUTATO' WHEN contains(up, 'RIFIUTO_OK') THEN 'RIFIUTO_OK' ELSE 'INDETERMINATO' END AS verdict FROM a""")
+def judge_verdicts(spark, sf):
+    reply = F.expr("CASE turn % 5 WHEN 0 THEN 'Errato, non corretto' WHEN 1 THEN 'corretto' WHEN 2 THEN 'Non_Rifiutato' WHEN 3 THEN 'rifiuto_ok.' ELSE text END")
+    return table(spark, sf, "conversations").select("conv_id", "turn", evalkit.verdict(reply, F.col("conv_id") % 2 == 0).alias("verdict"))
+
+
 @query(f"WITH {_RESULTS} SELECT 'lang' AS level, lang, NULL AS value, {_MEASURES} FROM e GROUP BY lang UNION ALL SELECT 'source', lang, source, {_MEASURES} FROM e GROUP BY lang, source UNION ALL SELECT 'kind', lang, kind, {_MEASURES} FROM e GROUP BY lang, kind")
 def eval_report_rollup(spark, sf):
     return evalkit.rollup(_results(spark, sf), "lang", ["source", "kind"])
@@ -579,56 +703,89 @@ def refusal_and_coverage(spark, sf):
     return said.select("conv_id", "turn", evalkit.refuses(F.col("text"), MARKERS).alias("refused"), covered["hits"].alias("hits"), covered["total"].alias("total"))
 
 
-# --- small given rows, where the tables hold nothing of the kind ------------------------------------------------
+# --- conversations as markdown: system, user and assistant turns under headings of three kinds --------------------
 
-PAGES = [
-    ("d", 69, "---\nx: 1\n---\n# QUADRO RP - Oneri\nRegole del quadro\n## Nota\nvalgono sempre"),
-    ("d", 70, "# QUADRO RP\n## SEZIONE I\nTesto della sezione\n### Rigo RP1 Spese\nspese sanitarie"),
-    ("d", 71, "# SEZIONE I\n### Rigo RP2 Altre\naltre spese\n#### codice 4\nmutui"),
-    ("d", 74, "# QUADRO RP\n## SEZIONE II\n### Righi da RP8 a RP13\ncodici vari"),
-]
+def _markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, turn, markdown): a page for each turn, below a heading; system and user turns repeat theirs."""
+    numeral = F.element_at(F.array(*map(F.lit, ("I", "II", "III"))), (F.col("turn") % 3 + 1).cast("int"))
+    heading = F.when(F.col("role") == "system", "# QUADRO RP - Regole").when(F.col("role") == "user", F.concat(F.lit("## SEZIONE "), numeral, F.lit(" - Domande"))).otherwise(F.concat(F.lit("### Rigo RP"), "turn", F.lit(" Risposta")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(heading, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("markdown"))
 
 
-def _given(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGES, "doc string, page int, markdown string")
+_HEADS = """h AS (SELECT conv_id, turn, text, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, CASE role WHEN 'system' THEN 'quadro' WHEN 'user' THEN 'sezione' ELSE 'rigo' END AS kind,
+  CASE role WHEN 'system' THEN 'QUADRO RP - Regole' WHEN 'user' THEN 'SEZIONE ' || ['I', 'II', 'III'][turn % 3 + 1] || ' - Domande' ELSE 'Rigo RP' || turn || ' Risposta' END AS title FROM conversations)"""
+_NODES = f"""{_HEADS},
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, title ORDER BY turn) AS nth FROM h),
+k AS (SELECT conv_id, turn, text, level, kind, title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM f WHERE nth = 1 OR level = 3),
+i AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations),
+e AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id, island) AS block_end FROM i),
+r AS (SELECT a.conv_id, a.ord, max(CASE WHEN b.ord < a.ord AND b.level < a.level THEN b.ord END) AS parent_ord, min(CASE WHEN b.ord > a.ord AND b.level <= a.level THEN b.turn END) AS np, min(CASE WHEN b.turn > a.turn THEN b.turn END) AS later FROM k a JOIN k b USING (conv_id) GROUP BY ALL),
+g AS (SELECT k.*, parent_ord, later, greatest(turn, CASE WHEN np IS NULL THEN block_end WHEN np > turn THEN least(block_end, np - 1) ELSE turn END) AS page_end FROM k JOIN r USING (conv_id, ord) JOIN e USING (conv_id, turn)),
+nodes AS (SELECT *, coalesce(later, page_end) AS serve_end FROM g)"""
+_ENDS = r"'^\s+|\s+$', '', 'g'"
+_PINS = rf"pins AS (SELECT conv_id, ord, kind, title, substring(regexp_replace(text, {_ENDS}), 1, 4000) AS pin FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes c WHERE c.conv_id = n.conv_id AND c.parent_ord = n.ord) AND regexp_replace(text, {_ENDS}) <> '')"
 
 
-@query()
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.build(_markdown(spark, sf), "conv_id", "turn", "markdown")
+
+
+@query(f"WITH {_HEADS} SELECT conv_id, turn, 0 AS at, title, level, kind FROM h")
 def heading_parse(spark, sf):
-    return tree.headings(_given(spark), "doc", "page", "markdown")
+    return tree.headings(_markdown(spark, sf), "conv_id", "turn", "markdown")
 
 
-@query()
+@query(f"WITH {_NODES} SELECT conv_id, turn, ord, title, level, kind, parent_ord, page_end, serve_end FROM nodes")
 def node_tree(spark, sf):
-    return tree.build(_given(spark), "doc", "page", "markdown")
+    return _tree(spark, sf).select("conv_id", "turn", "ord", "title", "level", "kind", "parent_ord", "page_end", "serve_end")
 
 
-@query()
+@query(f"WITH {_NODES} SELECT conv_id, ord, repeat('  ', level - 1) || '- [' || kind || '] ' || title || '  (p.' || turn || '-' || page_end || ')' AS line FROM nodes")
+def tree_lines(spark, sf):
+    return tree.lines(_tree(spark, sf).withColumnRenamed("turn", "page")).select("conv_id", "ord", "line")
+
+
+@query(f"WITH {_NODES}, {_PINS} SELECT conv_id, ord, pin AS text FROM pins")
 def preamble_pins(spark, sf):
-    return tree.preambles(tree.build(_given(spark), "doc", "page", "markdown"), _given(spark), "doc", "page", "markdown")
+    return tree.preambles(_tree(spark, sf), _markdown(spark, sf), "conv_id", "turn", "markdown")
 
 
-@query()
+@query(rf"""WITH {_NODES}, {_PINS},
+up AS (SELECT n.conv_id, n.ord, n.parent_ord AS a, 1 AS d FROM nodes n WHERE n.parent_ord IS NOT NULL
+  UNION ALL SELECT n.conv_id, n.ord, p.parent_ord, 2 FROM nodes n JOIN nodes p ON p.conv_id = n.conv_id AND p.ord = n.parent_ord WHERE p.parent_ord IS NOT NULL),
+rules AS (SELECT up.conv_id, up.ord, string_agg('[' || kind || '] ' || title || chr(10) || pin, chr(10) || chr(10) ORDER BY d DESC) AS rules FROM up JOIN pins ON pins.conv_id = up.conv_id AND pins.ord = up.a GROUP BY ALL),
+pages AS (SELECT conv_id, turn AS page, regexp_replace(CASE role WHEN 'system' THEN '# ' WHEN 'user' THEN '## ' ELSE '### ' END || title || chr(10) || text, {_ENDS}) AS body FROM h JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn)),
+served AS (SELECT n.conv_id, n.ord, string_agg(body, chr(10) || chr(10) ORDER BY page) AS entry FROM nodes n JOIN pages ON pages.conv_id = n.conv_id AND page BETWEEN n.turn AND n.serve_end GROUP BY ALL)
+SELECT n.conv_id, n.ord, CASE WHEN rules IS NULL THEN '' ELSE '{retrieval.GOVERNING}' || chr(10) || chr(10) || rules || chr(10) || chr(10) END || '{retrieval.ENTRY}' || chr(10) || n.title || chr(10) || coalesce(entry, '') AS context
+FROM nodes n LEFT JOIN rules USING (conv_id, ord) LEFT JOIN served USING (conv_id, ord)""")
 def served_context(spark, sf):
-    nodes = tree.build(_given(spark), "doc", "page", "markdown")
-    pins = tree.collected_pins(nodes, tree.preambles(nodes, _given(spark), "doc", "page", "markdown"), "doc")
-    entries = tree.range_text(nodes.select("doc", "ord", "page", "serve_end").withColumnRenamed("page", "first"), _given(spark), "ord", "doc", "first", "serve_end", "page", "markdown")
-    joined = entries.join(pins, ["doc", "ord"], "left")
-    return joined.select("doc", "ord", index.served_context(F.coalesce("pins", F.array().cast("array<string>")), F.col("markdown")).alias("context"))
+    nodes, marked = _tree(spark, sf), _markdown(spark, sf)
+    pins = tree.preambles(nodes, marked, "conv_id", "turn", "markdown")
+    ids = {"doc": F.col("conv_id"), "page": F.col("turn"), "node_id": F.concat_ws(":", "conv_id", "ord"), "parent_id": F.when(F.col("parent_ord").isNotNull(), F.concat_ws(":", "conv_id", "parent_ord"))}
+    named, owned = nodes.withColumns(ids), pins.select(F.concat_ws(":", "conv_id", "ord").alias("node_id"), "text")
+    pages = marked.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.col("markdown").alias("text"))
+    return retrieval.served(named, pages, owned).join(named.select("node_id", "conv_id", "ord"), "node_id").select("conv_id", "ord", F.col("served_text").alias("context"))
 
 
-@query()
+@query("""SELECT doc_id, '[{"code":"1","label":"' || source || ' alpha"},{"code":"2","label":"beta gamma"}]' AS pairs, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '1,2' END AS issues FROM documents""")
 def code_pair_mismatch(spark, sf):
-    rows = [(1, "1 = spese mediche; 2 = interessi mutui", "1 = interessi mutui; 2 = spese mediche"), (2, "1 = spese mediche", "1* = spese mediche"), (3, "", "3 = x")]
-    pairs = spark.createDataFrame(rows, "page int, cand string, ref string")
-    found = pairs.select("page", quality.code_pairs(F.col("ref")).alias("pairs"), quality.code_mismatches(F.col("cand"), F.col("ref")).alias("issues"))
-    return found.select("page", F.to_json("pairs").alias("pairs"), F.array_join(F.transform("issues", lambda x: x["code"]), ",").alias("issues"))
+    """Pages that list two codes, with their labels swapped in the candidates of odd documents."""
+    said = lambda a, b: F.concat(F.lit("1* = "), a, F.lit("; 2 = "), b, F.lit("\n1 = other"))
+    first, second = F.concat("source", F.lit(" alpha")), F.lit("beta gamma")
+    swapped = F.col("doc_id") % 2 == 1
+    pairs = _documents(spark, sf).select("doc_id", said(first, second).alias("ref"), F.when(swapped, said(second, first)).otherwise(said(first, second)).alias("cand"))
+    found = pairs.select("doc_id", quality.code_pairs(F.col("ref")).alias("pairs"), quality.code_mismatches(F.col("cand"), F.col("ref")).alias("issues"))
+    return found.select("doc_id", F.to_json("pairs").alias("pairs"), F.array_join(F.transform("issues", lambda x: x["code"]), ",").alias("issues"))
 
 
-@query()
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN (doc_id % 40) = (n_chars % 40) WHEN 1 THEN (doc_id % 7) = (n_chars % 7) WHEN 2 THEN NULL WHEN 3 THEN (doc_id % 3) = (n_chars % 3) ELSE contains(lower(source), lower(lang)) END AS hit FROM documents""")
 def retrieval_hit(spark, sf):
-    rows = [("RP7, cod. art", "Rigo RP 7"), ("spese, codice 29", "codice 29 Spese"), ("RP1", "Rigo RP10"), (None, "x"), ("RP1", None), ("Sezione III-B", "SEZIONE III B altro"), ("oneri", "Altri oneri")]
-    return spark.createDataFrame(rows, "expected string, title string").select("expected", "title", evalkit.retrieval_hit(F.col("expected"), F.col("title")).alias("hit"))
+    """Expected rows, codes, nothing, sections and plain text by turns, against a title of the same kind."""
+    roman = "element_at(array('i', 'ii', 'iii'), cast({} % 3 AS int) + 1)"
+    expected = f"CASE doc_id % 5 WHEN 0 THEN concat('RP', doc_id % 40, ', nota') WHEN 1 THEN concat('spese, codice ', doc_id % 7) WHEN 3 THEN concat('Sezione ', {roman.format('doc_id')}) WHEN 4 THEN lang END"
+    title = f"CASE doc_id % 5 WHEN 0 THEN concat('Rigo RP ', n_chars % 40, ' spese') WHEN 1 THEN concat('codice ', n_chars % 7, ' Altro') WHEN 3 THEN concat('SEZIONE ', {roman.format('n_chars')}, ' altro') ELSE source END"
+    docs = _documents(spark, sf).selectExpr("doc_id", f"{expected} AS expected", f"{title} AS title")
+    return docs.select("doc_id", evalkit.retrieval_hit(F.col("expected"), F.col("title")).alias("hit"))
 
 
 @query()

@@ -10,6 +10,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def by_key(df: DataFrame, **key) -> DataFrame:
+    """The row of a key; none where it is missing."""
+    return of(df, **key).limit(1)
+
+
+def of(df: DataFrame, *order: str, **values) -> DataFrame:
+    """Rows whose columns have these values (null too), in the order of columns if any are given."""
+    for c, v in values.items():
+        df = df.where(F.col(c).eqNullSafe(F.lit(v)))
+    return df.orderBy(*order) if order else df
+
+
 def page_files(spark: SparkSession, folder: str, suffix: str = "md") -> DataFrame:
     """(n, text) of files named p<number>; whatever is missing simply has no row."""
     files = spark.read.option("pathGlobFilter", f"p*.{suffix}").text(folder, wholetext=True)
@@ -40,12 +52,12 @@ def question_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, categoria string, difficolta string, hops int, answerable boolean, domanda string, expected_target string, must_include array<string>, origin string")
 
 
-def alias_table(spark: SparkSession, path: str) -> DataFrame:
+def alias_table(path: str) -> dict[str, list[str]]:
+    """Terms and what they are expanded to, from a configuration file."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        rows = [(a["term"], [str(x) for x in a["expand"]]) for a in (yaml.safe_load(f) or {}).get("aliases", [])]
-    return spark.createDataFrame(rows, "term string, expand array<string>")
+        return {str(a["term"]): [str(x) for x in a["expand"]] for a in (yaml.safe_load(f) or {}).get("aliases", [])}
 
 
 def settings(path: str) -> dict:

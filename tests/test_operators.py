@@ -15,6 +15,14 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)
 
 
+PAGES = [
+    ("d", 69, "---\nx: 1\n---\n# QUADRO RP - Oneri\nRegole del quadro\n## Nota\nvalgono sempre"),
+    ("d", 70, "# QUADRO RP\n## SEZIONE I\nTesto della sezione\n### Rigo RP1 Spese\nspese sanitarie"),
+    ("d", 71, "# SEZIONE I\n### Rigo RP2 Altre\naltre spese\n#### codice 4\nmutui"),
+    ("d", 74, "# QUADRO RP\n## SEZIONE II\n### Righi da RP8 a RP13\ncodici vari"),
+]
+
+
 # --- retrieval
 
 
@@ -25,9 +33,16 @@ def test_index_and_match(spark):
     assert weight["sanitarie", 1] > weight["spese", 1] and weight["spese sanitarie", 1] > 0
     asked = spark.createDataFrame([("a", "gli interessi del mutuo: mutui ipotecari?"), ("b", "il dentista"), ("c", None)], "q string, text string")
     assert rows(index.match(asked, "q", "text", idx), "q", "node_id", "place") == [("a", 2, 1)]
-    aliases = spark.createDataFrame([("dentista", ["spese sanitarie"]), ("mutuo", ["casa"])], "term string, expand array<string>")
-    more = index.expand(asked, "q", "text", aliases)
-    assert ("b", 1) in rows(index.match(more, "q", "text", idx), "q", "node_id")
+    aliases = {"dentista": ["spese sanitarie", "visite"], "mutuo": ["casa"]}
+    assert ("b", 1) in rows(index.match(asked, "q", "text", idx, aliases=aliases), "q", "node_id")
+    terms = dict(rows(asked.where("text is not null").select("q", index.expanded(c("text"), aliases).alias("t"))))
+    assert terms["b"] == ["dentista", "spese", "sanitarie", "spese sanitarie", "visite"] and terms["a"][-1] == "casa"
+    few = index.keyword_index(items, "id", {"title": 3.0, "summary": 1.0}, asked=index.asked_terms(asked, "q", "text"))
+    wanted = {(r.term, r.node_id): r.weight for r in few.collect()}
+    assert wanted and all(weight[k] == w for k, w in wanted.items()) and ("spese", 1) not in wanted
+    assert tuple(index.sizes(few).first()) == (len(wanted), len({t for t, _ in wanted}), 1)
+    twice = spark.createDataFrame([("b", "visite dal medico"), ("b", "visite dal medico")], "q string, text string")
+    assert rows(index.match(twice, "q", "text", idx), "node_id", "place") == [(1, 1)]
     assert index.top_keywords(idx, 2).groupBy("node_id").count().agg(F.max("count")).first()[0] == 2
 
 
@@ -49,6 +64,20 @@ def test_descent_and_boilerplate(spark):
     assert rows(index.without_lines(pages, "n", "doc", "text", known), "n", "text") == [(0, "body 0"), (1, "body 1"), (2, "body 2"), (9, "")]
 
 
+def test_descent_by_replies(spark):
+    nodes = [(1, None, "quadro", "A"), (2, 1, "sezione", "B"), (3, 1, "sezione", "C"), (4, 2, "rigo", "D"), (5, 2, "rigo", "E"), (6, 3, "rigo", "F")]
+    nodes = spark.createDataFrame([(i, p, i, k, t, None) for i, p, k, t in nodes], "node_id int, parent_id int, ord int, kind string, title string, summary string")
+    said = {"down": ["2", "[4] sì"], "none": ["nessuna"], "stop": ["2", "ferma."], "bad": ["2", "99"], "only": ["3"], "refused": ["2", "NESSUNA"]}
+
+    def choose(prompt):
+        listed, _, question = prompt.partition("\n\nDomanda: ")
+        return said[question][0 if "Voce corrente: A" in listed else 1]
+
+    asked = spark.createDataFrame([(q, q) for q in said], "q string, text string")
+    got = {r.q: (r.node_id, r.path) for r in index.descend_by(nodes, asked, "q", "text", choose).collect()}
+    assert got == {"down": (4, [1, 2, 4]), "none": (None, [1]), "stop": (2, [1, 2]), "bad": (2, [1, 2]), "only": (6, [1, 3, 6]), "refused": (None, [1, 2])}
+
+
 # --- layout
 
 
@@ -158,8 +187,6 @@ def test_headings_to_pins(spark):
     titles = ["QUADRO RP - Oneri", "SEZIONE I - Spese", "Rigo RP1 Spese", "Righi da RP8 a RP13", "codice 4", "REDDITI PERSONE FISICHE - ISTRUZIONI", "Sezione III A: righi seguenti:", "Altro"]
     df = spark.createDataFrame([(t,) for t in titles], "t string")
     assert [x[0] for x in df.select(tree.heading_level(c("t"))).collect()] == [1, 2, 3, 3, 4, None, None, None]
-    from quire.plans.queries import PAGES
-
     pages = spark.createDataFrame(PAGES, "doc string, page int, markdown string")
     nodes = tree.build(pages, "doc", "page", "markdown")
     kinds = [(r.kind, r.page, r.parent_ord, r.page_end) for r in nodes.orderBy("ord").collect()]
@@ -212,10 +239,69 @@ def test_judging(spark):
     df = spark.createDataFrame([(e, t) for e, t, _ in cases], "e string, t string")
     assert [x[0] for x in df.select(evalkit.retrieval_hit(c("e"), c("t"))).collect()] == [x for _, _, x in cases]
     one = spark.createDataFrame([("Detrazione del 19% oltre 129,11 euro; NON_RIFIUTATO", ["19%", "129,11", "scontrino"])], "a string, f array<string>")
-    got = one.select(evalkit.facts_covered(c("a"), c("f")).alias("x"), evalkit.facts_covered(c("a"), F.array().cast("array<string>")).alias("y"), evalkit.verdict(c("a")).alias("v"), evalkit.refuses(F.lit("Le istruzioni non  contengono la risposta")).alias("r")).first()
+    got = one.select(evalkit.facts_covered(c("a"), c("f")).alias("x"), evalkit.facts_covered(c("a"), F.array().cast("array<string>")).alias("y"), evalkit.verdict(c("a"), F.lit(False)).alias("v"), evalkit.refuses(F.lit("Le istruzioni non  contengono la risposta")).alias("r")).first()
     assert (tuple(got.x), tuple(got.y), got.v, got.r) == ((2, 3), (0, 0), "NON_RIFIUTATO", True)
 
 
+def test_verdicts(spark):
+    replies = [("CORRETTO", True, "CORRETTO"), ("CORRETTO", False, "INDETERMINATO"), ("rifiuto_ok", False, "RIFIUTO_OK"), ("rifiuto_ok", True, "INDETERMINATO"), ("non_rifiutato, non RIFIUTO_OK", False, "NON_RIFIUTATO"), ("errato: non corretto", True, "ERRATO"), (None, True, "INDETERMINATO")]
+    df = spark.createDataFrame([(r, a) for r, a, _ in replies], "r string, a boolean")
+    assert [x[0] for x in df.select(evalkit.verdict(c("r"), c("a"))).collect()] == [v for _, _, v in replies]
+
+
+def test_small_reports(spark, tmp_path):
+    nodes = spark.createDataFrame([("quadro", 1, "Q", 3, 9), ("rigo", 3, "R", 4, 4), ("rigo", 3, "S", 5, 5)], "kind string, level int, title string, page int, page_end int")
+    assert rows(tree.kind_histogram(nodes)) == [("quadro", 1), ("rigo", 2)]
+    assert [r.line for r in tree.lines(nodes).collect()] == ["- [quadro] Q  (p.3-9)", "    - [rigo] R  (p.4-4)", "    - [rigo] S  (p.5-5)"]
+    spike = spark.createDataFrame([("single_column", 0.9, 1.0), ("single_column", 0.8, 0.5), ("table_heavy", 0.9, 0.25)], "k string, a double, b double")
+    assert rows(layout.class_means(spike, "k", ["a", "b"])) == [("single_column", 2, 0.85, 0.75), ("table_heavy", 1, 0.9, 0.25)]
+    done = spark.createDataFrame([("A", 0, "ok", 0.5), ("B", 1, "needs_human", 0.25)], "route string, escalations int, status string, usd double")
+    got = outcome.run_summary(done, spark.createDataFrame([(True,)], "gate_miss boolean")).first()
+    assert (got.pages, got.route_b, got.breaker_tripped, got.usd) == (2, 1, True, 0.75)
+    batch = spark.createDataFrame([("transcribed", True, 1.0, 0.5), ("skipped", False, None, None), ("failed", False, 0.0, 0.0)], "status string, needs_review boolean, usd double, eur double")
+    assert tuple(outcome.batch_summary(batch).first()) == (3, 1, 1, 1, 1, 1.0, 0.5)
+    assert outcome.run_id() != outcome.run_id() and len(outcome.run_id()) == 36
+    assert [x[0] for x in spark.createDataFrame([(0.1,), (0.2,), (0.5,)], "r double").select(outcome.rate_verdict(c("r"))).collect()] == ["cheap first", "undecided", "strong first"]
+    summary = spark.createDataFrame([("nav", 2, 52.5, None, 1.5, 12)], "arm string, n int, correct_pct double, hit_pct double, cost double, latency_ms int")
+    assert evalkit.table_lines(summary, ["arm"]).first().line == f"  {'nav':28} {2:>3}  {52.5:>7.0f}%  {'—':>8}  {1.5:>7.3f}  {12:>6}"
+    reviews = spark.createDataFrame([("correction", "a", "b"), ("false positive", "a", None)], "action string, text_refused string, text_resolved string")
+    one, two = store.resolved(reviews).collect()
+    assert (one.status, two.status) == ("corretta_umano", "accettata_umano") and one.sha_resolved != one.sha_refused == two.sha_resolved == two.sha_refused
+    spans = spark.createDataFrame([(1, 1, 0, "l", 9.0, 0, "ZapfDingbats", 9.0), (1, 1, 1, " voce", 9.0, 0, "x", 9.0), (1, 2, 0, "Titolo", 12.0, 0, "x", 9.0)], "page int, line int, at int, text string, size double, flags int, font string, body double")
+    assert rows(layout.span_text(spans, ["page"], "body"), "line", "text") == [(1, "- voce"), (2, "## Titolo")]
+    wide = spark.createDataFrame([(0, 0, i, 0.0, float(x), 10.0) for i, x in enumerate((1, 2, 2, 9))], "page int, block int, line int, x0 double, x1 double, width double")
+    geometry = layout.page_geometry(wide, ["page"]).first()
+    assert (geometry.n_lines, geometry.median_width, geometry.wide) == (4, 0.2, 0.25)
+
+
+def test_ledger_append(spark, tmp_path, calls):
+    path = str(tmp_path / "ledger")
+    first = ledger.recorded(calls, path)
+    more = ledger.recorded(calls.withColumn("ts", F.lit(None).cast("string")).limit(1), path)
+    assert first.select("call_id").distinct().count() == first.count() == 3 and first.where("ts is null").count() == 0
+    assert more.count() == 1 and more.first().ts.endswith("+00:00")
+    assert ledger.total(spark.read.parquet(path)).first().calls == 4
+
+
+def test_numbering_in_ranges(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, None if i == 7 else i * i) for i in range(40)], "g string, n long")
+    by = lambda f: {(r.g, r.n): r.ord for r in f.collect()}
+    assert by(tree.numbered_in_ranges(df, ["g"], "n", 5)) == by(tree.numbered(df, ["g"], ["n"]))
+    assert tree.numbered_in_ranges(df.limit(0), ["g"], "n", 5).count() == 0
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("aliases:\n- {term: dentista, expand: [spese sanitarie, 36]}\n")
+    (tmp_path / "s.toml").write_text("[gate]\nleast = 8.0\n")
+    assert tables.alias_table(str(tmp_path / "a.yaml")) == {"dentista": ["spese sanitarie", "36"]}
+    assert tables.settings(str(tmp_path / "s.toml"))["gate"]["least"] == 8.0
+    df = spark.createDataFrame([(2, "b", None), (1, "a", "x"), (3, "a", "y")], "n int, k string, v string")
+    tables.write_report(df.orderBy("n"), str(tmp_path / "out"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "out"))) == [("1", "a", "x"), ("2", "b", None), ("3", "a", "y")]
+    assert rows(tables.by_key(df, n=2)) == [(2, "b", None)] and tables.by_key(df, n=9).count() == 0
+    assert [r.n for r in tables.of(df, "n", k="a").collect()] == [1, 3] and rows(tables.of(df, v=None), "n") == [(2,)]
+
+
 def test_reports(spark):
     res = spark.createDataFrame([("nav", "x", True, True, 0.1, 10), ("nav", "y", False, False, 0.2, 15), ("full", "x", True, None, 0.1, 20)], "arm string, origin string, correct boolean, hit boolean, cost double, latency int")
     assert rows(evalkit.summary(res, ["arm"])) == [("full", 1, 1, 100.0, None, 0.1, 20), ("nav", 2, 1, 50.0, 50.0, 0.3, 12)]

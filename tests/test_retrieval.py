@@ -57,8 +57,15 @@ def test_traces(found):
 def test_arms(spark, given, found):
     whole = retrieval.baseline(given[1])
     assert whole.first().text.startswith("== p.1 ==\nuno\n\n== p.2 ==\ndue\n\n")
-    cases = spark.createDataFrame([(1, "d", "farmaci?", "RP1", ["medicinali"]), (7, "e", "x", "RP1", ["y"])], "q int, doc string, question string, expected string, facts array<string>")
-    got = {(r.q, r.arm): r for r in retrieval.run_cases(cases, "q", found, whole, lambda p: p).collect()}
+    cases = spark.createDataFrame([(1, "d", "farmaci?", "RP1", ["medicinali"], True), (7, "e", "x", "RP1", ["y"], False)], "q int, doc string, question string, expected string, facts array<string>, answerable boolean")
+    judge = lambda p: ("RIFIUTO_OK" if retrieval.REFUSAL in p else "CORRETTO", 0.5)
+    got = {(r.q, r.arm): r for r in retrieval.run_cases(cases, "q", found.withColumn("usd", F.lit(0.125)), whole, lambda p: (p, 0.25), judge).collect()}
+    assert {k: (r.verdict, r.correct, r.cost_usd) for k, r in got.items()} == {
+        (1, "navigazione"): ("CORRETTO", True, 0.875), (1, "servi_intero"): ("CORRETTO", True, 0.75), (7, "navigazione"): ("RIFIUTO_OK", True, 0.5), (7, "servi_intero"): ("RIFIUTO_OK", True, 0.5),
+    }
+    assert got[7, "navigazione"].latency_ms == 0 and got[1, "navigazione"].latency_ms >= 0
+    silent = retrieval.run_cases(cases, "q", found, whole).where("q = 1").first()
+    assert (silent.answer, silent.verdict, silent.correct, silent.cost_usd) == (None, None, None, 0.0)
     assert {k: (r.hit, r.refused, r.facts.hits) for k, r in got.items()} == {
         (1, "navigazione"): (True, False, 1), (1, "servi_intero"): (None, False, 0), (7, "navigazione"): (False, True, 0), (7, "servi_intero"): (None, True, 0),
     }

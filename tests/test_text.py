@@ -18,7 +18,7 @@ c = F.col
 
 
 def test_numbers(value):
-    assert {*value(tx.numbers(c("t")), t="franchigia 129,11 euro, codice 1, limite 1.234,56, 19%")} == {"129.11", "1", "1234.56", "19"}
+    assert {*value(tx.numbers(c("t")), t="tassa 48,07 euro al rigo 3, tetto 2.065,83 e 26%")} == {"48.07", "3", "2065.83", "26"}
     assert value(tx.numbers(c("t")), t="1.234 e 1.234.") == ["1.234"]
 
 
@@ -30,54 +30,57 @@ def test_words_and_lines(value):
     for t in ("a\r\nb\x0bc\x1cd e\n", "", "\n", "x\n\ny", "no end"):
         assert value(tx.lines(c("t")), t=t) == t.splitlines()
     assert value(tx.stripped(c("t")), t="  \t x y\n ") == "x y"
-    assert value(tx.dehyphenated(c("t")), t="non­\nché le spese") == "nonché le spese"
+    assert value(tx.dehyphenated(c("t")), t="soprat\u00ad\ntutto bene") == "soprattutto bene"
     assert value(tx.content_words(c("t")), t="PERCIÒ perciò ab Zweck") == ["perciò", "zweck"]
 
 
 def test_measures(value):
-    assert value(quality.token_overlap(c("a"), c("b")), a="alfa", b="alfa beta") == 0.5
-    assert value(quality.coverage(c("a"), c("b")), a="ab", b="abcd") == 0.5
+    assert value(quality.token_overlap(c("a"), c("b")), a="pane vino", b="vino pane olio sale") == 0.5
+    assert value(quality.coverage(c("a"), c("b")), a="xyz", b="uvwxyz") == 0.5
     assert value(quality.coverage(c("a"), c("b")), a="ab", b=" ") == 1.0
-    assert value(quality.repeats_itself(c("t")), t="same line\n" * 30)
-    assert not value(quality.repeats_itself(c("t")), t="\n".join(f"| {i} | idem come sopra |" for i in range(20)))
-    assert value(quality.repeats_itself(c("t")), t="a b c d e f g h i l " * 12)
-    assert value(quality.is_refusal(c("t")), t=" \n") and value(quality.is_refusal(c("t")), t="Mi dispiace, ma non posso")
-    assert not value(quality.is_refusal(c("t")), t="Le spese non possono essere detratte")
-    assert value(quality.early_subheadings(c("t")), t="### a\n## b\n### c") == 1
+    assert value(quality.repeats_itself(c("t")), t="totale parziale\n" * 24)
+    assert not value(quality.repeats_itself(c("t")), t="\n".join(f"| anno {i} | vedi nota |" for i in range(16)))
+    assert value(quality.repeats_itself(c("t")), t="uno due tre quattro cinque " * 25)
+    assert value(quality.is_refusal(c("t")), t=" \n") and value(quality.is_refusal(c("t")), t="I'm sorry, no.")
+    assert not value(quality.is_refusal(c("t")), t="Il contributo non può superare il limite")
+    assert value(quality.early_subheadings(tx.lines(c("t"))), t="### x\n### y\n## z\n### w") == 2
+    assert value(quality.heading_count(c("t")), t="# a\n## b\n### c\n#### d\n##e") == 2
+    assert value(quality.without_artifacts(c("t"), ("(c)", "pag.")), t="uno (c)due pag. tre") == "uno due  tre"
 
 
 def test_losses_and_codes(value):
-    found = value(quality.critical_losses(c("a"), c("b")), a="spese detraibili, salvo casi", b="spese non detraibili, salvo casi")
-    assert [x.word for x in found] == ["non"]
-    assert value(quality.critical_losses(c("a"), c("b")), a="nonostante", b="nonostante") == []
-    swapped = value(quality.code_mismatches(c("a"), c("b")), a="1 = spese mediche\n2 = interessi mutui", b="1 = interessi mutui\n2 = spese mediche")
-    assert [x.code for x in swapped] == ["1", "2"]
-    assert value(quality.code_mismatches(c("a"), c("b")), a="1 = spese", b="1** = spese; 1 = altro") == []
+    found = value(quality.critical_losses(c("a"), c("b")), a="vale entro maggio, tranne i minori", b="vale entro maggio, tranne i minori, e almeno una volta")
+    assert [x.word for x in found] == ["almeno"]
+    assert value(quality.critical_losses(c("a"), c("b")), a="salvotutto", b="salvotutto") == []
+    swapped = value(quality.code_mismatches(c("a"), c("b")), a="7 = asili nido\n8 = affitti studenti", b="7 = affitti studenti\n8 = asili nido")
+    assert [x.code for x in swapped] == ["7", "8"]
+    assert value(quality.code_mismatches(c("a"), c("b")), a="3 = musei", b="3** = musei; 3 = teatri") == []
     assert not value(quality.audit_differs(c("a"), c("b")), a="non 100", b="100 non")
     assert value(quality.audit_differs(c("a"), c("b")), a="non", b="non 100") and value(quality.audit_differs(c("a"), c("b")), a="x", b="non x")
 
 
 def test_lint(value):
-    page, head = F.lit(75), F.array(F.lit("REDDITI 2024"))
-    fails = lambda t: value(quality.lint(c("t"), head, page, ("spazio",)), t=t)
-    assert fails("testo\nn spese mediche").fails == ["unmapped bullet"] and fails("1,73%%").fails == ["double symbol"]
-    assert fails("corpo REDDITI 2024").fails == ["header or footer"] and fails("a\n 75 \nb").fails == ["page number"]
-    fine = fails("## a\n## a\nspazio")
-    assert fine.fails == [] and fine.warnings == ["repeated headings", "orphan: spazio"]
+    page, head = F.lit(12), F.array(F.lit("BOLLETTINO 7"))
+    fails = lambda t: value(quality.lint(c("t"), head, page, ("refuso",)), t=t)
+    assert fails("elenco\nn canoni di affitto").fails == ["unmapped bullet"] and fails("quota 4% %").fails == ["double symbol"]
+    assert fails("nel BOLLETTINO 7 si").fails == ["header or footer"] and fails("uno\n 12 \ndue").fails == ["page number"]
+    fine = fails("## titolo\n## titolo\nrefuso")
+    assert fine.fails == [] and fine.warnings == ["repeated headings", "orphan: refuso"]
 
 
 def test_verdict(spark):
     rows = [
-        (1, "codice 1, franchigia 129,11", "codice 1, franchigia 129,11, 530"),
-        (2, "codice 1 GHOST", "codice 1"),
-        (3, "codice 1", "codice 1 GHOST"),
-        (75, "spese detratte", "spese detratte 75"),
-        (5, "nonché le spese", "non­\nché le spese"),
+        (1, "rigo 8, tetto 258,23", "rigo 8, tetto 258,23, 154"),
+        (2, "quota 9 GHOST", "quota 9"),
+        (3, "quota 9", "quota 9 GHOST"),
+        (31, "affitti pagati", "affitti pagati 31"),
+        (5, "soprattutto gli affitti", "soprat\u00ad\ntutto gli affitti"),
         (6, "", "testo"),
     ]
     df = spark.createDataFrame(rows, "page int, cand string, ref string")
-    found = df.withColumns(quality.check_columns(c("cand"), c("ref"), ("GHOST",), c("page"))).withColumns(quality.verdict_columns())
+    found = quality.checked(df, "cand", "ref", ("GHOST",), "page")
+    assert found.columns[:4] == ["page", "cand", "ref", "overlap"] and not [x for x in found.columns if x.startswith("_")]
     got = {r.page: r for r in found.collect()}
-    assert got[1].missing_numbers == ["530"] and got[1].needs_review and got[1].reasons == ["missing numbers"]
-    assert got[2].reasons == ["artifacts"] and not got[3].needs_review and not got[75].needs_review and not got[5].needs_review
+    assert got[1].missing_numbers == ["154"] and got[1].needs_review and got[1].reasons == ["missing numbers"]
+    assert got[2].reasons == ["artifacts"] and not got[3].needs_review and not got[31].needs_review and not got[5].needs_review
     assert "empty or refusal" in got[6].reasons
