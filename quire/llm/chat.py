@@ -13,7 +13,8 @@ given as a column instead.
 Null texts and roles count as empty. Turns stand in the order of `turn`, null first; rows of the same turn in
 the order of role and text, and equal rows all stay. Rows with a null conversation id form one conversation.
 Empty tables give no rows. Extra columns are ignored. A conversation is one row in the end, as its digest
-needs its whole text, so that it must fit in a task's memory.
+needs its whole text, so that it must fit in a task's memory; its windows are slices of its one list of turns, so
+that work and memory grow with its length and with what is repeated.
 """
 
 from __future__ import annotations
@@ -54,49 +55,61 @@ def windows(df: DataFrame, conv: str, turn: str, role: str, text: str, budget: i
     of code points of `formatted` that are trained on."""
     empty = F.lit("")
     rows = df.select(F.col(conv).alias("_conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
-    rows = rows.withColumn("n", tokens(_formatted(F.struct("role", "text"))).cast("long"))
-    until = Window.partitionBy("_conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum("n").over(until))
-    convs = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "end", "n"))).alias("turns"))
-    other = F.array_position(F.transform("turns", lambda t: t["role"] == "system"), F.lit(False))
+    head, formatted = _head(F.struct("role", "text")), _formatted(F.struct("role", "text"))
+    rows = rows.withColumns({"n": tokens(formatted).cast("long"), "formatted": formatted, "head": F.length(head), "body": F.length(escaped(F.col("text")))})
+    order = Window.partitionBy("_conv").orderBy("turn", "role", "text")
+    rows = rows.withColumns({"end": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(order)})
+    one = F.struct("place", "end", "n", "formatted", "head", "body", (F.col("role") == "system").alias("system"), (F.col("role") == "assistant").alias("trained"))
+    convs = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    other = F.array_position(F.transform("turns", lambda t: t["system"]), F.lit(False))
     convs = convs.withColumn("n_system", F.when(other == 0, F.size("turns")).otherwise(other - 1).cast("int"))
     before = F.when(F.col("n_system") == 0, F.lit(0)).otherwise(F.element_at("turns", F.greatest("n_system", F.lit(1)))["end"]).cast("long")
-    convs = convs.withColumn("base", before).withColumn("room", F.greatest(F.lit(budget - history) - F.col("base"), F.lit(1)))
-
-    def add(starts: Column, t: Column) -> Column:
-        start, last = t["end"] - t["n"], F.element_at(starts, -1)
-        return F.when((t["end"] - last > F.col("room")) & (start > last), F.concat(starts, F.array(start))).otherwise(starts)
-
+    joined = lambda turns: F.array_join(F.transform(turns, lambda t: t["formatted"]), "")
+    convs = convs.withColumns({"base": before, "opening": joined(F.slice("turns", F.lit(1), F.col("n_system")))})
+    convs = convs.withColumn("room", F.greatest(F.lit(budget - history) - F.col("base"), F.lit(1)))
+
+    def span(start: Column, first: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), first.alias("first")))
+
+    def add(s: Column, t: Column) -> Column:
+        """Begins a span where the turn doesn't fit in the last one. Full lists of spans are put aside, so that
+        none is copied often."""
+        start, full = t["end"] - t["n"], F.size(s["open"]) >= 256
+        new, here = (t["end"] - s["last"] > F.col("room")) & (start > s["last"]), span(start, s["at"])
+        aside = F.when(new & full, F.concat(s["aside"], F.array(s["open"]))).otherwise(s["aside"])
+        opened = F.when(new & full, here).when(new, F.concat(s["open"], here)).otherwise(s["open"])
+        return F.struct(aside.alias("aside"), opened.alias("open"), F.when(new, start).otherwise(s["last"]).alias("last"), (s["at"] + 1).alias("at"))
+
+    none = F.expr("cast(array() as array<array<struct<start:bigint,first:int>>>)")
+    zero = F.struct(none.alias("aside"), span(F.col("base"), F.col("n_system")).alias("open"), F.col("base").alias("last"), F.col("n_system").alias("at"))
     rest = F.slice("turns", F.col("n_system") + 1, F.size("turns"))
-    convs = convs.withColumn("starts", F.aggregate(rest, F.array("base"), add))
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.element_at("turns", -1)["end"]))
-    spans = F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))
-    each = convs.select("_conv", "turns", "n_system", "base", F.posexplode(spans).alias("w", "span"))
-    a, b = F.col("span.a"), F.col("span.b")
-    old = F.filter("turns", lambda t: (t["end"] <= a) & (t["end"] - t["n"] >= F.greatest(a - history, F.col("base"))))
-    new = F.filter("turns", lambda t: (t["end"] > a) & (t["end"] <= b))
-    each = each.select("_conv", "w", "n_system", F.slice("turns", 1, F.col("n_system")).alias("system"), old.alias("old"), new.alias("new"))
-
-    def total(column: str) -> Column:
-        return F.aggregate(column, F.lit(0).cast("long"), lambda n, t: n + t["n"])
-
-    joined = lambda column: F.array_join(F.transform(column, _formatted), "")
-    each = each.withColumn("head", F.concat(joined("system"), joined("old")))
+    convs = convs.withColumn("spans", F.aggregate(rest, zero, add, lambda s: F.flatten(F.concat(s["aside"], F.array(s["open"])))))
+    nexts = F.concat(F.transform(F.slice("spans", 2, F.size("spans")), lambda s: s["first"]), F.array(F.size("turns")))
+    convs = convs.withColumn("spans", F.arrays_zip(F.col("spans").alias("span"), nexts.alias("next")))
 
     def mark(s: Column, t: Column) -> Column:
-        start = s["at"] + F.length(_head(t))
-        end = start + F.length(escaped(t["text"]))
-        ranges = F.when(t["role"] == "assistant", F.concat(s["loss"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["loss"])
+        start = s["at"] + t["head"]
+        end = start + t["body"]
+        ranges = F.when(t["trained"], F.concat(s["loss"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["loss"])
         return F.struct((end + len(END) + 1).alias("at"), ranges.alias("loss"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    loss = F.aggregate("new", F.struct(F.length("head").alias("at"), none.alias("loss")), mark, lambda s: s["loss"])
-    n = total("system") + total("old") + total("new")
-    window = F.struct(
-        "w", F.concat("head", joined("new")).alias("formatted"), "n_system", F.size("old").alias("n_repeated"), F.size("new").alias("n_new"),
-        n.alias("n_tokens"), (n > budget).alias("over_budget"), loss.alias("loss"),
-    )
-    return each.groupBy("_conv").agg(F.array_sort(F.collect_list(window)).alias("windows")).withColumnRenamed("_conv", conv)
+    def window(s: Column, w: Column) -> Column:
+        """A window of slices of the turns. A turn has a token at least, so that no more of them are looked at
+        for history than it has tokens."""
+        start, first, until = s["span"]["start"], s["span"]["first"], s["next"]
+        least = F.greatest(first - history, F.col("n_system"))
+        old = F.filter(F.slice("turns", least + 1, first - least), lambda t: t["end"] - t["n"] >= F.greatest(start - history, F.col("base")))
+        new = F.slice("turns", first + 1, until - first)
+        no_loss = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+        at = F.length("opening") + F.aggregate(old, F.lit(0), lambda n, t: n + F.length(t["formatted"]))
+        loss = F.aggregate(new, F.struct(at.alias("at"), no_loss.alias("loss")), mark, lambda s: s["loss"])
+        n = F.col("base") + F.aggregate(F.concat(old, new), F.lit(0).cast("long"), lambda n, t: n + t["n"])
+        return F.struct(
+            w.alias("w"), F.concat("opening", joined(old), joined(new)).alias("formatted"), F.col("n_system").alias("n_system"), F.size(old).alias("n_repeated"),
+            F.size(new).alias("n_new"), n.alias("n_tokens"), (n > budget).alias("over_budget"), loss.alias("loss"),
+        )
+
+    return convs.select(F.col("_conv").alias(conv), F.transform("spans", window).alias("windows"))
 
 
 def read_turns(formatted: Column) -> Column:

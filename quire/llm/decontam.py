@@ -7,7 +7,8 @@ texts and drops documents that consist of them for the most part.
 
 Only stretches of two or more known neighbours are walked; the others leave the automaton at length 1 or 0.
 
-The automaton is built from at most `block_bytes` of items and sent to all tasks; more items take more passes.
+The automaton is built from at most `block_bytes` of items, which the driver fetches and sends to all tasks block
+by block; more items take more passes, with the documents written between them.
 Null texts have no words; items without words match nothing; an item with a null id marks words but is not
 listed; repeated items count once. Repeated documents each get a row. Empty tables give empty results. Of the
 input, only the columns in `keep` go on, without any that is named like a result.
@@ -15,15 +16,18 @@ input, only the columns in `keep` go on, without any that is named like a result
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm import textbytes as tb
+from quire.llm.shared import scratch, small_batches
 
 SPAN = "struct<first_word:long,last_word:long,first_byte:long,end_byte:long>"
 
@@ -32,6 +36,10 @@ def word_list(text: bytes) -> list[bytes]:
     return text.translate(tb.ALNUM_OR_SPACE).split()
 
 
+#: No items; most states share it.
+_NONE: set = set()
+
+
 class SuffixAutomaton:
     """Of several word sequences. For each state: its transitions, suffix link, longest length, the items whose
     windows end there, and the shorter items that end there."""
@@ -48,20 +56,24 @@ class SuffixAutomaton:
             last = 0
             for w in ws:
                 last = self._extend(last, w)
-        self.items: list[set] = [set() for _ in self.step]
+        self.items: list[set] = [_NONE] * len(self.step)
         whole: dict[int, dict[int, set]] = {}
         for item, ws in items:
             state = length = 0
             for w in ws:
                 state, length = self.step[state][w], length + 1
                 if length >= window:
-                    self.items[self._at(state, window)].add(item)
+                    at = self._at(state, window)
+                    if self.items[at] is _NONE:
+                        self.items[at] = set()
+                    self.items[at].add(item)
             if length < window:
                 whole.setdefault(self._at(state, length), {}).setdefault(length, set()).add(item)
-        self.short: list[list[tuple[int, set]]] = [[] for _ in self.step]
+        self.short: list[list[tuple[int, set]]] = [[]] * len(self.step)
         for s in sorted(range(1, len(self.step)), key=self.size.__getitem__):
-            self.short[s] = self.short[self.link[s]] + sorted(whole.get(s, {}).items())
-        self.of_window = [self.items[self._at(s, window)] if self.size[s] >= window else set() for s in range(len(self.step))]
+            own, shorter = whole.get(s), self.short[self.link[s]]
+            self.short[s] = shorter + sorted(own.items()) if own else shorter
+        self.of_window = [self.items[self._at(s, window)] if self.size[s] >= window else _NONE for s in range(len(self.step))]
 
     def _at(self, state: int, length: int) -> int:
         """The state of the last `length` words of state's longest match."""
@@ -194,6 +206,26 @@ def item_blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iter
     yield block
 
 
+def _marked(blocks: Iterator[list]) -> Iterator[tuple[list, bool, bool]]:
+    """Each block, and whether it is the first and the last one."""
+    before, first = next(blocks), True
+    for block in blocks:
+        yield before, first, False
+        before, first = block, False
+    yield before, first, True
+
+
+#: The scanner of the block that a Python worker works with; a worker of several tasks builds it once.
+_SCANNERS: dict[str, _Scanner] = {}
+
+
+def _scanner(token: str, sent: Broadcast, window: int) -> _Scanner:
+    if token not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[token] = _Scanner(SuffixAutomaton([(i, word_list(t)) for i, t in sent.value], window))
+    return _SCANNERS[token]
+
+
 RESULTS = ("n_words", "spans", "items", "longest", "cleaned")
 _FIELDS = ("first_word", "last_word", "first_byte", "end_byte")
 
@@ -214,7 +246,7 @@ def _without(text: bytes, spans: list[tuple[int, ...]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, [*(s[2] for s in spans), len(text)], strict=True))
 
 
-def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 10, block_bytes: int = 8 << 20, keep: list[str] | None = None) -> DataFrame:
+def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 10, block_bytes: int = 2 << 20, keep: list[str] | None = None) -> DataFrame:
     """(key, keep..., n_words, spans, items, longest, cleaned) of each document; spans are maximal runs of hit
     words, cleaned is the text without them."""
     keep = [key, *(c for c in keep or [] if c != key and c not in RESULTS)]
@@ -224,14 +256,15 @@ def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     k = len(keep)
     names = [*(f"_{i}" for i in range(k)), "_text", *RESULTS[:4]]
     df = documents.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
-    blocks = list(item_blocks(items, item_key, item_text, block_bytes))
     arrow_item = to_arrow_type(item_type)
     at = pa.list_(pa.struct([(f, pa.int64()) for f in _FIELDS]))
-    for n, block in enumerate(blocks):
+    small_batches(documents.sparkSession)
+    for block, first, last in _marked(item_blocks(items, item_key, item_text, block_bytes)):
         sent = documents.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of items
+        token = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=n == 0, last=n == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
-            scanner = _Scanner(SuffixAutomaton([(i, word_list(t)) for i, t in sent.value], window))
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(token, sent, window)
             for whole in batches:
                 for i in range(0, whole.num_rows, 1000):
                     batch, rows = whole.slice(i, 1000), []
@@ -245,6 +278,11 @@ def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
                     yield pa.RecordBatch.from_arrays([*batch.columns[:k], *columns], names=names)
 
         df = df.mapInArrow(run, schema)
+        if not last:  # the next block works on what is written, so that the driver and a task hold one block each
+            path = scratch(documents.sparkSession, "decontam")
+            df.write.parquet(path)
+            df = documents.sparkSession.read.schema(schema).parquet(path)
+            sent.destroy()
     return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *RESULTS[:4], F.col("_text").alias("cleaned"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import checkpointed
+from quire.llm.shared import checkpointed, parts_for
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,15 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges in a partition of what is kept between rounds.
+PER_PART = 200_000
+
+
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, root) of each node in `edges` (a, b); root is the smallest node that can be reached. Edges of
-    a node with itself are ignored."""
-    edges = checkpointed(edges.where("a != b").distinct())
+    a node with itself are ignored. The first round is kept in at most `parts` partitions, the others in as many
+    as their edges need."""
     before = None
+    edges = edges.where("a != b").distinct()
     while True:
-        edges = checkpointed(_star(_star(edges, large=True), large=False))
+        edges = checkpointed(_star(_star(edges, large=True), large=False), parts)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, parts = now, parts_for(now[0], PER_PART, 1)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()

@@ -7,9 +7,9 @@ threshold. Documents of equal sets form a class, and classes are what is searche
    of its smallest hash the count of leading zeros (6 bits) and the 10 bits behind the leading one. Empty
    buckets borrow from a neighbour.
 2. `BANDS` bands of `ROWS` registers give keys; classes with a common key are candidates. At the threshold 0.75
-   a pair has no key in common with probability (1 - 0.75**5)**50 = 1.3e-6. Sets of up to `EXACT` shingles are
-   searched by prefix filtering instead, which misses none: of n shingles, the n - ceil(t n) + 1 that the fewest
-   small sets hold are keys, so that passages which many texts share are none.
+   a pair has no key in common with probability (1 - 0.75**5)**50 = 1.3e-6. Registers of sets that have no more
+   shingles than that depend on each other, so that sets of up to `EXACT` shingles get further keys by prefix
+   filtering, which misses none: of n shingles, the n - ceil(t n) + 1 that the fewest small sets hold.
 3. Candidates first are stars, so that a group of copies costs as many pairs as it has members: each class and
    the smallest of its keys; then, where a key still holds several components, each class and the three hubs that
    it shares most keys with, hubs being the classes with the fewest shingles of their own, and random ones. What
@@ -17,7 +17,8 @@ threshold. Documents of equal sets form a class, and classes are what is searche
    members give their pairs. Of members of larger keys, a linked pair shares a shingle that at most `FEW` have,
    and then such a one in the prefixes of both; or it shares frequent shingles alone, of which both have enough.
 4. A pair is estimated from its registers, corrected for equal registers that come from different shingles, and
-   dropped if that lies 6 standard deviations under the threshold; the others are confirmed on their full sets.
+   dropped if that lies 6 standard deviations under the threshold; the others are confirmed on their full sets. A
+   hub's pairs are dealt to many tasks by their other member.
 
 Shingles are known by 64-bit fingerprints, sets by the sum of their fingerprints. Null, empty and blank texts
 have an empty set and are linked with nothing; texts of fewer than 5 words have one shingle. Null keys join
@@ -27,8 +28,6 @@ no rows. Only the columns in `keep` go on, without any that is named like a resu
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 from quire.llm.graph import components
-from quire.llm.shared import checkpointed, parts_for, shared_dir
+from quire.llm.shared import bucketed, checkpointed, drop_tables, parts_for, shared_dir, small_batches, tidy
 
 SHINGLE, PERMUTATIONS, BUCKETS, ROWS, BANDS, EXACT, FEW = 5, 4, 64, 5, 50, 128, 64
 REGISTERS = PERMUTATIONS * BUCKETS
@@ -58,11 +57,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         np.minimum.at(least, row * BUCKETS + (x >> np.uint64(58)).astype(np.int64), x << np.uint64(6))
         least = least.reshape(-1, BUCKETS)
         part = _compressed(least)
-        empty = least == 0xFFFFFFFFFFFFFFFF
-        while empty.any():  # a borrowed register is marked by how far it came, as it was by the same rule elsewhere
-            part = np.where(empty, np.roll(part, -1, axis=1) * np.uint16(5) + np.uint16(1), part)
-            empty &= np.roll(empty, -1, axis=1)
-        out[:, p * BUCKETS : (p + 1) * BUCKETS] = part
+        at = np.where(np.tile(least, 2) == 0xFFFFFFFFFFFFFFFF, 2 * BUCKETS, np.arange(2 * BUCKETS))
+        full = np.minimum.accumulate(at[:, ::-1], axis=1)[:, : BUCKETS - 1 : -1]
+        far = full - np.arange(BUCKETS)  # a borrowed register is marked by how far it came
+        part = np.take_along_axis(part, full % BUCKETS, axis=1)
+        out[:, p * BUCKETS : (p + 1) * BUCKETS] = np.where(far, tb.mix(part.astype(np.uint64) << np.uint64(6) | far.astype(np.uint64)), part)
     return out
 
 
@@ -97,34 +96,34 @@ def _small(n: int, percent: int) -> bool:
 
 
 def _sketch(texts: list[bytes], percent: int) -> Iterator[tuple[int, int, bytes | None, bytes | None]]:
-    """(size, set id, registers of sets over EXACT, shingles of sets that are _small) of each text."""
+    """(size, set id, registers, shingles of sets that are _small) of each text."""
     for a, b in tb.chunks(texts):
         sets = tb.shingle_sets(texts[a:b], SHINGLE)
-        large = [i for i, s in enumerate(sets) if len(s) > EXACT]
-        regs = dict(zip(large, registers([sets[i] for i in large]), strict=True)) if large else {}
-        for i, s in enumerate(sets):
+        full = [s for s in sets if len(s)]
+        regs = iter(registers(full)) if full else iter(())
+        for s in sets:
             small = s.tobytes() if len(s) and _small(len(s), percent) else None
-            yield len(s), set_id(s), regs[i].tobytes() if i in regs else None, small
+            yield len(s), set_id(s), next(regs).tobytes() if len(s) else None, small
 
 
 def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).to_pylist()]
 
 
-def _classes(df: DataFrame, text: str, percent: int, buckets: int) -> DataFrame:
-    """One row a class (set id, size, registers, small set, a text), bucketed by set id."""
+def _classes(df: DataFrame, text: str, percent: int, buckets: int) -> tuple[DataFrame, str]:
+    """One row a class (set id, size, registers, small set, a text), bucketed by set id; and the table's name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch, out = whole.slice(i, 1000), []
-                texts = _raw(batch, 0)
+            every = _raw(whole, 0)
+            for a, b in tb.chunks(every, 4 << 20):
+                texts, out = every[a:b], []
                 for t, (n, s, regs, small) in zip(texts, _sketch(texts, percent), strict=True):
-                    if n and s not in met:  # copies go no further than the task that reads them
+                    if n and s not in met:  # copies mostly go no further than the task that reads them
                         out.append((s, n, regs, small, t))
                         met.add(s)
-                if len(met) > 1_000_000:
+                if len(met) > 100_000:
                     met.clear()
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -141,31 +140,25 @@ def _classes(df: DataFrame, text: str, percent: int, buckets: int) -> DataFrame:
             yield batch.filter(pa.array(new))
 
     names, schema = ["id", "n", "registers", "small", "text"], "id long, n long, registers binary, small binary, text binary"
-    found = df.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
-    name = f"quire_scratch_{uuid.uuid4().hex}"
-    ordered = found.repartition(buckets, "id").sortWithinPartitions("id").mapInArrow(first, schema)
+    found = df.select(F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run), schema)
     # the same hash deals rows to partitions and to buckets, so that each partition writes one file
-    ordered.write.option("compression", "zstd").bucketBy(buckets, "id").saveAsTable(name)
-    return df.sparkSession.table(name)
+    return bucketed(found.repartition(buckets, "id").sortWithinPartitions("id").mapInArrow(first, schema), buckets, "id")
 
 
-def _members(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep..., n, set id) of each row."""
-    fields = [T.StructField(f"_{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
-    schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("id", T.LongType())])
-    names = [f.name for f in schema]
+def _members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, mark, n, set id) of each row; key and mark tell one text of a repeated key from another."""
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *[T.StructField(c, T.LongType()) for c in ("mark", "n", "id")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ids, texts = [], [], _raw(batch, batch.num_columns - 1)
+            sizes, ids, texts = [], [], _raw(batch, 2)
             for a, b in tb.chunks(texts):
                 for s in tb.shingle_sets(texts[a:b], SHINGLE):
                     sizes.append(len(s))
                     ids.append(set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=schema.names)
 
-    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
-    return df.select(*columns, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _keys(classes: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +183,7 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
                     key, of = found(batch.column(2).to_pylist())
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["key", "id", "n"])
 
-        return classes.where(F.col(column).isNotNull()).select("id", "n", column).mapInArrow(run, "key long, id long, n long")
+        return classes.where(F.col(column).isNotNull()).select("id", "n", column).mapInArrow(tidy(run), "key long, id long, n long")
 
     return exploded("registers", of_bands).union(_prefixes(exploded("small", of_sets), percent).drop("f"))
 
@@ -209,81 +202,80 @@ def _shingles(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                texts = _raw(batch, 2)
-                sets = [s for a, b in tb.chunks(texts) for s in tb.shingle_sets(texts[a:b], SHINGLE)]
+            texts = _raw(whole, 2)
+            for a, b in tb.chunks(texts):
+                batch, sets = whole.slice(a, b - a), tb.shingle_sets(texts[a:b], SHINGLE)
                 of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of)], names=["key", "id", "n"])
 
-    return classes.select("id", "n", "text").mapInArrow(run, "key long, id long, n long")
+    return classes.select("id", "n", "text").mapInArrow(tidy(run), "key long, id long, n long")
+
+
+def _with_both(pairs: DataFrame, classes: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """Pairs with columns of both. A hub is the a of many pairs; it is sent to as many tasks as its pairs are."""
 
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
-def _with_both(pairs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return pairs
+    salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(parts)))
+    hubs = salted.select("a", "salt").distinct().repartition(parts, "a").join(side("a"), "a")
+    return salted.repartition(parts, "b").join(side("b"), "b").join(hubs, ["a", "salt"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """Of pairs (a, b) of classes, those that are linked: estimated by registers, then confirmed on the sets."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = percent / 100
-        least = t - 6 * math.sqrt(t * (1 - t) / REGISTERS)
         for batch in batches:
             n, m = (batch.column(f"n_{x}").to_numpy() for x in "ab")
+            least = t - 6 * np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.minimum(n, m)))  # no more shingles than registers, no surer
+            x, y = (np.frombuffer(b"".join(batch.column(f"registers_{v}").to_pylist()), np.uint16).reshape(len(n), -1) for v in "ab")
             take = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-            regs = [batch.column(f"registers_{x}").to_pylist() for x in "ab"]
-            both = np.array([i for i in np.flatnonzero(take) if regs[0][i] and regs[1][i]], np.int64)
-            if len(both):
-                x, y = (np.frombuffer(b"".join(r[i] for i in both), np.uint16).reshape(len(both), -1) for r in regs)
-                take[both] = estimate(x, y, n[both], m[both]) >= least
+            take[take] = estimate(x[take], y[take], n[take], m[take]) >= least[take]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in "ab"], names=["a", "b"]).filter(pa.array(take))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                texts = _raw(batch, 2) + _raw(batch, 3)
-                sets = [s for a, b in tb.chunks(texts) for s in tb.shingle_sets(texts[a:b], SHINGLE)]
-                take = []
-                for x, y in zip(sets[: batch.num_rows], sets[batch.num_rows :], strict=True):
+            left, right = _raw(whole, 2), _raw(whole, 3)
+            for a, b in tb.spans([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
+                batch, take = whole.slice(a, b - a), []
+                for x, y in zip(tb.shingle_sets(left[a:b], SHINGLE), tb.shingle_sets(right[a:b], SHINGLE), strict=True):
                     common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                     take.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([batch.column(x) for x in "ab"], names=["a", "b"]).filter(pa.array(take))
 
     # cut here, so that no task runs two Python workers at a time
-    kept = checkpointed(_with_both(pairs, classes, ["n", "registers"]).mapInArrow(likely, "a long, b long"))
-    return checkpointed(_with_both(kept, classes, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long"))
+    pairs = checkpointed(pairs, parts)
+    kept = checkpointed(_with_both(pairs, classes, ["n", "registers"], parts).select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(tidy(likely), "a long, b long"), parts)
+    return checkpointed(_with_both(kept, classes, ["text"], parts).select("a", "b", "text_a", "text_b").mapInArrow(tidy(linked), "a long, b long"), parts)
 
 
-def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links that connect whatever is connected."""
+def _links(classes: DataFrame, percent: int, parts: int) -> tuple[DataFrame, str]:
+    """Links that connect whatever is connected, and the name of a table that they are read from until components
+    are known."""
     keys = _keys(classes, percent)
     common = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    name = f"quire_scratch_{uuid.uuid4().hex}"
-    keys.join(common, "key").repartition(parts, "id").write.bucketBy(parts, "id").saveAsTable(name)
-    buckets = classes.sparkSession.table(name)
+    buckets, name = bucketed(keys.join(common, "key").repartition(parts, "id"), parts, "id")
 
     def labelled(links: DataFrame) -> DataFrame:
         """Members of keys that still lie in several components."""
-        roots = components(links).withColumnRenamed("node", "id")
+        roots = components(links, parts).withColumnRenamed("node", "id")
         rows = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-        return checkpointed(rows.join(several.select("key"), "key"))
+        return checkpointed(rows.join(several.select("key"), "key"), parts)
 
     stars = buckets.where("id != hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
-    links = _confirmed(stars, classes, percent)
+    links = _confirmed(stars, classes, percent, parts)
     rows = labelled(links)
     # dealt as the buckets are, so that the classes with their texts stay where they are
     shingles = _shingles(classes.join(rows.select("id").distinct().repartition(parts, "id"), "id", "left_semi"))
     met = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # of each class: shingles that others have too, and those that more than FEW have
-    shared = checkpointed(shingles.join(met, "key").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("f") > FEW).alias("often")))
+    shared = checkpointed(shingles.join(met, "key").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("f") > FEW).alias("often")), parts)
 
     def counted(rows: DataFrame) -> DataFrame:
-        return checkpointed(rows.join(shared, "id", "left").fillna(0, ["c", "often"]))
+        return checkpointed(rows.join(shared, "id", "left").fillna(0, ["c", "often"]), parts)
 
     def possible(x: str, y: str, count: str) -> Column:
         """Whether two that share no more than the lesser of their counts can be similar."""
@@ -298,7 +290,7 @@ def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     stars = stars.groupBy(F.col("h_id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     most = Window.partitionBy("b").orderBy(F.desc("keys"), "a")  # at most two rows a key of b
     stars = stars.withColumn("place", F.row_number().over(most)).where("place <= 3").select("a", "b")
-    links = links.union(_confirmed(stars, classes, percent))
+    links = links.union(_confirmed(stars, classes, percent, parts))
     rest = counted(labelled(links).drop("hub")).where(F.col("c") * 100 >= F.col("n") * percent)
     other = F.expr("x.id < y.id and x.root != y.root")
 
@@ -312,24 +304,33 @@ def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     hot = many.select("id", "root", "c").distinct()
     prefixes = _prefixes(_shingles(classes.join(hot.select("id").repartition(parts, "id"), "id", "left_semi")), percent).where(F.col("f") <= FEW)
     rare = pairs(prefixes.join(hot, "id"), other & possible("x.", "y.", "c"))
-    return links.union(_confirmed(few.union(often).union(rare).distinct(), classes, percent))
+    return links.union(_confirmed(few.union(often).union(rare).distinct(), classes, percent, parts)), name
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, keep: list[str] | None = None, percent: int = 75) -> DataFrame:
     """Columns `keep` of df (at least key), n_shingles, component_id (the smallest key that can be reached) and
     kept (this row has that key), of each row. The result reads files in the shared folder."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
+    small_batches(spark)
     keep = [key, *(c for c in keep or [] if c != key and c not in RESULTS)]
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     buckets = max(parts_for(size, 32 << 20, 12), parts_for(rows, 50_000, 12))
-    classes = _classes(df, text, percent, buckets)
-    roots = components(_links(classes, percent, buckets))
-    members = checkpointed(_members(df, text, keep))
-    least = members.where("id is not null").groupBy("id").agg(F.min("_0").alias("least"))
+    classes, of_classes = _classes(df, text, percent, buckets)
+    links, of_keys = _links(classes, percent, buckets)
+    roots = components(links, buckets)
+    drop_tables(spark, of_classes, of_keys)  # what follows reads checkpoints alone
+    members = checkpointed(_members(df, key, text), buckets)
+    least = members.where("id is not null").groupBy("id").agg(F.min("key").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(names, "root").select("id", "component_id")
-    named = members.join(of_class, "id", "left").withColumn("component_id", F.coalesce("component_id", "_0"))
-    columns = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
-    kept = F.col("_0").eqNullSafe(F.col("component_id")).alias("kept")
-    return named.select(*columns, F.col("n").alias("n_shingles"), "component_id", kept)
+    named = members.join(of_class, "id", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    kept = F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
+    named = named.select("key", "mark", F.col("n").alias("n_shingles"), "component_id", kept)
+    results = [F.col(f"named.{c}") for c in RESULTS]
+    if len(keep) == 1:
+        return named.alias("named").select(F.col("key").alias(key), *results)
+    same = F.col("key").eqNullSafe(F.col(f"rows.`{key}`")) & (F.col("mark") == F.xxhash64(F.col(f"rows.`{text}`")))
+    once = named.dropDuplicates(["key", "mark"]).alias("named")  # repeated rows agree in all of it
+    return df.alias("rows").join(once, same).select(*[F.col(f"rows.`{c}`") for c in keep], *results)

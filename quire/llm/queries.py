@@ -65,7 +65,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = make_dir(spark, scratch(spark, "token-files"))
     tokenfiles.write(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), out)
-    back = tokenfiles.read(spark, out, "doc_id", docs.schema["doc_id"].dataType)
+    back = tokenfiles.read(spark, out, docs.schema["doc_id"].dataType)
     return tokenfiles.with_starts(back, "doc_id")
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.quire.ownCheckpointDir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quire-checkpoint-")
         spark.conf.set("spark.quire.ownCheckpointDir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -31,10 +40,60 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut at files in the shared folder."""
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df with its lineage cut at files in the shared folder, at most `parts` of them, as it is small for more."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send at most BATCH_BYTES to a Python worker at once, unless it asks for less already; a
+    longer row goes alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+#: Bucketed tables that this driver has written and not dropped yet.
+_TABLES: set[tuple[str, str]] = set()
+
+
+def bucketed(df: DataFrame, buckets: int, column: str) -> tuple[DataFrame, str]:
+    """df as a scratch table dealt by `column`, a file a bucket, and the table's name."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    name = f"quire_scratch_{uuid.uuid4().hex}"
+    _TABLES.add((spark.sparkContext.applicationId, name))
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_tables(spark: SparkSession, *names: str) -> None:
+    """Drops these scratch tables; without names, all that this driver has left, whose results have been written."""
+    app = spark.sparkContext.applicationId
+    for name in names or [t for a, t in _TABLES if a == app]:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        _TABLES.discard((app, name))
+
+
+def released() -> None:
+    """Hands a Python worker's free memory back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of batches, with the memory handed back that its task took."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
 
 
 def make_dir(spark: SparkSession, uri: str) -> str:

@@ -4,19 +4,21 @@ Every byte covered by a string of `length` bytes that also starts anywhere else
 triggers cut texts into phrases, from one trigger to the end of the next. A string is known by the suffix of
 the phrase it starts in, which ends at its first trigger, and by what the parse has behind. Equal strings have
 the same triggers at the same places and so the same whole phrases in between. As suffix arrays of dictionary
-and parse would, the work goes from whole phrases to suffixes:
+and parse would, the work goes from whole phrases to what the parse has behind them, and then to suffixes:
 
-1. The dictionary: each phrase with what it stands in, namely all strings whose first whole phrase it is, as one
-   extended phrase. Sorted in shuffle partitions, an extended phrase found twice proves all its strings
-   repeated; a phrase found once rules out all strings that hold it.
-2. A phrase with several extensions branches. There the suffixes of each distinct extension are compared one by
-   one; so are the few strings without a whole phrase.
-3. Each text learns which of its phrases and suffixes are repeated.
+1. The dictionary: each phrase. A phrase found once rules out all strings that hold it whole.
+2. The parse: of each phrase that a string without such phrases begins with, the extended phrase, which is all
+   strings of which it is the first whole phrase. An extended phrase found twice proves all its strings repeated.
+3. Suffixes: a phrase with several extensions branches. There the strings of each distinct extension are compared
+   one by one; so are the few strings without a whole phrase.
+4. Each text learns which of its extended phrases and strings are repeated.
 
-Order is needed only as far as it brings equal strings together, so that sorted fingerprints (96 bits) stand
-in for the lexicographic order; no suffix array of the whole corpus is ever held.
+Order is needed only as far as it brings equal strings together, so that sorted fingerprints stand in for the
+lexicographic order; no suffix array of the whole corpus is ever held. What proves a repetition is compared by
+128 bits (extended phrases) or 96 bits (strings), so that two different strings count as equal with a probability
+of n^2 / 2^97 for n strings compared; what only rules out is compared by 64 bits.
 
-Texts are spread over blocks of about `block_bytes`; a block sends each context, phrase or suffix once however
+Texts are spread over blocks of about `block_bytes`; a block sends each phrase, extension or string once however
 often it holds it, so that copies and common passages meet in as many rows as there are blocks, at most.
 
 Null texts count as empty; texts shorter than `length` stay whole. Repeated rows are texts of their own, which
@@ -26,24 +28,31 @@ is named like a result. A text must fit in a task's memory, with its fingerprint
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
-from quire.llm.shared import parts_for, shared_dir
+from quire.llm.shared import bucketed, parts_for, released, shared_dir, small_batches, tidy
 
-TRIGGER, SPACING = 16, 48
+TRIGGER = 16
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
-#: What comes back to a block.
-_BRANCHING, _MET, _REPEATED, _REPEATED_HERE_FIRST, _SUFFIX = range(5)
-#: Flags in what a block sends: an extended phrase (else a phrase), found twice, found in several extensions.
-_EXTENDED, _TWICE, _SEVERAL = 1, 2, 4
+#: What comes back to a block: phrases found twice; phrases with several extensions; extended phrases found twice,
+#: of which one block speaks for their strings; strings found twice.
+_MET, _BRANCHING, _REPEATED, _REPEATED_HERE_FIRST, _STRING = range(5)
+#: Flags in what a block sends: found twice in the block; an extended phrase (else a phrase and one of its
+#: extensions); a phrase with several.
+_TWICE, _EXTENDED, _SEVERAL = 1, 2, 4
+_FAR = np.iinfo(np.int64).max // 2
+
+
+def spacing(length: int) -> int:
+    """Bytes from one trigger to the next, on average, so that few strings hold no whole phrase."""
+    return max(8, length // 8)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -53,18 +62,34 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class _Learnt:
-    """What came back to a block."""
+    """What came back to a block: fingerprints by kind, and the bits that check them."""
 
     def __init__(self, table: pa.Table):
-        h, kind = table["h"].to_numpy().view(np.uint64), table["kind"].to_numpy()
-        self.branching, self.met, self.first, self.suffixes = (np.sort(h[kind == k]) for k in (_BRANCHING, _MET, _REPEATED_HERE_FIRST, _SUFFIX))
-        self.repeated = np.sort(h[(kind == _REPEATED) | (kind == _REPEATED_HERE_FIRST)])
-
-    @staticmethod
-    def has(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+        h, x, kind = table["h"].to_numpy().view(np.uint64), table["x"].to_numpy().view(np.uint64), table["kind"].to_numpy()
+        self.known = {}
+        for name, kinds in (("met", [_MET]), ("branching", [_BRANCHING]), ("repeated", [_REPEATED, _REPEATED_HERE_FIRST]), ("first", [_REPEATED_HERE_FIRST]), ("strings", [_STRING])):
+            take = np.isin(kind, kinds)
+            order = np.lexsort((x[take], h[take]))
+            self.known[name] = h[take][order], x[take][order]
+
+    def has(self, name: str, h: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        known, checks = self.known[name]
         if not len(known):
             return np.zeros(len(h), bool)
-        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        found = known[at] == h
+        if x is None:
+            return found
+        same = found & (checks[at] == x)
+        more = found & ~same
+        while more.any():  # equal fingerprints, other checks
+            at = at + more
+            more &= at < len(known)
+            at = np.minimum(at, len(known) - 1)
+            more &= known[at] == h
+            same |= more & (checks[at] == x)
+            more &= ~same
+        return same
 
 
 class _Parse:
@@ -79,7 +104,7 @@ class _Parse:
         at = np.zeros(0, np.int64)
         if self.n > TRIGGER:
             rolled = (self.first[TRIGGER:] - self.first[:-TRIGGER]) * tb.FIRST.inverses[: self.n - TRIGGER + 1]
-            at = np.flatnonzero(rolled < np.uint64((1 << 64) // SPACING))
+            at = np.flatnonzero(rolled < np.uint64((1 << 64) // spacing(length)))
         text = np.searchsorted(offsets, at, side="right") - 1
         inside = at + TRIGGER <= offsets[text + 1]
         at, text = at[inside], text[inside]
@@ -91,16 +116,12 @@ class _Parse:
         self.lo, self.hi = np.maximum(before, end - length), np.minimum(at, last)
         self.some = self.lo <= self.hi
         self.phrase = tb.FIRST.windows(self.first, at, end)
-        lo, hi = self.lo[self.some], self.hi[self.some]
-        self.extended = np.zeros(len(at), np.uint64)
-        self.extended[self.some] = tb.FIRST.windows(self.first, lo, hi + length) | np.uint64(1 << 32)
-        self.check = tb.SECOND.windows(self.second, lo, hi + length) >> np.uint64(32)
         starts = np.zeros(self.n + 1, np.int32)
         long = np.diff(offsets) >= length
         starts[offsets[:-1][long]] += 1
         starts[offsets[1:][long] - length + 1] -= 1
-        starts[lo] -= 1
-        starts[hi + 1] += 1
+        starts[self.lo[self.some]] -= 1
+        starts[self.hi[self.some] + 1] += 1
         self.loose = np.flatnonzero(np.cumsum(starts[:-1]) == 1)
 
     def strings(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +129,29 @@ class _Parse:
         return tb.FIRST.windows(self.first, starts, ends), tb.SECOND.windows(self.second, starts, ends) >> np.uint64(32)
 
     def open(self, known: _Learnt) -> tuple[np.ndarray, np.ndarray]:
-        """Which phrases are proven, and the starts of strings that hold repeated phrases alone, in extensions
-        that aren't proven."""
-        proven = self.some & known.has(known.repeated, self.extended)
-        branching = known.has(known.branching, self.phrase)
-        ends = self.end[~(branching | known.has(known.met, self.phrase))]  # of phrases found once
-        following = np.append(ends, np.iinfo(np.int64).max // 2)[np.searchsorted(ends, self.end, side="right")]
-        hi = np.minimum(self.hi, following - self.length - 1)
-        take = branching & ~proven & self.some & (self.lo <= hi)
-        return proven, _ranges(self.lo[take], hi[take])
+        """Of each phrase, the last start of a string that it is the first whole phrase of and that holds no phrase
+        found once, and whether there is any."""
+        met = known.has("met", self.phrase)
+        ends = self.end[~met]
+        hi = np.minimum(self.hi, np.append(ends, _FAR)[np.searchsorted(ends, self.end, side="right")] - self.length - 1)
+        return hi, met & self.some & (self.lo <= hi)
+
+    def extended(self, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, end = self.lo[take], self.hi[take] + self.length
+        return tb.FIRST.windows(self.first, lo, end), tb.SECOND.windows(self.second, lo, end)
+
+    def settled(self, known: _Learnt) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which phrases are proven with all their strings; which of these this block speaks for, where others
+        may need it; and the starts of strings that have to be compared one by one."""
+        hi, is_open = self.open(known)
+        proven, spoken = np.zeros(len(hi), bool), np.zeros(len(hi), bool)
+        whole = np.flatnonzero(is_open & (hi == self.hi))
+        extended = self.extended(whole)
+        proven[whole] = known.has("repeated", *extended)
+        branching = known.has("branching", self.phrase)
+        spoken[whole] = known.has("first", *extended) & branching[whole]
+        take = is_open & ~proven & branching
+        return proven, spoken, np.concatenate([self.loose, _ranges(self.lo[take], hi[take])])
 
 
 def _parses(texts: list[bytes], length: int) -> Iterator[tuple[int, int, _Parse]]:
@@ -132,37 +167,30 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _distinct(h: np.ndarray, check: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(h: np.ndarray, x: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct fingerprints, and whether any was marked as repeated or stands here more than once."""
-    order = np.lexsort((check, h))
-    h, check, repeated = h[order], check[order], repeated[order]
-    at = _runs(h, check)
+    order = np.lexsort((x, h))
+    h, x, repeated = h[order], x[order], repeated[order]
+    at = _runs(h, x)
     if not len(at):
-        return h, check, repeated
+        return h, x, repeated
     twice = np.diff(np.append(at, len(h))) > 1
-    return h[at], check[at], np.logical_or.reduceat(repeated, at) | twice
+    return h[at], x[at], np.logical_or.reduceat(repeated, at) | twice
 
 
 def _table(kinds: dict[str, pa.DataType], *columns: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c if t != pa.int64() else c.view(np.int64), t) for c, t in zip(columns, kinds.values(), strict=True)], names=[*kinds])
 
 
-#: Sent: a fingerprint, and 32 more bits of it (or of a phrase's extension; 0 for none), the block, and flags.
-_SENT = {"h": pa.int64(), "v": pa.int64()}
-_BACK = {"block": pa.int32(), "h": pa.int64(), "kind": pa.int8()}
-_SENT_SQL, _BACK_SQL = "h long, v long", "block int, h long, kind byte"
-
-
-def _packed(check: np.ndarray, block: int, flags: np.ndarray) -> np.ndarray:
-    return check << np.uint64(32) | np.uint64(block << 3) | flags.astype(np.uint64)
-
+#: Sent: a fingerprint; the block, and flags in the lowest bits. Of extensions also 64 bits more (of a phrase, those
+#: of its extension), of strings 32 bits more.
+_PHRASES, _EXTENSIONS, _STRINGS = ({"h": pa.int64(), **more} for more in ({"v": pa.int32()}, {"x": pa.int64(), "v": pa.int32()}, {"v": pa.int64()}))
+_BACK = {"block": pa.int32(), "h": pa.int64(), "x": pa.int64(), "kind": pa.int8()}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.int8(): "byte"}
 
-def _block(v: np.ndarray) -> np.ndarray:
-    return (v >> np.uint64(3) & np.uint64(0x1FFFFFFF)).astype(np.int32)
 
-
-def _flagged(v: np.ndarray, flag: int) -> np.ndarray:
-    return v & np.uint64(flag) != 0
+def _sql(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {_SQL[t]}" for c, t in kinds.items())
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -173,90 +201,119 @@ def _joined(parts: list[np.ndarray], kind: type = np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _dictionary(length: int):
-    """Of a block: each phrase once with an extension of it, and each extended phrase once."""
+def _phrases(length: int):
+    """Of a block: each phrase once."""
 
     def run(table: pa.Table) -> pa.Table:
-        found = [p for _, _, p in _parses(_texts(table), length)]
-        phrase, extension = _joined([p.phrase for p in found]), _joined([p.extended for p in found])
-        h, y, twice = _distinct(phrase, extension >> np.uint64(32), np.zeros(len(phrase), bool))
-        at = _runs(h)
-        sizes = np.diff(np.append(at, len(h)))
-        last = at + sizes - 1  # phrases without strings have extension 0, which stands first
-        several = (sizes > 2) | (sizes == 2) & (y[at] != 0)
-        flags = (np.logical_or.reduceat(twice, at) if len(at) else twice) | (sizes > 1)
-        block = table["block"][0].as_py()
-        v = _packed(y[last], block, flags * _TWICE + several * _SEVERAL)
-        eh, ec, etwice = _distinct(_joined([p.extended[p.some] for p in found]), _joined([p.check for p in found]), np.zeros(sum(len(p.check) for p in found), bool))
-        return _table(_SENT, np.concatenate([h[at], eh]), np.concatenate([v, _packed(ec, block, etwice * _TWICE + _EXTENDED)]))
+        h, n = np.unique(_joined([p.phrase for _, _, p in _parses(_texts(table), length)]), return_counts=True)
+        return _table(_PHRASES, h, (table["block"][0].as_py() << 1 | (n > 1)).astype(np.int32))
 
     return run
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """All rows of a shuffle partition, whose number is chosen so that they fit, in order."""
-    kept = [b for b in batches if b.num_rows]
-    h, v = (_joined([b.column(i).to_numpy().view(np.uint64) for b in kept]) for i in range(2))
-    order = np.lexsort((v, h))
-    return h[order], v[order]
+def _extensions(length: int):
+    """Of a block: each extended phrase without phrases found once, and of each phrase that a string without such
+    phrases begins with one extension, or the mark of several."""
 
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        known, found, more = _Learnt(back), [], []
+        for _, _, p in _parses(_texts(table), length):
+            hi, is_open = p.open(known)
+            whole = is_open & (hi == p.hi)
+            extended = p.extended(whole)
+            found.append((p.phrase[whole], *extended))
+            more.append(p.phrase[is_open & ~whole])
+        phrase, h, x = (_joined(list(c)) for c in zip(*found, strict=True)) if found else [np.zeros(0, np.uint64)] * 3
+        block = table["block"][0].as_py() if table.num_rows else 0
+        eh, ex, twice = _distinct(h, x, np.zeros(len(h), bool))
+        cut = _joined(more)  # strings that end before a phrase found once are an extension of another kind
+        ph, px, several = np.concatenate([phrase, cut]), np.concatenate([h, np.zeros(len(cut), np.uint64)]), np.arange(len(phrase) + len(cut)) >= len(phrase)
+        order = np.lexsort((px, ph))
+        ph, px, several = ph[order], px[order], several[order]
+        at = _runs(ph)
+        if len(at):
+            last = np.append(at[1:], len(ph)) - 1
+            ph, px, several = ph[at], px[last], np.logical_or.reduceat(several, at) | (px[at] != px[last])
+        v = np.concatenate([block << 3 | _EXTENDED | twice * _TWICE, block << 3 | several * _SEVERAL])
+        return _table(_EXTENSIONS, np.concatenate([eh, ph]), np.concatenate([ex, px]), v.astype(np.int32))
 
-def _compare_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, v = _partition(batches)
-    extended = _flagged(v, _EXTENDED)
-    for part in (extended, ~extended):
-        a, b = h[part], v[part]
-        check = b >> np.uint64(32)
-        at = _runs(a, check) if part is extended else _runs(a)
-        if not len(at):
-            continue
-        sizes = np.diff(np.append(at, len(a)))
-        met = np.logical_or.reduceat(_flagged(b, _TWICE), at) | (sizes > 1)
-        if part is extended:
-            kind = np.full(len(a), _REPEATED, np.int8)
-            kind[at] = _REPEATED_HERE_FIRST
-        else:
-            least = np.minimum.reduceat(np.where(check == 0, np.uint64(1 << 33), check), at)
-            branching = np.logical_or.reduceat(_flagged(b, _SEVERAL), at) | (least < np.maximum.reduceat(check, at))
-            kind = np.repeat(np.where(branching, _BRANCHING, _MET).astype(np.int8), sizes)
-        take = np.repeat(met, sizes)
-        yield from _table(_BACK, _block(b[take]), a[take], kind[take]).to_batches()
-
-
-def _compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, v = _partition(batches)
-    at = _runs(h, v >> np.uint64(32))
-    if len(at):
-        sizes = np.diff(np.append(at, len(h)))
-        take = np.repeat(np.logical_or.reduceat(_flagged(v, _TWICE), at) | (sizes > 1), sizes)
-        yield from _table(_BACK, _block(v[take]), h[take], np.full(take.sum(), _SUFFIX, np.int8)).to_batches()
+    return run
 
 
-def _suffixes(length: int):
-    """Of a block: strings of branching phrases in extensions that aren't proven, or are and this block speaks for
-    them; and the loose strings."""
+def _strings(length: int):
+    """Of a block: strings to be compared one by one, and those of proven extensions that it speaks for."""
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
-        known, h, check, repeated = _Learnt(back), [], [], []
+        known, found = _Learnt(back), []
         for _, _, p in _parses(_texts(table), length):
-            _, starts = p.open(known)
-            spoken = p.some & known.has(known.branching, p.phrase) & known.has(known.first, p.extended)
-            for at, mark in ((starts, False), (_ranges(p.lo[spoken], p.hi[spoken]), True), (p.loose, False)):
-                for out, x in zip((h, check), p.strings(at), strict=True):
-                    out.append(x)
-                repeated.append(np.full(len(at), mark))
-        h, check, repeated = _distinct(_joined(h), _joined(check), _joined(repeated, bool))
+            _, spoken, starts = p.settled(known)
+            for at, mark in ((starts, False), (_ranges(p.lo[spoken], p.hi[spoken]), True)):
+                found.append((*p.strings(at), np.full(len(at), mark)))
+        h, x, repeated = _distinct(*(_joined(list(c)) for c in zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
         block = table["block"][0].as_py() if table.num_rows else 0
-        return _table(_SENT, h, _packed(check, block, repeated * _TWICE))
+        return _table(_STRINGS, h, x << np.uint64(32) | np.uint64(block << 3) | repeated.astype(np.uint64))
 
     return run
 
 
+def _partition(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """All rows of a shuffle partition, whose number is chosen so that they fit, in order; None if it has none."""
+    kept = [b for b in batches if b.num_rows]
+    if not kept:
+        return None
+    columns = [np.concatenate([b.column(i).to_numpy() for b in kept]) for i in range(kept[0].num_columns)]
+    columns = [c.view(np.uint64) if c.dtype == np.int64 else c for c in columns]
+    order = np.lexsort(columns[::-1])
+    return [c[order] for c in columns]
+
+
+def _back(take: np.ndarray, block: np.ndarray, h: np.ndarray, x: np.ndarray, kind: np.ndarray) -> list[pa.RecordBatch]:
+    return _table(_BACK, block[take].astype(np.int32), h[take], x[take], kind[take].astype(np.int8)).to_batches()
+
+
+def _compare_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if rows := _partition(batches):
+        h, v = rows
+        at = _runs(h)
+        sizes = np.diff(np.append(at, len(h)))
+        met = np.repeat(np.logical_or.reduceat(v & 1 == 1, at) | (sizes > 1), sizes)
+        yield from _back(met, v >> 1, h, np.zeros(len(h), np.uint64), np.full(len(h), _MET))
+
+
+def _compare_extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not (rows := _partition(batches)):
+        return
+    extended = rows[2] & _EXTENDED != 0
+    h, x, v = (c[extended] for c in rows)
+    if len(h):
+        at = _runs(h, x)
+        sizes = np.diff(np.append(at, len(h)))
+        twice = np.repeat(np.logical_or.reduceat(v & _TWICE != 0, at) | (sizes > 1), sizes)
+        kind = np.full(len(h), _REPEATED)
+        kind[at] = _REPEATED_HERE_FIRST
+        yield from _back(twice, v >> 3, h, x, kind)
+    h, x, v = (c[~extended] for c in rows)
+    if len(h):
+        at = _runs(h)
+        sizes = np.diff(np.append(at, len(h)))
+        several = np.logical_or.reduceat(v & _SEVERAL != 0, at) | (x[at] != x[at + sizes - 1])
+        yield from _back(np.repeat(several, sizes), v >> 3, h, np.zeros(len(h), np.uint64), np.full(len(h), _BRANCHING))
+
+
+def _compare_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if rows := _partition(batches):
+        h, v = rows
+        x = v >> np.uint64(32)
+        at = _runs(h, x)
+        sizes = np.diff(np.append(at, len(h)))
+        take = np.repeat(np.logical_or.reduceat(v & np.uint64(1) == 1, at) | (sizes > 1), sizes)
+        yield from _back(take, (v >> np.uint64(3) & np.uint64(0x1FFFFFFF)), h, x, np.full(len(h), _STRING))
+
+
 def _removed(p: _Parse, known: _Learnt) -> np.ndarray:
     """A mark for each byte to go."""
-    proven, starts = p.open(known)
-    starts = np.concatenate([p.loose, starts])
-    starts = starts[known.has(known.suffixes, p.strings(starts)[0])]
+    proven, _, starts = p.settled(known)
+    starts = starts[known.has("strings", *p.strings(starts))]
     depth = np.zeros(p.n + 1, np.int32)
     np.add.at(depth, np.concatenate([starts, p.lo[proven]]), 1)
     np.add.at(depth, np.concatenate([starts + p.length, p.hi[proven] + p.length]), -1)
@@ -274,6 +331,8 @@ def _cut(length: int, names: list[str], as_text: bool):
                 kept = np.frombuffer(texts[i], np.uint8)[~mask].tobytes() if spans else texts[i]
                 rows.append((len(mask), int(np.count_nonzero(mask)), spans, kept))
         columns = list(zip(*rows, strict=True)) or [()] * 4
+        del known
+        released()
         out = [table[f"_{i}"] for i in range(len(names) - 4)]
         out += [pa.array(c, pa.int64()) for c in columns[:3]]
         out.append(pa.array([x.decode(errors="ignore") for x in columns[3]], pa.string()) if as_text else pa.array(columns[3], pa.binary()))
@@ -282,39 +341,35 @@ def _cut(length: int, names: list[str], as_text: bool):
     return run
 
 
-def _blocked(df: DataFrame, text: str, keep: list[str], block_bytes: int) -> tuple[DataFrame, int]:
-    """df as a table bucketed by block, so that the three passes over the texts need one shuffle of them."""
+def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
+    """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row; as text,
+    these are without characters that were cut in two. The result reads scratch tables; call drop_tables of
+    quire.llm.shared when it has been written."""
     spark = df.sparkSession
     shared_dir(spark)
+    small_batches(spark)
+    keep = [c for c in keep if c not in RESULTS and c != text]
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     blocks = max(12, -(-size // block_bytes), -(-rows // 100_000))
-    block = F.pmod(F.xxhash64(*keep[:1], data), F.lit(blocks)).cast("int")
-    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     buckets = max(12, blocks // 4)
-    name = f"quire_scratch_{uuid.uuid4().hex}"
-    df.select(*columns, data.alias("_text"), block.alias("block")).repartition(buckets, "block").write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name), size
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Drops the bucketed tables of results that have been written."""
-    for t in spark.catalog.listTables(pattern="quire_scratch_*"):
-        spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
-
-
-def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
-    """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row; as text,
-    these are without characters that were cut in two. The
-    result reads a scratch table; call drop_scratch when it has been written."""
-    keep = [c for c in keep if c not in RESULTS and c != text]
-    table, size = _blocked(df, text, keep, block_bytes)
-    texts = table.select("block", "_text")
-    parts = parts_for(2 * size // SPACING, 1_000_000, 12)
-    sent = texts.groupBy("block").applyInArrow(_dictionary(length), _SENT_SQL)
-    back = sent.repartition(parts, "h").mapInArrow(_compare_phrases, _BACK_SQL)
-    more = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_suffixes(length), _SENT_SQL)
-    suffixes = more.repartition(2 * parts, "h").mapInArrow(_compare_suffixes, _BACK_SQL)
+    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    block = F.pmod(F.xxhash64(*keep[:1], data), F.lit(blocks)).cast("int").alias("block")
+    # bucketed by block, so that the four passes over the texts need one shuffle of them
+    table, _ = bucketed(df.select(*columns, data.alias("_text"), block).repartition(buckets, "block"), buckets, "block")
+    texts = table.select("block", "_text").groupBy("block")
+    parts = parts_for(size // spacing(length), 1_000_000, 12)
+
+    def dealt(back: DataFrame) -> DataFrame:
+        return back.repartition(buckets, "block")
+
+    sent = texts.applyInArrow(_phrases(length), _sql(_PHRASES))
+    met, _ = bucketed(dealt(sent.repartition(parts, "h").mapInArrow(tidy(_compare_phrases), _sql(_BACK))), buckets, "block")
+    sent = texts.cogroup(met.groupBy("block")).applyInArrow(_extensions(length), _sql(_EXTENSIONS))
+    extensions = sent.repartition(parts, "h").mapInArrow(tidy(_compare_extensions), _sql(_BACK))
+    learnt, _ = bucketed(dealt(met.unionByName(extensions)), buckets, "block")
+    sent = texts.cogroup(learnt.groupBy("block")).applyInArrow(_strings(length), _sql(_STRINGS))
+    strings = sent.repartition(2 * parts, "h").mapInArrow(tidy(_compare_strings), _sql(_BACK))
+    back = dealt(learnt.unionByName(strings)).groupBy("block")
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(c, T.LongType()) for c in RESULTS[:3]] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    learnt = back.unionByName(suffixes)
-    return table.groupBy("block").cogroup(learnt.groupBy("block")).applyInArrow(_cut(length, [*keep, *RESULTS], as_text), schema)
+    return table.groupBy("block").cogroup(back).applyInArrow(_cut(length, [*keep, *RESULTS], as_text), schema)

@@ -59,16 +59,20 @@ _ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 or b > 127 f
 ALNUM_OR_SPACE = bytes(LOWER[b] if _ALNUM[b] else 32 for b in range(256))
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit bytes together; a longer text stands alone."""
+def spans(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about limit bytes together; a larger row stands alone."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    return spans([len(t) for t in texts], limit)
 
 
 def words(texts: list[bytes], alnum: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 Each file (Arrow's file format, several record batches of fixed-size lists, not compressed) holds sequences of
 `length` ids (16 bits each where the vocabulary allows) and as many mask bits: a token, or past the end. A
 reader maps a file and takes any sequence without decoding or copying anything. Beside it stands an index file
-with doc_id and n_tokens in file order. Documents stand in ascending order of their keys, in and across files.
+with key and n_tokens in file order. Documents stand in ascending order of their keys, in and across files.
 
 Null texts count as empty (the end id alone). A null key sorts first. Rows that repeat a key are all written,
 ordered by key and text. An empty table gives no files and no rows. Texts of any length are encoded whole.
@@ -21,12 +21,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.shared import parts_for, small_batches
+
+#: Bytes of texts in a range of keys, and of ids in a file.
+RANGE_BYTES, FILE_BYTES = 64 << 20, 64 << 20
 #: After how many words a worker forgets those that it has not met for a while; texts that are encoded together;
 #: sequences in a record batch.
 REMEMBERED, TOGETHER, BATCH = 400_000, 1024, 64
@@ -34,8 +38,9 @@ REMEMBERED, TOGETHER, BATCH = 400_000, 1024, 64
 #: a run of stops.
 _WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+").fullmatch
 _STOPS = ".,;:!?"
-#: Where lower case or a full stop needs a closer look.
-_CLOSER = re.compile(r"[.,]\S|[^\w\s][.,]|[^\x00-\u012f\u0131-\u024f]").search
+#: A stop that is no run of its own between a letter or digit and a blank; what might begin a special token; and
+#: characters that are not printing ASCII or Latin ones, for which lower case and composed form need a closer look.
+_CLOSER = re.compile("[.,][^ \n]|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,]|<\\||[^ \n\x21-\x7e\u00a1-\u012f\u0131-\u024f]").search
 
 
 class Recent:
@@ -60,8 +65,9 @@ class Recent:
 
 
 def units(text: str) -> list[str]:
-    """Parts of a text that are encoded apart: the tokenizer drops white space, merges nothing across it or
-    between a letter and a full stop, and ignores case."""
+    """Parts of a text that are encoded apart. The tokenizer composes and lowers characters, then takes runs of
+    letters, digits, and runs of other marks, and drops white space; nothing is composed or merged across a blank,
+    nor between a letter and a stop that a blank follows. Special tokens hold no blank."""
     if not _CLOSER(text):
         return text.lower().replace("\n", " ").replace(".", " .").replace(",", " ,").split(" ")
     out = []
@@ -86,7 +92,6 @@ class Coder:
 
         self.known = Recent()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         ids, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
         self.last = np.zeros(max(ids.values()) + 1, bool)
         self.last[[i for piece, i in ids.items() if piece.endswith(suffix)]] = True
@@ -149,54 +154,106 @@ class _Writer:
         self.writer.close()
 
 
+class _Files:
+    """Files of one partition, one after the other; each gets its name when it is complete, so that an attempt
+    that dies leaves none and a second one gives the same files."""
+
+    def __init__(self, out: str, length: int, kind: np.dtype):
+        self.store, root = FileSystem.from_uri(out)
+        self.store.create_dir(root, recursive=True)
+        context = TaskContext.get()
+        self.name, self.aside = f"{root}/part-{context.partitionId():06d}", context.taskAttemptId()
+        self.length, self.kind, self.at, self.sink = length, kind, 0, None
+
+    def add(self, ids: np.ndarray) -> None:
+        if self.sink is None:
+            self.sink = self.store.open_output_stream(f"{self.name}-{self.at:04d}.{self.aside}.part")
+            self.writer, self.counts, self.keys = _Writer(self.sink, self.length, self.kind), [], []
+        self.writer.add(ids)
+        self.counts.append(len(ids))
+
+    def full(self) -> bool:
+        return self.sink is not None and sum(self.counts) * self.kind.itemsize >= FILE_BYTES
+
+    def close(self) -> None:
+        """Ends a file, if one is open."""
+        if self.sink is None:
+            return
+        self.writer.close()
+        self.sink.close()
+        name, aside = f"{self.name}-{self.at:04d}", f"{self.name}-{self.at:04d}.{self.aside}.part"
+        index = pa.table({"key": pa.chunked_array(self.keys), "n_tokens": pa.array(self.counts, pa.int64())})
+        with self.store.open_output_stream(f"{aside}.index") as f, pa.ipc.new_file(f, index.schema) as w:
+            w.write_table(index)
+        self.store.move(f"{aside}.index", f"{name}.index.arrow")
+        self.store.move(aside, f"{name}.arrow")
+        self.sink, self.at = None, self.at + 1
+
+
 def write(df: DataFrame, key: str, text: str, path: str, out: str, end_id: int = 1, length: int = 2048) -> None:
-    """Writes df's texts below the URI `out`: part-N.arrow and part-N.index.arrow for range N of the keys. A
-    file gets its name when it is complete, so that an attempt that dies leaves none and a second one gives
-    the same file."""
+    """Writes df's texts below the URI `out`: part-N-M.arrow and part-N-M.index.arrow, the M-th file of range N of
+    the keys. Ranges hold about RANGE_BYTES of text each, files about FILE_BYTES of ids."""
+    spark = df.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        store, root = FileSystem.from_uri(out)
-        name = f"{root}/part-{context.partitionId():06d}"
-        aside = f"{name}.{context.taskAttemptId()}.part"
-        code, keys, counts, sink = coder(path), [], [], None
+        code, files, n = coder(path), None, 0
         for batch in batches:
-            if sink is None and batch.num_rows:
-                store.create_dir(root, recursive=True)
-                sink = store.open_output_stream(aside)
-                writer = _Writer(sink, length, code.kind)
+            if files is None and batch.num_rows:
+                files = _Files(out, length, code.kind)
             texts = batch.column(1).to_pylist()
             for i in range(0, len(texts), TOGETHER):
-                for ids in code.encode(texts[i : i + TOGETHER], end_id):
-                    writer.add(ids)
-                    counts.append(len(ids))
-            keys.append(batch.column(0))
-        if sink is not None:
-            writer.close()
-            sink.close()
-            index = pa.table({key: pa.chunked_array(keys), "n_tokens": pa.array(counts, pa.int64())})
-            with store.open_output_stream(f"{aside}.index") as f, pa.ipc.new_file(f, index.schema) as w:
-                w.write_table(index)
-            store.move(f"{aside}.index", f"{name}.index.arrow")
-            store.move(aside, f"{name}.arrow")
-        yield pa.RecordBatch.from_arrays([pa.array([sum(counts)], pa.int64())], names=["n"])
-
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key, text)
+                part = texts[i : i + TOGETHER]
+                for ids in code.encode(part, end_id):
+                    files.add(ids)
+                    n += len(ids)
+                files.keys.append(batch.column(0).slice(i, len(part)))
+                if files.full():
+                    files.close()
+        if files is not None:
+            files.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ordered = rows.repartitionByRange(parts_for(size, RANGE_BYTES, 12), "key").sortWithinPartitions("key", "text")
     ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def sequences(data: bytes | pa.Buffer) -> list[tuple[np.ndarray, pa.BooleanArray]]:
+def mapped(store: FileSystem, name: str) -> pa.NativeFile:
+    """A file of ids: mapped where it lies on a disk, else read, as a store has nothing to map."""
+    if isinstance(store, LocalFileSystem):
+        return pa.memory_map(name)
+    with store.open_input_file(name) as f:
+        return pa.BufferReader(f.read_buffer())
+
+
+def sequences(source: pa.NativeFile) -> list[tuple[np.ndarray, pa.BooleanArray]]:
     """By record batch: ids as an array of shape (sequences, length) over the file's own bytes, and the mask."""
-    reader = pa.ipc.open_file(pa.BufferReader(data))
+    reader = pa.ipc.open_file(source)
     batches = [reader.get_batch(i) for i in range(reader.num_record_batches)]
     return [(b.column(0).values.to_numpy(zero_copy_only=True).reshape(len(b), -1), b.column(1).values) for b in batches]
 
 
-def read(spark: SparkSession, path: str, key: str, kind: T.DataType) -> DataFrame:
-    """(file, key, place, n_tokens, ids_crc32) of each document in the files below path: its place among the
-    tokens of its file, and the CRC of its ids as little-endian unsigned 32-bit integers."""
-    fields = [T.StructField("file", T.StringType()), T.StructField(key, kind)]
+def _checksums(batches: list[np.ndarray], sizes: list[int]) -> list[int]:
+    """Of each document, whose ids may lie in several batches."""
+    out, at, place = [], 0, 0
+    for n in sizes:
+        crc = 0
+        while n:
+            part = batches[at][place : place + n]
+            crc = zlib.crc32(part.astype("<u4"), crc)
+            n, place = n - len(part), place + len(part)
+            if place == len(batches[at]):
+                at, place = at + 1, 0
+        out.append(crc)
+    return out
+
+
+def read(spark: SparkSession, path: str, kind: T.DataType) -> DataFrame:
+    """(file, key, place, n_tokens, ids_crc32) of each document in the files below path, whose keys are of this
+    kind: its place among the tokens of its file, and the CRC of its ids as little-endian unsigned 32-bit integers."""
+    fields = [T.StructField("file", T.StringType()), T.StructField("key", kind)]
     fields += [T.StructField(x, T.LongType()) for x in ("place", "n_tokens", "ids_crc32")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +264,13 @@ def read(spark: SparkSession, path: str, key: str, kind: T.DataType) -> DataFram
                     index = pa.ipc.open_file(f).read_all()
                 sizes = index["n_tokens"].to_numpy()
                 ends = np.cumsum(sizes)
-                with store.open_input_file(name) as f:
-                    found = sequences(f.read_buffer())
-                if sum(m.true_count for _, m in found) != sizes.sum():
-                    raise ValueError(f"{path}: index and masks differ")
-                flat = np.concatenate([x.reshape(-1) for x, _ in found])
-                crc = [zlib.crc32(flat[e - n : e].astype("<u4")) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array([os.path.basename(name)] * len(ends)), index[key].combine_chunks(), *(pa.array(x, pa.int64()) for x in (ends - sizes, sizes, crc))]
+                with mapped(store, name) as source:
+                    found = sequences(source)
+                    if sum(m.true_count for _, m in found) != sizes.sum():
+                        raise ValueError(f"{path}: index and masks differ")
+                    crc = _checksums([x.reshape(-1) for x, _ in found], sizes.tolist())
+                    del found
+                columns = [pa.array([os.path.basename(name)] * len(ends)), index["key"].combine_chunks(), *(pa.array(x, pa.int64()) for x in (ends - sizes, sizes, crc))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[0-9].arrow").load(path)
@@ -221,12 +278,12 @@ def read(spark: SparkSession, path: str, key: str, kind: T.DataType) -> DataFram
 
 
 def with_starts(read_back: DataFrame, key: str) -> DataFrame:
-    """Adds `start`: the ids of all documents in earlier files and earlier places. One row a file is summed up
-    in order; documents never meet in one task."""
+    """(key under its name, start, n_tokens, ids_crc32); start counts the ids of all documents in earlier files and
+    earlier places. One row a file is summed up in order; documents never meet in one task."""
     from pyspark.sql import Window
 
     sizes = read_back.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     joined = read_back.join(bases, "file")
-    return joined.select(key, (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return joined.select(F.col("key").alias(key), (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textbytes as tb
-from quire.llm.shared import scratch, text_bytes
+from quire.llm.shared import parts_for, scratch, small_batches, text_bytes, tidy
 
 SAMPLE, HASH_BITS, PRIOR, ERRORS, DRIFT, STRETCH, SIGNIFICANT = 50_000, 22, 0.05, 2.0, 1.0, 100, 1e-3
 PREFIXES = (3, 4, 5, 6)
@@ -120,7 +120,7 @@ def _counted(train: DataFrame) -> DataFrame:
             part = found[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[1][part]), pa.array(counts[0][part])], names=["feature", "toxic", "clean"])
 
-    sent = train.select("toxic", "text").mapInArrow(run, "feature int, toxic int, clean int")
+    sent = train.select("toxic", "text").mapInArrow(tidy(run), "feature int, toxic int, clean int")
     return sent.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -170,11 +170,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, sample: int = SAMPLE) -> Model:
     """A model of documents whose key has a label; a text is toxic if its label is positive."""
     spark = documents.sparkSession
+    small_batches(spark)
     marked = labels.where(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # the documented bound of the training sample
     rows = documents.select(F.col(key).alias("_id"), text_bytes(text).alias("text")).join(F.broadcast(chosen), "_id")
     path = scratch(spark, "toxicity")
-    rows.select("toxic", "text").dropDuplicates().write.parquet(path)
+    parts = parts_for(sample, 4_000, 1)  # of a bounded sample
+    rows.select("toxic", "text").dropDuplicates().coalesce(parts).write.parquet(path)
     train = spark.read.parquet(path)
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -222,4 +224,4 @@ def score(documents: DataFrame, key: str, text: str, model: Model, keep: list[st
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     rows = documents.select(*[F.col(c) for c in keep], text_bytes(text).alias("_text"))
-    return rows.mapInArrow(run, f"{kinds}, n_words long, score double, passages array<{PASSAGE}>")
+    return rows.mapInArrow(tidy(run), f"{kinds}, n_words long, score double, passages array<{PASSAGE}>")

@@ -8,7 +8,8 @@ line, the headers it needs, lengths and digests; whatever doesn't fit raises Val
 
 Null payloads count as empty; null urls are written as an empty target. Rows that repeat a key are all written;
 if it is the smallest of its payload, each of them is a response. Rows with a null key never are referred to.
-Empty tables give no archives and no rows. Only the columns named are used. A payload must fit in a task's memory.
+Empty tables give no archives and no rows. Only the columns named are used. A payload must fit in a task's memory;
+one of 2 GB or more fails, as no column of Spark can hold it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Bytes after which a task begins a new archive; a dictionary is trained on the first records of a task.
 ARCHIVE_BYTES, SAMPLE_RECORDS, DICTIONARY_BYTES = 64 << 20, 200, 32 << 10
+#: Tasks at most that the rows of one payload are dealt to.
+SALTS = 256
 
 
 def digest(payload: bytes) -> str:
@@ -177,15 +180,18 @@ class _Archives:
 
 
 def resolved(df: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0) -> DataFrame:
-    """(key, url, payload, sha1, size, first) of each row; first is the key it revisits, or null. Payloads of
-    equal digest and length meet by these alone, and the smallest key of each is found before they do."""
+    """(key, url, payload, sha1, size, first) of each row; first is the key it revisits, or null. The smallest key
+    of each digest and length is found without payloads; it comes back to the rows salted, so that those of a very
+    common payload are dealt to up to SALTS tasks."""
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), data.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    alike = rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size")
-    firsts = alike.agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1 and first is not null")
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "salt": F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")})
+    alike = rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size", "salt").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("of"))
+    whole = Window.partitionBy("sha1", "size")  # SALTS rows at most
+    firsts = alike.select("sha1", "size", "salt", F.min("least").over(whole).alias("first"), F.sum("of").over(whole).alias("of"))
     revisits = ~F.col("key").eqNullSafe(F.col("first"))
-    return rows.join(firsts.drop("of"), ["sha1", "size"], "left").withColumn("first", F.when(revisits, F.col("first")))
+    joined = rows.join(firsts.where("of > 1 and first is not null").drop("of"), ["sha1", "size", "salt"], "left")
+    return joined.withColumn("first", F.when(revisits, F.col("first"))).drop("salt")
 
 
 def write(df: DataFrame, key: str, url: str, payload: str, out: str, min_bytes: int = 0) -> None:

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from quire.llm import suffixdedup
+from quire.llm.shared import drop_tables
 from tests.llm.conftest import prose
 
 
@@ -63,5 +64,5 @@ def test_odd_rows(spark, docs, empty_docs, odd_texts):
     want = sorted(expected(t, g)[:3] for t, g in zip(raw, brute(raw, 400), strict=True))
     assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()) == want
     assert suffixdedup.dedup(empty_docs, "text", ["doc_id"]).count() == 0
-    suffixdedup.drop_scratch(spark)
+    drop_tables(spark)
     assert not spark.catalog.listTables(pattern="quire_scratch_*")
