@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, neardup, suffixdedup, toxicity
-from quire.llm.shared import scratch, table
+from quire.llm.shared import drop_tables, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Scores from which a document counts as toxic; share of benchmark words from which it goes as a whole.
 TOXIC, COVERED = 0.3, 0.8
+#: Bytes of a passage that is cut out where it repeats: fewer than 99 of 100 passages of 51 words have.
+REPEATED = 240
 
 #: No stage can be written in SQL as a whole; each is tested against a plain version of it.
 ORACLE_SQL = None
@@ -36,16 +38,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out strings of 400 bytes that occur twice; a document of which nothing is left goes."""
-    suffixdedup.drop_scratch(spark)  # tables of the stage before, whose result has been written
-    found = suffixdedup.dedup(docs, "text", COLUMNS, as_text=True)
+    """Cuts out strings of REPEATED bytes that occur twice; a document of which nothing is left goes."""
+    found = suffixdedup.dedup(docs, "text", COLUMNS, REPEATED, as_text=True)
     left = found.where("n_removed = 0 or kept != ''").withColumn("text", F.coalesce("kept", F.lit("")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out what test items contain; a document that consists of such words for the most part goes."""
-    suffixdedup.drop_scratch(spark)
+    drop_tables(spark)  # of the stage before, whose result has been written
     keep = [c for c in COLUMNS if c not in ("text", "n_chars")]
     found = decontam.clean(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", keep, COVERED)
     return found.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
