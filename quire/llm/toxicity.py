@@ -2,9 +2,10 @@
 
 Words, and the beginnings of words (3 to 6 bytes, for inflected and compound forms), are counted in toxic and in
 other labelled documents, once a document. Each feature has a log-odds ratio under an informative Dirichlet prior
-(all labelled text in proportion, as if `PRIOR` times as many documents had been seen), of which two standard errors are taken off, so that rare features count little.
-A word takes the largest of its features, if any is positive, less `DRIFT`, so that words of clean text score
-negatively on the whole.
+(all labelled text in proportion, as if `PRIOR` times as many documents had been seen), of which `ERRORS` standard
+errors are taken off, so that rare features count little. A word takes the largest of its features, if any exceeds
+`DRIFT`, less `DRIFT`, so that words of clean text score negatively on the whole. Both were chosen by folds of the
+training rows of tables with 296 and 2,897 labels (README).
 
 A linear scan finds the maximal scoring segments of a text. Best segments of random text follow an extreme value
 law: the count expected at score s or more in n words is E = K n exp(-lambda s). K and lambda are fitted to clean
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from quire.llm import textbytes as tb
 from quire.llm.shared import parts_for, scratch, small_batches, text_bytes, tidy
 
-SAMPLE, HASH_BITS, PRIOR, ERRORS, DRIFT, STRETCH, SIGNIFICANT = 50_000, 22, 0.05, 2.0, 1.0, 100, 1e-3
+SAMPLE, HASH_BITS, PRIOR, ERRORS, DRIFT, STRETCH, SIGNIFICANT = 50_000, 22, 0.05, 1.0, 1.5, 100, 1e-3
 PREFIXES = (3, 4, 5, 6)
 PASSAGE = "struct<first_byte:long,end_byte:long,score:double>"
 
