@@ -28,6 +28,8 @@ from quire.llm.shared import checkpointed, parts_for
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 16, 256, 4, 8192, 8
 #: Vectors in a block of codes, queries in a block of queries.
 CODE_BLOCK, QUERY_BLOCK = 65_536, 256
+#: Partitions of query blocks at most; each meets each block of codes in a task.
+MOST_PARTS = 64
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -146,9 +148,9 @@ def _codes(rows: DataFrame, books: np.ndarray, blocks: int, k: int) -> DataFrame
     return small.repartition(blocks).mapInArrow(pack, "ids binary, codes binary, norms binary")
 
 
-def _tiles(queries: DataFrame, codes: DataFrame, books: np.ndarray, keep: int) -> DataFrame:
+def _tiles(queries: DataFrame, codes: DataFrame, books: np.ndarray, keep: int, parts: int) -> DataFrame:
     """(query, id, approximate score): the best `keep` of each block of codes for each query. Each block of
-    queries meets each block of codes; a task holds one of each."""
+    queries, dealt to `parts` partitions, meets each block of codes; a task holds one of each at a time."""
     sent = queries.sparkSession.sparkContext.broadcast(books)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def _tiles(queries: DataFrame, codes: DataFrame, books: np.ndarray, keep: int) -
                     columns = [pa.array(qids[i + a]), pa.array(ids[b]), pa.array(s[a, b].astype(np.float64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["query", "id", "near"])
 
-    blocks = queries.mapInArrow(pack, "qids binary, queries binary")
+    blocks = queries.mapInArrow(pack, "qids binary, queries binary").repartition(parts)
     return blocks.crossJoin(codes).mapInArrow(run, "query long, id long, near double")
 
 
@@ -189,7 +191,8 @@ def search(df: DataFrame, key: str, vector: str, is_query: Callable[[Column], Co
     books = fit(sample)
     queries = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
     codes = checkpointed(_codes(rows, books, parts_for(rows.count(), CODE_BLOCK, 1), k))
-    short = _tiles(queries, codes, books, keep).select("query", "id").distinct()
+    parts = min(MOST_PARTS, parts_for(queries.count(), QUERY_BLOCK, 1))
+    short = _tiles(queries, codes, books, keep, parts).select("query", "id").distinct()
     asked = queries.select(F.col("id").alias("query"), F.col("v").alias("q"))
     pairs = short.join(asked, "query").join(rows, "id")
 
