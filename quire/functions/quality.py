@@ -78,6 +78,17 @@ def most_repeats(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), start, step, lambda s: s["most"])
 
 
+def repeated(items: Column) -> Column:
+    """(item, n) of items that occur more than once, within one row: sorted, so that equal ones are neighbours."""
+
+    def of(s: Column) -> Column:
+        n = F.greatest(F.size(s) - 1, F.lit(0))
+        again = F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda a, b: F.when(a == b, a))
+        return F.transform(F.array_distinct(F.array_compact(again)), lambda g: F.struct(g.alias("item"), F.size(F.filter(s, lambda x: x == g)).cast("long").alias("n")))
+
+    return _once(F.array_sort(items), of)
+
+
 def repeats_itself(c: Column, n: int = 10, most: int = 8, diversity: float = 0.5, rows: Column | None = None) -> Column:
     """From 12 lines on, whether distinct lines are few; of shorter texts, whether an n-gram is too frequent. Its
     lines may be given."""

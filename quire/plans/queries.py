@@ -253,8 +253,8 @@ g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1,
 SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1""")
 def ngram_repeats(spark, sf):
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    grams = _documents(spark, sf).select("doc_id", words.alias("w")).select("doc_id", F.explode(quality.ngrams(F.col("w"), 10)).alias("gram"))
-    return grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = _documents(spark, sf).select("doc_id", F.explode(quality.repeated(quality.ngrams(words, 10))).alias("x"))
+    return found.select("doc_id", F.col("x.item").alias("gram"), "x.n")
 
 
 # --- layout and routing ---------------------------------------------------------------------------------------
@@ -505,20 +505,63 @@ def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.run(asked, "item_id", "text", *_turns(spark, sf), words, choices)
 
 
-@query()
+# The same retrieval in SQL, from the rules: words of turns, gate, descent by the best of 64 scores a question or into
+# an only child, pages up to the next turn of a conversation, and what governs them.
+_TURN_NODES = f"""{_RANGES},
+p AS (SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level < a.level GROUP BY ALL),
+nd AS (SELECT c.conv_id || ':' || c.turn AS node_id, CASE WHEN parent IS NOT NULL THEN c.conv_id || ':' || parent END AS parent_id, c.conv_id AS doc, c.turn AS ord, c.level, ['quadro', 'sezione', 'rigo'][c.level] AS kind,
+  substring(regexp_extract(t.text, '^([^\\n]*)', 1), 1, 60) AS title, r.page_end, coalesce(r.later, r.page_end) AS serve_end, t.text AS said FROM c JOIN p USING (conv_id, turn) JOIN r USING (conv_id, turn) JOIN conversations t USING (conv_id, turn)),
+above AS (SELECT node_id, parent_id AS a, 1 AS d FROM nd WHERE parent_id IS NOT NULL UNION ALL SELECT n.node_id, u.parent_id, 2 FROM nd n JOIN nd u ON u.node_id = n.parent_id WHERE u.parent_id IS NOT NULL),
+gov AS (SELECT above.node_id, string_agg('[' || kind || '] ' || title || chr(10) || said, chr(10) || chr(10) ORDER BY d DESC) AS rules, string_agg(to_json(title)::VARCHAR, ',' ORDER BY d DESC) AS owners,
+  string_agg('{{"kind":' || to_json(kind) || ',"title":' || to_json(title) || ',"text":' || to_json(said) || '}}', ',' ORDER BY d DESC) AS shown FROM above JOIN nd ON nd.node_id = above.a GROUP BY 1),
+pg AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM conversations WHERE text <> ''),
+entry AS (SELECT node_id, string_agg(body, chr(10) || chr(10) ORDER BY pg.turn) AS entry FROM nd JOIN pg ON pg.conv_id = nd.doc AND pg.turn BETWEEN nd.ord AND serve_end GROUP BY 1),
+srv AS (SELECT nd.node_id, title AS target_title, ord || '-' || page_end AS target_pages, owners, shown,
+  CASE WHEN rules IS NULL THEN '' ELSE '{retrieval.GOVERNING}' || chr(10) || chr(10) || rules || chr(10) || chr(10) END || '{retrieval.ENTRY}' || chr(10) || title || chr(10) || coalesce(entry, '') AS served_text FROM nd LEFT JOIN gov USING (node_id) LEFT JOIN entry USING (node_id))"""
+_TURN_WORDS = f"""tw AS (SELECT conv_id || ':' || turn AS node_id, {_terms_sql("text")} AS u FROM conversations),
+tt AS (SELECT node_id, unnest({_BOTH}) AS term FROM tw),
+ttf AS (SELECT term, node_id, count(*)::DOUBLE AS tf FROM tt GROUP BY ALL),
+tdf AS (SELECT term, count(*) AS df FROM ttf GROUP BY term),
+tn AS (SELECT count(DISTINCT node_id) AS nodes FROM ttf),
+tix AS (SELECT term, node_id, round(tf * (ln((1 + nodes) / (1 + df)) + 1), 4) AS weight FROM ttf JOIN tdf USING (term), tn)"""
+_FOUND = f"""{_TURN_NODES}, {_TURN_WORDS},
+q AS (SELECT item_id, {_terms_sql("text")} AS u FROM benchmark),
+qt AS (SELECT DISTINCT item_id, unnest({_BOTH}) AS term FROM q),
+sc AS (SELECT item_id, node_id, round(sum(weight), 4) AS score FROM qt JOIN tix USING (term) GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS place FROM sc),
+gt AS (SELECT b.item_id, max(CASE WHEN place = 1 THEN score END) AS top1, coalesce(max(CASE WHEN place = 2 THEN score END), 0) AS top2, max(CASE WHEN place = 1 THEN node_id END) AS best,
+  string_agg('{{"node_id":"' || node_id || '","score":' || score || '}}', ',' ORDER BY place) FILTER (place <= 8) AS listed, string_agg(node_id, ',' ORDER BY place) FILTER (place <= 8) AS candidates FROM benchmark b LEFT JOIN m USING (item_id) GROUP BY 1),
+gg AS (SELECT *, CASE WHEN top1 IS NULL THEN 'vuoto' WHEN top1 < 8 OR (top2 > 0 AND top1 < 1.5 * top2) THEN 'ambiguo' ELSE 'netto' END AS gate, CASE WHEN top2 > 0 THEN printf('%.2fx', top1 / top2) ELSE 'inf' END AS times FROM gt),
+gr AS (SELECT *, CASE WHEN top1 IS NULL THEN 'nessun match lessicale' WHEN top1 < 8 THEN printf('top1 %.1f < soglia_assoluta 8.0', top1) WHEN gate = 'ambiguo' THEN 'margine ' || times || ' < 1.5x (top2 vicino)' ELSE printf('top1 %.1f, margine ', top1) || times END AS reason FROM gg),
+ch AS (SELECT m.item_id, coalesce(parent_id, '') AS parent, m.node_id, row_number() OVER (PARTITION BY m.item_id, parent_id ORDER BY score DESC, m.node_id) AS nth FROM m JOIN nd USING (node_id) WHERE place <= 64),
+lone AS (SELECT coalesce(parent_id, '') AS parent, min(node_id) AS node_id FROM nd GROUP BY 1 HAVING count(*) = 1),
+s1 AS (SELECT gr.item_id, coalesce(ch.node_id, lone.node_id) AS n1 FROM gr LEFT JOIN ch ON ch.item_id = gr.item_id AND ch.nth = 1 AND ch.parent = '' LEFT JOIN lone ON lone.parent = '' WHERE gate <> 'netto'),
+s2 AS (SELECT s1.*, coalesce(ch.node_id, lone.node_id) AS n2 FROM s1 LEFT JOIN ch ON ch.item_id = s1.item_id AND ch.nth = 1 AND ch.parent = n1 LEFT JOIN lone ON lone.parent = n1),
+s3 AS (SELECT s2.*, coalesce(ch.node_id, lone.node_id) AS n3 FROM s2 LEFT JOIN ch ON ch.item_id = s2.item_id AND ch.nth = 1 AND ch.parent = n2 LEFT JOIN lone ON lone.parent = n2),
+tg AS (SELECT gr.*, CASE WHEN gate = 'netto' THEN best ELSE coalesce(n3, n2, n1) END AS node_id FROM gr LEFT JOIN s3 USING (item_id)),
+found AS (SELECT tg.*, CASE WHEN gate = 'netto' THEN 'fast_path' WHEN node_id IS NOT NULL THEN 'navigation_descent' ELSE 'refused' END AS method, target_title, target_pages, owners, shown, served_text FROM tg LEFT JOIN srv USING (node_id))"""
+
+
+@query(f"WITH {_FOUND} SELECT item_id, gate, reason, method, node_id, target_title, target_pages, candidates, owners AS pin_owners, served_text FROM found")
 def retrieval_run(spark, sf):
-    return _retrieved(spark, sf)
+    ids = F.array_join(F.transform("candidates", lambda x: x["node_id"]), ",").alias("candidates")
+    owners = F.array_join(F.transform("pins", lambda p: F.to_json(F.array(p["title"]))), ",")
+    owners = F.regexp_replace(F.regexp_replace(owners, r"\],\[", ","), r"^\[|\]$", "").alias("pin_owners")
+    return _retrieved(spark, sf).select("item_id", "gate", "reason", "method", "node_id", "target_title", "target_pages", ids, owners, "served_text")
 
 
-@query()
+@query(f"""WITH {_FOUND} SELECT item_id, CASE WHEN node_id IS NULL THEN 'refused' ELSE method END AS outcome,
+  '{{"gate":"' || gate || '","reason":"' || reason || '","method":"' || method || '","target_node_id":' || coalesce('"' || node_id || '"', 'null') || ',"candidates":' || coalesce('[' || listed || ']', 'null') || ',"pin_owners":[' || coalesce(owners, '') || ']}}' AS trace FROM found""")
 def answer_traces(spark, sf):
     return retrieval.traces(_retrieved(spark, sf), "item_id")
 
 
-@query()
+@query(f"""WITH {_FOUND} SELECT item_id, '# Q&A log — ' || item_id || chr(10) || chr(10) || '- **timestamp:** 1970-01-01T00:00:00Z' || chr(10) || '- **documento:** conversations' || chr(10) || '- **query:** ' || text || chr(10)
+  || chr(10) || '---' || chr(10) || chr(10) || '## 1. Retrieval' || chr(10) || chr(10) || gate || ' — ' || reason || ' — ' || method || chr(10)
+  || chr(10) || '---' || chr(10) || chr(10) || '## 2. Contesto servito' || chr(10) || chr(10) || '```' || chr(10) || coalesce(served_text, '') || chr(10) || '```' || chr(10) AS log FROM found JOIN benchmark USING (item_id)""")
 def question_log(spark, sf):
     found = _retrieved(spark, sf).join(table(spark, sf, "benchmark"), "item_id")
-    titles, bodies = ("Retrieval", "Contesto servito"), (F.concat_ws(" — ", "gate", "reason", "method"), retrieval.fenced(F.col("served_text")))
+    titles, bodies = ("Retrieval", "Contesto servito"), (F.concat_ws(" — ", "gate", "reason", "method"), retrieval.fenced(F.coalesce("served_text", F.lit(""))))
     sections = F.array(*[F.struct(F.lit(t).alias("title"), b.alias("body")) for t, b in zip(titles, bodies, strict=True)])
     log = retrieval.question_log(F.col("item_id").cast("string"), F.lit("1970-01-01T00:00:00Z"), F.lit("conversations"), F.col("text"), sections)
     return found.select("item_id", log.alias("log"))
@@ -529,11 +572,28 @@ def baseline_context(spark, sf):
     return retrieval.baseline(_turns(spark, sf)[1])
 
 
-@query()
+_JUDGED = """CASE WHEN prompt IS NULL THEN 'ERRATO' WHEN length(question) % 2 = 0 THEN 'CORRETTO' ELSE 'PARZIALE' END"""
+
+
+@query(f"""WITH {_FOUND}, base AS (SELECT conv_id AS doc, string_agg('== p.' || turn || ' ==' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY 1),
+arms AS (SELECT item_id, 'navigazione' AS arm, text AS question, served_text AS served, target_title FROM benchmark JOIN found USING (item_id) UNION ALL SELECT item_id, 'servi_intero', text, whole, NULL FROM benchmark LEFT JOIN base ON doc = item_id),
+asked AS (SELECT *, CASE WHEN served <> '' THEN 'CONTESTO:' || chr(10) || served || chr(10) || chr(10) || 'DOMANDA: ' || question END AS prompt FROM arms),
+said AS (SELECT *, CASE WHEN prompt IS NULL THEN '{retrieval.REFUSAL}' ELSE question END AS answer, {_JUDGED} AS verdict FROM asked)
+SELECT item_id, arm, prompt, answer, verdict, verdict = 'CORRETTO' AS correct, prompt IS NULL AS refused, (prompt IS NOT NULL)::INT AS facts, CASE WHEN prompt IS NULL THEN 0.25 ELSE 0.75 END AS cost_usd, target_title FROM said""")
 def case_arms(spark, sf):
-    """Each item asks for its own text of the conversation of its number."""
+    """Each item asks for its own text of the conversation of its number. Stand-ins for models repeat the question
+    and judge by its length."""
+
+    def call(prompt: str) -> tuple[str, float]:
+        return prompt.rpartition("\n\nDOMANDA: ")[2], 0.5
+
+    def judge(prompt: str) -> tuple[str, float]:
+        answer = prompt.partition("\n\nRISPOSTA: ")[2].rpartition("\n\nRispondi solo con una di: ")[0]
+        return ("ERRATO" if answer == retrieval.REFUSAL else "CORRETTO" if len(answer) % 2 == 0 else "PARZIALE"), 0.25
+
     cases = table(spark, sf, "benchmark").select("item_id", F.col("item_id").alias("doc"), F.col("text").alias("question"), F.col("text").alias("expected"), F.array("text").alias("facts"), F.lit(True).alias("answerable"))
-    return retrieval.run_cases(cases, "item_id", _retrieved(spark, sf), retrieval.baseline(_turns(spark, sf)[1]))
+    found = retrieval.run_cases(cases, "item_id", _retrieved(spark, sf), retrieval.baseline(_turns(spark, sf)[1]), call, judge)
+    return found.select("item_id", "arm", "prompt", "answer", "verdict", "correct", "refused", F.col("facts.hits").alias("facts"), "cost_usd", "target_title")
 
 
 def _scopes(spark: SparkSession, sf: str) -> DataFrame:
@@ -541,9 +601,16 @@ def _scopes(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.scope_inputs(nodes, pages)
 
 
-@query()
+_SCOPES = f"""{_TURN_NODES},
+kids AS (SELECT parent_id AS node_id, string_agg('- ' || title, chr(10) ORDER BY ord, title) AS kids FROM nd WHERE parent_id IS NOT NULL GROUP BY 1),
+own AS (SELECT node_id, substring(string_agg(body, chr(10) || chr(10) ORDER BY pg.turn), 1, 6000) AS own FROM nd JOIN pg ON pg.conv_id = nd.doc AND pg.turn BETWEEN nd.ord AND page_end WHERE node_id NOT IN (SELECT node_id FROM kids) GROUP BY 1),
+scopes AS (SELECT nd.*, kids IS NULL AS is_leaf, coalesce(own, '') AS own_text, 'Tipo voce: ' || kind || chr(10) || 'Titolo: ' || title || chr(10) || chr(10) ||
+  CASE WHEN kids IS NULL THEN 'Testo della voce:' || chr(10) || CASE WHEN coalesce(own, '') = '' THEN '(nessun testo estratto)' ELSE own END ELSE 'Sotto-voci contenute (figli diretti):' || chr(10) || kids END AS message FROM nd LEFT JOIN kids USING (node_id) LEFT JOIN own USING (node_id))"""
+
+
+@query(f"WITH {_SCOPES} SELECT node_id, is_leaf, own_text, message FROM scopes")
 def scope_inputs(spark, sf):
-    return _scopes(spark, sf).select("node_id", "is_leaf", "child_titles", "own_text", "message")
+    return _scopes(spark, sf).select("node_id", "is_leaf", "own_text", "message")
 
 
 @query("SELECT CASE role WHEN 'system' THEN 'quadro' WHEN 'user' THEN 'sezione' ELSE 'rigo' END AS kind, count(*) AS n FROM conversations GROUP BY 1")
@@ -570,12 +637,18 @@ def descent_by_replies(spark, sf):
     return found.select("item_id", "node_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query()
+@query(f"""WITH {_SCOPES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc, kind ORDER BY ord, node_id) AS nth FROM scopes),
+f AS (SELECT *, CASE WHEN kind = 'quadro' AND nth = 1 THEN 0 WHEN kind = 'sezione' AND nth = 1 THEN 1 WHEN is_leaf THEN 2 END AS rank_ FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank_, ord, node_id) AS taken FROM f WHERE rank_ IS NOT NULL)
+SELECT doc, node_id, kind, is_leaf FROM t WHERE taken <= 3""")
 def representative_run(spark, sf):
     return retrieval.representative(_scopes(spark, sf), 3).select("doc", "node_id", "kind", "is_leaf")
 
 
-@query()
+@query(f"""WITH {_SCOPES}, {_TURN_WORDS},
+tk AS (SELECT node_id, string_agg('{{"term":' || to_json(term) || ',"weight":' || weight || '}}', ',' ORDER BY place) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY weight DESC, term) AS place FROM tix) WHERE place <= 14 GROUP BY 1)
+SELECT doc, node_id, '{{"id":"' || node_id || '","parent":' || coalesce('"' || parent_id || '"', 'null') || ',"kind":"' || kind || '","level":' || level || ',"title":' || to_json(title) || ',"pages":"' || ord || '-' || page_end || '","is_leaf":' || is_leaf
+  || ',"input":' || to_json(message) || ',"pins":' || coalesce('[' || shown || ']', 'null') || ',"kw":' || coalesce('[' || kw || ']', 'null') || '}}' AS payload FROM scopes LEFT JOIN gov USING (node_id) LEFT JOIN tk USING (node_id)""")
 def node_payload(spark, sf):
     return retrieval.payload(_scopes(spark, sf), _turns(spark, sf)[2], _turn_words(spark, sf))
 
