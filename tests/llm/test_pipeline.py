@@ -39,7 +39,7 @@ def test_stages_on_their_own_input(spark, tmp_path):
     kept = brute_groups([x.text for x in clean])
     assert [x.doc_id for x in groups] == [x.doc_id for i, x in enumerate(clean) if kept[i][2]] and len(groups) < len(clean)
     raw = [(x.text or "").encode() for x in groups]
-    want = [bytes(b for b, g in zip(t, gone, strict=True) if not g).decode(errors="ignore") for t, gone in zip(raw, brute_repeats(raw, 400), strict=True)]
+    want = [bytes(b for b, g in zip(t, gone, strict=True) if not g).decode(errors="ignore") for t, gone in zip(raw, brute_repeats(raw, corpus_pipeline.REPEATED), strict=True)]
     assert [x.text for x in cut] == want and any(a != b.decode() for a, b in zip(want, raw, strict=True))
     hits = {x.doc_id: brute_hits(x.text, list(enumerate(items))) for x in cut}
     assert {x.doc_id for x in decontaminated} == {i for i, (n, hit, _) in hits.items() if not n or hit < 0.8 * n}
@@ -54,3 +54,11 @@ def test_empty(spark, empty_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, docs, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and copies, items and labels of nulls."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (1, None, None), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (2, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 3, 4, 5, 7, 9]
