@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Odd rows: a null text counts as empty, is toxic only if all training rows are, is nobody's near duplicate, and stays.
+A null doc_id is a document like any other. Rows that repeat a doc_id and its text all stay or all go in the first two
+stages; in the third they repeat each other, as copies with other ids would if any were left. Of texts that tie as near
+duplicates the smallest doc_id stays. Empty tables give no rows; further columns of documents are not carried on.
 """
 
 from __future__ import annotations
