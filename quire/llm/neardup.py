@@ -331,6 +331,6 @@ def near_duplicates(df: DataFrame, key: str, text: str, keep: list[str] | None =
     results = [F.col(f"named.{c}") for c in RESULTS]
     if len(keep) == 1:
         return named.alias("named").select(F.col("key").alias(key), *results)
-    same = F.col("key").eqNullSafe(F.col(f"rows.`{key}`")) & (F.col("mark") == F.xxhash64(F.col(f"rows.`{text}`")))
+    same = F.col("named.key").eqNullSafe(F.col(f"rows.`{key}`")) & (F.col("named.mark") == F.xxhash64(F.col(f"rows.`{text}`")))
     once = named.dropDuplicates(["key", "mark"]).alias("named")  # repeated rows agree in all of it
     return df.alias("rows").join(once, same).select(*[F.col(f"rows.`{c}`") for c in keep], *results)
