@@ -59,10 +59,16 @@ def decomposed(c: Column) -> Column:
     return run(c)
 
 
+def folded(c: Column) -> Column:
+    """decomposed(), with Python seeing only texts that hold more than ASCII and the letters that plain() knows."""
+    low = plain(c)
+    rare = F.regexp_like(low, F.lit(r"[^\x00-\x7f]"))
+    return F.coalesce(decomposed(F.when(rare, c)), low)
+
+
 def terms(c: Column, bigrams: bool = True, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Words of more than two letters or digits that are no stopwords, and pairs of neighbours among these."""
-    stop = F.array(*map(F.lit, stopwords))
-    words = F.filter(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), 1), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    words = F.filter(F.split(c, "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stopwords))
     if not bigrams:
         return words
     # the alias keeps the array from being computed again for each use

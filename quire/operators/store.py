@@ -27,6 +27,12 @@ def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return log.groupBy(*key).agg(last).select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*log.columns)
 
 
+def latest_run(runs: DataFrame, run: str, order: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """The run that was recorded last, by columns that tell their sequence; no row where there is none."""
+    last = F.max_by(F.struct(run, *extra), F.struct(*order)).alias("_last")
+    return runs.agg(last).where("_last is not null").select(*[F.col(f"_last.{c}").alias(c) for c in (run, *extra)])
+
+
 def assert_unique(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows, or an error when read if a key stands twice (a plain insert)."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*key))

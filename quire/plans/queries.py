@@ -206,18 +206,22 @@ def _count_sql(word: str, of: str) -> str:
     return rf"len(regexp_extract_all(regexp_replace(lower({of}), '[^\p{{L}}\p{{N}}\p{{M}}_]+', '   ', 'g'), '(^|  ){word}( |$)'))"
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT doc_id, {_count_sql('the', 'cand')}::INT AS in_candidate, {_count_sql('the', 'text')}::INT AS in_reference FROM p WHERE {_count_sql('the', 'cand')} < {_count_sql('the', 'text')}")
+_CRITICAL = ("the", *quality.CRITICAL_WORDS)
+
+
+@query(f"WITH {_PAIRS_SQL}, l AS (" + " UNION ALL ".join(f"SELECT doc_id, '{w}' AS word, {_count_sql(w, 'cand')}::INT AS in_candidate, {_count_sql(w, 'text')}::INT AS in_reference FROM p" for w in _CRITICAL if " " not in w) + ") SELECT * FROM l WHERE in_candidate < in_reference")
 def critical_word_losses(spark, sf):
-    found = _pairs(spark, sf).select("doc_id", F.explode(quality.critical_losses(F.col("cand"), F.col("text"), ("the",))).alias("x"))
-    return found.select("doc_id", F.col("x.candidate").alias("in_candidate"), F.col("x.reference").alias("in_reference"))
+    found = _pairs(spark, sf).select("doc_id", F.explode(quality.critical_losses(F.col("cand"), F.col("text"), _CRITICAL)).alias("x"))
+    return found.select("doc_id", "x.word", F.col("x.candidate").alias("in_candidate"), F.col("x.reference").alias("in_reference"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: starts_with(x, '#')) AS heads FROM documents)
-SELECT doc_id, regexp_matches(text, '(?m)^\s*n\s+[a-zàèéìòù]') AS bullet, regexp_matches(text, '\d\s*%\s*%|%%|€€') AS symbol, len(heads) <> len(list_distinct(heads)) AS repeated, contains(text, 'All rights reserved.') AS orphan FROM h""")
+SELECT doc_id, regexp_matches(text, '(?m)^\s*n\s+[a-zàèéìòù]') AS bullet, regexp_matches(text, '\d\s*%\s*%|%%|€€') AS symbol, len(heads) <> len(list_distinct(heads)) AS repeated, contains(text, 'All rights reserved.') AS orphan,
+  contains(text, 'License') AS header, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') = (doc_id % 10)::VARCHAR)) > 0 AS page FROM h""")
 def lint_report(spark, sf):
-    found = _documents(spark, sf).select("doc_id", quality.lint(F.col("text"), orphans=("All rights reserved.",)).alias("x"))
+    found = _documents(spark, sf).select("doc_id", quality.lint(F.col("text"), F.array(F.lit("License"), F.lit("")), F.col("doc_id") % 10, ("All rights reserved.",)).alias("x"))
     has = lambda column, what: F.array_contains(f"x.{column}", what)
-    return found.select("doc_id", has("fails", "unmapped bullet").alias("bullet"), has("fails", "double symbol").alias("symbol"), has("warnings", "repeated headings").alias("repeated"), has("warnings", "orphan: All rights reserved.").alias("orphan"))
+    return found.select("doc_id", has("fails", "unmapped bullet").alias("bullet"), has("fails", "double symbol").alias("symbol"), has("warnings", "repeated headings").alias("repeated"), has("warnings", "orphan: All rights reserved.").alias("orphan"), has("fails", "header or footer").alias("header"), has("fails", "page number").alias("page"))
 
 
 @query(f"""WITH {_PAIRS_SQL}, m AS (SELECT doc_id, {_recall_sql(_WORDS)} AS overlap, {_recall_sql(_NUMS)} AS number_recall, {_count_sql('the', 'cand')} < {_count_sql('the', 'text')} AS lost,
@@ -400,8 +404,7 @@ def latest_wins(spark, sf):
 
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_run(spark, sf):
-    last = F.max(F.struct("ts", "event_id", "event_type")).alias("x")
-    return table(spark, sf, "events").agg(last).select("x.event_id", "x.event_type")
+    return store.latest_run(table(spark, sf, "events"), "event_id", ["ts", "event_id"], ("event_type",))
 
 
 @query("SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NOT NULL THEN l.quality ELSE d.n_chars END AS n_chars FROM documents d LEFT JOIN labels l USING (doc_id)")

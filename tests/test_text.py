@@ -24,7 +24,8 @@ def test_numbers(value):
 
 def test_words_and_lines(value):
     assert value(tx.plain(c("t")), t="Società à È") == "societa a e" == value(tx.decomposed(c("t")), t="Società à È")
-    assert value(tx.decomposed(c("t")), t="ﬁ Ŵ") == "fi w"
+    assert value(tx.decomposed(c("t")), t="ﬁ Ŵ") == "fi w" == value(tx.folded(c("t")), t="ﬁ Ŵ") and value(tx.folded(c("t")), t="È ok") == "e ok"
+    assert value(tx.terms(tx.folded(c("t"))), t="ősi śpiew, ﬁlo") == ["osi", "spiew", "filo", "osi spiew", "spiew filo"]
     assert value(tx.terms(tx.plain(c("t"))), t="Le spese per la casa, 36 e 360") == ["spese", "casa", "360", "spese casa", "casa 360"]
     assert value(tx.terms(c("t")), t="") == []
     for t in ("a\r\nb\x0bc\x1cd e\n", "", "\n", "x\n\ny", "no end"):
