@@ -52,15 +52,16 @@ def _reason(least: float, margin: float) -> Column:
     )
 
 
-def run(queries: DataFrame, query: str, text: str, nodes: DataFrame, pages: DataFrame, pins: DataFrame, keywords: DataFrame, choices: DataFrame, least: float = 8.0, margin: float = 1.5, k: int = 8) -> DataFrame:
+def run(queries: DataFrame, query: str, text: str, nodes: DataFrame, pages: DataFrame, pins: DataFrame, keywords: DataFrame | None, choices: DataFrame, least: float = 8.0, margin: float = 1.5, k: int = 8, matches: DataFrame | None = None) -> DataFrame:
     """(query, gate, reason, method, node_id, target_title, target_pages, candidates, pins, served_text) of each
     question: the best node where the gate is clear, else where the descent by `choices` (query, node_id, score)
-    ends; it is refused where that ends nowhere. Served are the pages up to the next node's, below what governs them."""
-    found = index.match(queries, query, text, keywords, k)
+    ends; it is refused where that ends nowhere. Served are the pages up to the next node's, below what governs them.
+    Matches (query, node_id, score, place) may be given instead of keywords."""
+    found = (index.match(queries, query, text, keywords, k) if matches is None else matches).where(F.col("place") <= k)
     gated = index.gate(queries, query, found, least, margin)
     listed = F.array_sort(F.collect_list(F.struct("place", "node_id", "score")))
     ranked = found.groupBy(query).agg(F.transform(listed, lambda x: F.struct(x["node_id"].alias("node_id"), x["score"].alias("score"))).alias("candidates"))
-    down = index.descend(nodes, choices, query, asked=gated.where("gate <> 'netto'")).withColumnRenamed("node_id", "_down")
+    down = index.descend(nodes, choices, query, tree.LEVELS, gated.where("gate <> 'netto'")).withColumnRenamed("node_id", "_down")
     clear = F.col("gate") == "netto"
     aimed = gated.join(ranked, query, "left").join(down, query, "left").withColumn("node_id", F.when(clear, F.col("candidates")[0]["node_id"]).otherwise(F.col("_down")))
     method = F.when(clear, "fast_path").when(F.col("node_id").isNotNull(), "navigation_descent").otherwise("refused")

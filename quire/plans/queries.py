@@ -504,8 +504,8 @@ def _turn_words(spark: SparkSession, sf: str, asked: DataFrame | None = None) ->
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark")
     words = _turn_words(spark, sf, index.asked_terms(asked, "item_id", "text"))
-    choices = index.match(asked, "item_id", "text", words, 64).select("item_id", "node_id", "score")
-    return retrieval.run(asked, "item_id", "text", *_turns(spark, sf), words, choices)
+    found = index.match(asked, "item_id", "text", words, 64)
+    return retrieval.run(asked, "item_id", "text", *_turns(spark, sf), None, found.select("item_id", "node_id", "score"), matches=found)
 
 
 # The same retrieval in SQL, from the rules: words of turns, gate, descent by the best of 64 scores a question or into
