@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm import textbytes as tb
-from quire.llm.shared import scratch, small_batches
+from quire.llm.shared import delete, scratch, small_batches
 
 SPAN = "struct<first_word:long,last_word:long,first_byte:long,end_byte:long>"
 
@@ -259,6 +259,7 @@ def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     arrow_item = to_arrow_type(item_type)
     at = pa.list_(pa.struct([(f, pa.int64()) for f in _FIELDS]))
     small_batches(documents.sparkSession)
+    before = None
     for block, first, last in _marked(item_blocks(items, item_key, item_text, block_bytes)):
         sent = documents.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of items
         token = uuid.uuid4().hex
@@ -282,6 +283,9 @@ def scan(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
             path = scratch(documents.sparkSession, "decontam")
             df.write.parquet(path)
             df = documents.sparkSession.read.schema(schema).parquet(path)
+            if before:
+                delete(documents.sparkSession, before)
+            before = path
             sent.destroy()
     return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *RESULTS[:4], F.col("_text").alias("cleaned"))
 

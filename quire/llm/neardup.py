@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 from quire.llm.graph import components
-from quire.llm.shared import bucketed, checkpointed, drop_tables, parts_for, shared_dir, small_batches, tidy
+from quire.llm.shared import bucketed, checkpointed, parts_for, scratch_scope, small_batches, tidy
 
 SHINGLE, PERMUTATIONS, BUCKETS, ROWS, BANDS, EXACT, FEW = 5, 4, 64, 5, 50, 128, 64
 REGISTERS = PERMUTATIONS * BUCKETS
@@ -110,8 +110,8 @@ def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).to_pylist()]
 
 
-def _classes(df: DataFrame, text: str, percent: int, buckets: int) -> tuple[DataFrame, str]:
-    """One row a class (set id, size, registers, small set, a text), bucketed by set id; and the table's name."""
+def _classes(df: DataFrame, text: str, percent: int, buckets: int) -> DataFrame:
+    """One row a class (set id, size, registers, small set, a text), bucketed by set id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -251,12 +251,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int, parts: int) -
     return checkpointed(_with_both(kept, classes, ["text"], parts).select("a", "b", "text_a", "text_b").mapInArrow(tidy(linked), "a long, b long"), parts)
 
 
-def _links(classes: DataFrame, percent: int, parts: int) -> tuple[DataFrame, str]:
-    """Links that connect whatever is connected, and the name of a table that they are read from until components
-    are known."""
+def _links(classes: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links that connect whatever is connected."""
     keys = _keys(classes, percent)
     common = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets, name = bucketed(keys.join(common, "key").repartition(parts, "id"), parts, "id")
+    buckets = bucketed(keys.join(common, "key").repartition(parts, "id"), parts, "id")
 
     def labelled(links: DataFrame) -> DataFrame:
         """Members of keys that still lie in several components."""
@@ -304,22 +303,19 @@ def _links(classes: DataFrame, percent: int, parts: int) -> tuple[DataFrame, str
     hot = many.select("id", "root", "c").distinct()
     prefixes = _prefixes(_shingles(classes.join(hot.select("id").repartition(parts, "id"), "id", "left_semi")), percent).where(F.col("f") <= FEW)
     rare = pairs(prefixes.join(hot, "id"), other & possible("x.", "y.", "c"))
-    return links.union(_confirmed(few.union(often).union(rare).distinct(), classes, percent, parts)), name
+    return links.union(_confirmed(few.union(often).union(rare).distinct(), classes, percent, parts))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, keep: list[str] | None = None, percent: int = 75) -> DataFrame:
     """Columns `keep` of df (at least key), n_shingles, component_id (the smallest key that can be reached) and
     kept (this row has that key), of each row. The result reads files in the shared folder."""
     spark = df.sparkSession
-    shared_dir(spark)
     small_batches(spark)
     keep = [key, *(c for c in keep or [] if c != key and c not in RESULTS)]
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     buckets = max(parts_for(size, 32 << 20, 12), parts_for(rows, 50_000, 12))
-    classes, of_classes = _classes(df, text, percent, buckets)
-    links, of_keys = _links(classes, percent, buckets)
-    roots = components(links, buckets)
-    drop_tables(spark, of_classes, of_keys)  # what follows reads checkpoints alone
+    with scratch_scope(spark):  # of classes and keys; what follows reads checkpoints alone
+        roots = components(_links(_classes(df, text, percent, buckets), percent, buckets), buckets)
     members = checkpointed(_members(df, key, text), buckets)
     least = members.where("id is not null").groupBy("id").agg(F.min("key").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, chat, decontam, licenses, neardup, suffixdedup, tokenfiles, toxicity, warc
-from quire.llm.shared import make_dir, scratch, table
+from quire.llm import ann, bpe, chat, decontam, licenses, merkle, neardup, prefixtrie, suffixdedup, tokencounts, tokenfiles, toxicity, warc
+from quire.llm.shared import make_dir, scratch, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,11 +49,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    out = make_dir(spark, scratch(spark, "warc"))
-    warc.write(pages, "page_id", "url", "html", out)
-    back = warc.read(spark, out, pages.schema["page_id"].dataType)
-    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    def found() -> DataFrame:
+        pages = table(spark, sf_dir, "pages")
+        out = make_dir(spark, scratch(spark, "warc"))
+        warc.write(pages, "page_id", "url", "html", out)
+        back = warc.read(spark, out, pages.schema["page_id"].dataType)
+        return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    return settled(spark, "op4", found)
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,16 +65,21 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = make_dir(spark, scratch(spark, "token-files"))
-    tokenfiles.write(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), out)
-    back = tokenfiles.read(spark, out, docs.schema["doc_id"].dataType)
-    return tokenfiles.with_starts(back, "doc_id")
+    def found() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        out = make_dir(spark, scratch(spark, "token-files"))
+        tokenfiles.write(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), out)
+        return tokenfiles.with_starts(tokenfiles.read(spark, out, docs.schema["doc_id"].dataType), "doc_id")
+
+    return settled(spark, "op6", found)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixdedup.dedup(table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    def found() -> DataFrame:
+        cut = suffixdedup.dedup(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+        return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+    return settled(spark, "op7", found)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -106,8 +114,37 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def found() -> DataFrame:
+        talks = prefixtrie.turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+        return prefixtrie.trie(prefixtrie.rebuilt(talks))
+
+    return settled(spark, "op11", found)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def found() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+        return merkle.manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], tampered, "text")
+
+    return settled(spark, "op12", found)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_bpe, op3_near_duplicates, op4_warc, op5_neighbours, op6_token_files, op7_suffix_dedup, op8_toxicity, op9_decontaminate, op10_licenses)}
+    found = (op1_chat, op2_bpe, op3_near_duplicates, op4_warc, op5_neighbours, op6_token_files, op7_suffix_dedup, op8_toxicity, op9_decontaminate, op10_licenses)
+    return {f.__name__: f for f in (*found, op11_prefix_trie, op12_merkle, op13_token_counts)}
+
+
+def _crc(column: str) -> str:
+    """The unsigned CRC-32 of a decimal number, bit by bit: a byte, then eight shifts, for each digit."""
+    steps = f"flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split({column}::VARCHAR, '')])"
+    step = "CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [x::BIGINT for x in {steps}]), lambda c, o: {step}), 4294967295)"
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,5 +189,67 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
+ORACLE_SQL["op11_prefix_trie"] = rf"""
+    WITH t AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS r, coalesce(text, '') AS x
+      FROM conversations WHERE conv_id IS NOT NULL),
+    k AS (SELECT conv_id, i, sha256(strlen(r) || ':' || r || x) AS d, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM t),
+    s AS (SELECT conv_id, list({{'d': d, 'w': w}} ORDER BY i) AS seq FROM k GROUP BY 1),
+    z AS (SELECT conv_id, seq, {_crc('conv_id')} % 4 AS h FROM s),
+    b AS (SELECT z.conv_id, list_concat(coalesce(a.seq, [])[1:h], z.seq[h + 1:]) AS seq FROM z LEFT JOIN s a ON a.conv_id = z.conv_id - z.conv_id % 20),
+    p AS (SELECT conv_id, d, len(seq) AS n, [x.d for x in seq[1:d]] AS p, coalesce(seq[d].w, 0) AS w FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM b)),
+    n AS (
+      SELECT sha256(array_to_string(p, '')) AS node, any_value(p) AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+      FROM p GROUP BY 1, d),
+    u AS (SELECT node, d, n_convs, w, unnest(range(0, d + 1)) AS up, p FROM n),
+    v AS (SELECT *, sha256(array_to_string(p[1:up], '')) AS above FROM u),
+    c AS (SELECT above AS node, count(*) AS n_children FROM v WHERE up = d - 1 GROUP BY 1),
+    m AS (
+      SELECT above AS node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens
+      FROM v LEFT JOIN c ON c.node = v.node GROUP BY 1)
+    SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+    FROM n JOIN m ON m.node = n.node LEFT JOIN c ON c.node = n.node
+    LEFT JOIN n q ON n.d > 0 AND q.node = sha256(array_to_string(n.p[1:n.d - 1], ''))"""
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in (*_FIELDS, text)) + ")"
+
+
+ORACLE_SQL["op12_merkle"] = f"""
+    WITH RECURSIVE l AS (
+      SELECT doc_id, source, {_leaf("text")} AS leaf,
+        CASE WHEN {_crc("doc_id")} % 5 = 0 THEN {_leaf(_LOWER)} ELSE {_leaf("text")} END AS altered FROM documents),
+    o AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM l),
+    a AS (
+      SELECT g, pos, m, leaf AS h, 0 AS lvl FROM o
+      UNION ALL SELECT g, pos // 16, any_value((m + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)), lvl + 1 FROM a WHERE m > 1 GROUP BY g, lvl, pos // 16),
+    b AS (
+      SELECT g AS pos, count(*) OVER () AS m, h, 0 AS lvl FROM a WHERE m = 1
+      UNION ALL SELECT pos // 16, any_value((m + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)), lvl + 1 FROM b WHERE m > 1 GROUP BY lvl, pos // 16),
+    x AS (
+      SELECT a.g, a.lvl, a.pos, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < a.pos), '') AS l, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > a.pos), '') AS r
+      FROM a JOIN a s ON s.g = a.g AND s.lvl = a.lvl AND s.pos // 16 = a.pos // 16 WHERE a.m > 1 GROUP BY ALL),
+    y AS (
+      SELECT a.lvl, a.pos, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < a.pos), '') AS l, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > a.pos), '') AS r
+      FROM b a JOIN b s ON s.lvl = a.lvl AND s.pos // 16 = a.pos // 16 WHERE a.m > 1 GROUP BY ALL),
+    f AS (
+      SELECT g, pos AS leaf_pos, pos, 0 AS lvl, altered AS h, '' AS proof FROM o
+      UNION ALL SELECT f.g, leaf_pos, f.pos // 16, f.lvl + 1, sha256(l || h || r), proof || l || r FROM f JOIN x ON x.g = f.g AND x.lvl = f.lvl AND x.pos = f.pos),
+    t AS (SELECT g, leaf_pos, max(lvl) AS lvl FROM f GROUP BY ALL),
+    e AS (
+      SELECT f.g, leaf_pos, f.g AS pos, 0 AS lvl, h, proof FROM f JOIN t USING (g, leaf_pos, lvl)
+      UNION ALL SELECT g, leaf_pos, e.pos // 16, e.lvl + 1, sha256(l || h || r), proof || l || r FROM e JOIN y ON y.lvl = e.lvl AND y.pos = e.pos),
+    u AS (SELECT g, leaf_pos, max(lvl) AS lvl FROM e GROUP BY ALL)
+    SELECT doc_id, leaf, s.h AS subroot, z.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = z.h AS verified
+    FROM o JOIN (SELECT g, h FROM a WHERE m = 1) s USING (g) CROSS JOIN (SELECT h FROM b WHERE m = 1) z
+    JOIN u ON u.g = o.g AND u.leaf_pos = o.pos JOIN e ON e.g = u.g AND e.leaf_pos = u.leaf_pos AND e.lvl = u.lvl"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)

@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +37,59 @@ def shared_dir(spark: SparkSession) -> str:
     return path if "://" in path or path.startswith("file:") else "file://" + path
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder, as a URI."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+#: The folder below the shared one that holds an application's scratch.
+_ROOTS: dict[str, str] = {}
+#: Scratch that the innermost scratch_scope() of this thread has to delete: paths, and the tables that stand there.
+_OWNED: ContextVar[list[tuple[str, str]] | None] = ContextVar("owned", default=None)
+
+
+def _root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = make_dir(spark, f"{shared_dir(spark).rstrip('/')}/quire-{app}-{uuid.uuid4().hex[:12]}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # with the application
+        _ROOTS[app] = root
+    return _ROOTS[app]
+
+
+def scratch(spark: SparkSession, what: str, table: str = "") -> str:
+    """A new path below the shared folder, as a URI. It belongs to the innermost scratch_scope(), or else to the
+    application, with whose driver it goes."""
+    path = f"{_root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    if (owned := _OWNED.get()) is not None:
+        owned.append((path, table))
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end whatever scratch was made inside by this thread, and nothing else. A frame that reads such
+    scratch must have been written by then."""
+    owned: list[tuple[str, str]] = []
+    token = _OWNED.set(owned)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path, name in owned:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            delete(spark, path)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, kept as scratch."""
+    return settled(df.sparkSession, what, lambda: df)
+
+
+def settled(spark: SparkSession, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns, kept as scratch of the caller's; the scratch that build() makes itself is deleted."""
+    path = scratch(spark, what)
+    with scratch_scope(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -55,26 +107,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-#: Bucketed tables that this driver has written and not dropped yet.
-_TABLES: set[tuple[str, str]] = set()
-
-
-def bucketed(df: DataFrame, buckets: int, column: str) -> tuple[DataFrame, str]:
-    """df as a scratch table dealt by `column`, a file a bucket, and the table's name."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    name = f"quire_scratch_{uuid.uuid4().hex}"
-    _TABLES.add((spark.sparkContext.applicationId, name))
-    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
-    return spark.table(name), name
-
-
-def drop_tables(spark: SparkSession, *names: str) -> None:
-    """Drops these scratch tables; without names, all that this driver has left, whose results have been written."""
-    app = spark.sparkContext.applicationId
-    for name in names or [t for a, t in _TABLES if a == app]:
-        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-        _TABLES.discard((app, name))
+def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """df as scratch dealt by `column`, a file a bucket. The table that Spark reads it by stands in the shared
+    folder as other scratch does."""
+    spark, name = df.sparkSession, f"quire_scratch_{uuid.uuid4().hex}"
+    path = scratch(spark, "buckets", name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
 
 
 def released() -> None:

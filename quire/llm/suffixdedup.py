@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
-from quire.llm.shared import bucketed, parts_for, released, shared_dir, small_batches, tidy
+from quire.llm.shared import bucketed, parts_for, released, small_batches, tidy
 
 TRIGGER = 16
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -343,10 +343,9 @@ def _cut(length: int, names: list[str], as_text: bool):
 
 def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
     """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row; as text,
-    these are without characters that were cut in two. The result reads scratch tables; call drop_tables of
-    quire.llm.shared when it has been written."""
+    these are without characters that were cut in two. The result reads scratch, which a
+    scratch_scope() around it and whatever writes it deletes."""
     spark = df.sparkSession
-    shared_dir(spark)
     small_batches(spark)
     keep = [c for c in keep if c not in RESULTS and c != text]
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -356,7 +355,7 @@ def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_by
     columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     block = F.pmod(F.xxhash64(*keep[:1], data), F.lit(blocks)).cast("int").alias("block")
     # bucketed by block, so that the four passes over the texts need one shuffle of them
-    table, _ = bucketed(df.select(*columns, data.alias("_text"), block).repartition(buckets, "block"), buckets, "block")
+    table = bucketed(df.select(*columns, data.alias("_text"), block).repartition(buckets, "block"), buckets, "block")
     texts = table.select("block", "_text").groupBy("block")
     parts = parts_for(size // spacing(length), 1_000_000, 12)
 
@@ -364,10 +363,10 @@ def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_by
         return back.repartition(buckets, "block")
 
     sent = texts.applyInArrow(_phrases(length), _sql(_PHRASES))
-    met, _ = bucketed(dealt(sent.repartition(parts, "h").mapInArrow(tidy(_compare_phrases), _sql(_BACK))), buckets, "block")
+    met = bucketed(dealt(sent.repartition(parts, "h").mapInArrow(tidy(_compare_phrases), _sql(_BACK))), buckets, "block")
     sent = texts.cogroup(met.groupBy("block")).applyInArrow(_extensions(length), _sql(_EXTENSIONS))
     extensions = sent.repartition(parts, "h").mapInArrow(tidy(_compare_extensions), _sql(_BACK))
-    learnt, _ = bucketed(dealt(met.unionByName(extensions)), buckets, "block")
+    learnt = bucketed(dealt(met.unionByName(extensions)), buckets, "block")
     sent = texts.cogroup(learnt.groupBy("block")).applyInArrow(_strings(length), _sql(_STRINGS))
     strings = sent.repartition(2 * parts, "h").mapInArrow(tidy(_compare_strings), _sql(_BACK))
     back = dealt(learnt.unionByName(strings)).groupBy("block")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textbytes as tb
-from quire.llm.shared import parts_for, scratch, small_batches, text_bytes, tidy
+from quire.llm.shared import parts_for, scratch_scope, small_batches, text_bytes, tidy, written
 
 SAMPLE, HASH_BITS, PRIOR, ERRORS, DRIFT, STRETCH, SIGNIFICANT = 50_000, 22, 0.05, 1.0, 1.5, 100, 1e-3
 PREFIXES = (3, 4, 5, 6)
@@ -175,17 +175,17 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key:
     marked = labels.where(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # the documented bound of the training sample
     rows = documents.select(F.col(key).alias("_id"), text_bytes(text).alias("text")).join(F.broadcast(chosen), "_id")
-    path = scratch(spark, "toxicity")
     parts = parts_for(sample, 4_000, 1)  # of a bounded sample
-    rows.select("toxic", "text").dropDuplicates().coalesce(parts).write.parquet(path)
-    train = spark.read.parquet(path)
+    with scratch_scope(spark):
+        return _fitted(written(rows.select("toxic", "text").dropDuplicates().coalesce(parts), "toxicity"))
+
+
+def _fitted(train: DataFrame) -> Model:
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(0, np.int32), np.zeros(0), offset=500.0 if sizes.get(1) else -500.0)
     model = Model(*_log_odds(_counted(train), sizes[1], sizes[0]))
-    path = scratch(spark, "toxicity")
-    _measured(train, model).write.parquet(path)
-    measured = spark.read.parquet(path)
+    measured = written(_measured(train, model), "toxicity")
     clean = measured.where("toxic = 0").agg(*[F.sum(c).alias(c) for c in ("stretches", "positive", "excess")]).first()
     model.decay = (clean.positive + 1) / (clean.excess + 1)  # one stretch more, of score 1, so that both exist
     model.k = (clean.positive + 1) / ((clean.stretches + 1) * STRETCH)

@@ -43,7 +43,7 @@ def run(spark):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {f"op{i}" for i in range(1, 11)} == {n.partition("_")[0] for n in queries.queries()} and set(queries.queries()) | {"pipeline"} <= names
+    assert {f"op{i}" for i in range(1, 14)} == {n.partition("_")[0] for n in queries.queries()} and set(queries.queries()) | {"pipeline"} <= names
 
 
 def test_op1(run):
@@ -139,11 +139,19 @@ def test_op10(run):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_op13(run):
+    import sentencepiece
+
+    peer = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {d: (len(t.encode()), len(peer.encode(t)), len(peer.encode(t)) > 4096) for d, t in texts().items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run("op13_token_counts")} == want
+
+
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_against_sql(run, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in found.description]

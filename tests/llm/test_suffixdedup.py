@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from quire.llm import suffixdedup
-from quire.llm.shared import drop_tables
+from quire.llm.shared import scratch_scope
 from tests.llm.conftest import prose
 
 
@@ -63,6 +63,7 @@ def test_odd_rows(spark, docs, empty_docs, odd_texts):
     raw = [(t or "").encode() for t in [*odd_texts, "a"]]
     want = sorted(expected(t, g)[:3] for t, g in zip(raw, brute(raw, 400), strict=True))
     assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()) == want
-    assert suffixdedup.dedup(empty_docs, "text", ["doc_id"]).count() == 0
-    drop_tables(spark)
-    assert not spark.catalog.listTables(pattern="quire_scratch_*")
+    before = len(spark.catalog.listTables(pattern="quire_scratch_*"))
+    with scratch_scope(spark):
+        assert suffixdedup.dedup(empty_docs, "text", ["doc_id"]).count() == 0
+    assert len(spark.catalog.listTables(pattern="quire_scratch_*")) == before
