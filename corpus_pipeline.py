@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, neardup, suffixdedup, toxicity
-from quire.llm.shared import drop_tables, scratch, table
+from quire.llm.shared import delete, scratch, scratch_scope, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Scores from which a document counts as toxic; share of benchmark words from which it goes as a whole.
@@ -44,14 +44,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out strings of REPEATED bytes that occur twice; a document of which nothing is left goes."""
-    found = suffixdedup.dedup(docs, "text", COLUMNS, REPEATED, as_text=True)
-    left = found.where("n_removed = 0 or kept != ''").withColumn("text", F.coalesce("kept", F.lit("")))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+    def cut() -> DataFrame:
+        found = suffixdedup.dedup(docs, "text", COLUMNS, REPEATED, as_text=True)
+        left = found.where("n_removed = 0 or kept != ''").withColumn("text", F.coalesce("kept", F.lit("")))
+        return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+    return settled(spark, "repeats", cut)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out what test items contain; a document that consists of such words for the most part goes."""
-    drop_tables(spark)  # of the stage before, whose result has been written
     keep = [c for c in COLUMNS if c not in ("text", "n_chars")]
     found = decontam.clean(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", keep, COVERED)
     return found.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
@@ -73,10 +76,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each result written to the shared folder; of what is written there only the last
+    result stays, for whoever reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"pipeline-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
