@@ -58,27 +58,44 @@ def dedup_key(kind: Column, title: Column) -> Column:
 
 
 def first_occurrences(rows: DataFrame, group: list[str], key: str, order: list[str]) -> DataFrame:
-    """Of each key the first row; rows without a key all stay."""
+    """Of each key the first row; rows without a key all stay. The condition is the window's alone, so that each task
+    sends no more than its first row of a key."""
     place = F.row_number().over(Window.partitionBy(*group, key).orderBy(*order))
-    return rows.withColumn("_place", place).where((F.col("_place") == 1) | F.col(key).isNull()).drop("_place")
+    first = rows.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
+    return first.unionByName(rows.where(F.col(key).isNull()))
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "ord") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
-def numbered_in_ranges(rows: DataFrame, group: list[str], order: str, parts: int, name: str = "ord") -> DataFrame:
-    """numbered() by one integer column, for groups too large for a task: each group is numbered range by range of
-    `order`, and the counts of the ranges before, a row each, are added."""
-    ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = max(1, -(-((ends.b or 0) - (ends.a or 0) + 1) // parts))
-    ranged = rows.withColumn("_r", F.coalesce(F.floor((F.col(order) - F.lit(ends.a or 0)) / width), F.lit(-1)))  # nulls come first
-    counts = ranged.groupBy(*group, "_r").agg(F.count(F.lit(1)).alias("_n"))
+def ranged(rows: DataFrame, group: list[str], order: str, parts: int, name: str = "_r") -> DataFrame:
+    """rows with the range of `order` that each lies in: `parts` ranges a group between its quantiles, which hold about
+    as many rows each wherever the values lie; nulls are in range -1. The bounds are one aggregate, a row a group."""
+    cuts = F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), max(10_000, 100 * parts))
+    bounds = rows.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg((cuts if parts > 1 else F.array().cast("array<double>")).alias("_cuts"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+    place = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
+    placed = rows.join(small(bounds), same).withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(place))
+    return placed.drop("_cuts", *[f"_g{i}" for i in range(len(group))])
+
+
+def with_ranges(rows: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
+    """rows of ranged() with what was found for each range (group, _r)."""
+    other = found.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_r").alias("_range"), *[c for c in found.columns if c not in (*group, "_r")])
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_r") == F.col("_range"))
+    return rows.join(small(other), same).drop("_range", *[f"_g{i}" for i in range(len(group))])
+
+
+def numbered_in_ranges(rows: DataFrame, group: list[str], order: str, parts: int, name: str = "ord", ties: tuple[str, ...] = ()) -> DataFrame:
+    """numbered() by one numeric column (then by `ties`), for groups too large for a task: each group is numbered range
+    by range of `order`, and the counts of the ranges before, a row each, are added."""
+    placed = ranged(rows, group, order, parts)
+    counts = placed.groupBy(*group, "_r").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_r").alias("_range"), earlier.alias("_base"))
-    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], F.col("_r") == F.col("_range"))
-    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_r").orderBy(order)))
-    return placed.join(small(bases), same).withColumn(name, (F.col("_place") + F.col("_base")).cast("int")).drop("_r", "_range", "_place", "_base", *[f"_{g}" for g in group])
+    place = F.row_number().over(Window.partitionBy(*group, "_r").orderBy(order, *ties))
+    based = with_ranges(placed.withColumn("_place", place), group, counts.select(*group, "_r", earlier.alias("_base")))
+    return based.withColumn(name, (F.col("_place") + F.col("_base")).cast("int")).drop("_r", "_place", "_base")
 
 
 def kind_histogram(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -100,20 +117,63 @@ def blocks(pages: DataFrame, group: list[str], page: str) -> DataFrame:
     return distinct.withColumn("_island", island).select(*group, page, F.min(page).over(w).alias("block_start"), F.max(page).over(w).alias("block_end"))
 
 
+def _joined_up(nodes: DataFrame, order: str, level: str, page: str, last: Column, later: str, parents: list[Column], nexts: list[Column]) -> DataFrame:
+    """nodes with what links them, given by level the order of the last earlier node and the first page of a later one."""
+    lv, pg = F.col(level), F.col(page)
+    above = [F.when(lv > k, parents[k - 1]) for k in range(1, len(parents) + 1)]
+    ahead = [F.when(lv >= k, nexts[k - 1]) for k in range(1, len(nexts) + 1)]
+    none = F.lit(None)  # greatest and least take two columns at least
+    out = nodes.withColumn("parent_ord", F.greatest(none, *above).cast(nodes.schema[order].dataType)).withColumn("_next", F.least(none, *ahead).cast(nodes.schema[page].dataType))
+    end = F.when(F.col("_next").isNull(), last).when(F.col("_next") > pg, F.least(last, F.col("_next") - 1)).otherwise(pg)
+    return out.withColumn("page_end", F.greatest(pg, end)).withColumn("serve_end", F.coalesce(later, "page_end")).drop("_next")
+
+
 def linked(nodes: DataFrame, group: str, order: str, level: str, page: str, block_end: str | None = None, levels: int = LEVELS) -> DataFrame:
     """nodes with parent_ord (the nearest earlier node of a smaller level on the stack), page_end (before the next
-    node of the same level or a smaller one) and serve_end (up to the next node that starts on a later page)."""
-    w = Window.partitionBy(group).orderBy(order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    lv, pg, none = F.col(level), F.col(page), F.lit(None)
-    parents = [F.when(lv > k, F.max(F.when(lv == k, F.col(order))).over(before)) for k in range(1, levels)]
-    nexts = [F.when(lv >= k, F.min(F.when(lv == k, pg)).over(after)) for k in range(1, levels + 1)]
-    out = nodes.withColumn("parent_ord", F.greatest(*parents) if len(parents) > 1 else parents[0]).withColumn("_next", F.least(*nexts))
-    last = F.col(block_end) if block_end else F.max(page).over(Window.partitionBy(group))
-    end = F.when(F.col("_next").isNull(), last).when(F.col("_next") > pg, F.least(last, F.col("_next") - 1)).otherwise(pg)
-    later = F.min(page).over(Window.partitionBy(group).orderBy(page).rangeBetween(1, Window.unboundedFollowing))
-    out = out.withColumn("page_end", F.greatest(pg, end))
-    return out.withColumn("serve_end", F.coalesce(later, "page_end")).withColumn("_next", none).drop("_next")
+    node of the same level or a smaller one) and serve_end (up to the next node that starts on a later page). Every
+    window grows row by row, so that time is linear; a group must fit in a task, else take linked_in_ranges()."""
+    w = Window.partitionBy(group)
+    past = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rest = w.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    above = w.orderBy(F.desc(page)).rangeBetween(Window.unboundedPreceding, -1)  # later pages
+    lv, pg = F.col(level), F.col(page)
+    parents = [F.max(F.when(lv == k, F.col(order))).over(past) for k in range(1, levels)]
+    nexts = [F.min(F.when(lv == k, pg)).over(rest) for k in range(1, levels + 1)]
+    last = F.col(block_end) if block_end else F.max(page).over(w)
+    return _joined_up(nodes.withColumn("_later", F.min(page).over(above)), order, level, page, last, "_later", parents, nexts).drop("_later")
+
+
+def linked_in_ranges(nodes: DataFrame, group: str, order: str, level: str, page: str, block_end: str | None = None, levels: int = LEVELS, parts: int = 64) -> DataFrame:
+    """linked() for documents too large for a task. A run of headings is summed up by the last node and the first page
+    of each level, and such sums combine: those of the ranges before and behind, a row a range, join each range's own
+    windows. Later pages come from the distinct pages in the same way."""
+    lv, pg = F.col(level), F.col(page)
+    placed = ranged(nodes, [group], order, parts)
+    ends = [F.max(F.when(lv == k, F.col(order))).alias(f"_last{k}") for k in range(1, levels)]
+    starts = [F.min(F.when(lv == k, pg)).alias(f"_first{k}") for k in range(1, levels + 1)]
+    sums = placed.groupBy(group, "_r").agg(*ends, *starts, F.max(page).alias("_most"))
+    w = Window.partitionBy(group)  # a row a range
+    before, behind = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_r"), F.desc("_r")))
+    carried = [F.max(f"_last{k}").over(before).alias(f"_last{k}") for k in range(1, levels)] + [F.min(f"_first{k}").over(behind).alias(f"_first{k}") for k in range(1, levels + 1)]
+    based = with_ranges(placed, [group], sums.select(group, "_r", *carried, F.max("_most").over(w).alias("_most")))
+    own = Window.partitionBy(group, "_r")
+    past, rest = (own.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col(order), F.desc(order)))
+    parents = [F.coalesce(F.max(F.when(lv == k, F.col(order))).over(past), f"_last{k}") for k in range(1, levels)]
+    nexts = [F.least(F.min(F.when(lv == k, pg)).over(rest), f"_first{k}") for k in range(1, levels + 1)]
+    later = next_pages(nodes, group, page, parts).select(F.col(group).alias("_doc"), F.col(page).alias("_page"), "_later")
+    found = based.join(later, F.col(group).eqNullSafe(F.col("_doc")) & F.col(page).eqNullSafe(F.col("_page")))
+    last = F.col(block_end) if block_end else F.col("_most")
+    out = _joined_up(found, order, level, page, last, "_later", parents, nexts)
+    return out.select(*nodes.columns, "parent_ord", "page_end", "serve_end")
+
+
+def next_pages(nodes: DataFrame, group: str, page: str, parts: int) -> DataFrame:
+    """(group, page, _later): of each page that a node starts on, the next one of its group."""
+    pages = ranged(nodes.select(group, page).distinct(), [group], page, parts)
+    firsts = pages.groupBy(group, "_r").agg(F.min(page).alias("_first"))
+    behind = Window.partitionBy(group).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    based = with_ranges(pages, [group], firsts.select(group, "_r", F.min("_first").over(behind).alias("_then")))
+    return based.select(group, page, F.coalesce(F.lead(page).over(Window.partitionBy(group, "_r").orderBy(page)), "_then").alias("_later"))
 
 
 def build(pages: DataFrame, doc: str, page: str, markdown: str) -> DataFrame:

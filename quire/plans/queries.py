@@ -431,8 +431,8 @@ def contiguous_blocks(spark, sf):
 @query("""WITH f AS (SELECT source, text, min(doc_id) AS doc_id FROM documents GROUP BY ALL)
 SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM f""")
 def first_occurrence(spark, sf):
-    docs = _documents(spark, sf)
-    kept = docs.groupBy("source", F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"))
+    docs = _documents(spark, sf).select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    kept = tree.first_occurrences(docs, ["source"], "key", ["doc_id"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return tree.numbered_in_ranges(kept, ["source"], "doc_id", parts).select("doc_id", "source", "ord")
 
@@ -440,10 +440,13 @@ def first_occurrence(spark, sf):
 _TALK = "c AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations)"
 
 
-def _talk(spark: SparkSession, sf: str) -> DataFrame:
+def _talk_nodes(spark: SparkSession, sf: str) -> DataFrame:
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
-    nodes = table(spark, sf, "conversations").select("conv_id", "turn", level.alias("level"))
-    return tree.linked(nodes, "conv_id", "turn", "level", "turn", levels=3)
+    return table(spark, sf, "conversations").select("conv_id", "turn", level.alias("level"))
+
+
+def _talk(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.linked(_talk_nodes(spark, sf), "conv_id", "turn", "level", "turn", levels=3)
 
 
 @query(f"WITH {_TALK} SELECT a.conv_id, a.turn, a.level, max(b.turn) AS parent_ord FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level < a.level GROUP BY ALL")
@@ -460,6 +463,13 @@ def tree_ranges(spark, sf):
     return _talk(spark, sf).select("conv_id", "turn", "page_end", "serve_end")
 
 
+@query(f"WITH {_RANGES}, p AS (SELECT a.conv_id, a.turn, max(b.turn) AS parent_ord FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level < a.level GROUP BY ALL) SELECT conv_id, turn, parent_ord, page_end, coalesce(later, page_end) AS serve_end FROM r JOIN p USING (conv_id, turn)")
+def tree_in_ranges(spark, sf):
+    """The same links as of tree_parents and tree_ranges, range by range of each conversation."""
+    nodes = _talk_nodes(spark, sf)
+    return tree.linked_in_ranges(nodes, "conv_id", "turn", "level", "turn", levels=3, parts=4).select("conv_id", "turn", "parent_ord", "page_end", "serve_end")
+
+
 @query(f"WITH {_RANGES} SELECT r.conv_id, r.turn AS node, string_agg(x.text, chr(10) ORDER BY x.turn) AS text FROM r JOIN conversations x ON x.conv_id = r.conv_id AND x.turn BETWEEN r.turn AND coalesce(r.later, r.page_end) GROUP BY ALL")
 def served_range_text(spark, sf):
     nodes = _talk(spark, sf).select("conv_id", F.col("turn").alias("node"), F.col("turn").alias("first"), "serve_end")

@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quire.operators import evalkit, index, layout, ledger, outcome, store, tree
+from quire.operators import evalkit, index, layout, ledger, outcome, sizes, store, tree
 from quire.sources import tables
 from quire.streaming.ledger import hourly
 
@@ -183,6 +184,41 @@ def test_random_trees(spark):
     assert got == want
 
 
+def test_trees_in_ranges(spark):
+    """Ranges of a document, summed up and combined, link as the whole does, wherever its numbers and pages lie."""
+    r, data = random.Random(4), []
+    for d in [None, "a", "b", "c"]:
+        page, order = 1, 0
+        for _ in range({"c": 1}.get(d, 150)):
+            order += r.choice([1, 1, 1, 1000])
+            page = r.randint(1, 40) if d == "b" else page + r.choice([0, 0, 1, 9])
+            data.append((d, order, r.choice([1, 2, 3, 3, 4, 4, 4]), page, page + r.randint(0, 2), "x"))
+    df = spark.createDataFrame(data, "d string, ord int, level int, page int, last int, note string")
+    for end in (None, "last"):
+        whole = tree.linked(df, "d", "ord", "level", "page", end)
+        got = tree.linked_in_ranges(df, "d", "ord", "level", "page", end, parts=6)
+        assert got.columns == [*df.columns, "parent_ord", "page_end", "serve_end"]
+        assert rows(got) == rows(whole)
+    assert tree.linked_in_ranges(df.limit(0), "d", "ord", "level", "page", parts=6).count() == 0
+
+
+def test_linking_is_linear(spark):
+    """A window of n frames over n rows would take minutes here."""
+    level = F.when(F.pmod(F.xxhash64("id"), F.lit(50)) < 1, 1).otherwise(F.pmod(F.hash("id"), F.lit(3)) + 2)
+    df = spark.range(200_000).select(F.lit(0).alias("d"), c("id").alias("ord"), level.alias("level"), (c("id") / 5).cast("int").alias("page"))
+    began = time.time()
+    assert tree.linked(df, "d", "ord", "level", "page").agg(F.count("page_end")).first()[0] == 200_000
+    assert time.time() - began < 30
+
+
+def test_what_is_small(spark):
+    df = spark.range(10).select("id", F.lit("x" * 100).alias("t"), F.array(F.lit("y" * 50)).alias("l"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(sizes.small(df)) and hinted(sizes.small(df, 10, 10 * 250))
+    assert not hinted(sizes.small(df, 9)) and not hinted(sizes.small(df, 10, 1000))
+    assert hinted(sizes.small(df.limit(0)))
+
+
 def test_headings_to_pins(spark):
     titles = ["QUADRO RP - Oneri", "SEZIONE I - Spese", "Rigo RP1 Spese", "Righi da RP8 a RP13", "codice 4", "REDDITI PERSONE FISICHE - ISTRUZIONI", "Sezione III A: righi seguenti:", "Altro"]
     df = spark.createDataFrame([(t,) for t in titles], "t string")
@@ -283,6 +319,16 @@ def test_ledger_append(spark, tmp_path, calls):
     assert ledger.total(spark.read.parquet(path)).first().calls == 4
 
 
+def test_numbering_in_clustered_ranges(spark):
+    """Ranges hold about as many rows each wherever the values lie; ties are settled by other columns."""
+    df = spark.range(4000).select(F.when(c("id") < 10, c("id") * 10**12).otherwise(10**15 + c("id")).alias("n"), F.lit("g").alias("g"))
+    sizes = [r["count"] for r in tree.ranged(df, ["g"], "n", 8).groupBy("_r").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 600
+    tied = spark.createDataFrame([("g", i // 4, i) for i in range(40)], "g string, n int, id int")
+    got = tree.numbered_in_ranges(tied, ["g"], "n", 5, ties=("id",))
+    assert [r.ord for r in got.orderBy("id").collect()] == list(range(1, 41))
+
+
 def test_numbering_in_ranges(spark):
     df = spark.createDataFrame([("a" if i % 3 else None, None if i == 7 else i * i) for i in range(40)], "g string, n long")
     by = lambda f: {(r.g, r.n): r.ord for r in f.collect()}
