@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from quire.llm.shared import checkpointed, parts_for
 
 
+#: How many tasks a hub's links are dealt to.
+SALTS = 32
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours to the smallest of them: the larger neighbours, or else the smaller ones."""
     u, v = F.greatest("a", "b"), F.least("a", "b")
     both = edges.select(u.alias("u"), v.alias("v"))
     if large:
         both = both.union(edges.select(v.alias("u"), u.alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    # a hub has many rows: they are dealt by salt, and what each salt's rows join is a row of (u, salt)
+    salted = both.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

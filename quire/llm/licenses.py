@@ -2,8 +2,9 @@
 
 One automaton over lower-cased words finds identifier tags and notice phrases. Where a document holds an SPDX
 tag, the expression behind it is parsed (`with` binds tighter than `and`, that tighter than `or`) and
-evaluated against the licences that are allowed. It ends where prose begins, and with the line or before the next
-tag at the latest.
+evaluated against the licences that are allowed. It ends where prose begins (an operand that is no licence, or after
+`with` no exception, ends it before its operator), and with the line or before the next tag at the latest. Stops and
+dashes at the end of a part are the prose's. A tag with no licence behind it is marked as broken.
 
 Null texts count as empty and give no labels and score 0. Broken expressions are marked as such and never
 raise. Rows are independent of each other.
@@ -47,27 +48,52 @@ BASE_WEIGHT = 0.9
 # SPDX identifiers of licences that allow reuse with attribution at most.
 PERMISSIVE = ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "0bsd")
 
+# Further SPDX identifiers, without the version where several are in use; what may follow these; and exceptions.
+OTHERS = (
+    "aal", "afl-3.0", "artistic-1.0", "artistic-2.0", "blueoak-1.0.0", "bsd-1-clause", "bsd-4-clause", "bsl-1.0", "busl-1.1", "bzip2-1.0.6", "cecill-2.1", "cddl-1.0", "cddl-1.1", "cpl-1.0", "curl",
+    "ecl-2.0", "epl-1.0", "epl-2.0", "eupl-1.1", "eupl-1.2", "ftl", "hpnd", "ijg", "intel", "ipl-1.0", "json", "libpng", "lppl-1.3c", "mit-0", "mpl-1.0", "mpl-1.1", "mpl-2.0", "ms-pl", "ms-rl", "mulanpsl-2.0",
+    "ncsa", "ntp", "odbl-1.0", "ofl-1.1", "openssl", "osl-3.0", "php-3.01", "postgresql", "psf-2.0", "python-2.0", "qpl-1.0", "ruby", "sleepycat", "sspl-1.0", "tcl", "unicode-dfs-2016", "upl-1.0", "vim", "w3c",
+    "wtfpl", "x11", "zpl-2.1", "apache-1.0", "apache-1.1", "none", "noassertion",
+)
+_FAMILIES = re.compile(r"(gpl-[123]\.0|lgpl-(2\.[01]|3\.0)|agpl-[13]\.0|gfdl-1\.[123])(\+|-only|-or-later)?|cc-by(-nc)?(-sa|-nd)?-[1-4]\.[05]|(licenseref|documentref)-\S+").fullmatch
+_EXCEPTION = re.compile(r".+-exception(-[\w.]+)?|additionref-\S+|llvm-exception|font-exception-2\.0").fullmatch
+
 _TAG = re.compile(r"spdx-license-identifier:", re.I | re.A)
 _LINE_END = re.compile(r"[\r\n]")
 _PART = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
+_ONES = frozenset((*PERMISSIVE, *OTHERS))
+
+
+def _fits(part: str, after: str) -> bool:
+    """Whether an operand can stand behind an operator."""
+    if after == "with":
+        return bool(_EXCEPTION(part))
+    return part in _ONES or part.removesuffix("+") in _ONES or bool(_FAMILIES(part))
+
+
 def parse(expression: str) -> list[str]:
-    """An SPDX expression in reverse Polish order; ValueError if it is none."""
+    """The SPDX expression that a text begins with, in reverse Polish order; ValueError if there is none."""
     out: list[str] = []
     stack: list[str] = []
-    operand = False  # did an operand end just before?
+    operand, waiting = False, ""  # did an operand end just before? the operator that waits for its right side
     for m in _PART.finditer(expression.lower()):  # no further than the expression goes
-        part = m[0]
+        part = m[0].rstrip(".-:") or m[0]
         if part in _BINDS:
             if not operand:
                 raise ValueError("operator without a left side")
-            while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[part]:
+            operand, waiting = False, part
+            continue
+        if waiting and part != ")":
+            if part != "(" and not _fits(part, waiting):
+                operand = True  # the operator was a word of the prose that follows
+                break
+            while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[waiting]:
                 out.append(stack.pop())
-            stack.append(part)
-            operand = False
-        elif part == "(":
+            stack.append(waiting)
+        if part == "(":
             if operand:
                 break  # prose follows
             stack.append(part)
@@ -79,9 +105,12 @@ def parse(expression: str) -> list[str]:
             stack.pop()
         elif operand:
             break
+        elif not waiting and not _fits(part, ""):
+            raise ValueError("no licence")
         else:
             out.append(part)
             operand = True
+        waiting = ""
     if not operand or "(" in stack:
         raise ValueError("unfinished expression")
     return out + stack[::-1]
@@ -140,7 +169,7 @@ def scan_text(text: str, permissive: frozenset[str]) -> tuple:
             line_end = _LINE_END.search(text, start, following)
             try:
                 postfix = parse(text[start : line_end.start() if line_end else following])
-                labels |= {f"spdx:{x}" for x in postfix if x not in _BINDS}
+                labels |= {f"{'exception' if _EXCEPTION(x) else 'spdx'}:{x}" for x in postfix if x not in _BINDS}
                 labels.add("permissive" if allowed(postfix, permissive) else "restricted")
                 expressions.append(" ".join(postfix))
             except ValueError:

@@ -11,6 +11,7 @@ ordered by key and text. An empty table gives no files and no rows. Texts of any
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,6 +44,10 @@ _STOPS = ".,;:!?"
 _CLOSER = re.compile("[.,][^ \n]|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,]|<\\||[^ \n\x21-\x7e\u00a1-\u012f\u0131-\u024f]").search
 
 
+# Fixed value: the pattern that such a tokenizer cuts texts by.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Recent:
     """What was met lately: at least the last REMEMBERED keys, at most twice as many and a batch."""
 
@@ -83,6 +88,18 @@ def units(text: str) -> list[str]:
     return out
 
 
+def _cut_as_here(settings: dict) -> bool:
+    """Whether a tokenizer composes, lowers and cuts texts as units() takes for granted."""
+    model, normal, cut = settings["model"], settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    split = (cut.get("pretokenizers") or [{}])[0]
+    return (
+        model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
+        and [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and split.get("type") == "Split" and split.get("behavior") == "Removed" and (split.get("pattern") or {}).get("Regex") == _CUTS
+        and all(" " not in t["content"] and not t["normalized"] for t in settings.get("added_tokens", []))
+    )
+
+
 class Coder:
     """Encodes texts unit by unit and remembers the ids of recent units."""
 
@@ -92,9 +109,11 @@ class Coder:
 
         self.known = Recent()
         self.tokenizer = Tokenizer.from_file(path)
-        ids, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        #: Whether units() and _WORD hold for this tokenizer; of any other, texts are encoded whole.
+        self.apart = _cut_as_here(json.loads(self.tokenizer.to_str()))
+        ids, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.last = np.zeros(max(ids.values()) + 1, bool)
-        self.last[[i for piece, i in ids.items() if piece.endswith(suffix)]] = True
+        self.last[[i for piece, i in ids.items() if suffix and piece.endswith(suffix)]] = True
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def _learn(self, new: list[str]) -> None:
@@ -113,6 +132,10 @@ class Coder:
             known[u] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        if not self.apart:
+            for text in texts:
+                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id], self.kind)
+            return
         split = list(map(units, texts))
         self._learn(self.known.unknown(set(chain.from_iterable(split))))
         end = np.array([end_id], self.kind).tobytes()

@@ -72,7 +72,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         if not colon or name.lower() in headers:
             raise ValueError(f"bad header line {line!r}")
         headers[name.lower()] = value.strip(" ")
-    needed = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "x-payload-length"}
+    needed = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "warc-target-uri", "x-payload-length"}
     if needed - headers.keys() or not headers["content-length"].isdigit():
         raise ValueError("headers are missing")
     size = int(headers["content-length"])

@@ -47,6 +47,27 @@ def test_broken_expressions(text):
         licenses.parse(text)
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("MIT.", ["permissive", "spdx:mit"]),
+        ("MIT-->", ["permissive", "spdx:mit"]),
+        ("MIT and enjoy it", ["permissive", "spdx:mit"]),
+        ("MIT or (GPL-2.0+ and ISC). Then", ["permissive", "spdx:gpl-2.0+", "spdx:isc", "spdx:mit"]),
+        ("see LICENSE", ["spdx-broken"]),
+        ("and MIT", ["spdx-broken"]),
+        ("(MIT and enjoy it)", ["spdx-broken"]),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", ["exception:classpath-exception-2.0", "restricted", "spdx:gpl-2.0-only"]),
+        ("MIT with love", ["permissive", "spdx:mit"]),
+        ("MIT AND LicenseRef-own-1", ["restricted", "spdx:licenseref-own-1", "spdx:mit"]),
+        ("MPL-2.0+ text", ["restricted", "spdx:mpl-2.0+"]),
+    ],
+)
+def test_expressions_in_prose(text, labels):
+    got = licenses.scan_text(f"SPDX-License-Identifier: {text}", frozenset(licenses.PERMISSIVE))
+    assert [x for x in got[5] if x not in got[4]] == labels
+
+
 def test_tags():
     allow = frozenset(licenses.PERMISSIVE)
     assert licenses.scan_text("// SPDX-License-Identifier: MIT OR GPL-2.0-only\nx", allow)[5] == ["permissive", "spdx:gpl-2.0-only", "spdx:mit"]

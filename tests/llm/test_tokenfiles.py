@@ -64,3 +64,11 @@ def test_documents_span_batches():
     batches = [np.arange(4), np.arange(4, 8), np.arange(8, 12)]
     whole = np.arange(12).astype("<u4")
     assert tokenfiles._checksums(batches, [1, 6, 0, 5]) == [zlib.crc32(whole[a:b].tobytes()) for a, b in ((0, 1), (1, 7), (7, 7), (7, 12))]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, peer = tokenfiles.Coder(path), Tokenizer.from_file(path)
+    texts = ["Two  words. x", "", "Éa’s 12\n"]
+    assert not code.apart and tokenfiles.Coder(public_tokenizers.path("word_bpe_49k.json")).apart
+    assert [x.tolist() for x in code.encode(texts, 1)] == [[*peer.encode(t, add_special_tokens=False).ids, 1] for t in texts]

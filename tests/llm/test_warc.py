@@ -76,3 +76,13 @@ def test_reader_refuses(change):
     with pytest.raises(ValueError):
         list(warc.records(data))
     assert struct.unpack("<I", archive(one)[:4])[0] == warc.SKIPPABLE
+
+
+@pytest.mark.parametrize("name", ["WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Record-ID", "Content-Length", "WARC-Type", "X-Payload-Length"])
+def test_every_header_is_needed(name):
+    whole = warc.record("1", "http://a/", b"body", warc.digest(b"body"), 4, None)
+    lines = whole.split(b"\r\n")
+    cut = b"\r\n".join(x for x in lines if not x.lower().startswith(name.lower().encode() + b":"))
+    assert len(cut) < len(whole) and warc.parse(whole)[1] == b"body"
+    with pytest.raises(ValueError):
+        warc.parse(cut)
