@@ -58,11 +58,11 @@ def dedup_key(kind: Column, title: Column) -> Column:
 
 
 def first_occurrences(rows: DataFrame, group: list[str], key: str, order: list[str]) -> DataFrame:
-    """Of each key the first row; rows without a key all stay. The condition is the window's alone, so that each task
-    sends no more than its first row of a key."""
-    place = F.row_number().over(Window.partitionBy(*group, key).orderBy(*order))
-    first = rows.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
-    return first.unionByName(rows.where(F.col(key).isNull()))
+    """Of each key the first row by `order`, which tells a group's rows apart; rows without a key all stay, each as a key
+    of its own. The condition is the window's alone, so that a task sends no more than its first row of a key."""
+    own = F.when(F.col(key).isNull(), F.struct(*order))
+    place = F.row_number().over(Window.partitionBy(*group, key, own).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "ord") -> DataFrame:
