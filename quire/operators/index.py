@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators.outcome import called
 from quire.operators.sizes import small
+from quire.sources.scratch import written
 
 #: What a question on its way down is asked.
 DESCENT = "Rispondi col numero della sotto-voce in cui scendere, FERMA se basta la voce corrente, NESSUNA se niente è pertinente."
@@ -82,6 +83,7 @@ def descend(nodes: DataFrame, scores: DataFrame, query: str, depth: int = 6, ask
     known = scores.where("score is not null").select(F.col(query).alias("_q"), F.col("node_id").alias("_child"), "score").join(edges, "_child")
     best = known.groupBy("_q", "_parent").agg(F.min_by("_child", F.struct(-F.col("score"), "_child")).alias("_next"))
     lone = edges.groupBy(F.col("_parent").alias("_above")).agg(F.min("_child").alias("_lone"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    best, lone = written(best, "best"), written(lone, "lone")  # read once a level
     at = (scores if asked is None else asked).select(query).distinct().withColumn("node_id", F.lit(None).cast(nodes.schema["node_id"].dataType))
     for _ in range(depth):
         at = at.join(best, (F.col(query) == F.col("_q")) & F.col("node_id").eqNullSafe(F.col("_parent")), "left")
@@ -91,11 +93,12 @@ def descend(nodes: DataFrame, scores: DataFrame, query: str, depth: int = 6, ask
     return at
 
 
-def descend_by(nodes: DataFrame, queries: DataFrame, query: str, text: str, choose: Callable[[str], str], depth: int = 6) -> DataFrame:
+def descend_by(nodes: DataFrame, queries: DataFrame, query: str, text: str, choose: Callable[[str], str], depth: int = 6, log: str | None = None) -> DataFrame:
     """(query, node_id, path) of the questions, each led from the root down by replies: a level has one call for
     every question that is still on its way and stands before several children (nodes: node_id as an integer,
     parent_id, ord, kind, title, summary). An only child is taken without a call; NESSUNA refuses, FERMA or
-    a number that is none of the children's stays. Each level is a join; no question waits for another."""
+    a number that is none of the children's stays. Each level is a join; no question waits for another. With `log` a
+    prompt is paid once (outcome.replies)."""
     kids = F.array_sort(F.collect_list(F.struct("ord", "node_id", "kind", "title", F.coalesce("summary", F.lit("")).alias("summary"))))
     below = nodes.groupBy(F.col("parent_id").alias("_parent")).agg(kids.alias("_kids"))
     listed = F.array_join(F.transform("_kids", lambda k: F.concat(F.lit("["), k["node_id"], F.lit("] ("), k["kind"], F.lit(") "), k["title"], F.lit("\n    "), k["summary"])), "\n")
@@ -108,7 +111,7 @@ def descend_by(nodes: DataFrame, queries: DataFrame, query: str, text: str, choo
         step = at.join(below, F.col("_on") & on.eqNullSafe(F.col("_parent").cast("long")), "left").join(titles, F.col("_node") == F.col("_at"), "left")
         several = F.size("_ids") > 1
         prompt = F.concat(F.lit("Voce corrente: "), F.coalesce("_here", F.lit("(radice)")), F.lit("\n\nSotto-voci:\n"), "_listing", F.lit(f"\n\n{DESCENT}\n\nDomanda: "), F.coalesce("_text", F.lit("")))
-        said = called(step.withColumn("_prompt", F.when(several, prompt)), "_prompt", lambda p: None if p is None else choose(p))
+        said = called(step.withColumn("_prompt", F.when(several, prompt)), "_prompt", lambda p: None if p is None else choose(p), log=log)
         up, number = F.upper(F.coalesce("answer", F.lit(""))), F.regexp_extract("answer", r"\d+", 0).try_cast("long")
         refused, stays = several & F.contains(up, F.lit("NESSUNA")), several & F.contains(up, F.lit("FERMA"))
         took = F.when(F.size("_ids") == 1, F.col("_ids")[0]).when(several & ~refused & ~stays & F.array_contains("_ids", number), number)

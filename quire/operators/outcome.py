@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -15,7 +16,7 @@ from quire.operators.store import governance
 
 def escalation(attempts: DataFrame, page: list[str], step: str, passed: str, cost: str, reasons: str | None = None) -> DataFrame:
     """(page, escalations, needs_human, cost, reasons): the first attempt that passes ends the chain, and only
-    attempts up to it cost. Two aggregates of the same key; no page's attempts are held together."""
+    attempts up to it cost. A window over the attempts of a page, which are a few tiers, then an aggregate by the same key."""
     first = F.min(F.when(F.col(passed), F.col(step))).over(Window.partitionBy(*page))
     made = attempts.withColumn("_first", first).where(F.col("_first").isNull() | (F.col(step) <= F.col("_first")))
     out = [(F.count(F.lit(1)) - 1).cast("int").alias("escalations"), F.max("_first").isNull().alias("needs_human"), F.sum(cost).alias("cost")]
@@ -93,32 +94,98 @@ def to_do(pages: DataFrame, done: DataFrame, reviewed: DataFrame, key: list[str]
 CALLED = "answer string, error string, usd double, ms long"
 
 
-def called(rows: DataFrame, column: str, call: Callable[[str], str | tuple[str, float]] | None, name: str = "") -> DataFrame:
+def _one(call: Callable, prompt: str | None) -> tuple:
+    """(answer, error, usd, ms) of a call."""
+    import time
+
+    began = time.perf_counter()
+    try:
+        said = call(prompt)
+        answer, usd = said if isinstance(said, tuple) else (said, None)
+        return answer, None, usd, int((time.perf_counter() - began) * 1000)
+    except Exception as e:  # noqa: BLE001  one page's failure is that page's
+        return None, f"{type(e).__name__}: {e}", None, None
+
+
+def called(rows: DataFrame, column: str, call: Callable[[str], str | tuple[str, float]] | None, name: str = "", log: str | None = None, flight: int = 8) -> DataFrame:
     """rows with answer, error, usd and ms of a model call for each, which returns an answer or (answer, usd); an
     error stays with its row. Without a callable all are null: nothing is made up. usd and ms only stand there
-    under a `name`, which then precedes all four."""
+    under a `name`, which then precedes all four. With `log` (a URI that all executors reach) a prompt is paid once:
+    see replies()."""
     parts = {f.split()[0]: f.split()[1] for f in CALLED.split(", ")}
     wanted = [*parts] if name else ["answer", "error"]
     if call is None:
         return rows.withColumns({f"{name}{c}": F.lit(None).cast(parts[c]) for c in wanted})
+    if log:
+        found = replies(rows, column, call, log, flight).select(F.col("digest").alias("_digest"), *[F.col(c).alias(f"_{c}") for c in wanted])
+        joined = rows.join(found, F.sha2(column, 256) == F.col("_digest"), "left")
+        return joined.select(*[rows[c] for c in rows.columns], *[F.col(f"_{c}").alias(f"{name}{c}") for c in wanted])
 
     @F.pandas_udf(CALLED)
     def ask(prompts):
-        import time
-
         import pandas as pd
 
-        def one(p):
-            began = time.perf_counter()
-            try:
-                said = call(p)
-                answer, usd = said if isinstance(said, tuple) else (said, None)
-                return answer, None, usd, int((time.perf_counter() - began) * 1000)
-            except Exception as e:  # noqa: BLE001  one page's failure is that page's
-                return None, f"{type(e).__name__}: {e}", None, None
-
-        found = pd.DataFrame([one(p) for p in prompts], columns=[*parts])
+        found = pd.DataFrame([_one(call, p) for p in prompts], columns=[*parts])
         return found.astype({"usd": "float64", "ms": "Int64"})
 
-    said = rows.withColumn("_a", ask(column))
+    said = rows.withColumn("_a", ask.asNondeterministic()(column))  # a call may answer otherwise the next time
     return said.select(*rows.columns, *[F.col(f"_a.{c}").alias(f"{name}{c}") for c in wanted])
+
+
+class ReplyLog:
+    """Replies in files of their own, named by the digests of their prompts; each appears whole or not at all."""
+
+    def __init__(self, uri: str):
+        from pyarrow.fs import FileSystem
+
+        self.store, self.root = FileSystem.from_uri(uri)
+
+    def _path(self, digest: str) -> str:
+        return f"{self.root}/{digest[:2]}/{digest}.json"
+
+    def read(self, digest: str) -> tuple | None:
+        try:
+            with self.store.open_input_stream(self._path(digest)) as f:
+                return tuple(json.loads(f.read()))
+        except FileNotFoundError:
+            return None
+
+    def write(self, digest: str, reply: tuple) -> None:
+        path, part = self._path(digest), f"{self.root}/{digest[:2]}/.{uuid.uuid4().hex}"
+        self.store.create_dir(path.rpartition("/")[0], recursive=True)
+        with self.store.open_output_stream(part) as f:
+            f.write(json.dumps(reply).encode())
+        self.store.move(part, path)
+
+
+def replies(rows: DataFrame, column: str, call: Callable[[str], str | tuple[str, float]], log: str, flight: int = 8) -> DataFrame:
+    """(digest, answer, error, usd, ms) of each distinct prompt of a column. A task notes a reply below `log` before it
+    hands it on, and looks there first, so that a second attempt, a second run or another row of that prompt pays
+    nothing; errors aren't noted, and are tried again. A prompt is dealt to one task, which has at most `flight` calls
+    under way. Of two attempts of a task that run at once (speculation) both may pay."""
+
+    def ask(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pandas as pd
+
+        known = ReplyLog(log)
+
+        def reply(row: tuple[str, str]) -> tuple:
+            digest, prompt = row
+            found = known.read(digest)
+            if found is None:
+                found = _one(call, prompt)
+                if found[1] is None:
+                    known.write(digest, found)
+            return digest, *found
+
+        with ThreadPoolExecutor(flight) as pool:
+            for batch in batches:
+                for i in range(0, len(batch), 4 * flight):
+                    part = batch.iloc[i : i + 4 * flight]
+                    done = list(pool.map(reply, zip(part["digest"], part["prompt"], strict=True)))
+                    yield pd.DataFrame(done, columns=["digest", "answer", "error", "usd", "ms"]).astype({"usd": "float64", "ms": "Int64"})
+
+    distinct = rows.where(F.col(column).isNotNull()).select(F.sha2(column, 256).alias("digest"), F.col(column).alias("prompt")).groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    return distinct.mapInPandas(ask, f"digest string, {CALLED}")

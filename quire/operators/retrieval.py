@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import evalkit, index, outcome, tree
+from quire.sources.scratch import written
 
 # The marks of a served context and of a case that retrieval refuses.
 GOVERNING, ENTRY = "=== REGOLE GOVERNANTI (ereditate dallo scope superiore) ===", "=== VOCE ==="
@@ -33,10 +34,10 @@ def page_text(nodes: DataFrame, pages: DataFrame, end: str = "page_end") -> Data
     return wanted.join(pages.where("text <> ''"), ["doc", "page"]).groupBy("node_id").agg(text.alias("text"))
 
 
-def governing(nodes: DataFrame, pins: DataFrame, levels: int = tree.LEVELS) -> DataFrame:
-    """(node_id, pins): kind, title and text of the passages of a node's ancestors, root first."""
+def governing(nodes: DataFrame, pins: DataFrame, levels: int = tree.LEVELS, of: DataFrame | None = None) -> DataFrame:
+    """(node_id, pins): kind, title and text of the passages of a node's ancestors, root first; of all nodes, or of some."""
     owners = nodes.select(F.col("node_id").alias("ancestor"), "kind", "title").join(pins.select(F.col("node_id").alias("ancestor"), "text"), "ancestor")
-    found = tree.ancestors(nodes, "node_id", "parent_id", levels).join(owners, "ancestor")
+    found = tree.ancestors(nodes, "node_id", "parent_id", levels, of).join(owners, "ancestor")
     listed = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "kind", "title", "text")))
     return found.groupBy("node_id").agg(F.transform(listed, lambda x: F.struct(x["kind"].alias("kind"), x["title"].alias("title"), x["text"].alias("text"))).alias("pins"))
 
@@ -52,20 +53,30 @@ def _reason(least: float, margin: float) -> Column:
     )
 
 
-def run(queries: DataFrame, query: str, text: str, nodes: DataFrame, pages: DataFrame, pins: DataFrame, keywords: DataFrame | None, choices: DataFrame, least: float = 8.0, margin: float = 1.5, k: int = 8, matches: DataFrame | None = None) -> DataFrame:
+def run(queries: DataFrame, query: str, text: str, nodes: DataFrame, pages: DataFrame, pins: DataFrame, keywords: DataFrame | None, choices: DataFrame | None, least: float = 8.0, margin: float = 1.5, k: int = 8, matches: DataFrame | None = None, choose: Callable[[str], str] | None = None, log: str | None = None) -> DataFrame:
     """(query, gate, reason, method, node_id, target_title, target_pages, candidates, pins, served_text) of each
     question: the best node where the gate is clear, else where the descent by `choices` (query, node_id, score)
     ends; it is refused where that ends nowhere. Served are the pages up to the next node's, below what governs them.
-    Matches (query, node_id, score, place) may be given instead of keywords."""
-    found = (index.match(queries, query, text, keywords, k) if matches is None else matches).where(F.col("place") <= k)
-    gated = index.gate(queries, query, found, least, margin)
+    Matches (query, node_id, score, place) may be given instead of keywords. With `choose`, which replies to a prompt,
+    replies lead the descent instead of scores (index.descend_by; node_id is an integer then, and nodes may have a
+    summary), paid once with `log`. Matches and nodes are read many times, and so are kept as scratch, which the result reads."""
+    found = written((index.match(queries, query, text, keywords, k) if matches is None else matches).where(F.col("place") <= k), "found")
+    nodes, pins = written(nodes, "nodes"), written(pins, "pins")
+    gated = written(index.gate(queries, query, found, least, margin), "gates")
     listed = F.array_sort(F.collect_list(F.struct("place", "node_id", "score")))
     ranked = found.groupBy(query).agg(F.transform(listed, lambda x: F.struct(x["node_id"].alias("node_id"), x["score"].alias("score"))).alias("candidates"))
-    down = index.descend(nodes, choices, query, tree.LEVELS, gated.where("gate <> 'netto'")).withColumnRenamed("node_id", "_down")
+    unsure = gated.where("gate <> 'netto'")
+    if choose:
+        known = nodes if "summary" in nodes.columns else nodes.withColumn("summary", F.lit(None).cast("string"))
+        asked = queries.join(unsure.select(query), query, "left_semi")
+        down = index.descend_by(known, asked, query, text, choose, tree.LEVELS, log).drop("path").withColumn("node_id", F.col("node_id").cast(nodes.schema["node_id"].dataType))
+    else:
+        down = index.descend(nodes, choices, query, tree.LEVELS, unsure)
+    down = down.withColumnRenamed("node_id", "_down")
     clear = F.col("gate") == "netto"
     aimed = gated.join(ranked, query, "left").join(down, query, "left").withColumn("node_id", F.when(clear, F.col("candidates")[0]["node_id"]).otherwise(F.col("_down")))
     method = F.when(clear, "fast_path").when(F.col("node_id").isNotNull(), "navigation_descent").otherwise("refused")
-    aimed = aimed.select(query, "gate", _reason(least, margin).alias("reason"), method.alias("method"), "node_id", "candidates")
+    aimed = written(aimed.select(query, "gate", _reason(least, margin).alias("reason"), method.alias("method"), "node_id", "candidates"), "aimed")
     found = served(nodes, pages, pins, aimed.select("node_id").distinct())
     return aimed.join(found, "node_id", "left").select(*aimed.columns, "target_title", "target_pages", "pins", "served_text")
 
@@ -75,7 +86,7 @@ def served(nodes: DataFrame, pages: DataFrame, pins: DataFrame, wanted: DataFram
     govern a node under their heads, root first, then its title and its pages up to the next node's."""
     targets = nodes if wanted is None else nodes.join(wanted, "node_id", "left_semi")
     titles = targets.select("node_id", F.col("title").alias("target_title"), F.concat_ws("-", "page", "page_end").alias("target_pages"))
-    found = titles.join(page_text(targets, pages, "serve_end"), "node_id", "left").join(governing(nodes, pins), "node_id", "left")
+    found = titles.join(page_text(targets, pages, "serve_end"), "node_id", "left").join(governing(nodes, pins, of=targets), "node_id", "left")
     rules = F.transform("pins", lambda p: F.concat(F.lit("["), p["kind"], F.lit("] "), p["title"], F.lit("\n"), p["text"]))
     entry = F.concat(F.lit(ENTRY + "\n"), F.coalesce("target_title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
     return found.withColumn("served_text", F.concat_ws("\n\n", F.when(F.size("pins") > 0, F.concat(F.array(F.lit(GOVERNING)), rules)), entry)).drop("text")
@@ -94,20 +105,21 @@ def traces(results: DataFrame, query: str, extra: tuple[str, ...] = ()) -> DataF
     return results.select(query, F.when(F.col("node_id").isNull(), "refused").otherwise(F.col("method")).alias("outcome"), trace.alias("trace"))
 
 
-def run_cases(cases: DataFrame, case: str, results: DataFrame, contexts: DataFrame, call: Callable | None = None, judge: Callable | None = None) -> DataFrame:
+def run_cases(cases: DataFrame, case: str, results: DataFrame, contexts: DataFrame, call: Callable | None = None, judge: Callable | None = None, log: str | None = None) -> DataFrame:
     """Each case (case, doc, question, expected, facts, answerable) on both arms: the context of run() or of
     baseline(), its answer, a judge's verdict on it, and how it compares. Without a context the answer is a refusal
     and no call is made for it; only navigation can hit. call and judge take a prompt and return a reply, or (reply,
-    usd); cost_usd sums what both calls (and a column usd of results) cost, latency_ms is the answer's."""
+    usd); cost_usd sums what both calls (and a column usd of results) cost, latency_ms is the answer's. With `log` a
+    prompt is paid once, whatever fails or is run again."""
     spent = (F.col("usd") if "usd" in results.columns else F.lit(0.0)).cast("double").alias("_usd")
     nav = cases.join(results.select(case, F.col("served_text").alias("served"), "target_title", spent), case, "left").withColumn("arm", F.lit(ARMS[0]))
     whole = cases.join(contexts.select("doc", F.col("text").alias("served")), "doc", "left").withColumns({"target_title": F.lit(None).cast("string"), "arm": F.lit(ARMS[1]), "_usd": F.lit(0.0)})
     prompt = F.when(F.col("served") != "", F.concat(F.lit("CONTESTO:\n"), "served", F.lit("\n\nDOMANDA: "), "question"))
     both = nav.unionByName(whole).withColumn("prompt", prompt)
-    said = outcome.called(both, "prompt", call and (lambda p: None if p is None else call(p)), "_said_")
+    said = outcome.called(both, "prompt", call and (lambda p: None if p is None else call(p)), "_said_", log and f"{log}/answers")
     said = said.withColumn("answer", F.when(F.col("prompt").isNull(), REFUSAL).otherwise(F.col("_said_answer")))
     said = said.withColumn("_asked", evalkit.judge_prompt(F.col("question"), F.col("answer"), F.col("answerable"), F.col("facts")))
-    said = outcome.called(said, "_asked", judge and (lambda p: None if p is None else judge(p)), "_judged_")
+    said = outcome.called(said, "_asked", judge and (lambda p: None if p is None else judge(p)), "_judged_", log and f"{log}/verdicts")
     said = said.withColumn("verdict", F.when(F.col("_judged_answer").isNotNull(), evalkit.verdict(F.col("_judged_answer"), F.col("answerable"))))
     hit = F.when(F.col("arm") == ARMS[0], evalkit.retrieval_hit(F.col("expected"), F.col("target_title")))
     cost = F.round(sum((F.coalesce(c, F.lit(0.0)) for c in ("_said_usd", "_judged_usd")), F.coalesce("_usd", F.lit(0.0))), 6)

@@ -184,10 +184,10 @@ def build(pages: DataFrame, doc: str, page: str, markdown: str) -> DataFrame:
     return linked(kept.join(ends, [doc, page]), doc, "ord", "level", page, "block_end")
 
 
-def ancestors(nodes: DataFrame, node: str, parent: str, levels: int = LEVELS) -> DataFrame:
-    """(node, ancestor, distance): a join for each level of a tree of fixed depth."""
+def ancestors(nodes: DataFrame, node: str, parent: str, levels: int = LEVELS, of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, distance) of all nodes, or of some: a join for each level of a tree of fixed depth."""
     edges = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    step = nodes.select(node, F.col(parent).alias("ancestor")).where(F.col(parent).isNotNull()).withColumn("distance", F.lit(1))
+    step = (nodes if of is None else of).select(node, F.col(parent).alias("ancestor")).where(F.col(parent).isNotNull()).withColumn("distance", F.lit(1))
     out = step
     for d in range(2, levels):
         step = step.join(edges, F.col("ancestor") == F.col("_n")).where(F.col("_p").isNotNull()).select(node, F.col("_p").alias("ancestor"), F.lit(d).alias("distance"))

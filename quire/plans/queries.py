@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import quality
 from quire.functions import text as tx
-from quire.operators import evalkit, index, layout, ledger, outcome, retrieval, store, tree
+from quire.operators import evalkit, index, keptindex, layout, ledger, outcome, postings, retrieval, store, tree
+from quire.sources.scratch import scratch, settled, written
 from quire.sources.tables import by_key, of, table
+from quire.streaming.escalate import Rules, escalated
 from quire.streaming.ledger import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +62,15 @@ sc AS (SELECT item_id, node_id, round(sum(weight), 4) AS score FROM qt JOIN idx
 m AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, node_id) AS place FROM sc)"""
 
 
+WEIGHTS = {"title": 3.0, "summary": 1.0}
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf).select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.regexp_replace("text", r"^[^\n]*\n?", "").alias("summary"))
+
+
 def _index(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
-    items = _documents(spark, sf).select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.regexp_replace("text", r"^[^\n]*\n?", "").alias("summary"))
-    return index.keyword_index(items, "doc_id", {"title": 3.0, "summary": 1.0}, asked=asked)
+    return index.keyword_index(_items(spark, sf), "doc_id", WEIGHTS, asked=asked)
 
 
 def _match(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,6 +83,23 @@ def keyword_index(spark, sf):
     return _index(spark, sf)
 
 
+@query(f"WITH {_INDEX} SELECT term, node_id, tf, df, weight FROM idx")
+def kept_index(spark, sf):
+    """The same index, kept on disk: built with a third of the documents missing, a third holding other texts, and some
+    that are no documents; then merged, changed to what the documents are now, and read before the next merge."""
+    def found() -> DataFrame:
+        items, third = _items(spark, sf), F.col("doc_id") % 3
+        kept = keptindex.KeptIndex(spark, scratch(spark, "index"), buckets=16)
+        before = items.where(third < 2).withColumn("summary", F.when(third == 1, F.reverse("title")).otherwise(F.col("summary")))
+        extra = items.where(third == 2).withColumn("doc_id", -1 - F.col("doc_id"))
+        kept.change(before.unionByName(extra), "doc_id", WEIGHTS)
+        kept.merge()
+        kept.change(items.where(third > 0), "doc_id", WEIGHTS, extra.select(F.col("doc_id").alias("node_id")))
+        return kept.read()
+
+    return settled(spark, "kept", found)
+
+
 @query(f"WITH {_INDEX} SELECT term, node_id, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY weight DESC, term) AS place FROM idx) WHERE place <= 14")
 def keyword_topk_per_node(spark, sf):
     return index.top_keywords(_index(spark, sf)).select("term", "node_id", "weight", "place")
@@ -85,6 +110,18 @@ def retrieval_match(spark, sf):
     return _match(spark, sf)
 
 
+@query(f"WITH {_MATCH} SELECT item_id, node_id, score, place FROM m WHERE place <= 8")
+def retrieval_match_pruned(spark, sf):
+    """The same matches from blocks of postings, of which only those are opened that can hold one of the best."""
+    def found() -> DataFrame:
+        terms = index.asked_terms(table(spark, sf, "benchmark"), "item_id", "text")
+        kept = written(_index(spark, sf, terms), "index")
+        nodes = kept.select("node_id").distinct().count()
+        return postings.best(terms, "item_id", postings.blocked(kept, max(64, nodes // 8)), 8)[0]
+
+    return settled(spark, "matches", found)
+
+
 @query(f"""WITH {_MATCH},
 g AS (SELECT b.item_id, max(CASE WHEN place = 1 THEN score END) AS top1, max(CASE WHEN place = 2 THEN score END) AS top2 FROM benchmark b LEFT JOIN m USING (item_id) GROUP BY 1)
 SELECT item_id, CASE WHEN top1 IS NULL THEN 'vuoto' WHEN top1 < 8 THEN 'ambiguo' WHEN coalesce(top2, 0) > 0 AND top1 < 1.5 * coalesce(top2, 0) THEN 'ambiguo' ELSE 'netto' END AS gate, top1, top2 FROM g""")
@@ -514,7 +551,7 @@ def _turn_words(spark: SparkSession, sf: str, asked: DataFrame | None = None) ->
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark")
     words = _turn_words(spark, sf, index.asked_terms(asked, "item_id", "text"))
-    found = index.match(asked, "item_id", "text", words, 64)
+    found = written(index.match(asked, "item_id", "text", words, 64), "matches")
     return retrieval.run(asked, "item_id", "text", *_turns(spark, sf), None, found.select("item_id", "node_id", "score"), matches=found)
 
 
@@ -714,6 +751,41 @@ def budget_stop(spark, sf):
     return found.select("event_id", "user_id", F.round("spent", 3).alias("spent"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT source, doc_id, n_chars AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+s AS (
+  SELECT source, 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::INT AS first_tier, NULL::INT AS tier, 0 AS escalations, '' AS status, 0.0::DOUBLE AS usd, false AS audited, false AS gate_miss, false AS open, 0.0::DOUBLE AS spent, false AS now_open, 0::BIGINT AS accepted
+  FROM p WHERE i = 1
+  UNION ALL
+  SELECT source, i, doc_id, a, t, coalesce(t - a, 0), CASE WHEN over THEN 'over_budget' WHEN ok THEN 'ok' ELSE 'needs_human' END, paid, audited, audited AND x % 7 = 3, was, before + paid + CASE WHEN audited THEN 0.5 ELSE 0 END, was OR (audited AND x % 7 = 3), had + cheap::INT
+  FROM (SELECT *, cheap AND (had + 1) % 3 = 0 AS audited FROM (SELECT *, coalesce(ok AND t = 0, false) AS cheap FROM (
+    SELECT *, CASE WHEN over THEN 0 ELSE list_sum([0.25, 1.0, 4.0][a + 1:t + 1]) END AS paid, coalesce(list_extract([x % 4 <> 0, x % 12 <> 0, x % 24 <> 0], t + 1), false) AS ok FROM (
+      SELECT *, CASE WHEN over THEN NULL WHEN a = 0 AND x % 4 <> 0 THEN 0 WHEN a <= 1 AND x % 12 <> 0 THEN 1 ELSE 2 END AS t FROM (
+        SELECT *, CASE WHEN over THEN NULL WHEN x % 10 = 0 THEN 2 WHEN was THEN 1 ELSE 0 END AS a FROM (
+          SELECT p.source, p.i, p.doc_id, p.x, s.now_open AS was, s.spent AS before, s.accepted AS had, s.spent > 25 AS over FROM s JOIN p ON p.source = s.source AND p.i = s.i + 1))))))
+)
+SELECT source, doc_id, first_tier, tier, escalations, status, usd, audited, gate_miss, open, spent FROM s WHERE i > 0""")
+def escalation_feedback(spark, sf):
+    """Documents of a source as its pages: whether a tier passes, and whether an audit differs, is told from their lengths."""
+    x, passes = F.col("n_chars"), [F.col("n_chars") % k != 0 for k in (4, 12, 24)]
+    attempts = F.array(*[F.struct(ok.alias("passed"), F.lit(usd).alias("usd")) for ok, usd in zip(passes, (0.25, 1.0, 4.0), strict=True)])
+    pages = _documents(spark, sf).where("source is not null").select("source", "doc_id", F.when(x % 10 == 0, "B").otherwise("A").alias("route"), attempts.alias("attempts"), F.struct((x % 7 == 3).alias("differs"), F.lit(0.5).alias("usd")).alias("audit"))
+    return escalated(pages, "source", "doc_id", "route", "attempts", "audit", Rules(audit_every=3, budget=25.0))
+
+
+@query("""WITH p AS (SELECT doc_id, source || ' in ' || lang AS prompt FROM documents), a AS (SELECT *, count(*) OVER () AS asked FROM (SELECT DISTINCT prompt FROM p WHERE prompt IS NOT NULL))
+SELECT doc_id, upper(p.prompt) AS answer, NULL::VARCHAR AS error, asked FROM p LEFT JOIN a ON a.prompt = p.prompt""")
+def replies_once(spark, sf):
+    """One call for all documents of a source and language; how many there were is told by the log."""
+    def found() -> DataFrame:
+        docs = _documents(spark, sf).select("doc_id", F.concat(F.col("source"), F.lit(" in "), F.col("lang")).alias("prompt"))
+        log = scratch(spark, "replies")
+        said = written(outcome.called(docs, "prompt", str.upper, log=log), "said")
+        n = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(log).agg(F.count(F.lit(1)).alias("asked"))
+        return said.crossJoin(F.broadcast(n)).select("doc_id", "answer", "error", F.when(F.col("answer").isNotNull(), F.col("asked")).alias("asked"))  # n: one row
+
+    return settled(spark, "replies", found)
+
+
 @query("""SELECT doc_id, source, coalesce(max(toxic) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS open FROM documents JOIN labels USING (doc_id)""")
 def breaker_state(spark, sf):
     rows = _documents(spark, sf).select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
