@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -161,9 +163,23 @@ def word_count(c: Column, word: str) -> Column:
 
 
 def critical_losses(candidate: Column, reference: Column, words: tuple[str, ...] = CRITICAL_WORDS) -> Column:
-    """Words that occur less often in the candidate: (word, in candidate, in reference)."""
-    each = [F.struct(F.lit(w).alias("word"), word_count(candidate, w).alias("candidate"), word_count(reference, w).alias("reference")) for w in words]
-    return F.filter(F.array(*each), lambda x: x["candidate"] < x["reference"])
+    """Words that occur less often in the candidate: (word, in candidate, in reference). Single words are found in
+    one pass over each text, as no two of them overlap, and counted among what was found."""
+    single = [w.lower() for w in words if re.fullmatch(r"\w+", w)]
+    any_of = rf"(?U)\b({'|'.join(rf'\Q{w}\E' for w in single)})\b"
+
+    def hits(c: Column) -> Column:
+        return F.regexp_extract_all(F.lower(c), F.lit(any_of), 1) if single else F.array().cast("array<string>")
+
+    def count(found: Column, c: Column, word: str) -> Column:
+        return F.size(F.filter(found, lambda h: h == word.lower())) if word.lower() in single else word_count(c, word)
+
+    def losses(x: Column) -> Column:
+        each = [F.struct(F.lit(w).alias("word"), count(x["a"], candidate, w).alias("candidate"), count(x["b"], reference, w).alias("reference")) for w in words]
+        return F.filter(F.array(*each), lambda y: y["candidate"] < y["reference"])
+
+    # an array of one, so that what was found has a name
+    return F.transform(F.array(F.struct(hits(candidate).alias("a"), hits(reference).alias("b"))), losses)[0]
 
 
 def audit_differs(a: Column, b: Column, words: tuple[str, ...] = CRITICAL_WORDS) -> Column:

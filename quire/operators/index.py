@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +24,18 @@ def keyword_index(items: DataFrame, node: str, fields: dict[str, float], normal=
         found = tx.terms(normal(F.coalesce(F.col(column), F.lit(""))))
         return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    parts = [weighed(c, w) for c, w in fields.items()]
-    found = items.select(F.col(node).alias("node_id"), F.explode(F.concat(*parts)).alias("x"))
+    # a term of its own, null, stands for each node that has any, so that one pass counts nodes as it counts terms
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
+    parts = F.transform(F.array(F.concat(*[weighed(c, w) for c, w in fields.items()])), lambda x: F.when(F.size(x) > 0, F.concat(x, mark)))[0]
+    found = items.select(F.col(node).alias("node_id"), F.explode(parts).alias("x")).select("node_id", "x.*")
     if asked is not None:
-        found = found.join(small(asked.select("term").distinct()), F.col("x.term") == F.col("term"), "left_semi")
-    tf = found.groupBy("x.term", "node_id").agg(F.sum("x.w").alias("tf"))
+        known = small(asked.select(F.col("term").alias("_asked")).union(asked.sparkSession.createDataFrame([(None,)], "t string")).distinct())
+        found = found.join(known, F.col("term").eqNullSafe(F.col("_asked")), "left_semi")
+    tf = found.groupBy("term", "node_id").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    worded = [F.size(tx.terms(normal(F.coalesce(F.col(c), F.lit(""))), bigrams=False)) > 0 for c in fields]
-    nodes = items.where(reduce(Column.__or__, worded)).agg(F.countDistinct(node).alias("nodes"))  # one row
+    nodes = df.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("nodes"))  # one row
     idf = F.log((1 + F.col("nodes")) / (1 + F.col("df"))) + 1
-    return tf.join(df, "term").crossJoin(F.broadcast(nodes)).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))
+    return tf.where("term is not null").join(df.where("term is not null"), "term").crossJoin(F.broadcast(nodes)).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))
 
 
 def top_keywords(index: DataFrame, k: int = 14) -> DataFrame:
@@ -137,9 +138,12 @@ def boilerplate(pages: DataFrame, group: str, text: str, fraction: float = 0.6,
 
 
 def without_lines(pages: DataFrame, page: str, group: str, text: str, known: DataFrame) -> DataFrame:
-    """pages (page, group) with `text` less the lines in known (group, line), in order."""
-    each = pages.select(page, group, F.posexplode(tx.lines(F.coalesce(F.col(text), F.lit("")))).alias("at", "row"))
-    marked = each.join(known.select(F.col(group).alias("_g"), F.col("line").alias("_l")), (F.col(group) == F.col("_g")) & (tx.stripped(F.col("row")) == F.col("_l")), "left_anti")
-    kept = marked.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]), "\n").alias(text))
-    return pages.select(page, group).join(kept, page, "left").withColumn(text, F.coalesce(text, F.lit("")))
+    """pages (page, group) with `text` less the lines in known (group, line), in order. Lines are filtered where they
+    stand. A group's known lines come as one list: as each stands on a share of the group's pages, there are no more of
+    them than a page has lines, divided by that share. Rows that repeat a page are rows of their own."""
+    listed = known.where("line is not null").groupBy(F.col(group).alias("_g")).agg(F.collect_set("line").alias("_known"))
+    with_known = pages.select(page, group, text).join(small(listed), F.col(group) == F.col("_g"), "left")
+    rows = tx.lines(F.coalesce(F.col(text), F.lit("")))
+    kept = F.filter(rows, lambda r: ~F.array_contains(F.col("_known"), tx.stripped(r)))
+    return with_known.select(page, group, F.array_join(F.when(F.col("_known").isNull(), rows).otherwise(kept), "\n").alias(text))
 

@@ -600,6 +600,38 @@ def retrieval_run(spark, sf):
     return _retrieved(spark, sf).select("item_id", "gate", "reason", "method", "node_id", "target_title", "target_pages", ids, owners, "served_text")
 
 
+# Descent by replies instead of scores: of the children in their order that of the place of the question's length.
+_STEP = "SELECT w.item_id, w.gate, w.best, w.q, w.at AS was, (SELECT count(*) FROM kid WHERE up = coalesce(w.at, '')) AS n FROM {0} w"
+_NEXT = "SELECT x.*, coalesce((SELECT node_id FROM kid WHERE up = coalesce(x.was, '') AND i = length(x.q) % greatest(x.n, 1)), x.was) AS at FROM ({0}) x"
+_BY_REPLIES = f"""{_FOUND}, kid AS (SELECT coalesce(parent_id, '') AS up, node_id, row_number() OVER (PARTITION BY parent_id ORDER BY ord, doc) - 1 AS i FROM nd),
+w0 AS (SELECT item_id, gate, best, text AS q, NULL::VARCHAR AS at FROM gr JOIN benchmark USING (item_id) WHERE gate <> 'netto'),
+w1 AS ({_NEXT.format(_STEP.format("w0"))}), w2 AS ({_NEXT.format(_STEP.format("w1"))}), w3 AS ({_NEXT.format(_STEP.format("w2"))})"""
+
+
+@query(f"""WITH {_BY_REPLIES} SELECT gr.item_id, gr.gate, CASE WHEN gr.gate = 'netto' THEN 'fast_path' WHEN w3.at IS NOT NULL THEN 'navigation_descent' ELSE 'refused' END AS method,
+CASE WHEN gr.gate = 'netto' THEN gr.best ELSE w3.at END AS node_id FROM gr LEFT JOIN w3 USING (item_id)""")
+def retrieval_by_replies(spark, sf):
+    """retrieval.run() with a stand-in for a model on the way down, which takes the child in the place of the question's length."""
+
+    def choose(prompt: str) -> str:
+        listed, _, question = prompt.partition("\n\nDomanda: ")
+        ids = [x[1 : x.index("]")] for x in listed.split("\n") if x.startswith("[") and "] (" in x]
+        return ids[len(question) % len(ids)]
+
+    def found() -> DataFrame:
+        asked = table(spark, sf, "benchmark")
+        words = _turn_words(spark, sf, index.asked_terms(asked, "item_id", "text"))
+        number = lambda c: F.expr(f"CAST(split_part({c}, ':', 1) AS long) * 1000 + CAST(split_part({c}, ':', 2) AS long)")
+        nodes, pages, pins = _turns(spark, sf)
+        nodes = nodes.withColumns({"title": F.lit("x"), "node_id": number("node_id"), "parent_id": number("parent_id")})
+        matches = index.match(asked, "item_id", "text", words, 8).withColumn("node_id", number("node_id"))
+        got = retrieval.run(asked, "item_id", "text", nodes, pages, pins.withColumn("node_id", number("node_id")), None, None, matches=matches, choose=choose)
+        name = F.concat_ws(":", F.floor(F.col("node_id") / 1000), F.col("node_id") % 1000)
+        return got.select("item_id", "gate", "method", F.when(F.col("node_id").isNotNull(), name).alias("node_id"))
+
+    return settled(spark, "by-replies", found)
+
+
 @query(f"""WITH {_FOUND} SELECT item_id, CASE WHEN node_id IS NULL THEN 'refused' ELSE method END AS outcome,
   '{{"gate":"' || gate || '","reason":"' || reason || '","method":"' || method || '","target_node_id":' || coalesce('"' || node_id || '"', 'null') || ',"candidates":' || coalesce('[' || listed || ']', 'null') || ',"pin_owners":[' || coalesce(owners, '') || ']}}' AS trace FROM found""")
 def answer_traces(spark, sf):

@@ -85,3 +85,11 @@ def test_verdict(spark):
     assert got[1].missing_numbers == ["154"] and got[1].needs_review and got[1].reasons == ["missing numbers"]
     assert got[2].reasons == ["artifacts"] and not got[3].needs_review and not got[31].needs_review and not got[5].needs_review
     assert "empty or refusal" in got[6].reasons
+
+
+def test_losses_of_words_that_contain_others(value):
+    """Single words and words of several parts, with capitals, marks and repetitions."""
+    words = ("non", "Entro", "fino a", "a", "fino")
+    found = value(quality.critical_losses(c("a"), c("b"), words), a="fino ad", b="NON non, fino a x; entro? Fino A y")
+    assert [(x.word, x.candidate, x.reference) for x in found] == [("non", 0, 2), ("Entro", 0, 1), ("fino a", 0, 2), ("a", 0, 2), ("fino", 1, 2)]
+    assert value(quality.critical_losses(c("a"), c("b"), ("fino a",)), a=None, b="fino a") == []
