@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quire.functions import quality
 from quire.functions import text as tx
 from quire.operators import evalkit, index, keptindex, layout, ledger, outcome, postings, retrieval, store, tree
+from quire.sources import textfiles
 from quire.sources.scratch import scratch, settled, written
-from quire.sources.tables import by_key, of, table
+from quire.sources.tables import by_key, front_matter, of, table
+from quire.sources.tables import page_files as page_files_of
 from quire.streaming.escalate import Rules, escalated
 from quire.streaming.ledger import hourly
 
@@ -755,6 +757,31 @@ def page_lists(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.explode(listed.cast("array<long>")).alias("page"))
 
 
+@query("""SELECT doc_id AS n, '---' || chr(10) || 'source: ' || coalesce(source, 'null') || chr(10) || 'lang: ' || coalesce(lang, 'null') || chr(10) || '---' || chr(10) || text AS text FROM documents""")
+def page_files(spark, sf):
+    """Documents as page files with front matter, written and read back."""
+    def found() -> DataFrame:
+        out = scratch(spark, "pages")
+        textfiles.write_pages(_documents(spark, sf).select("doc_id", front_matter(["source", "lang"], "text").alias("page")), "doc_id", "page", out)
+        return page_files_of(spark, out).withColumn("n", F.col("n").cast("long"))
+
+    return settled(spark, "page-files", found)
+
+
+@query("""SELECT 'q' || item_id || '.md' AS name, '# Q&A log — ' || item_id || chr(10) || chr(10) || '- **timestamp:** 1970-01-01T00:00:00Z' || chr(10) || '- **documento:** benchmark' || chr(10) || '- **query:** ' || text || chr(10)
+  || chr(10) || '---' || chr(10) || chr(10) || '## 1. Testo' || chr(10) || chr(10) || text || chr(10) AS text FROM benchmark""")
+def question_files(spark, sf):
+    """A log file a question, written and read back."""
+    def found() -> DataFrame:
+        out, asked = scratch(spark, "logs"), table(spark, sf, "benchmark")
+        sections = F.array(F.struct(F.lit("Testo").alias("title"), F.col("text").alias("body")))
+        log = retrieval.question_log(F.col("item_id").cast("string"), F.lit("1970-01-01T00:00:00Z"), F.lit("benchmark"), F.col("text"), sections)
+        textfiles.write_files(asked.select(F.format_string("q%d.md", "item_id").alias("name"), log.alias("log")), "name", "log", out)
+        return textfiles.read_files(spark, out)
+
+    return settled(spark, "question-files", found)
+
+
 # --- outcomes -------------------------------------------------------------------------------------------------
 
 @query("""WITH a AS (SELECT event_id, user_id, value > 40 AS ok, sum((value > 40)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS nth FROM events)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.textfiles import read_files
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,10 +25,9 @@ def of(df: DataFrame, *order: str, **values) -> DataFrame:
 
 
 def page_files(spark: SparkSession, folder: str, suffix: str = "md") -> DataFrame:
-    """(n, text) of files named p<number>; whatever is missing simply has no row."""
-    files = spark.read.option("pathGlobFilter", f"p*.{suffix}").text(folder, wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"^p(\d+)\.", 1).cast("int")
-    return files.select(number.alias("n"), F.col("value").alias("text"))
+    """(n, text) of files named p<number>, empty ones too; whatever is missing simply has no row."""
+    number = F.regexp_extract("name", r"^p(\d+)\.", 1)
+    return read_files(spark, folder, f".{suffix}").where(number != "").select(number.cast("int").alias("n"), "text")
 
 
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
