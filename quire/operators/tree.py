@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.sizes import small
+from quire.sources.scratch import written
 
 # The repeated title of the document; kinds of headings and their levels, in order of precedence.
 TITLE = r"(?iu)REDDITI\s+PERSONE\s+FISICHE.*ISTRUZIONI"
@@ -195,6 +196,36 @@ def ancestors(nodes: DataFrame, node: str, parent: str, levels: int = LEVELS, of
     return out
 
 
+def intervals(nodes: DataFrame, node: str, parent: str, order: str) -> DataFrame:
+    """(node, root, depth, path, first, last) of trees of any depth: `first` numbers the nodes of a root's tree in
+    preorder, brothers by `order` and node, and its subtree are those up to `last`; path holds a node's ancestors from the
+    root on, and itself. Paths double in each round, so that a depth of d takes log2(d) rounds. A node whose parent is
+    missing is a root; ValueError where parents run in a circle. The result reads scratch."""
+    kind = nodes.schema[node].dataType.simpleString()
+    step = F.struct(F.col(order).alias("o"), F.col(node).alias("n"))
+    known = nodes.select(F.col(node).alias("_p"))
+    at = nodes.select(F.col(node).alias("n"), F.col(parent).alias("_q"), F.array(step).alias("way")).join(known, F.col("_q") == F.col("_p"), "left")
+    at = written(at.select("n", F.col("_p").alias("up"), "way"), "ways")
+    while not at.where("up is not null").isEmpty():
+        if not at.where(F.exists("way", lambda w: w["n"] == F.col("up"))).isEmpty():
+            raise ValueError("parents run in a circle")
+        above = at.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("way").alias("_way"))
+        joined = at.join(above, F.col("up") == F.col("_n"), "left")
+        at = written(joined.select("n", F.col("_up").alias("up"), F.when(F.col("_n").isNull(), F.col("way")).otherwise(F.concat("_way", "way")).alias("way")), "ways")
+    placed = at.select(F.col("n").alias(node), F.col("way")[0]["n"].alias("root"), F.size("way").alias("depth"), F.transform("way", lambda w: w["n"]).cast(f"array<{kind}>").alias("path"), "way")
+    numbered_ = placed.withColumn("first", F.row_number().over(Window.partitionBy("root").orderBy("way"))).drop("way")
+    sizes = placed.select(F.explode("path").alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("_size"))
+    return numbered_.join(sizes, F.col(node) == F.col("_n")).withColumn("last", (F.col("first") + F.col("_size") - 1).cast("int")).drop("_n", "_size")
+
+
+def below(found: DataFrame, wanted: DataFrame, node: str) -> DataFrame:
+    """(top, node, distance): the subtrees of some nodes (wanted), of intervals(): a range of each tree."""
+    tops = found.join(wanted.select(node).distinct(), node, "left_semi")
+    tops = tops.select(F.col(node).alias("top"), F.col("root").alias("_root"), F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("depth").alias("_depth"))
+    inside = (F.col("root") == F.col("_root")) & F.col("first").between(F.col("_first"), F.col("_last"))
+    return found.join(small(tops), inside).select("top", node, (F.col("depth") - F.col("_depth")).alias("distance"))
+
+
 def children(nodes: DataFrame, node: str, parent: str, order: str, title: str) -> DataFrame:
     """(parent, n, titles) in order."""
     listed = F.array_sort(F.collect_list(F.struct(order, node, title)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import quality
 from quire.functions import text as tx
-from quire.operators import evalkit, index, keptindex, layout, ledger, outcome, postings, retrieval, store, tree
+from quire.operators import evalkit, index, keptindex, layout, ledger, outcome, postings, retrieval, store, stored, tree
 from quire.sources import textfiles
 from quire.sources.scratch import scratch, settled, written
 from quire.sources.tables import by_key, front_matter, of, table
@@ -457,6 +457,30 @@ def content_hash(spark, sf):
     return _documents(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 12).alias("short"))
 
 
+@query("""SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE d.n_chars END AS n_chars FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL SELECT -1 - doc_id, 'new', toxic FROM labels""")
+def stored_changes(spark, sf):
+    """A table on disk: rows inserted, some set to other values, others put in the place of old ones or beside them."""
+    def found() -> DataFrame:
+        kept = stored.StoredTable(spark, scratch(spark, "stored"), "doc_id long, source string, n_chars long", ["doc_id"], buckets=16)
+        kept.insert(_documents(spark, sf).select("doc_id", "source", "n_chars"))
+        labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("long").alias("n_chars"))
+        kept.update(labels.where("doc_id % 2 = 0"), ["n_chars"])
+        rest = _documents(spark, sf).select("doc_id", "source").join(labels.where("doc_id % 2 = 1"), "doc_id").select("doc_id", "source", "n_chars")
+        kept.upsert(rest.unionByName(labels.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("new").alias("source"), "n_chars")))
+        return kept.read()
+
+    return settled(spark, "stored-rows", found)
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'corretta_umano' ELSE 'accettata_umano' END AS status, sha256(CASE WHEN toxic = 1 THEN upper(source) ELSE source END) AS sha_resolved, sha256(source) AS sha_refused
+FROM documents JOIN labels USING (doc_id)""")
+def resolutions(spark, sf):
+    reviews = _documents(spark, sf).select("doc_id", F.col("source").alias("text_refused"), F.upper("source").alias("text_resolved")).join(table(spark, sf, "labels"), "doc_id")
+    found = store.resolved(reviews.withColumn("action", F.when(F.col("toxic") == 1, "correction").otherwise("acceptance")))
+    return found.select("doc_id", "status", "sha_resolved", "sha_refused")
+
+
 # --- trees ----------------------------------------------------------------------------------------------------
 
 @query("""WITH d AS (SELECT DISTINCT user_id, date_diff('day', DATE '2020-01-01', ts::DATE) AS day FROM events),
@@ -532,6 +556,40 @@ def children_payload(spark, sf):
     return tree.children(nodes, "n_nationkey", "parent", "ord", "n_name")
 
 
+@query(f"""WITH RECURSIVE {_PLACES}, a AS (SELECT id, id AS root, 1 AS depth, [id] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, root, depth + 1, list_append(path, t.id) FROM a JOIN t ON t.parent = a.id),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS first FROM a)
+SELECT o.id, o.root, o.depth, array_to_string(o.path, '/') AS path, o.first::INT AS first, (o.first + (SELECT count(*) FROM a b WHERE list_contains(b.path, o.id)) - 1)::INT AS last FROM o""")
+def tree_intervals(spark, sf):
+    """Customers below nations below regions, brothers in the order of their ids."""
+    c = table(spark, sf, "customer").selectExpr("concat('c', c_custkey) AS id", "concat('n', c_nationkey) AS parent")
+    n = table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) AS id", "concat('r', n_regionkey) AS parent")
+    r = table(spark, sf, "region").selectExpr("concat('r', r_regionkey) AS id", "cast(NULL AS string) AS parent")
+    nodes = c.union(n).union(r).withColumn("ord", F.col("id"))
+    return settled(spark, "intervals", lambda: tree.intervals(nodes, "id", "parent", "ord").withColumn("path", F.array_join("path", "/")))
+
+
+@query("""WITH m AS (SELECT DISTINCT unnest([substring(text, 1, 18), right(text, 15), 'License', 'qz']) AS marker FROM benchmark)
+SELECT doc_id, marker FROM documents, m WHERE marker <> '' AND contains(text, marker)""")
+def marker_hits(spark, sf):
+    """Which of a list of strings, as long as the benchmark, stand in which documents."""
+    parts = F.array(F.substring("text", 1, 18), F.expr("right(text, 15)"), F.lit("License"), F.lit("qz"))
+    markers = table(spark, sf, "benchmark").select(F.explode(parts).alias("marker"))
+    return settled(spark, "markers", lambda: index.contained(_documents(spark, sf), "doc_id", "text", markers, "marker"))
+
+
+_LOW = f"translate(lower(text), '{tx.ACCENTED}', '{tx.PLAIN}')"
+
+
+@query(f"""WITH a AS (SELECT split_part({_LOW}, ' ', 3) AS alias, text AS e FROM benchmark),
+f AS (SELECT item_id, {_terms_sql("text")} AS u FROM benchmark UNION ALL SELECT item_id, {_terms_sql("e")} FROM benchmark JOIN a ON alias <> '' AND contains({_LOW}, alias))
+SELECT DISTINCT item_id, unnest({_BOTH}) AS term FROM f""")
+def alias_terms(spark, sf):
+    """The third word of each item is an alias for what the item says; aliases are a table of any length."""
+    asked = table(spark, sf, "benchmark")
+    aliases = asked.select(F.expr("split_part(text, ' ', 3)").alias("alias"), F.array("text").alias("expansions"))
+    return settled(spark, "alias-terms", lambda: index.asked_terms_by(asked, "item_id", "text", aliases))
+
+
 # --- questions to conversations: a conversation is a document, a turn a page and a node --------------------------
 
 def _turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -784,6 +842,31 @@ def question_files(spark, sf):
 
 # --- outcomes -------------------------------------------------------------------------------------------------
 
+
+@query("""WITH w AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT event_id, user_id FROM w WHERE p % greatest(1, n // 5) = 0 AND p // greatest(1, n // 5) < 5""")
+def spread_sample(spark, sf):
+    return outcome.spread(table(spark, sf, "events"), ["event_id"], 5, ["user_id"]).select("event_id", "user_id")
+
+
+@query("""WITH r AS (SELECT o_custkey AS k, avg((o_orderstatus = 'F')::INT) AS rate FROM orders GROUP BY 1)
+SELECT k, CASE WHEN rate < 0.15 THEN 'cheap first' WHEN rate > 0.30 THEN 'strong first' ELSE 'undecided' END AS verdict FROM r""")
+def rate_verdicts(spark, sf):
+    rates = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("rate"))
+    return rates.select("k", outcome.rate_verdict(F.col("rate")).alias("verdict"))
+
+
+@query("""SELECT l_orderkey, l_linenumber AS line, CASE WHEN max((l_quantity > 1.15 * 30 OR (l_linenumber & 16) > 0)::INT) = 1 THEN '## ' ELSE '' END || string_agg(CASE WHEN contains(lower(l_shipmode), 'air') THEN '-' ELSE l_returnflag END, '' ORDER BY l_partkey, l_suppkey, l_quantity, l_shipmode, l_returnflag) AS text
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'AIR' ELSE 'RAIL' END AS l_shipmode FROM lineitem) GROUP BY 1, 2""")
+def span_lines(spark, sf):
+    """Lines of orders as lines of a page, their rows as spans; quantities stand for sizes."""
+    rows = table(spark, sf, "lineitem")
+    font = F.when(F.col("l_linestatus") == "O", "x-Dingbats").otherwise("Times")
+    at = F.struct("l_partkey", "l_suppkey", "l_quantity", F.when(F.col("l_linestatus") == "O", "AIR").otherwise("RAIL").alias("m"), "l_returnflag")
+    spans = rows.select("l_orderkey", F.col("l_linenumber").alias("line"), at.alias("at"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("size"), F.col("l_linenumber").cast("int").alias("flags"), font.alias("font"), F.lit(30.0).alias("body"))
+    return layout.span_text(spans, ["l_orderkey"], "body")
+
+
 @query("""WITH a AS (SELECT event_id, user_id, value > 40 AS ok, sum((value > 40)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS nth FROM events)
 SELECT event_id, user_id, ok AND nth % 10 = 0 AS audited FROM a""")
 def sampled_audit(spark, sf):
