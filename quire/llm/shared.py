@@ -39,11 +39,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
-    """df as scratch dealt by `column`, a file a bucket. The table that Spark reads it by stands in the shared
-    folder as other scratch does."""
+    """df, dealt by `column` already, as scratch: a file a bucket, and where it was dealt to more partitions than there
+    are buckets, no more files than their square. The table that Spark reads it by stands in the shared folder as other
+    scratch does."""
     spark, name = df.sparkSession, f"quire_scratch_{uuid.uuid4().hex}"
     path = scratch(spark, "buckets", name)
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    df.coalesce(buckets).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     return spark.table(name)
 
 
