@@ -25,9 +25,10 @@ ALIASES = {"the": ["thing house", "then"], "und": ["oder", "auch hier"], "que":
 FACTS, MARKERS = ("the", "tion"), ("thand", "entz")
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, keeps: bool = False):
+    """Registers a query with its SQL; one that keeps frames as scratch hands on its result alone."""
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = f if not keeps else lambda spark, sf: settled(spark, f.__name__, lambda: f(spark, sf))
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -652,7 +653,7 @@ tg AS (SELECT gr.*, CASE WHEN gate = 'netto' THEN best ELSE coalesce(n3, n2, n1)
 found AS (SELECT tg.*, CASE WHEN gate = 'netto' THEN 'fast_path' WHEN node_id IS NOT NULL THEN 'navigation_descent' ELSE 'refused' END AS method, target_title, target_pages, owners, shown, served_text FROM tg LEFT JOIN srv USING (node_id))"""
 
 
-@query(f"WITH {_FOUND} SELECT item_id, gate, reason, method, node_id, target_title, target_pages, candidates, owners AS pin_owners, served_text FROM found")
+@query(f"WITH {_FOUND} SELECT item_id, gate, reason, method, node_id, target_title, target_pages, candidates, owners AS pin_owners, served_text FROM found", keeps=True)
 def retrieval_run(spark, sf):
     ids = F.array_join(F.transform("candidates", lambda x: x["node_id"]), ",").alias("candidates")
     owners = F.array_join(F.transform("pins", lambda p: F.to_json(F.array(p["title"]))), ",")
@@ -693,14 +694,14 @@ def retrieval_by_replies(spark, sf):
 
 
 @query(f"""WITH {_FOUND} SELECT item_id, CASE WHEN node_id IS NULL THEN 'refused' ELSE method END AS outcome,
-  '{{"gate":"' || gate || '","reason":"' || reason || '","method":"' || method || '","target_node_id":' || coalesce('"' || node_id || '"', 'null') || ',"candidates":' || coalesce('[' || listed || ']', 'null') || ',"pin_owners":[' || coalesce(owners, '') || ']}}' AS trace FROM found""")
+  '{{"gate":"' || gate || '","reason":"' || reason || '","method":"' || method || '","target_node_id":' || coalesce('"' || node_id || '"', 'null') || ',"candidates":' || coalesce('[' || listed || ']', 'null') || ',"pin_owners":[' || coalesce(owners, '') || ']}}' AS trace FROM found""", keeps=True)
 def answer_traces(spark, sf):
     return retrieval.traces(_retrieved(spark, sf), "item_id")
 
 
 @query(f"""WITH {_FOUND} SELECT item_id, '# Q&A log — ' || item_id || chr(10) || chr(10) || '- **timestamp:** 1970-01-01T00:00:00Z' || chr(10) || '- **documento:** conversations' || chr(10) || '- **query:** ' || text || chr(10)
   || chr(10) || '---' || chr(10) || chr(10) || '## 1. Retrieval' || chr(10) || chr(10) || gate || ' — ' || reason || ' — ' || method || chr(10)
-  || chr(10) || '---' || chr(10) || chr(10) || '## 2. Contesto servito' || chr(10) || chr(10) || '```' || chr(10) || coalesce(served_text, '') || chr(10) || '```' || chr(10) AS log FROM found JOIN benchmark USING (item_id)""")
+  || chr(10) || '---' || chr(10) || chr(10) || '## 2. Contesto servito' || chr(10) || chr(10) || '```' || chr(10) || coalesce(served_text, '') || chr(10) || '```' || chr(10) AS log FROM found JOIN benchmark USING (item_id)""", keeps=True)
 def question_log(spark, sf):
     found = _retrieved(spark, sf).join(table(spark, sf, "benchmark"), "item_id")
     titles, bodies = ("Retrieval", "Contesto servito"), (F.concat_ws(" — ", "gate", "reason", "method"), retrieval.fenced(F.coalesce("served_text", F.lit(""))))
@@ -721,7 +722,7 @@ _JUDGED = """CASE WHEN prompt IS NULL THEN 'ERRATO' WHEN length(question) % 2 =
 arms AS (SELECT item_id, 'navigazione' AS arm, text AS question, served_text AS served, target_title FROM benchmark JOIN found USING (item_id) UNION ALL SELECT item_id, 'servi_intero', text, whole, NULL FROM benchmark LEFT JOIN base ON doc = item_id),
 asked AS (SELECT *, CASE WHEN served <> '' THEN 'CONTESTO:' || chr(10) || served || chr(10) || chr(10) || 'DOMANDA: ' || question END AS prompt FROM arms),
 said AS (SELECT *, CASE WHEN prompt IS NULL THEN '{retrieval.REFUSAL}' ELSE question END AS answer, {_JUDGED} AS verdict FROM asked)
-SELECT item_id, arm, prompt, answer, verdict, verdict = 'CORRETTO' AS correct, prompt IS NULL AS refused, (prompt IS NOT NULL)::INT AS facts, CASE WHEN prompt IS NULL THEN 0.25 ELSE 0.75 END AS cost_usd, target_title FROM said""")
+SELECT item_id, arm, prompt, answer, verdict, verdict = 'CORRETTO' AS correct, prompt IS NULL AS refused, (prompt IS NOT NULL)::INT AS facts, CASE WHEN prompt IS NULL THEN 0.25 ELSE 0.75 END AS cost_usd, target_title FROM said""", keeps=True)
 def case_arms(spark, sf):
     """Each item asks for its own text of the conversation of its number. Stand-ins for models repeat the question
     and judge by its length."""
@@ -740,7 +741,7 @@ def case_arms(spark, sf):
 
 def _scopes(spark: SparkSession, sf: str) -> DataFrame:
     nodes, pages, _ = _turns(spark, sf)
-    return retrieval.scope_inputs(nodes, pages)
+    return retrieval.scope_inputs(written(nodes, "nodes"), pages)
 
 
 _SCOPES = f"""{_TURN_NODES},
@@ -750,7 +751,7 @@ scopes AS (SELECT nd.*, kids IS NULL AS is_leaf, coalesce(own, '') AS own_text,
   CASE WHEN kids IS NULL THEN 'Testo della voce:' || chr(10) || CASE WHEN coalesce(own, '') = '' THEN '(nessun testo estratto)' ELSE own END ELSE 'Sotto-voci contenute (figli diretti):' || chr(10) || kids END AS message FROM nd LEFT JOIN kids USING (node_id) LEFT JOIN own USING (node_id))"""
 
 
-@query(f"WITH {_SCOPES} SELECT node_id, is_leaf, own_text, message FROM scopes")
+@query(f"WITH {_SCOPES} SELECT node_id, is_leaf, own_text, message FROM scopes", keeps=True)
 def scope_inputs(spark, sf):
     return _scopes(spark, sf).select("node_id", "is_leaf", "own_text", "message")
 
@@ -782,7 +783,7 @@ def descent_by_replies(spark, sf):
 @query(f"""WITH {_SCOPES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc, kind ORDER BY ord, node_id) AS nth FROM scopes),
 f AS (SELECT *, CASE WHEN kind = 'quadro' AND nth = 1 THEN 0 WHEN kind = 'sezione' AND nth = 1 THEN 1 WHEN is_leaf THEN 2 END AS rank_ FROM k),
 t AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank_, ord, node_id) AS taken FROM f WHERE rank_ IS NOT NULL)
-SELECT doc, node_id, kind, is_leaf FROM t WHERE taken <= 3""")
+SELECT doc, node_id, kind, is_leaf FROM t WHERE taken <= 3""", keeps=True)
 def representative_run(spark, sf):
     return retrieval.representative(_scopes(spark, sf), 3).select("doc", "node_id", "kind", "is_leaf")
 
@@ -790,9 +791,9 @@ def representative_run(spark, sf):
 @query(f"""WITH {_SCOPES}, {_TURN_WORDS},
 tk AS (SELECT node_id, string_agg('{{"term":' || to_json(term) || ',"weight":' || weight || '}}', ',' ORDER BY place) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY weight DESC, term) AS place FROM tix) WHERE place <= 14 GROUP BY 1)
 SELECT doc, node_id, '{{"id":"' || node_id || '","parent":' || coalesce('"' || parent_id || '"', 'null') || ',"kind":"' || kind || '","level":' || level || ',"title":' || to_json(title) || ',"pages":"' || ord || '-' || page_end || '","is_leaf":' || is_leaf
-  || ',"input":' || to_json(message) || ',"pins":' || coalesce('[' || shown || ']', 'null') || ',"kw":' || coalesce('[' || kw || ']', 'null') || '}}' AS payload FROM scopes LEFT JOIN gov USING (node_id) LEFT JOIN tk USING (node_id)""")
+  || ',"input":' || to_json(message) || ',"pins":' || coalesce('[' || shown || ']', 'null') || ',"kw":' || coalesce('[' || kw || ']', 'null') || '}}' AS payload FROM scopes LEFT JOIN gov USING (node_id) LEFT JOIN tk USING (node_id)""", keeps=True)
 def node_payload(spark, sf):
-    return retrieval.payload(_scopes(spark, sf), _turns(spark, sf)[2], _turn_words(spark, sf))
+    return retrieval.payload(written(_scopes(spark, sf), "scopes"), _turns(spark, sf)[2], _turn_words(spark, sf))
 
 
 @query("""WITH r AS (SELECT doc_id, n_chars, TRY_CAST(nullif(regexp_extract(text, '[0-9]+'), '') AS BIGINT) AS x FROM documents)
@@ -1057,10 +1058,10 @@ rules AS (SELECT up.conv_id, up.ord, string_agg('[' || kind || '] ' || title ||
 pages AS (SELECT conv_id, turn AS page, regexp_replace(CASE role WHEN 'system' THEN '# ' WHEN 'user' THEN '## ' ELSE '### ' END || title || chr(10) || text, {_ENDS}) AS body FROM h JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn)),
 served AS (SELECT n.conv_id, n.ord, string_agg(body, chr(10) || chr(10) ORDER BY page) AS entry FROM nodes n JOIN pages ON pages.conv_id = n.conv_id AND page BETWEEN n.turn AND n.serve_end GROUP BY ALL)
 SELECT n.conv_id, n.ord, CASE WHEN rules IS NULL THEN '' ELSE '{retrieval.GOVERNING}' || chr(10) || chr(10) || rules || chr(10) || chr(10) END || '{retrieval.ENTRY}' || chr(10) || n.title || chr(10) || coalesce(entry, '') AS context
-FROM nodes n LEFT JOIN rules USING (conv_id, ord) LEFT JOIN served USING (conv_id, ord)""")
+FROM nodes n LEFT JOIN rules USING (conv_id, ord) LEFT JOIN served USING (conv_id, ord)""", keeps=True)
 def served_context(spark, sf):
-    nodes, marked = _tree(spark, sf), _markdown(spark, sf)
-    pins = tree.preambles(nodes, marked, "conv_id", "turn", "markdown")
+    nodes, marked = written(_tree(spark, sf), "nodes"), _markdown(spark, sf)
+    pins = written(tree.preambles(nodes, marked, "conv_id", "turn", "markdown"), "pins")
     ids = {"doc": F.col("conv_id"), "page": F.col("turn"), "node_id": F.concat_ws(":", "conv_id", "ord"), "parent_id": F.when(F.col("parent_ord").isNotNull(), F.concat_ws(":", "conv_id", "parent_ord"))}
     named, owned = nodes.withColumns(ids), pins.select(F.concat_ws(":", "conv_id", "ord").alias("node_id"), "text")
     pages = marked.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.col("markdown").alias("text"))
