@@ -177,7 +177,7 @@ def without_lines(pages: DataFrame, page: str, group: str, text: str, known: Dat
     """pages (page, group) with `text` less the lines in known (group, line), in order. Lines are filtered where they
     stand. A group's known lines come as one list: as each stands on a share of the group's pages, there are no more of
     them than a page has lines, divided by that share. Rows that repeat a page are rows of their own."""
-    listed = known.where("line is not null").groupBy(F.col(group).alias("_g")).agg(F.collect_set("line").alias("_known"))
+    listed = written(known.where("line is not null").groupBy(F.col(group).alias("_g")).agg(F.collect_set("line").alias("_known")), "known")  # found once
     with_known = pages.select(page, group, text).join(small(listed), F.col(group) == F.col("_g"), "left")
     rows = tx.lines(F.coalesce(F.col(text), F.lit("")))
     kept = F.filter(rows, lambda r: ~F.array_contains(F.col("_known"), tx.stripped(r)))

@@ -183,7 +183,7 @@ def boilerplate_lines(spark, sf):
 @query(rf"""WITH {_BOILER}, e AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 r AS (SELECT e.* FROM e LEFT JOIN k ON e.lang = k.lang AND trim(e.ln, ' ' || chr(9) || chr(13)) = k.line WHERE k.line IS NULL),
 f AS (SELECT doc_id, string_agg(ln, chr(10) ORDER BY i) AS text FROM r GROUP BY 1)
-SELECT d.doc_id, rtrim(coalesce(f.text, ''), chr(10)) AS text FROM documents d LEFT JOIN f USING (doc_id)""")
+SELECT d.doc_id, rtrim(coalesce(f.text, ''), chr(10)) AS text FROM documents d LEFT JOIN f USING (doc_id)""", keeps=True)
 def strip_boilerplate(spark, sf):
     docs = _documents(spark, sf)
     known = index.boilerplate(docs, "lang", "text", 0.1)
