@@ -75,6 +75,11 @@ def terms(c: Column, bigrams: bool = True, stopwords: tuple[str, ...] = STOPWORD
     return F.transform(F.array(words), lambda u: F.concat(u, _pairs(u)))[0]
 
 
+def has_terms(c: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Whether terms() finds any; no further than the first is read."""
+    return F.regexp_like(c, F.lit(rf"(?<![a-z0-9])(?!(?:{'|'.join(stopwords)})(?![a-z0-9]))[a-z0-9]{{3}}"))
+
+
 def _pairs(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))

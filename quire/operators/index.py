@@ -3,39 +3,65 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.outcome import called
-from quire.operators.sizes import small
+from quire.operators.sizes import is_small, small
 from quire.sources.scratch import written
 
 #: What a question on its way down is asked.
 DESCENT = "Rispondi col numero della sotto-voce in cui scendere, FERMA se basta la voce corrente, NESSUNA se niente è pertinente."
 
 
+def _entries(items: DataFrame, node: str, fields: dict[str, float], normal, asked: DataFrame | None = None) -> DataFrame:
+    """(node_id, term, w): each occurrence of a term with its field's weight; of the asked terms alone, if given."""
+    found = [tx.terms(normal(F.coalesce(F.col(c), F.lit("")))) for c in fields]
+    # a term's field is told by its place in one list, which costs less than a struct for each; where fields end is
+    # counted before the list is opened, as no row of a term may carry the list
+    named = items.select(F.col(node).alias("node_id"), F.array(*found).alias("x"))
+    ends = [sum((F.size(F.col("x")[i]) for i in range(1, k)), F.size(F.col("x")[0])).alias(f"_{k}") for k in range(1, len(fields))]
+    each = named.select("node_id", F.flatten("x").alias("x"), *ends).select("node_id", *[f"_{k}" for k in range(1, len(fields))], F.posexplode("x").alias("at", "term"))
+    if asked is not None:
+        each = each.join(asked, "term", "left_semi")
+    *first, w = [F.lit(float(weight)) for weight in fields.values()]
+    for k, weight in reversed(list(enumerate(first, 1))):
+        w = F.when(F.col("at") < F.col(f"_{k}"), weight).otherwise(w)
+    return each.select("node_id", "term", w.alias("w"))
+
+
+def _worded(items: DataFrame, node: str, fields: dict[str, float], normal) -> DataFrame:
+    """One row: how many nodes have any term, found without taking texts apart."""
+    any_term = reduce(or_, (tx.has_terms(normal(F.coalesce(F.col(c), F.lit("")))) for c in fields))
+    return items.where(any_term).select(F.col(node).alias("node_id")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
+
+
 def keyword_index(items: DataFrame, node: str, fields: dict[str, float], normal=tx.plain, asked: DataFrame | None = None) -> DataFrame:
     """(term, node_id, tf, df, weight) of items whose columns `fields` count with their weights. Nodes without a
     term don't count for the idf, ln((1 + nodes) / (1 + df)) + 1. With `asked` (term) only these terms are kept, as
-    soon as they are read; their weights are the same."""
-    def weighed(column: str, weight: float) -> Column:
-        found = tx.terms(normal(F.coalesce(F.col(column), F.lit(""))))
-        return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-    # a term of its own, null, stands for each node that has any, so that one pass counts nodes as it counts terms
-    mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
-    parts = F.transform(F.array(F.concat(*[weighed(c, w) for c, w in fields.items()])), lambda x: F.when(F.size(x) > 0, F.concat(x, mark)))[0]
-    found = items.select(F.col(node).alias("node_id"), F.explode(parts).alias("x")).select("node_id", "x.*")
-    if asked is not None:
-        known = small(asked.select(F.col("term").alias("_asked")).union(asked.sparkSession.createDataFrame([(None,)], "t string")).distinct())
-        found = found.join(known, F.col("term").eqNullSafe(F.col("_asked")), "left_semi")
-    tf = found.groupBy("term", "node_id").agg(F.sum("w").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    nodes = df.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("nodes"))  # one row
+    soon as they are read; their weights are the same.
+
+    Texts are taken apart once and their terms dealt once: by term, as one sort gives tf and df, or, of asked terms, by
+    node, so that what is asked of a node is found where it is."""
+    if asked is None:
+        order = Window.partitionBy("term", "node_id")
+        tf = _entries(items, node, fields, normal).repartition("term")
+        tf = tf.withColumns({"tf": F.sum("w").over(order), "_first": F.row_number().over(order.orderBy("node_id"))}).where("_first = 1")
+        tf = tf.select("term", "node_id", "tf", F.count(F.lit(1)).over(Window.partitionBy("term")).alias("df"))
+    else:
+        wanted = asked.select("term").where("term is not null").distinct()
+        few = is_small(wanted)
+        found = _entries(items, node, fields, normal, F.broadcast(wanted) if few else wanted)
+        tf = found.repartition("node_id").groupBy("term", "node_id").agg(F.sum("w").alias("tf"))
+        df = tf.groupBy("term").agg(F.count("tf").alias("df"))  # counts what it could do without, to be the same plan below
+        tf = tf.join(F.broadcast(df) if few else df, "term")  # no more rows than are asked
     idf = F.log((1 + F.col("nodes")) / (1 + F.col("df"))) + 1
-    return tf.where("term is not null").join(df.where("term is not null"), "term").crossJoin(F.broadcast(nodes)).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))
+    nodes = F.broadcast(_worded(items, node, fields, normal))
+    return tf.crossJoin(nodes).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))
 
 
 def top_keywords(index: DataFrame, k: int = 14) -> DataFrame:
@@ -97,7 +123,7 @@ def match(queries: DataFrame, query: str, text: str, index: DataFrame, k: int =
     """(query, node_id, score, place): nodes by the sum of the weights of the query's distinct terms; ties go to
     the smaller node."""
     asked = asked_terms(queries, query, text, aliases, normal).distinct()
-    hits = asked.join(index.select("term", "node_id", "weight"), "term")
+    hits = index.select("term", "node_id", "weight").join(small(asked), "term")
     scored = hits.groupBy(query, "node_id").agg(F.round(F.sum("weight"), 4).alias("score"))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "node_id"))
     return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -21,8 +21,13 @@ def width(df: DataFrame) -> Column:
     return sum((of(f"`{n}`", k) for n, k in df.dtypes), F.lit(16))
 
 
-def small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
-    """df with the hint to broadcast it if a look at no more than rows + 1 of its rows finds at most so many rows and
-    bytes; else as it is, for a shuffled join. The look is a job of its own, made here."""
+def is_small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> bool:
+    """Whether a look at no more than rows + 1 of df's rows finds at most so many rows and bytes. The look is a job of
+    its own, made here."""
     n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width(df)), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= size else df
+    return n <= rows and total <= size
+
+
+def small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """df with the hint to broadcast it if it is_small(); else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows, size) else df

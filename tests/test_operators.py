@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quire.functions import text as tx
 from quire.operators import evalkit, index, layout, ledger, outcome, sizes, store, tree
 from quire.sources import tables
 from quire.streaming.ledger import hourly
@@ -47,6 +48,24 @@ def test_index_and_match(spark):
     assert index.top_keywords(idx, 2).groupBy("node_id").count().agg(F.max("count")).first()[0] == 2
 
 
+def generators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")
+
+
+def test_an_index_takes_texts_apart_once(spark):
+    items = spark.createDataFrame([(1, "sei due tre", "due"), (1, "due", None), (2, "di", "al"), (None, "tre", "tre"), (4, "", "due tre")], "id int, title string, summary string")
+    asked = spark.createDataFrame([("due",), ("due",), ("tre",), (None,)], "term string")
+    idx = index.keyword_index(items, "id", {"title": 3.0, "summary": 1.0})
+    assert generators(idx) == 1
+    got = {(r.term, r.node_id): (r.tf, r.df) for r in idx.collect()}
+    assert got == {("sei", 1): (3, 1), ("due", 1): (7, 2), ("tre", 1): (3, 3), ("sei due", 1): (3, 1), ("due tre", 1): (3, 2), ("tre", None): (4, 3), ("due", 4): (1, 2), ("tre", 4): (1, 3), ("due tre", 4): (1, 2)}
+    few = index.keyword_index(items, "id", {"title": 3.0, "summary": 1.0}, asked=asked)
+    assert rows(few) == rows(idx.where("term in ('due', 'tre')"))
+    assert "ReusedExchange" in few._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([("al di",), ("al",), ("ala",), ("xx-yy",), ("dell x",), ("",), (None,), ("con conto",), ("123",)], "t string")
+    assert [tuple(r) for r in words.where("t is not null").select(tx.has_terms(c("t")), F.size(tx.terms(c("t"))) > 0).distinct().collect() if r[0] != r[1]] == []
+
+
 def test_gate(spark):
     scores = {"a": [129.0, 39.0], "b": [50.0, 46.0], "c": [4.9, 4.5], "d": [], "e": [20.0]}
     matches = spark.createDataFrame([(q, i, s, i + 1) for q, ss in scores.items() for i, s in enumerate(ss)], "q string, node_id int, score double, place int")
