@@ -191,6 +191,18 @@ def sizes(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("term").alias("terms"), F.countDistinct("node_id").alias("nodes"))
 
 
+def index_sizes(items: DataFrame, node: str, fields: dict[str, float], normal=tx.plain) -> DataFrame:
+    """sizes() of the keyword_index() of items, which isn't built: each node's distinct terms are counted where its
+    text is, and only where rows repeat a node are they told apart once more."""
+    found = F.array_distinct(F.concat(*[tx.terms(normal(F.coalesce(F.col(c), F.lit("")))) for c in fields]))
+    each = items.select(F.col(node).alias("node_id"), F.explode(found).alias("term"))
+    repeated = not items.groupBy(node).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+    counted = (each.distinct() if repeated else each).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = counted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("terms"))
+    # null is no node, as in sizes()
+    return terms.crossJoin(F.broadcast(_worded(items.where(F.col(node).isNotNull()), node, fields, normal)))
+
+
 def boilerplate(pages: DataFrame, group: str, text: str, fraction: float = 0.6, least: int = 2) -> DataFrame:
     """(group, line, pages): lines that stand on many pages of a group, counted once a page."""
     sizes = pages.groupBy(group).agg(F.count(F.lit(1)).alias("n"))

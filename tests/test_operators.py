@@ -66,6 +66,14 @@ def test_an_index_takes_texts_apart_once(spark):
     assert [tuple(r) for r in words.where("t is not null").select(tx.has_terms(c("t")), F.size(tx.terms(c("t"))) > 0).distinct().collect() if r[0] != r[1]] == []
 
 
+def test_sizes_of_an_index_that_is_not_built(spark):
+    fields = {"title": 3.0, "summary": 1.0}
+    for rest in ([], [(1, "due", "nove dieci")], [(None, "tre", None)], [(5, "di", None)]):
+        items = spark.createDataFrame([(1, "sei due tre", "due due"), (2, "di", "al"), (4, "", "due tre"), *rest], "id int, title string, summary string")
+        assert tuple(index.index_sizes(items, "id", fields).first()) == tuple(index.sizes(index.keyword_index(items, "id", fields)).first())
+    assert tuple(index.index_sizes(items.limit(0), "id", fields).first()) == (0, 0, 0)
+
+
 def test_gate(spark):
     scores = {"a": [129.0, 39.0], "b": [50.0, 46.0], "c": [4.9, 4.5], "d": [], "e": [20.0]}
     matches = spark.createDataFrame([(q, i, s, i + 1) for q, ss in scores.items() for i, s in enumerate(ss)], "q string, node_id int, score double, place int")
