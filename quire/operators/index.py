@@ -65,8 +65,10 @@ def keyword_index(items: DataFrame, node: str, fields: dict[str, float], normal=
 
 
 def top_keywords(index: DataFrame, k: int = 14) -> DataFrame:
+    """(…, place): the k terms of the largest weights of each node. They are dealt before they are ranked: of a node's
+    terms few stand in one task of an index dealt by term, so that ranking them there would sort all and drop none."""
     place = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("weight"), "term"))
-    return index.withColumn("place", place).where(F.col("place") <= k)
+    return index.repartition("node_id").withColumn("place", place).where(F.col("place") <= k)
 
 
 def expanded(text: Column, aliases: dict[str, list[str]], normal=tx.plain) -> Column:

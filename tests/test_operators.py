@@ -74,6 +74,14 @@ def test_sizes_of_an_index_that_is_not_built(spark):
     assert tuple(index.index_sizes(items.limit(0), "id", fields).first()) == (0, 0, 0)
 
 
+def test_terms_are_dealt_to_nodes_before_they_are_ranked(spark):
+    items = spark.createDataFrame([(i, f"sei due tre parola{i}") for i in range(20)], "id int, title string")
+    best = index.top_keywords(index.keyword_index(items, "id", {"title": 1.0}), 2)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2  # by term, then by node
+    assert rows(best.where("place = 1"), "node_id", "term") == sorted([(i, f"parola{i}") for i in range(20)], key=str)
+
+
 def test_gate(spark):
     scores = {"a": [129.0, 39.0], "b": [50.0, 46.0], "c": [4.9, 4.5], "d": [], "e": [20.0]}
     matches = spark.createDataFrame([(q, i, s, i + 1) for q, ss in scores.items() for i, s in enumerate(ss)], "q string, node_id int, score double, place int")
