@@ -10,9 +10,7 @@ Document frequencies and weights are sums made when read. One writer at a time.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -23,18 +21,37 @@ _DELTAS = "term string, node_id {kind}, tf double, sign int, version int, bucket
 _WORDS = "node_id {kind}, terms map<string,double>, version int, bucket int"
 
 
+def _summed(s: Column, **sums: str) -> Column:
+    """Of entries in order of their terms, (term, sums of their columns) of each run of equal terms. There are some."""
+    def of(r: Column) -> Column:
+        run = F.slice(s, r["i"], r["j"] - r["i"])
+        totals = [F.aggregate(F.transform(run, lambda x: x[c].cast("double")), F.lit(0.0), lambda t, v: t + v).alias(name) for name, c in sums.items()]
+        return F.struct(F.get(s, r["i"] - 1)["term"].alias("term"), *totals)
+
+    n = F.size(s)
+    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1)["term"] != F.get(s, F.greatest(i - 2, F.lit(0)))["term"]))
+    bounds = lambda f: F.zip_with(f, F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(n + 1)), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+    return F.transform(F.transform(F.array(first), bounds)[0], of)
+
+
 def weighed_terms(items: DataFrame, node: str, fields: dict[str, float], normal=tx.plain) -> DataFrame:
-    """(node_id, terms): of each node the sum of the weights of its fields by term; null where it has none."""
+    """(node_id, terms): of each node the sum of the weights of its fields by term; null where it has none. A row's terms
+    are summed where it stands; rows are brought together only if any repeat a node."""
     def weighed(column: str, weight: float) -> Column:
         return F.transform(tx.terms(normal(F.coalesce(F.col(column), F.lit("")))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    each = items.select(F.col(node).alias("node_id"), F.explode_outer(F.concat(*[weighed(c, w) for c, w in fields.items()])).alias("x"))
-    sums = each.groupBy("node_id", "x.term").agg(F.sum("x.w").alias("tf"))
-    terms = F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
-    return sums.groupBy("node_id").agg(terms.alias("terms")).withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
+    each = items.select(F.col(node).alias("node_id"), F.concat(*[weighed(c, w) for c, w in fields.items()]).alias("x"))
+    if not items.groupBy(node).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        each = each.groupBy("node_id").agg(F.flatten(F.collect_list("x")).alias("x"))
+    # an array of one, so that the entries are put in order once
+    terms = F.transform(F.array(F.sort_array("x")), lambda s: F.when(F.size(s) > 0, F.map_from_entries(_summed(s, tf="w"))))[0]
+    return each.select("node_id", terms.alias("terms"))
 
 
 class KeptIndex:
+    #: Tasks that a bucket's merge is dealt to.
+    PARTS = 8
+
     def __init__(self, spark: SparkSession, path: str, node_kind: str = "bigint", buckets: int = 64):
         self.spark, self.path, self.kind, self.buckets = spark, path.rstrip("/"), node_kind, buckets
 
@@ -61,8 +78,8 @@ class KeptIndex:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, name: str, version: int) -> None:
-        dealt = rows.withColumn("bucket", rows["bucket"]).repartition("bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/version={version}")
+        """Each task writes a file for each bucket that it has rows of, so that nothing is shuffled."""
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/version={version}")
 
     # -- changes
 
@@ -73,22 +90,28 @@ class KeptIndex:
         version = done[-1] + 1 if done else 1
         new = weighed_terms(items, node, fields, normal)
         if gone is not None:
-            none = F.lit(None).cast("map<string,double>")
-            new = new.unionByName(gone.select(F.col("node_id").cast(self.kind)).join(new, "node_id", "left_anti").select("node_id", none.alias("terms")))
+            null = F.lit(None).cast("map<string,double>")
+            rest = gone.select(F.col("node_id").cast(self.kind)).join(items.select(F.col(node).alias("node_id")), "node_id", "left_anti")
+            new = new.unionByName(rest.select("node_id", null.alias("terms")))
         new = new.withColumn("bucket", self._bucket("node_id"))
         self._write(new, "words", version)
         new = self.spark.read.schema(_WORDS.format(kind=self.kind)).parquet(f"{self.path}/words/version={version}").select("node_id", "terms")
-        touched = [r.b for r in new.select(self._bucket("node_id").alias("b")).distinct().collect()]  # at most `buckets` numbers
-        stored = self._read("words", _WORDS).where(F.col("bucket").isin(touched) & F.col("version").isin(done or [0])).join(small(new.select("node_id")), "node_id", "left_semi")
-        old = stored.groupBy("node_id").agg(F.max_by("terms", "version").alias("old"))
-        both = new.join(old, "node_id", "left").select("node_id", *[F.coalesce(c, F.create_map().cast("map<string,double>")).alias(c) for c in ("terms", "old")])
-        names = F.array_union(F.map_keys("terms"), F.map_keys("old"))
-        each = both.select("node_id", F.explode(names).alias("term"), "terms", "old")
-        tf, was = (F.coalesce(F.element_at(c, F.col("term")), F.lit(0.0)) for c in ("terms", "old"))
-        changes = each.select("term", "node_id", (tf - was).alias("tf"), ((tf > 0).cast("int") - (was > 0).cast("int")).alias("sign")).where("tf <> 0 or sign <> 0")
+        none, worded = F.create_map().cast("map<string,double>"), F.coalesce(F.size("terms") > 0, F.lit(False)).cast("long")
+        if done:
+            touched = [r.b for r in new.select(self._bucket("node_id").alias("b")).distinct().collect()]  # at most `buckets` numbers
+            stored = self._read("words", _WORDS).where(F.col("bucket").isin(touched) & F.col("version").isin(done)).join(small(new.select("node_id")), "node_id", "left_semi")
+            old = stored.groupBy("node_id").agg(F.max_by("terms", "version").alias("old"))
+            had = stored.groupBy("node_id").agg(F.max_by(worded, "version").alias("had"))  # apart, as terms are wide
+            both, counted = new.join(old, "node_id", "left"), new.select("node_id", worded.alias("has")).join(had, "node_id", "left")
+        else:
+            both, counted = new.withColumn("old", F.lit(None).cast("map<string,double>")), new.select(worded.alias("has"), F.lit(0).alias("had"))
+        # what is there now and what is taken back, in order of terms, so that no term is looked for in a map
+        signed = lambda c, sign: F.transform(F.map_entries(F.coalesce(c, none)), lambda e: F.struct(e["key"].alias("term"), (sign * e["value"]).alias("w"), F.lit(sign).alias("sign")))
+        merged = F.transform(F.array(F.sort_array(F.concat(signed("terms", 1), signed("old", -1)))), lambda s: F.when(F.size(s) > 0, _summed(s, tf="w", sign="sign")))[0]
+        changes = both.select("node_id", F.explode(merged).alias("x")).select("x.term", "node_id", "x.tf", F.col("x.sign").cast("int").alias("sign")).where("tf <> 0 or sign <> 0")
         self._write(changes.withColumn("bucket", self._bucket("term")), "deltas", version)
-        worded = (F.size("terms") > 0).cast("long") - (F.size("old") > 0).cast("long")
-        both.agg(F.coalesce(F.sum(worded), F.lit(0)).alias("nodes")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/version={version}")
+        gained = F.coalesce(F.sum(F.col("has") - F.coalesce("had", F.lit(0))), F.lit(0))
+        counted.agg(gained.cast("long").alias("nodes")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/version={version}")
         return version
 
     # -- reading
@@ -108,11 +131,12 @@ class KeptIndex:
         entries = self._entries()
         if asked is not None:
             entries = entries.join(small(asked.select("term").distinct()), "term", "left_semi")
-        tf = entries.groupBy("term", "node_id").agg(F.sum("tf").alias("tf"), F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
-        df = entries.groupBy("term").agg(F.sum("sign").alias("df"))
+        # dealt once, by term: what stays of a term's entries are its nodes
+        tf = entries.repartition("term").groupBy("term", "node_id").agg(F.sum("tf").alias("tf"), F.sum("sign").alias("sign")).where("sign > 0")
+        tf = tf.select("term", "node_id", "tf", F.sum("sign").over(Window.partitionBy("term")).alias("df"))
         nodes = self._read("counts", "nodes long, version int").where(F.col("version").isin(self.versions() or [0])).agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"))
         idf = F.log((1 + F.col("nodes")) / (1 + F.col("df"))) + 1
-        return tf.join(df, "term").crossJoin(F.broadcast(nodes)).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))  # nodes: one row
+        return tf.crossJoin(F.broadcast(nodes)).select("term", "node_id", "tf", "df", F.round(F.col("tf") * idf, 4).alias("weight"))  # nodes: one row
 
     def merge(self) -> list[int]:
         """Merges all deltas into the base: only buckets that have any are read and rewritten, each whole or not at all.
@@ -125,12 +149,14 @@ class KeptIndex:
         newest = {r.bucket: r.v for r in later.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
         touched = sorted(b for b, v in newest.items() if v > merged.get(b, 0))
         if touched:
-            sums = self._entries().where(F.col("bucket").isin(touched)).groupBy("term", "node_id", "bucket").agg(F.sum("tf").alias("tf"), F.sum("sign").cast("int").alias("sign")).where("sign > 0")
+            # dealt once, a bucket to some tasks, which both sum and write it
+            part = F.pmod(F.hash("term"), F.lit(self.PARTS)).alias("part")
+            entries = self._entries().where(F.col("bucket").isin(touched)).select("*", part).repartition("bucket", "part")
+            sums = entries.groupBy("term", "node_id", "bucket", "part").agg(F.sum("tf").alias("tf"), F.sum("sign").cast("int").alias("sign")).where("sign > 0")
             # a bucket that loses its last entry keeps a row without a term, which says what it has merged
             marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(
                 F.lit(None).cast("string").alias("term"), F.lit(None).cast(self.kind).alias("node_id"), F.lit(0.0).alias("tf"), F.lit(0).alias("sign"), "bucket"
             )
             rows = sums.select("term", "node_id", "tf", "sign", "bucket").unionByName(marks).withColumn("upto", F.lit(upto))
-            dealt = rows.select("term", "node_id", "tf", "sign", "upto", "bucket").repartition("bucket")
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/base")
+            rows.select("term", "node_id", "tf", "sign", "upto", "bucket").write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/base")
         return touched

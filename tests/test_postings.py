@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import index
-from quire.operators.keptindex import KeptIndex
+from quire.operators.keptindex import KeptIndex, weighed_terms
 from quire.operators.postings import best, blocked
 from quire.sources.scratch import scratch_scope
 
@@ -91,6 +91,20 @@ def test_kept_index(spark, tmp_path):
     agree()
 
 
+def test_a_kept_index_is_shuffled_once_where_it_is_read(spark, tmp_path):
+    """Its words are not shuffled at all, unless rows repeat a node."""
+    fields = {"t": 3.0, "s": 1.0}
+    one = spark.createDataFrame([(1, "sei due", "due"), (2, None, "di")], "id long, t string, s string")
+    terms = weighed_terms(one, "id", fields)
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    assert dict(rows(terms)) == {1: {"sei": 3.0, "due": 4.0, "sei due": 3.0}, 2: None}
+    twice = one.union(spark.createDataFrame([(1, "due", None)], one.schema))
+    assert dict(rows(weighed_terms(twice, "id", fields)))[1] == {"sei": 3.0, "due": 7.0, "sei due": 3.0}
+    kept = KeptIndex(spark, str(tmp_path / "index"), buckets=2)
+    kept.change(one, "id", fields)
+    assert kept.read()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(term") == 1
+
+
 def test_a_failed_change_is_ignored(spark, tmp_path):
     kept = KeptIndex(spark, str(tmp_path / "index"), buckets=4)
     kept.change(spark.createDataFrame([(1, "uno due")], "id long, t string"), "id", {"t": 1.0})
