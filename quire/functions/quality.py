@@ -91,13 +91,28 @@ def repeated(items: Column) -> Column:
     return _once(F.array_sort(items), of)
 
 
+def _may_repeat(words: Column, n: int, most: int) -> Column:
+    """False only if no n-gram occurs more than `most` times. Each n-gram holds a block of words that begins at a multiple
+    of the block's length, at one of as many places as that length; if these are no more than `most`, two occurrences
+    have it at the same place, so that a block occurs twice."""
+    size = min((n + 1) // 2, most)
+    if size < 1:
+        return F.lit(True)
+    count = F.floor(F.size(words) / size).cast("int")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: (i - 1) * size + 1)
+    blocks = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+    return (count > 0) & _once(blocks, lambda b: F.size(F.array_distinct(b)) < F.size(b))
+
+
 def repeats_itself(c: Column, n: int = 10, most: int = 8, diversity: float = 0.5, rows: Column | None = None) -> Column:
     """From 12 lines on, whether distinct lines are few; of shorter texts, whether an n-gram is too frequent. Its
     lines may be given."""
     rows = F.filter(F.transform(tx.lines(c) if rows is None else rows, tx.stripped), lambda x: x != "")
     words = F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
     by_lines = _once(rows, lambda r: F.when(F.size(r) >= 12, F.size(F.array_distinct(r)) / F.size(r) < diversity))
-    return F.coalesce(by_lines, most_repeats(ngrams(words, n)) > most)
+    # n-grams are made and sorted only where one can be too frequent
+    by_words = _once(words, lambda w: F.when(_may_repeat(w, n, most), most_repeats(ngrams(w, n)) > most).otherwise(F.lit(False)))
+    return F.coalesce(by_lines, by_words)
 
 
 def is_refusal(c: Column, markers: tuple[str, ...] = REFUSALS) -> Column:
@@ -141,7 +156,8 @@ def code_pairs(c: Column) -> Column:
     pattern = F.lit(CODE_PAIR)
     found = F.arrays_zip(F.regexp_extract_all(c, pattern, 1).alias("code"), F.transform(F.regexp_extract_all(c, pattern, 2), tx.stripped).alias("label"))
     start = F.array().cast("array<struct<code:string,label:string>>")
-    return F.aggregate(found, start, lambda a, x: F.when(F.exists(a, lambda y: y["code"] == x["code"]), a).otherwise(F.concat(a, F.array(x))))
+    pairs = F.aggregate(found, start, lambda a, x: F.when(F.exists(a, lambda y: y["code"] == x["code"]), a).otherwise(F.concat(a, F.array(x))))
+    return F.when(~F.contains(c, F.lit("=")), start).otherwise(pairs)  # most texts have none
 
 
 def code_mismatches(candidate: Column, reference: Column, least: float = 0.5) -> Column:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +90,26 @@ def test_verdict(spark):
     assert "empty or refusal" in got[6].reasons
 
 
+def test_texts_are_taken_apart_cheaply(spark, value):
+    """What spares work gives the same: blocks rule n-grams out, texts without `=` have no code pairs, and the whole text
+    in lower case has the same words."""
+    r = random.Random(9)
+    texts = [None, "", " ", "a " * 18, "a " * 17, "x y z " * 8 + "x y"]
+    for _ in range(150):
+        unit = [f"w{r.randint(0, 40)}" for _ in range(r.randint(1, 13))]
+        texts.append(" ".join(w for _ in range(r.randint(1, 13)) for w in unit + [f"v{r.random()}"] * r.choice([0, 0, 0, 1, 3])))
+    grams = lambda t: Counter(tuple(w[i : i + 10]) for w in [(t or "").split()] for i in range(len(w) - 9))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality.repeats_itself(c("t")).alias("x")).collect()
+    assert {x.t: x.x for x in got} == {t: max(grams(t).values(), default=0) > 8 for t in texts} and any(x.x for x in got)
+    plain = spark.createDataFrame([(" ".join(f"w{i}" for i in range(60)),)], "t string")
+    words, made = F.split("t", " "), F.when(c("t") != "", F.raise_error(F.lit("n-grams were made")).cast("array<string>"))
+    assert plain.select(F.when(quality._may_repeat(words, 10, 8), F.size(made))).first()[0] is None
+    assert value(tx.content_words(c("t")), t="KIL\u0130 kilo \u017feit \u212ailo") == ["kili\u0307", "kilo", "\u017feit"]
+    assert value(tx.content_words(c("t")), t="kilo \u017feit \u212aILO") == ["kilo", "\u017feit"]
+    assert value(tx.lines(c("t")), t="a\r\nb\r\rc\n\u2028d\n") == ["a", "b", "", "c", "", "d"]
+    assert value(tx.stripped(c("t")), t="\u3000\u00a0 a b\u1680\u2029\n") == "a b" and value(quality.code_pairs(c("t")), t="12 b") == []
+
+
 def test_losses_of_words_that_contain_others(value):
     """Single words and words of several parts, with capitals, marks and repetitions."""
     words = ("non", "Entro", "fino a", "a", "fino")
