@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import windows
 from quire.operators.outcome import called
 from quire.operators.sizes import is_small, small
 from quire.sources.scratch import written
@@ -79,28 +80,20 @@ def expanded(text: Column, aliases: dict[str, list[str]], normal=tx.plain) -> Co
     return F.concat(tx.terms(low), *more)
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct runs of `size` characters, each found by a look ahead, so that time is linear."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
-def contained(texts: DataFrame, key: str, text: str, markers: DataFrame, marker: str, gram: int = 4) -> DataFrame:
+def contained(texts: DataFrame, key: str, text: str, markers: DataFrame, marker: str, gram: int = 8) -> DataFrame:
     """(key, marker): which of any number of markers stand in which texts, as they are written. Every marker is looked
-    for by one run of `gram` characters alone (all of a shorter one), that which the fewest texts have; texts that have
-    it are then searched. Empty and null markers are in no text. The plan is the same for any list; keys tell texts apart."""
-    wanted = markers.where(F.length(marker) > 0).select(F.col(marker).alias("_m")).distinct()
-    size = F.least(F.lit(gram), F.length("_m"))
-    asked = F.coalesce(*[F.when(size == n, _grams(F.col("_m"), n)) for n in range(1, gram + 1)])
-    runs = wanted.select("_m", F.explode(asked).alias("_g"))
-    lengths = wanted.agg(F.collect_set(size).alias("_sizes"))  # a row of the sizes that some marker asks for
-    each = texts.where(F.col(text).isNotNull()).crossJoin(F.broadcast(lengths))
-    found = F.concat(*[F.when(F.array_contains("_sizes", n), _grams(F.col(text), n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1)])
-    each = each.select(F.col(key).alias("_k"), F.explode(found).alias("_g"))
-    met = written(each.join(runs.select("_g").distinct(), "_g", "left_semi"), "grams")
-    often = met.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    # a run that no text has rules its marker out
-    rarest = runs.join(often, "_g", "left").groupBy("_m").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"), F.min(F.coalesce("_n", F.lit(0))).alias("_n")).where("_n > 0")
-    likely = met.join(rarest.select("_m", "_g"), "_g").select("_k", "_m")
+    for by one window of `gram` bytes alone (all of a shorter one; eight at most), that which the fewest texts have; texts
+    that have it are then searched. Empty and null markers are in no text. The plan is the same for any list; keys tell
+    texts apart."""
+    runs = written(windows.of_markers(markers, marker, min(gram, windows.LONGEST)).distinct(), "runs")
+    each = windows.in_texts(texts, key, text, runs)
+    met = written(each.join(small(runs.select("_w", "_g").distinct()), ["_w", "_g"], "left_semi"), "grams")
+    often = met.groupBy("_w", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    # a window that no text has rules its marker out
+    n = F.coalesce("_n", F.lit(0))
+    rarest = runs.join(often, ["_w", "_g"], "left").groupBy("_m").agg(F.min_by(F.struct("_w", "_g"), F.struct(n, "_g")).alias("_r"), F.min(n).alias("_n")).where("_n > 0")
+    rarest = written(rarest.select("_m", "_r._w", "_r._g"), "rarest")
+    likely = met.join(small(rarest), ["_w", "_g"]).select("_k", "_m").distinct()
     found = texts.select(F.col(key).alias("_key"), F.col(text).alias("_t")).join(likely, F.col("_key") == F.col("_k")).where(F.contains("_t", F.col("_m")))
     return found.select(F.col("_key").alias(key), F.col("_m").alias(marker))
 

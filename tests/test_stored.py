@@ -100,6 +100,29 @@ def test_many_markers(spark):
     assert abs(size(got) - size(few)) <= 2  # the plan doesn't grow with the list
 
 
+def test_only_windows_of_markers_leave_texts(spark):
+    """Windows do not cross texts, end with them, and are found over the seams of what is looked at together."""
+    import pyarrow as pa
+    from quire.operators import windows
+
+    texts = ["licen", "ses of mit", "", None, "né\0qz", "q", "z" * 9, "mit license"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").coalesce(1)
+    marks = ["licenses", "license", "é", "\0q", "qz", "zzzzzzzzz", "zzzzzzzzzz", "mit license", "of mit", "q", ""]
+    ms = spark.createDataFrame([(m,) for m in marks], "m string")
+    assert rows(index.contained(df, "k", "t", ms, "m")) == sorted(((i, m) for i, t in enumerate(texts) if t for m in marks if m and m in t), key=str)
+    assert index.contained(df, "k", "t", ms.limit(0), "m").count() == 0 == index.contained(df.limit(0), "k", "t", ms, "m").count()
+    long = spark.createDataFrame([(0, " ".join(str(i) for i in range(50_000)))], "k int, t string")
+    runs = windows.of_markers(spark.createDataFrame([("40000 40001",)], "m string"), "m", 8)
+    assert runs.count() == 4 and 4 <= windows.in_texts(long, "k", "t", runs).count() < 400
+    whole = windows.PIECE
+    try:
+        windows.PIECE = 3
+        got = {(int(r), int(g).to_bytes(8, "little")[:2]) for a, b in windows._found(pa.array(texts[:6])[1:], 2) for r, g in zip(a, b)}
+    finally:
+        windows.PIECE = whole
+    assert got == {(i, b[j : j + 2]) for i, t in enumerate(texts[1:6]) for b in [(t or "").encode()] for j in range(len(b) - 1)}
+
+
 def test_aliases_as_a_table(spark):
     aliases = {"dentista": ["spese mediche", "cure"], "màre": ["casa al mare"], "zzz": [], "ab": ["corto"]}
     asked = spark.createDataFrame([(1, "Il DENTISTA costa"), (2, "case al Mare, lab"), (3, None), (4, "nulla")], "q int, t string")
