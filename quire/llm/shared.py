@@ -42,9 +42,15 @@ def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     """df, dealt by `column` already, as scratch: a file a bucket, and where it was dealt to more partitions than there
     are buckets, no more files than their square. The table that Spark reads it by stands in the shared folder as other
     scratch does."""
-    spark, name = df.sparkSession, f"quire_scratch_{uuid.uuid4().hex}"
+    return bucketed_from(df.sparkSession, lambda: df, buckets, column)
+
+
+def bucketed_from(spark: SparkSession, build: Callable[[], DataFrame], buckets: int, column: str) -> DataFrame:
+    """What build() returns, as bucketed() keeps it; the scratch that build() makes itself is deleted."""
+    name = f"quire_scratch_{uuid.uuid4().hex}"
     path = scratch(spark, "buckets", name)
-    df.coalesce(buckets).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    with scratch_scope(spark):
+        build().coalesce(buckets).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     return spark.table(name)
 
 

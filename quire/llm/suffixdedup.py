@@ -21,6 +21,10 @@ of n^2 / 2^97 for n strings compared; what only rules out is compared by 64 bits
 Texts are spread over blocks of about `block_bytes`; a block sends each phrase, extension or string once however
 often it holds it, so that copies and common passages meet in as many rows as there are blocks, at most.
 
+Where shorter strings are asked for as well, they come first. A repeated string of `length` bytes lies within one run
+of bytes that repeated shorter strings cover, so that only such runs of at least `length` bytes are gone through again,
+each as a text of its own.
+
 Null texts count as empty; texts shorter than `length` stay whole. Repeated rows are texts of their own, which
 repeat each other. Empty tables give no rows. Of the input, only the columns in `keep` go on, without any that
 is named like a result. A text must fit in a task's memory, with its fingerprints 40 times.
@@ -37,10 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
-from quire.llm.shared import bucketed, parts_for, released, small_batches, tidy
+from quire.llm.shared import bucketed, bucketed_from, parts_for, released, small_batches, tidy
 
 TRIGGER = 16
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
+#: The further result where shorter strings are asked for.
+SHORTER = "n_repeated"
 #: What comes back to a block: phrases found twice; phrases with several extensions; extended phrases found twice,
 #: of which one block speaks for their strings; strings found twice.
 _MET, _BRANCHING, _REPEATED, _REPEATED_HERE_FIRST, _STRING = range(5)
@@ -194,7 +200,18 @@ def _sql(kinds: dict[str, pa.DataType]) -> str:
 
 
 def _texts(table: pa.Table) -> list[bytes]:
-    return [x or b"" for x in table["_text"].to_pylist()]
+    """All texts of a block; of rows with runs, these, one by one."""
+    texts = [x or b"" for x in table["_text"].to_pylist()]
+    if "_runs" not in table.column_names:
+        return texts
+    cuts = [np.concatenate([[0], np.cumsum(b - a)]).tolist() for a, b in map(_ends, table["_runs"].to_pylist())]
+    return [t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in zip(c, c[1:], strict=False)]
+
+
+def _ends(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends in the whole text of a row's runs."""
+    pairs = np.frombuffer(runs, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _joined(parts: list[np.ndarray], kind: type = np.uint64) -> np.ndarray:
@@ -320,48 +337,76 @@ def _removed(p: _Parse, known: _Learnt) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def _cut(length: int, names: list[str], as_text: bool):
+def _masks(texts: list[bytes], length: int, known: _Learnt) -> Iterator[np.ndarray]:
+    """For each text a mark for each byte to go."""
+    for a, b, p in _parses(texts, length):
+        gone = _removed(p, known)
+        for i in range(b - a):
+            yield gone[p.offsets[i] : p.offsets[i + 1]]
+
+
+def _split(length: int, longer: int, kept: int):
+    """Of each row: the bytes that strings of `length` bytes cover, and its text, split into the runs of at least
+    `longer` such bytes and the rest."""
+
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         known, texts, rows = _Learnt(back), _texts(table), []
-        for a, b, p in _parses(texts, length):
-            gone = _removed(p, known)
-            for i in range(a, b):
-                mask = gone[p.offsets[i - a] : p.offsets[i - a + 1]]
-                spans = int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
-                kept = np.frombuffer(texts[i], np.uint8)[~mask].tobytes() if spans else texts[i]
-                rows.append((len(mask), int(np.count_nonzero(mask)), spans, kept))
+        for text, mask in zip(texts, _masks(texts, length, known), strict=True):
+            pairs = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+            pairs = pairs[pairs[:, 1] - pairs[:, 0] >= longer]
+            at = [0, *pairs.ravel().tolist(), len(text)]
+            pieces = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+            rows.append((b"".join(pieces[1::2]), pairs.astype(np.int64).tobytes(), b"".join(pieces[::2]), int(np.count_nonzero(mask))))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        del known
+        released()
+        out = [table["block"], *(table[f"_{i}"] for i in range(kept))]
+        out += [pa.array(c, pa.binary()) for c in columns[:3]] + [pa.array(columns[3], pa.int64())]
+        return pa.Table.from_arrays(out, names=["block", *(f"_{i}" for i in range(kept)), "_text", "_runs", "_rest", "_repeated"])
+
+    return run
+
+
+def _whole(table: pa.Table, masks: Iterator[np.ndarray]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each row's whole text with its marks, put together again from runs and rest where it was split."""
+    if "_runs" not in table.column_names:
+        yield from zip(_texts(table), masks, strict=True)
+        return
+    for runs, text, rest in zip(*(table[c].to_pylist() for c in ("_runs", "_text", "_rest")), strict=True):
+        mask, pieces, in_text, in_rest, last = np.zeros(len(text) + len(rest), bool), [], 0, 0, 0
+        for a, b in zip(*(x.tolist() for x in _ends(runs)), strict=True):
+            mask[a:b] = next(masks)
+            pieces += [rest[in_rest : in_rest + a - last], text[in_text : in_text + b - a]]
+            in_text, in_rest, last = in_text + b - a, in_rest + a - last, b
+        yield b"".join([*pieces, rest[in_rest:]]), mask
+
+
+def _cut(length: int, names: list[str], kept: int, as_text: bool):
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        known, rows = _Learnt(back), []
+        for text, mask in _whole(table, _masks(_texts(table), length, known)):
+            spans = int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
+            left = np.frombuffer(text, np.uint8)[~mask].tobytes() if spans else text
+            rows.append((len(mask), int(np.count_nonzero(mask)), spans, left))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         del known
         released()
-        out = [table[f"_{i}"] for i in range(len(names) - 4)]
+        out = [table[f"_{i}"] for i in range(kept)]
         out += [pa.array(c, pa.int64()) for c in columns[:3]]
         out.append(pa.array([x.decode(errors="ignore") for x in columns[3]], pa.string()) if as_text else pa.array(columns[3], pa.binary()))
+        out += [table["_repeated"]] if "_repeated" in table.column_names else []
         return pa.Table.from_arrays(out, names=names)
 
     return run
 
 
-def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
-    """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row; as text,
-    these are without characters that were cut in two. The result reads scratch, which a
-    scratch_scope() around it and whatever writes it deletes."""
-    spark = df.sparkSession
-    small_batches(spark)
-    keep = [c for c in keep if c not in RESULTS and c != text]
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    blocks = max(12, -(-size // block_bytes), -(-rows // 100_000))
-    buckets = max(12, blocks // 4)
-    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
-    block = F.pmod(F.xxhash64(*keep[:1], data), F.lit(blocks)).cast("int").alias("block")
-    # bucketed by block, so that the four passes over the texts need one shuffle of them
-    table = bucketed(df.select(*columns, data.alias("_text"), block).repartition(buckets, "block"), buckets, "block")
-    texts = table.select("block", "_text").groupBy("block")
-    parts = parts_for(size // spacing(length), 1_000_000, 12)
+def _compared(table: DataFrame, buckets: int, parts: int, length: int) -> DataFrame:
+    """What comes back to each block of a bucketed table about the strings of its texts, dealt as that is."""
 
     def dealt(back: DataFrame) -> DataFrame:
         return back.repartition(buckets, "block")
 
+    texts = table.select("block", "_text", *(c for c in table.columns if c == "_runs")).groupBy("block")
     sent = texts.applyInArrow(_phrases(length), _sql(_PHRASES))
     met = bucketed(dealt(sent.repartition(parts, "h").mapInArrow(tidy(_compare_phrases), _sql(_BACK))), buckets, "block")
     sent = texts.cogroup(met.groupBy("block")).applyInArrow(_extensions(length), _sql(_EXTENSIONS))
@@ -369,6 +414,45 @@ def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_by
     learnt = bucketed(dealt(met.unionByName(extensions)), buckets, "block")
     sent = texts.cogroup(learnt.groupBy("block")).applyInArrow(_strings(length), _sql(_STRINGS))
     strings = sent.repartition(2 * parts, "h").mapInArrow(tidy(_compare_strings), _sql(_BACK))
-    back = dealt(learnt.unionByName(strings)).groupBy("block")
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(c, T.LongType()) for c in RESULTS[:3]] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    return table.groupBy("block").cogroup(back).applyInArrow(_cut(length, [*keep, *RESULTS], as_text), schema)
+    return dealt(learnt.unionByName(strings))
+
+
+def dedup(df: DataFrame, text: str, keep: list[str], length: int = 400, block_bytes: int = 8 << 20, as_text: bool = False, shorter: int | None = None) -> DataFrame:
+    """Columns `keep` of df (without text), n_bytes, n_removed, n_spans and the bytes kept, of each row; as text,
+    these are without characters that were cut in two. With `shorter`, also n_repeated, the bytes that a string of so
+    few bytes covers which starts anywhere else too; they stay, as far as no string of `length` bytes covers them. The
+    result reads scratch, which a scratch_scope() around it and whatever writes it deletes."""
+    if shorter is not None and not 0 < shorter <= length:
+        raise ValueError("shorter must be from 1 to length")
+    spark = df.sparkSession
+    small_batches(spark)
+    results = [*RESULTS, *([SHORTER] if shorter else [])]
+    keep = [c for c in keep if c not in results and c != text]
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = max(12, -(-size // block_bytes), -(-rows // 100_000))
+    buckets = max(12, blocks // 4)
+    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    block = F.pmod(F.xxhash64(*keep[:1], data), F.lit(blocks)).cast("int").alias("block")
+    kept = [T.StructField(f"_{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
+
+    def parts(length: int) -> int:
+        return parts_for(size // spacing(length), 1_000_000, 12)
+
+    def whole() -> DataFrame:
+        return df.select(*columns, data.alias("_text"), block).repartition(buckets, "block")
+
+    def split() -> DataFrame:
+        table = bucketed(whole(), buckets, "block")
+        back = _compared(table, buckets, parts(shorter), shorter).groupBy("block")
+        binary = [T.StructField(c, T.BinaryType()) for c in ("_text", "_runs", "_rest")]
+        schema = T.StructType([T.StructField("block", T.IntegerType()), *kept, *binary, T.StructField("_repeated", T.LongType())])
+        return table.groupBy("block").cogroup(back).applyInArrow(_split(shorter, length, len(keep)), schema)
+
+    # bucketed by block, so that the four passes over the texts need one shuffle of them
+    table = bucketed_from(spark, split if shorter else whole, buckets, "block")
+    back = _compared(table, buckets, parts(length), length).groupBy("block")
+    names = [*keep, *results]
+    types = [*(f.dataType for f in kept), *[T.LongType()] * 3, T.StringType() if as_text else T.BinaryType(), *([T.LongType()] if shorter else [])]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(names, types, strict=True)])
+    return table.groupBy("block").cogroup(back).applyInArrow(_cut(length, names, len(keep), as_text), schema)
