@@ -1,11 +1,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import index
-from quire.operators.keptindex import KeptIndex, weighed_terms
+from quire.operators import index, segments
+from quire.operators.keptindex import KeptIndex, rounded, weighed_terms
 from quire.operators.postings import best, blocked
 from quire.sources.scratch import scratch_scope
 
@@ -115,3 +116,64 @@ def test_a_failed_change_is_ignored(spark, tmp_path):
     assert rows(kept.read()) == want
     assert kept.change(bad, "id", {"t": 1.0}) == 2
     assert rows(kept.read()) == rows(index.keyword_index(bad, "id", {"t": 1.0}))
+
+
+def test_a_kept_index_deals_few_rows(spark, tmp_path):
+    """A change's entries stand in a row for each part of the terms and task, and go from the deltas once merged."""
+    r = random.Random(5)
+    items = spark.createDataFrame([(i, sentence(r, 200)) for i in range(100)], "id long, t string").coalesce(1)
+    kept = KeptIndex(spark, str(tmp_path / "index"), buckets=2)
+    kept.change(items, "id", {"t": 1.0})
+    rows_kept = spark.read.parquet(str(tmp_path / "index" / "deltas" / "version=1")).count()
+    want = index.keyword_index(items, "id", {"t": 1.0})
+    assert rows_kept * 20 < want.count()
+    kept.merge()
+    assert not (tmp_path / "index" / "deltas" / "version=1").exists()
+    assert rows(kept.read()) == rows(want)
+
+
+def test_a_kept_index_of_odd_texts(spark, tmp_path):
+    """Nodes may be strings, one of them null; those gone may be named twice."""
+    odd = [("a", "", None), ("b", None, "È già, l'età"), ("c", "abc", "def ghi"), ("d", "AB abc-abc\u00a0ABC", "x1y2\u4e2d\u6587z9z9 di del ab"), (None, "niente nodo", "\U0001d400bc"), ("e", "di la", "ab"), ("f", "\u0130stanbul stra\u00dfe", "fine")]
+    items = spark.createDataFrame(odd, "id string, t string, s string")
+    kept = KeptIndex(spark, str(tmp_path / "index"), node_kind="string", buckets=2)
+    fields = {"t": 0.1, "s": 0.7}
+    kept.change(items, "id", fields)
+    want = index.keyword_index(items, "id", fields)
+    assert rows(kept.read(), "term", "node_id", "df", "weight") == rows(want, "term", "node_id", "df", "weight")
+    assert rows(kept.read(spark.createDataFrame([("def ghi",), ("ab",), (None,)], "term string")), "term", "node_id") == [("def ghi", "c")]
+    gone = spark.createDataFrame([("c",), ("c",), ("none",)], "node_id string")
+    kept.change(items.where("id = 'b'").withColumn("t", F.lit("nuova")), "id", fields, gone)
+    now = items.where("id is null or id <> 'c'").withColumn("t", F.when(F.col("id") == "b", "nuova").otherwise(F.col("t")))
+    want = rows(index.keyword_index(now, "id", fields), "term", "node_id", "df", "weight")
+    assert rows(kept.read(), "term", "node_id", "df", "weight") == want
+    kept.merge()
+    assert rows(kept.read(), "term", "node_id", "df", "weight") == want
+
+
+def test_segments_are_the_same_in_pieces(monkeypatch):
+    """However many documents and parts are looked at together."""
+    r = random.Random(11)
+    texts = [[sentence(r, r.randrange(9)) for _ in range(2)] for _ in range(40)]
+    old = [None if i % 3 else [sentence(r, 5), texts[i][0]] for i in range(40)]
+    weights = [[3.0, 1.0]] * 40
+    batch = pa.record_batch({"node_id": pa.array(range(40), pa.int64()), "texts": texts, "weights": weights, "old": old, "old_weights": [x and [1.0, 3.0] for x in old]})
+
+    def entries():
+        made = [b.append_column("version", pa.array([1] * len(b), pa.int32())) for b in segments.of_texts(8)([batch])]
+        dealt = pa.Table.from_batches(made).sort_by("term_part").combine_chunks().to_batches()
+        lots = list(segments.opened(pa.int64())(dealt))
+        return sorted(tuple(x.values()) for b in lots for x in b.to_pylist()), len(made), len(lots)
+
+    whole, pieces, lots = entries()
+    assert pieces == lots == 1
+    monkeypatch.setattr(segments, "PIECE", 60)
+    monkeypatch.setattr(segments, "LOT", 5)
+    again, pieces, lots = entries()
+    assert again == whole and pieces > 5 and lots == 8
+
+
+def test_weights_are_rounded_as_by_spark(spark):
+    x = spark.createDataFrame([(v,) for v in (0.00005, 1.00005, 0.33335, -0.00001, -0.0, -2.5, 1e300, float("inf"), float("nan"), 123456.78905, None)], "x double")
+    x = x.union(spark.range(-20_000, 20_000).select(F.col("id") / 20_000 * 3.7)).union(spark.range(20_000).select(F.log(F.col("id") + 2) * 7))
+    assert x.where(~rounded(F.col("x")).eqNullSafe(F.round("x", 4))).isEmpty()
